@@ -11,6 +11,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer file; the same package is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.token_files import token_files
+
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.packing import packing
+
+    return packing(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.llm.quality_rules import quality_rules
 
