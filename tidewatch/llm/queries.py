@@ -18,6 +18,18 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.html_text import html_text
+
+    return html_text(table(spark, sf_dir, "pages"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.language_id import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.llm.token_files import token_files
 
