@@ -42,6 +42,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.llm.quality_rules import quality_rules
 
