@@ -163,10 +163,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> list[
             s = np.sort(acc[a : b - words + 1])
             out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         elif b > a:
-            short = np.uint64(b - a)
-            for h in hashed[a:b]:
-                short = mix(np.array([short * _SHINGLE + h], dtype=np.uint64))[0]
-            out.append(np.array([short], dtype=np.uint64))
+            short = np.array([b - a], dtype=np.uint64)
+            for i in range(a, b):
+                short = mix(short * _SHINGLE + hashed[i : i + 1])
+            out.append(short)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
