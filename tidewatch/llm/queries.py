@@ -18,6 +18,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.piece_nbest import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.llm.html_text import html_text
 
