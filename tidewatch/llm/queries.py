@@ -30,6 +30,12 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(table(spark, sf_dir, "pages"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.line_dedup import line_digest
+
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.llm.language_id import language_id
 
