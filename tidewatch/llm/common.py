@@ -38,8 +38,9 @@ def scratch(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not (found := spark.sparkContext.getCheckpointDir()):
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidewatch-"))
+            found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 

@@ -1,7 +1,8 @@
 """Connected components of a distributed edge list.
 
-Each task first contracts its own edges with a union-find, then stars are enlarged and
-shrunk in turn until nothing changes: every node is tied to the smallest node it knows.
+Each task contracts about ``TASK_EDGES`` edges with a union-find. Where there are several
+tasks, stars are then enlarged and shrunk in turn until nothing changes: every node is
+tied to the smallest node it knows.
 Minima are aggregated before the shuffle and joined back, so a node with very many
 neighbours is split over tasks. Nothing is collected to the driver.
 """
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import materialize
 
 
+TASK_EDGES = 500_000
+
+
 class UnionFind:
     """Over 0..n-1; the smallest member is the root."""
 
@@ -40,9 +44,10 @@ class UnionFind:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batch's edges as stars: each node with the smallest node it is tied to."""
-    for batch in batches:
-        a, b = (batch.column(i).to_numpy() for i in (0, 1))
+    """The task's edges as stars: each node with the smallest node it is tied to."""
+    held = [[x.to_numpy() for x in batch.columns] for batch in batches if batch.num_rows]
+    if held:
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
         nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
         forest = UnionFind(len(nodes))
         for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
@@ -56,9 +61,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): every node of the edges (two long columns) with the smallest node of its component."""
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v")
-    e = materialize(e.mapInArrow(_contract, "u long, v long").distinct(), "edges")
+    tasks = -(-e.count() // TASK_EDGES)
+    e = materialize(e.repartition(max(1, tasks)).mapInArrow(_contract, "u long, v long"), "edges")
     before = None
-    for _ in range(most_rounds):
+    for _ in range(most_rounds if tasks > 1 else 0):
         # u > v holds for every edge. Large star: greater neighbours are tied to the least neighbour.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))

@@ -9,9 +9,9 @@
    member; for lists that this leaves in several components, a signature tree is built:
    its nodes hold OR-combined bitmaps of the sets and size ranges, and two nodes are only
    descended together if their greatest possible overlap suffices for some pair.
-4. Surviving pairs are verified on the texts and joined to components. Pairs within one
-   component are skipped, so a large group of copies never makes all its pairs, while
-   no link between components is lost.
+4. Members with a surviving partner are verified on their texts, the most promising pairs
+   first. Pairs within one component are skipped, so a large group of copies never makes
+   all its pairs, while no link between components is lost.
 
 Defined results: null or blank text has the empty set and is its own component; a null
 doc_id is linked through equal sets alone; repeated rows share their class; equal
@@ -30,15 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import flat, materialize, mix, parts_of, shingle_sets, slices
-from tidewatch.llm.components import components
+from tidewatch.llm.components import UnionFind, components
 
 WORDS, PERCENT = 5, 75
 #: Frequent shingles put last in the order: at most so many (a bound on what is broadcast), of at least so many classes.
 HOT, HOT_AT, HOT_LOCAL, HOT_WINDOW = 50_000, 64, 8, 1_000_000
 FLUSH_ROWS = 1_000_000
 LIST_BLOCK, LEAF = 1_024, 16
-#: Pairs tried per two components of a list before all of them are.
-FIRST_PAIRS = 4
 MIN_BITS, MAX_BITS = 256, 1 << 16
 _ROW = np.dtype([("t", "<u4"), ("n", "<u4"), ("c", "<i8")])
 
@@ -48,9 +46,10 @@ def _need(a, b, percent: int):
     return percent * (a + b)
 
 
-def bitmap(s: np.ndarray) -> bytes:
+def bitmap(s: np.ndarray, times: int = 1) -> bytes:
+    """At least ``times`` as many bits as members, one set for each."""
     bits = MIN_BITS
-    while bits < len(s) and bits < MAX_BITS:
+    while bits < times * len(s) and bits < times * MAX_BITS:
         bits *= 2
     out = np.zeros(bits, np.uint8)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -224,49 +223,102 @@ class SignatureTree:
             stack += [(depth - 1, x, y) for x in left for y in right if p != q or x <= y]
 
 
-def _tree_pairs(percent: int, first: int | None):
-    """Pairs of a list (or of two of its blocks) in different components that a signature tree can't rule out."""
-
-    def run(key, table):
-        comps_raw = table.column("comp").to_numpy()
-        _, comps = np.unique(comps_raw, return_inverse=True)
-        sizes = table.column("n").to_numpy().astype(np.int64)
-        order = np.lexsort((sizes, comps))
-        classes, blocks = table.column("class").to_numpy()[order], table.column("block").to_numpy()[order]
-        comps, sizes = comps[order].astype(np.int64), sizes[order]
-        raw = table.column("bits").to_pylist()
-        width = min(map(len, raw))
-        bits = np.stack([fold(np.frombuffer(raw[i], np.uint8), width) for i in order.tolist()])
-        found: list[tuple[np.ndarray, ...]] = []
-        across = key[1].as_py() != key[2].as_py()
-        for p, q in SignatureTree(bits, sizes, comps).pairs(percent):
-            i, j = np.arange(p * LEAF, min(p * LEAF + LEAF, len(sizes))), np.arange(q * LEAF, min(q * LEAF + LEAF, len(sizes)))
-            a, b = (x.reshape(-1) for x in np.meshgrid(i, j, indexing="ij"))
-            ok = comps[a] != comps[b]
+def _candidates(classes, blocks, comps, sizes, raw, across: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (places of two members, most promising overlap in thousandths) in different components that the signature tree can't rule out."""
+    widths = np.array([len(r) for r in raw])
+    found: list[tuple[np.ndarray, ...]] = []
+    # Sets that can be linked have bitmaps of one width, or one of them has the next.
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero((widths == width) | (widths == 2 * width))
+        own = own[np.lexsort((sizes[own], comps[own]))]
+        n, c = sizes[own], comps[own]
+        if len(own) < 2 or (c[0] == c).all():
+            continue
+        bits = np.stack([fold(raw[i], width) for i in own.tolist()])
+        for p, q in SignatureTree(bits, n, c).pairs(percent):
+            i, j = np.arange(p * LEAF, min(p * LEAF + LEAF, len(n))), np.arange(q * LEAF, min(q * LEAF + LEAF, len(n)))
+            a, b = np.repeat(i, len(j)), np.tile(j, len(i))
+            ok = (c[a] != c[b]) & ((widths[own[a]] == width) | (widths[own[b]] == width)) & (100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a])
             if p == q:
                 ok &= a < b
             if across:
-                ok &= blocks[a] != blocks[b]
+                ok &= blocks[own[a]] != blocks[own[b]]
             a, b = a[ok], b[ok]
             if not len(a):
                 continue
-            most = np.minimum(sizes[a] - np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64), sizes[b] - np.bitwise_count(bits[b] & ~bits[a]).sum(axis=1, dtype=np.int64))
-            ok = most * (100 + percent) >= _need(sizes[a], sizes[b], percent)
-            found.append((a[ok], b[ok], most[ok] * 1000 // (sizes[a][ok] + sizes[b][ok])))
-        a, b, worth = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
-        cut = False
-        if first is not None and len(a):
-            by = np.lexsort((-worth, comps[b], comps[a]))
-            a, b = a[by], b[by]
-            start = np.flatnonzero(np.concatenate([[True], (comps[a][1:] != comps[a][:-1]) | (comps[b][1:] != comps[b][:-1])]))
-            nth = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
-            cut = bool((nth >= first).any())
-            a, b = a[nth < first], b[nth < first]
-        return pa.table({"a": pa.array(np.minimum(classes[a], classes[b]), pa.int64()), "b": pa.array(np.maximum(classes[a], classes[b]), pa.int64()), "cut": pa.array(np.full(len(a), cut), pa.bool_())})
+            most = np.minimum(n[a] - np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64), n[b] - np.bitwise_count(bits[b] & ~bits[a]).sum(axis=1, dtype=np.int64))
+            ok = most * (100 + percent) >= _need(n[a], n[b], percent)
+            found.append((own[a[ok]], own[b[ok]], most[ok] * 1000 // (n[a[ok]] + n[b[ok]])))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
+def _groups(table) -> Iterator[tuple]:
+    """The groups (list, i, j) of a pack, as tables."""
+    table = table.combine_chunks().sort_by([("list", "ascending"), ("i", "ascending"), ("j", "ascending")])
+    names, i, j = (table.column(c).to_numpy() for c in ("list", "i", "j"))
+    edges = np.flatnonzero((names[1:] != names[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+    for x, y in zip([0, *edges.tolist()], [*edges.tolist(), len(names)], strict=True):
+        yield table.slice(x, y - x), bool(i[x] != j[x])
+
+
+def _survivors(percent: int):
+    """Members of each list (or of two of its blocks) that a signature tree leaves a partner in another component."""
+
+    def run(key, table):
+        out = []
+        for group, across in _groups(table):
+            columns = [group.column(c).to_numpy() for c in ("class", "block", "comp", "n")]
+            a, b, _ = _candidates(*columns, [np.frombuffer(r, np.uint8) for r in group.column("bits").to_pylist()], across, percent)
+            if len(a):
+                out.append(group.select(["list", "i", "j", "block", "class", "comp"]).take(pa.array(np.unique(np.concatenate([a, b])))))
+        return pa.concat_tables(out) if out else table.select(["list", "i", "j", "block", "class", "comp"]).slice(0, 0)
 
     return run
 
 
+def link_groups(table, sets_of, name_of, percent: int) -> Iterator[tuple[int, int]]:
+    """Links (places in a group's table) that join components of each group of a pack, verified exactly, the most promising pairs first.
+
+    ``sets_of`` gives the sets of a group's texts; ``name_of``, if given, the class that a set must have.
+    """
+    for group, across in _groups(table):
+        classes, blocks, comps = (group.column(c).to_numpy() for c in ("class", "block", "comp"))
+        sets = sets_of(group.column("text"))
+        _, comps = np.unique(comps, return_inverse=True)
+        sizes = np.array([len(s) for s in sets])
+        a, b, worth = _candidates(classes, blocks, comps, sizes, [np.frombuffer(bitmap(s, 8), np.uint8) for s in sets], across, percent)
+        tied = UnionFind(int(comps.max()) + 1)
+        order = np.argsort(-worth, kind="stable")
+        for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            if tied.find(comps[x]) != tied.find(comps[y]):
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if both * (100 + percent) >= _need(sizes[x], sizes[y], percent) and (name_of is None or name_of(sets[x]) == classes[x] and name_of(sets[y]) == classes[y]):
+                    tied.union(comps[x], comps[y])
+                    yield group.column("node")[x].as_py(), group.column("node")[y].as_py()
+
+
+def linked(sets_of, name_of, percent: int):
+    """Links (u, v) of nodes that join the components of each group; ``text`` is each member's."""
+
+    def run(key, table):
+        found = list(link_groups(table, sets_of, name_of, percent))
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    return run
+
+
+def dealt_blocks(members: DataFrame, parts: int, block: int = LIST_BLOCK) -> DataFrame:
+    """Members (list, class, m, ...) of lists of m as groups (list, i, j) of two blocks at most, and the pack that a group goes to."""
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    rest = [c for c in members.columns if c not in ("list", "m")]
+    return (
+        members.withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("list", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", *rest)
+        .withColumn("pack", F.pmod(F.xxhash64("list", "i", "j"), F.lit(parts)))
+    )
+
+
 def _verify(pairs: DataFrame, info: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(u, v): representatives' doc_ids of those pairs (a, b) of classes whose texts reach the threshold."""
     names = info.select("class", "doc_id")
@@ -329,33 +381,29 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         fits = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
         return x.where(fits).select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
 
-    stars = lists.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).where("a != b").distinct()
+    stars = materialize(lists.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).where("a != b").distinct(), "stars")
     tried = materialize(bounded(stars), "pairs")
     links = materialize(_verify(tried, info, docs, words, percent), "links")
-    wide = materialize(lists.where(F.size("members") > 2).dropDuplicates(["list"]), "lists")
-    for first in (FIRST_PAIRS, None):
-        tied = components(links)
-        comp = info.where("doc_id is not null").select("class", "n", "bits", "doc_id").join(tied.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-        comp = materialize(comp.select("class", "n", "bits", F.coalesce("component", "doc_id").alias("comp")), "comps")
-        each = wide.select("list", F.explode("members").alias("class"), F.size("members").alias("m"))
-        labelled = each.join(comp.select("class", "comp"), "class")
-        mixed = labelled.groupBy("list").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("list")
-        blocks = F.ceil(F.col("m") / LIST_BLOCK).cast("int")
-        dealt = (
-            each.join(mixed, "list")
-            .join(comp, "class")
-            .withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
-            .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .select("list", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "class", "n", "bits", "comp")
-        )
-        found = materialize(dealt.groupBy("list", "i", "j").applyInArrow(_tree_pairs(percent, first), "a long, b long, cut boolean"), "pairs")
-        fresh = materialize(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(fresh)
-        links = links.unionByName(_verify(fresh, info, docs, words, percent)) if fresh.head(1) else links
-        if first is None or not found.where("cut").head(1):
-            break
-        links = materialize(links, "links")
+    # All lists with the same least member are one from here on, so a pair in several of them is met once. That member was held against all.
+    sizes = stars.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
+    wide = materialize(stars.join(sizes, "a").select(F.col("a").alias("list"), F.col("b").alias("class"), "m"), "lists")
+    tied = components(links)
+    comp = info.where("doc_id is not null").select("class", "n", "bits", "doc_id").join(tied.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    comp = materialize(comp.select("class", "n", "bits", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "comps")
+    mixed = wide.join(comp.select("class", "comp"), "class").groupBy("list").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("list")
+    dealt = dealt_blocks(wide.join(mixed, "list").join(comp.drop("doc_id"), "class"), parts)
+    left = dealt.groupBy("pack").applyInArrow(_survivors(percent), "list long, i int, j int, block int, class long, comp long")
+    left = materialize(left.join(comp.select("class", "doc_id"), "class"), "survivors")
+    known = left.select("doc_id").distinct().join(docs.select("doc_id", "text"), "doc_id").dropDuplicates(["doc_id"])
+    again = left.join(known, "doc_id").select("list", "i", "j", "block", "class", "comp", F.col("doc_id").alias("node"), "text", F.pmod(F.xxhash64("list", "i", "j"), F.lit(parts)).alias("pack"))
+    links = materialize(links.unionByName(again.groupBy("pack").applyInArrow(linked(lambda texts: shingle_sets(*flat(texts), words), class_of, percent), "u long, v long")), "links")
     tied = components(links)
     comp = info.select("class", "doc_id").join(tied.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("class", F.coalesce("component", "doc_id").alias("component"))
     out = own.select("doc_id", "n", "class").join(comp, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` without those that aren't the first of their component; rows without a doc_id stay."""
+    judged = jaccard_components(docs.select("doc_id", "text"), words, percent)
+    return docs.join(judged.where("component_id != doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
