@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import scratch
+
 #: Bound on the labelled documents that a list is learned from (those with the smallest hash of doc_id).
 LEARN_ROWS = 20_000
 MAX_RULES, MAX_TERMS = 12, 4
@@ -35,18 +37,21 @@ def _kept_chars(text: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id with the counts of ``BASE``, n_lines (lines with a word) and the ratios of ``FEATURES``."""
-    d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"))
+def statistics(docs: DataFrame, also: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id with the counts of ``BASE`` and the ratios of ``FEATURES``; ``also``: named columns of docs to go along."""
+    d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"), *also)
+    own = d.columns[2:]
     trimmed = F.btrim(F.col("t"), F.lit(_BLANKS))
     d = d.select(
         "doc_id",
+        *own,
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _WS)).alias("w"),
         F.filter(F.split(F.col("t"), "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != "").alias("lines"),
         F.regexp_replace("t", "[^A-Z0-9#*$%&|<>!?]+", "").alias("marks"),
     )
     d = d.select(
         "doc_id",
+        *own,
         F.size("w").alias("n"),
         F.length(F.array_join("w", "")).alias("word_chars"),
         F.size("lines").alias("n_lines"),
@@ -57,9 +62,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         _kept_chars(F.col("marks"), "!?").alias("n_marks"),
         F.expr("if(size(w) < 3, cast(array() as array<bigint>), transform(slice(w, 1, size(w) - 2), (x, i) -> xxhash64(x, w[i + 1], w[i + 2])))").alias("windows"),
     )
-    twice = F.expr(
-        """filter(array_sort(transform(windows, (x, i) -> named_struct('h', x, 'i', i))), x -> true)"""
-    )
+    twice = F.expr("array_sort(transform(windows, (x, i) -> named_struct('h', x, 'i', i)))")
     d = d.withColumn("sorted", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), twice))
     d = d.withColumn(
         "starts",
@@ -75,6 +78,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     words, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n", "word_chars", "n_lines"))
     return d.select(
         "doc_id",
+        *own,
         F.col("n").cast("long").alias("n_words"),
         *(F.col(c).cast("long").alias(c) for c in ("word_chars", "n_symbols", "n_dup_lines")),
         F.when(F.col("starts").isNull(), 0).otherwise(F.col("n_repeat")).cast("long").alias("n_repeat_words"),
@@ -193,8 +197,21 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Data
     return statistics(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id")
 
 
+def learned(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> list[list[tuple[str, str, float]]]:
+    scratch(docs.sparkSession)
+    return learn(labelled(docs, labels, rows).drop(*BASE).checkpoint())
+
+
+def accepted(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    rules = learned(docs, labels, rows)
+    judged = statistics(docs, (F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"),))
+    # A filter would be pushed below the statistics and copy their expressions into itself; a generator isn't.
+    kept = judged.select(F.explode_outer(F.when(~base_failed() & verdict(rules), F.array("own"))).alias("own")).where("own is not null")
+    return kept.select(*(F.col(f"own.`{c}`").alias(c) for c in docs.columns))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> DataFrame:
     """doc_id, the counts of ``BASE``, base_failed and kept for every document."""
-    examples = labelled(docs, labels, rows).drop(*BASE).checkpoint()
-    rules = learn(examples)
+    rules = learned(docs, labels, rows)
     return statistics(docs).select("doc_id", *BASE, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
