@@ -3,9 +3,10 @@
 1. Every line that isn't blank has the set of its character shingles and their MinHash
    signature. Bands of the signature are dealt out by their hash, in packed blocks, so
    lines that agree in a band meet; equal lines are one class.
-2. Classes that meet are held against the least one of their band, and then, where that
-   leaves several components in a band, against the classes of the other components.
-   Pairs are verified by the exact Jaccard similarity of their shingle sets.
+2. Classes that meet are held against the least one of their band; where that leaves
+   several components, the rest of the band is held against one another in blocks.
+   Pairs are verified by the exact Jaccard similarity of their shingle sets; pairs within
+   one component are skipped, so a large group never makes all its pairs.
 3. A distributed union-find joins verified pairs; a component keeps its first line.
 
 Defined results: null text has no lines; blank lines are kept and count as lines; a line
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import materialize, mix, parts_of, powers, slices
 from tidewatch.llm.components import components
+from tidewatch.llm.jaccard_join import dealt_blocks, linked
 
 SHINGLE, PERCENT = 8, 75
 #: A pair at the threshold meets in some band with probability 1 - (1 - 0.75**3)**10 = 0.996; at 0.85, 0.9999.
@@ -159,6 +161,13 @@ def _meet(key, table):
     return pa.table({"list": pa.array(names, pa.int64()), "members": pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))})
 
 
+def line_sets(texts) -> list[np.ndarray]:
+    """The shingle set of each line."""
+    lines = Lines(texts.to_pylist())
+    hashed, bounds = lines.shingles(np.arange(len(lines.start)))
+    return [np.unique(hashed[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of classes whose shingle sets are similar enough."""
     full = pairs.join(texts.toDF("b", "line_b"), "b").join(texts.toDF("a", "line_a"), "a").select("a", "b", "line_a", "line_b")
@@ -167,11 +176,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for part in slices(slices([batch], "line_a"), "line_b"):
                 left = part.column("line_a").dictionary_encode()
-                sets = []
-                for texts_ in (left.dictionary.to_pylist(), part.column("line_b").to_pylist()):
-                    lines = Lines(texts_)
-                    hashed, bounds = lines.shingles(np.arange(len(lines.start)))
-                    sets.append([np.unique(hashed[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
+                sets = [line_sets(left.dictionary), line_sets(part.column("line_b"))]
                 keep = []
                 for k, i in enumerate(left.indices.to_pylist()):
                     x, y = sets[0][i], sets[1][k]
@@ -215,14 +220,14 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = materialize(_verified(stars, texts, percent), "links")
 
     tied = components(links)
-    wide = meets.where(F.size("members") > 2).dropDuplicates(["list"]).select("list", F.explode("members").alias("class"))
-    wide = wide.join(tied.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = wide.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("class").alias("centre")).where("x != y").select("list", "centre")
-    # The list's least class was tried against all; others are tried where they are in different components.
-    rest = materialize(wide.join(mixed, "list").where("class != centre").select("list", "class", "component"), "rest")
-    other = rest.select("list", F.col("class").alias("b"), F.col("component").alias("with"))
-    fresh = rest.join(other, "list").where((F.col("class") < F.col("b")) & (F.col("component") != F.col("with"))).select(F.col("class").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(fresh, texts, percent))
+    # All lists with the same least class are one from here on; that class was held against all.
+    sizes = stars.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
+    wide = stars.join(sizes, "a").select(F.col("a").alias("list"), F.col("b").alias("class"), "m")
+    wide = wide.join(tied.toDF("class", "component"), "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
+    wide = materialize(wide, "wide")
+    mixed = wide.groupBy("list").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("list")
+    rest = dealt_blocks(wide.join(mixed, "list").join(texts.toDF("class", "text"), "class").withColumn("node", F.col("class")), parts)
+    links = links.unionByName(rest.groupBy("pack").applyInArrow(linked(line_sets, None, percent), "u long, v long").toDF("a", "b"))
 
     tied = materialize(components(links).toDF("class", "component"), "tied")
     keeper = tied.join(earliest, "class").groupBy("component").agg(F.min("at").alias("keep"))
