@@ -76,12 +76,11 @@ def statistics(docs: DataFrame, also: tuple[Column, ...] = ()) -> DataFrame:
         F.expr("coalesce(size(array_distinct(flatten(transform(starts, p -> array(p, p + 1, p + 2))))), 0)"),
     )
     words, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n", "word_chars", "n_lines"))
-    return d.select(
-        "doc_id",
-        *own,
+    repeat = F.when(F.col("starts").isNull(), 0).otherwise(F.col("n_repeat"))
+    found = F.struct(
         F.col("n").cast("long").alias("n_words"),
         *(F.col(c).cast("long").alias(c) for c in ("word_chars", "n_symbols", "n_dup_lines")),
-        F.when(F.col("starts").isNull(), 0).otherwise(F.col("n_repeat")).cast("long").alias("n_repeat_words"),
+        repeat.cast("long").alias("n_repeat_words"),
         F.col("n").cast("double").alias("f_words"),
         (F.col("word_chars") / words).alias("f_word_len"),
         (F.col("n_symbols") / chars).alias("f_symbols"),
@@ -89,8 +88,10 @@ def statistics(docs: DataFrame, also: tuple[Column, ...] = ()) -> DataFrame:
         (F.col("n_digits") / chars).alias("f_digits"),
         (F.col("n_marks") / words).alias("f_marks"),
         (F.col("n_dup_lines") / lines).alias("f_dup_lines"),
-        (F.when(F.col("starts").isNull(), 0).otherwise(F.col("n_repeat")) / words).alias("f_repeat"),
+        (repeat / words).alias("f_repeat"),
     )
+    # A later filter would be pushed below these steps and copy all their expressions into itself; a generator isn't.
+    return d.select("doc_id", *own, F.explode_outer(F.array(found)).alias("found")).select("doc_id", *own, "found.*")
 
 
 def base_failed() -> Column:
@@ -206,9 +207,7 @@ def accepted(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Data
     """The rows of ``docs`` that are kept, with all their columns."""
     rules = learned(docs, labels, rows)
     judged = statistics(docs, (F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"),))
-    # A filter would be pushed below the statistics and copy their expressions into itself; a generator isn't.
-    kept = judged.select(F.explode_outer(F.when(~base_failed() & verdict(rules), F.array("own"))).alias("own")).where("own is not null")
-    return kept.select(*(F.col(f"own.`{c}`").alias(c) for c in docs.columns))
+    return judged.where(~base_failed() & verdict(rules)).select(*(F.col(f"own.`{c}`").alias(c) for c in docs.columns))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> DataFrame:
