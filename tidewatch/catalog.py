@@ -349,6 +349,61 @@ def snk5_event_json(spark, d):
     return events(spark, d).select("seq", F.to_json(F.struct("mmsi", "seq", F.col("msg_type").alias("type"), F.when(F.col("k") % 2 == 0, F.col("k")).alias("k"))).alias("event"))
 
 
+_XOR_SQL = "lpad(upper(hex(list_reduce(list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT), lambda a, b: xor(a, b)))), 2, '0')"
+
+
+@query(", b AS (SELECT seq, payload, concat('s:', right(replace(station, ':', '_'), 15), ',c:', t // 1000000) AS tag FROM ev) SELECT seq, concat('\\', tag, '*', " + _XOR_SQL.format("tag") + ", '\\', payload) AS line FROM b")
+def snk6_tagged_text(spark, d):
+    tag = C.tag_block([("s", C.tag_safe(F.col("station"))), ("c", F.floor(F.col("t") / 1_000_000).cast("string"))])
+    return events(spark, d).select("seq", F.concat(tag, "payload").alias("line"))
+
+
+@query(" SELECT seq, substr(sha256(unhex(concat('%s', sha256(unhex(concat('%s', hex(station))))))), 1, 12) AS id FROM ev" % tuple(bytes(b ^ p for b in b"salt".ljust(64, b"\0")).hex() for p in (0x5C, 0x36)))
+def fn14_station_hash(spark, d):
+    return events(spark, d).select("seq", F.substring(C.hmac_sha256(b"salt", F.col("station")), 1, 12).alias("id"))
+
+
+@query(" SELECT seq, CASE WHEN seq % 9 = 0 THEN NULL ELSE t // 1000 * 1000 END AS t FROM ev")
+def time4_written_time(spark, d):
+    text = F.concat(F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" +0000 UTC"))
+    return events(spark, d).select("seq", C.go_time_us(F.when(F.col("seq") % 9 == 0, "soon").otherwise(text)).alias("t"))
+
+
+@query(" SELECT seq, mmsi, p AS part, CASE WHEN p = 0 THEN concat('V', k, ' ', upper(msg_type)) [1:20] END AS name, CASE WHEN p = 1 THEN k % 100 END AS ship_type FROM ev, (SELECT unnest([0, 1]::BIGINT[]) AS p)")
+def par9_static_reports(spark, d):
+    parts = formats.static_bits(F.col("mmsi"), F.concat(F.lit("V"), F.col("k").cast("string"), F.lit(" "), "msg_type"), F.col("k") % 100)
+    told = events(spark, d).select("seq", F.explode(F.array(*map(C.armour, parts))).alias("payload")).withColumn("bits", C.unarmour(F.col("payload")))
+    return told.select("seq", *formats.decode_static(F.col("bits")))
+
+
+@query(" SELECT seq, mmsi, round(round(lat * 600000) / 600000, 6) AS lat, round(round(lon * 600000) / 600000, 6) AS lon, round(round(sog * 10) / 10, 6) AS sog FROM ev WHERE t // 3600000000 % 24 <> 0")
+def src10_snapshots(spark, d):
+    row = F.struct(F.col("mmsi").alias("MMSI"), F.col("seq").alias("SEQ"), F.round(F.col("lat") * 600000).cast("long").alias("LATITUDE"), F.round(F.col("lon") * 600000).cast("long").alias("LONGITUDE"), F.round(F.col("sog") * 10).cast("long").alias("SOG"))
+    hour = F.floor(F.col("t") / stations.HOUR_US)
+    error = F.when(hour % 24 == 0, "true").otherwise("false")
+    polls = events(spark, d).groupBy(hour.alias("h"), error.alias("e"), (F.col("seq") % 64).alias("s")).agg(F.collect_list(row).alias("rows"))
+    rows = formats.snapshot_rows(polls.select(F.concat(F.lit('[{"ERROR":'), "e", F.lit("},"), F.to_json("rows"), F.lit("]")).alias("body")))
+    return rows.select("seq", "mmsi", *(F.round(c, 6).alias(c) for c in ("lat", "lon", "sog")))
+
+
+@query(_SUBS_SQL + """ SELECT sub, CASE WHEN sub % 10 = 0 THEN 'no box' WHEN abs(max_lat + sub % 40) > 90 OR abs(min_lon) > 180 OR abs(max_lon) > 180 THEN 'corner out of range' WHEN sub % 7 = 0 THEN 'bad mmsi' WHEN sub % 6 = 0 THEN 'duplicate type' END AS error FROM subs""")
+def flt14_subscription_errors(spark, d):
+    sub = F.col("sub")
+    mmsis = F.array(F.when(sub % 7 == 0, "12345").otherwise("200000001"))
+    types = F.when(sub % 6 == 0, F.array(F.lit("PositionReport"), F.lit("PositionReport"))).otherwise(F.array(F.lit("PositionReport")))
+    asked = _subs(spark, d).withColumns({"min_lat": F.when(sub % 10 != 0, F.col("min_lat")), "max_lat": F.col("max_lat") + sub % 40, "mmsis": mmsis, "types": types})
+    return asked.select("sub", subscribe.subscription_error().alias("error"))
+
+
+@query(", s AS (SELECT station, count(*) AS n FROM ev WHERE t > %d AND t <= %d GROUP BY 1), c AS (SELECT s_suppkey AS claim, unnest([concat('v1:dev/', s_suppkey %% 7), concat('http:st1/', s_suppkey %% 5)]) AS station FROM supplier) SELECT claim, coalesce(sum(n), 0)::BIGINT AS contributed FROM c LEFT JOIN s USING (station) GROUP BY 1" % (NOW - 86_400_000_000, NOW))
+def agg11_contributed(spark, d):
+    key = F.col("s_suppkey")
+    ids = F.array(F.concat(F.lit("v1:dev/"), (key % 7).cast("string")), F.concat(F.lit("http:st1/"), (key % 5).cast("string")))
+    claims = spark.read.parquet(f"{d}/supplier.parquet").select(key.alias("claim"), F.explode(ids).alias("station"))
+    recent = events(spark, d).where((F.col("t") > NOW - 86_400_000_000) & (F.col("t") <= NOW)).groupBy("station").agg(F.count("*").alias("n"))
+    return claims.join(recent, "station", "left").groupBy("claim").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("contributed"))
+
+
 @query(f" SELECT mmsi, arg_max(lat, seq) AS lat, arg_max(lon, seq) AS lon, max(t) AS t FROM ev GROUP BY 1 HAVING {_BOX_SQL.replace('lat', 'arg_max(lat, seq)').replace('lon', 'arg_max(lon, seq)')}")
 def flt5_vessels_in_box(spark, d):
     last = events(spark, d).groupBy("mmsi").agg(F.max_by("lat", "seq").alias("lat"), F.max_by("lon", "seq").alias("lon"), F.max("t").alias("t"))
@@ -396,7 +451,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = formats.decode_positions(formats.parse(formats.sentences(events(spark, sf_dir))))
     rows = told.select("seq", "mmsi", F.col("tag_t").alias("t"), "lat", "lon", "sog", F.col("tag_s").alias("source"), F.col("tag_s").alias("station"), F.lit("").alias("name"), F.lit(True).alias("pos"), F.concat_ws("|", F.col("mmsi").cast("string"), F.col("sog").cast("string"), "channel").alias("payload"))
     kept = folds.dedupe(rows, ["payload"], 10_000_000).where("not is_dup")
-    return vessels.vessel_fold(kept).where(subscribe.any_box([(-75.0, -180.0, 75.0, 180.0)])).select("mmsi", "seen", "lat", "lon", "sog", "station", "n")
+    return vessels.vessel_fold(kept).where(subscribe.any_box([(-90.0, -30.0, -50.0, 30.0), (50.0, -60.0, 90.0, 0.0)])).select("mmsi", "seen", "lat", "lon", "sog", "station", "n")
 
 
 def queries() -> dict[str, Query]:

@@ -107,6 +107,31 @@ def six_bit_text(bits: Column, offset: int, chars: int) -> Column:
     return F.rtrim(F.substring_index(F.concat(*letters, F.lit("@")), "@", 1))
 
 
+def six_bits_of_text(text: Column, chars: int) -> Column:
+    """Upper-case text as six-bit codes, filled up with @."""
+    full = F.substring(F.rpad(F.upper(text), chars, "@"), 1, chars)
+    return F.concat(*(F.lpad(F.bin((F.position(F.substring(full, i + 1, 1), F.lit(SIX_BIT_TEXT)) - 1).cast("long")), 6, "0") for i in range(chars)))
+
+
+def tag_block(fields: list[tuple[str, Column]]) -> Column:
+    """A TAG block with its checksum, between backslashes."""
+    body = F.concat_ws(",", *(F.concat(F.lit(f"{k}:"), v) for k, v in fields))
+    return F.concat(F.lit("\\"), body, F.lit("*"), checksum(body), F.lit("\\"))
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """HMAC-SHA256 in hexadecimal, composed of two plain hashes with the padded key."""
+    key = key.ljust(64, b"\0")
+    inner, outer = (bytes(b ^ p for b in key).hex() for p in (0x36, 0x5C))
+    within = F.sha2(F.unhex(F.concat(F.lit(inner), F.hex(message))), 256)
+    return F.sha2(F.unhex(F.concat(F.lit(outer), within)), 256)
+
+
+def go_time_us(text: Column) -> Column:
+    """Microseconds of a time such as ``2024-01-02 03:04:05.678 +0000 UTC``; null if it can't be read."""
+    return F.unix_micros(F.try_to_timestamp(F.regexp_replace(text, " UTC$", ""), F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS] Z")))
+
+
 def sentence(payload: Column, channel: Column) -> Column:
     body = F.concat(F.lit("AIVDM,1,1,,"), channel, F.lit(","), payload, F.lit(",0"))
     return F.concat(F.lit("!"), body, F.lit("*"), checksum(body))

@@ -48,3 +48,15 @@ def quiet_targets(network: DataFrame, local: DataFrame, within_us: int) -> DataF
     heard = local.select(F.col("mmsi"), F.col("t").alias("heard"), F.explode(F.array(bucket, bucket + 1)).alias("b"))
     near = (F.col("n.mmsi") == F.col("l.mmsi")) & (F.col("n.b") == F.col("l.b")) & (F.col("n.t") - F.col("l.heard")).between(0, within_us - 1)
     return network.withColumn("b", bucket).alias("n").join(heard.alias("l"), near, "left_anti").drop("b")
+
+
+def subscription_error(most_mmsis: int = 50) -> Column:
+    """First rule that a subscription (min_lat, min_lon, max_lat, max_lon, mmsis, types) breaks, or null."""
+    at = lambda c, most: F.abs(F.col(c)) > most
+    return (
+        F.when(F.col("min_lat").isNull() | F.col("max_lat").isNull(), "no box")
+        .when(at("min_lat", 90) | at("max_lat", 90) | at("min_lon", 180) | at("max_lon", 180), "corner out of range")
+        .when(F.size("mmsis") > most_mmsis, "too many mmsi")
+        .when(F.exists("mmsis", lambda m: ~m.rlike("^[0-9]{9}$")), "bad mmsi")
+        .when(F.size(F.array_distinct("types")) < F.size("types"), "duplicate type")
+    )

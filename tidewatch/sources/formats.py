@@ -80,6 +80,26 @@ def snapshot_changes(rows: DataFrame) -> DataFrame:
     return real.withColumn("last", last).where(~F.col("time").eqNullSafe(F.coalesce("last", F.lit("")))).drop("last")
 
 
+def static_bits(mmsi, name, code):
+    """Part A and B of a static report as one row of bits each: (name bits of 160, type bits of 168)."""
+    head = lambda part: F.concat(C.binary(F.lit(24), 6), C.binary(F.lit(0), 2), C.binary(mmsi, 30), C.binary(F.lit(part), 2))
+    return F.concat(head(0), C.six_bits_of_text(name, 20)), F.concat(head(1), C.binary(code, 8), F.lit("0" * 120))
+
+
+def decode_static(bits):
+    """Fields of a static report: name from part A, ship type from part B."""
+    part = C.unsigned(bits, 38, 2)
+    return [C.unsigned(bits, 8, 30).alias("mmsi"), part.alias("part"), F.when(part == 0, C.six_bit_text(bits, 40, 20)).alias("name"), F.when(part == 1, C.unsigned(bits, 40, 8)).alias("ship_type")]
+
+
+def snapshot_rows(bodies: DataFrame) -> DataFrame:
+    """Rows of poll bodies ``[{"ERROR": false}, [row, ...]]``; an error body has none."""
+    row = "array<struct<MMSI:bigint,SEQ:bigint,LATITUDE:bigint,LONGITUDE:bigint,SOG:bigint>>"
+    fine = bodies.where(F.coalesce(F.get_json_object("body", "$[0].ERROR"), F.lit("false")) != "true")
+    rows = fine.select(F.explode(F.from_json(F.get_json_object("body", "$[1]"), row)).alias("r"))
+    return rows.select(F.col("r.SEQ").alias("seq"), F.col("r.MMSI").alias("mmsi"), (F.col("r.LATITUDE") / 600000).alias("lat"), (F.col("r.LONGITUDE") / 600000).alias("lon"), (F.col("r.SOG") / 10).alias("sog"))
+
+
 def write_archive(receptions: DataFrame, path: str) -> None:
     """Lossless archive, by licence, source and hour."""
     at = F.timestamp_micros("recv_t")
