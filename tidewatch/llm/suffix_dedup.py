@@ -1,18 +1,23 @@
 """Exact substring dedup: bytes of repeated 100-byte strings are removed wherever they recur.
 
-1. Every document names anchors, places chosen from its bytes alone so that any two
-   equal strings of 100 bytes hold the same anchor at the same place. Anchors are dealt
-   out by their hash, in packed blocks, and those that occur once are done with.
-2. A repeated anchor brings its context, which holds every 100-byte string around it.
-   Of equal contexts the earliest stays and the others are covered; what remains of an
-   anchor are contexts that differ somewhere.
-3. Their suffixes are sorted by the linear grouping construction, and neighbours that
-   agree in 100 bytes form runs: all but the earliest string of a run are covered.
+1. Every document names anchors, places chosen from its bytes alone: each 100-byte string
+   has one, and equal strings have theirs at the same place in them. Anchors are counted
+   by their hash in packed blocks; those that occur once are done with.
+2. An anchor that occurs again brings its context, the bytes of all strings that are
+   its own. Of equal contexts the earliest stays and the others are covered. So are, in a
+   second step, equal parts of contexts; contexts that share no part's common bytes with
+   another can't hold a repeated string.
+3. What is left differs somewhere. Its suffixes are sorted by the linear grouping
+   construction, and neighbours that agree in 100 bytes form runs: all but the earliest
+   string of a run are covered.
 4. Covered strings are joined to their document and their bytes cut out.
 
-A hot anchor's contexts are not gathered in one task: beyond ``CAP`` they are halved
-into the contexts of the earlier and the later strings, keyed by the bytes that all
-strings of that half share, until groups are small; equal halves collapse as in step 2.
+A hot anchor's contexts are not gathered in one task: beyond ``CAP`` they are collapsed by
+aggregation and halved into the contexts of the earlier and the later strings, keyed by
+the bytes that all strings of that half share, until groups are small.
+
+Which anchors occur again goes to the tasks as a Bloom filter of at most ``FILTER_BITS``
+bits; one that is too full lets more contexts through, but none is lost.
 
 Defined results: null text is empty; a null doc_id comes after all others; rows equal in
 doc_id and text are one document, judged alike; a document under 100 bytes loses
@@ -33,10 +38,16 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import flat, materialize, mix, parts_of, prefix_sums, range_hash, slices
 
 LENGTH, GRAM = 100, 32
+#: Strings that may share an anchor: their starts lie up to REACH bytes before it.
+REACH = LENGTH - GRAM
 FLUSH_ROWS = 1_000_000
-CAP = 512
-SORT_BYTES = 1 << 18
-_ROW = np.dtype([("h", "<i8"), ("pos", "<i4"), ("n", "<i4"), ("c", "<i8")])
+#: Contexts of one anchor that a task takes together; anchors known to have more: at most HOT.
+CAP, HOT = 2_000, 50_000
+FILTER_BITS = 1 << 28
+#: Parts of an anchor's strings (first and last start) that are compared before any suffix is sorted.
+ZONES = ((0, 16), (17, 33), (34, 50), (51, REACH))
+SORT_BYTES = 1 << 17
+_ROW = np.dtype([("t", "<u4"), ("o", "<u8")])
 
 
 def suffix_order(text: list[int]) -> list[int]:
@@ -124,33 +135,53 @@ def _sliding(x: np.ndarray, w: int, of) -> np.ndarray:
     return of(y[: len(y) - rest], y[rest:]) if rest else y
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of grams that are least among those of some string of ``length`` bytes in one document."""
-    span = length - gram + 1
-    if len(data) < length:
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of grams that are least among those of some string of ``LENGTH`` bytes in one document."""
+    if len(data) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(len(data) - gram + 1)
-    hashed = range_hash(prefix_sums(data), at, at + gram) | np.uint64(1)
-    least = _sliding(hashed, span, np.minimum)
+    at = np.arange(len(data) - GRAM + 1)
+    hashed = range_hash(prefix_sums(data), at, at + GRAM) | np.uint64(1)
+    least = _sliding(hashed, REACH + 1, np.minimum)
     ends = np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
-    least[at[: len(least)] + length > ends] = 0
-    edge = np.zeros(span - 1, np.uint64)
-    top = _sliding(np.concatenate([edge, least, edge]), span, np.maximum)
+    least[at[: len(least)] + LENGTH > ends] = 0
+    edge = np.zeros(REACH, np.uint64)
+    top = _sliding(np.concatenate([edge, least, edge]), REACH + 1, np.maximum)
     places = np.flatnonzero(top[: len(hashed)] == hashed)
     return places, hashed[places]
 
 
+def own_strings(places: np.ndarray, hashed: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the strings whose leftmost least gram is at each place; ``begin``, ``end``: the document's bounds."""
+    low, high = np.maximum(places - REACH, begin), np.minimum(places, end - LENGTH)
+    for k in range(1, len(places)):
+        near = places[k:] - places[:-k] <= REACH
+        if not near.any():
+            break
+        left, right = np.flatnonzero(near), np.flatnonzero(near) + k
+        lower = hashed[left] <= hashed[right]
+        np.maximum.at(low, right[lower], places[left[lower]] + 1)
+        np.minimum.at(high, left[~lower], places[right[~lower]] - REACH - 1)
+    return low, high
+
+
+def _names(hashed: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Reducer part and 32-bit name of anchors."""
+    mixed = mix(hashed)
+    return (mixed % np.uint64(parts)).astype(np.int32), (mixed >> np.uint64(32)).astype(np.uint32)
+
+
 def _anchor_rows(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, rows): packed (anchor hash, place, document length, class) by reducer part."""
+    """(part, rows): packed (anchor's name, hash of document and place) rows by reducer part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: set[int] = set()
         count = 0
 
         def flush() -> pa.RecordBatch:
-            rows = np.concatenate(held) if held else np.zeros(0, _ROW)
+            part = np.concatenate([p for p, _ in held]) if held else np.zeros(0, np.int32)
+            rows = np.concatenate([r for _, r in held]) if held else np.zeros(0, _ROW)
             held.clear()
-            part = (mix(rows["h"].view(np.uint64) if len(rows) else np.zeros(0, np.uint64)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             rows, part = rows[order], part[order]
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
@@ -158,12 +189,16 @@ def _anchor_rows(docs: DataFrame, parts: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, bounds, pa.py_buffer(rows.tobytes())])], names=["part", "rows"])
 
         for piece in slices(batches, "text"):
+            classes = piece.column("class").to_numpy()
+            new = [i for i, c in enumerate(classes.tolist()) if not (c in seen or seen.add(c))]
+            piece, classes = piece.take(pa.array(new, pa.int64())), classes[new]
             data, offsets = flat(piece.column("text"))
             places, hashed = anchors(data, offsets)
             doc = np.searchsorted(offsets, places, side="right") - 1
             rows = np.zeros(len(places), _ROW)
-            rows["h"], rows["pos"], rows["n"], rows["c"] = hashed.view(np.int64), places - offsets[doc], np.diff(offsets)[doc], piece.column("class").to_numpy()[doc]
-            held.append(rows)
+            part, rows["t"] = _names(hashed, parts)
+            rows["o"] = mix(classes.view(np.uint64)[doc] + mix((places - offsets[doc]).astype(np.uint64)))
+            held.append((part, rows))
             count += len(rows)
             if count >= FLUSH_ROWS:
                 yield flush()
@@ -174,62 +209,105 @@ def _anchor_rows(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _repeated(key, table):
-    """Anchors of a part that occur more than once, equal documents counted once."""
+    """Names of a part's anchors that occur more than once (equal documents counted once), as (part << 32) | name, and how often."""
     rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), dtype=_ROW)
-    rows = rows[np.lexsort((rows["pos"], rows["n"], rows["c"], rows["h"]))]
+    rows = rows[np.lexsort((rows["o"], rows["t"]))]
     new = np.ones(len(rows), bool)
-    new[1:] = (rows["h"][1:] != rows["h"][:-1]) | (rows["c"][1:] != rows["c"][:-1]) | (rows["pos"][1:] != rows["pos"][:-1]) | (rows["n"][1:] != rows["n"][:-1])
-    rows = rows[new]
-    same = rows["h"][1:] == rows["h"][:-1]
-    keep = np.zeros(len(rows), bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    rows = rows[keep]
-    return pa.table({"class": pa.array(rows["c"]), "n_bytes": pa.array(rows["n"].astype(np.int64)), "h": pa.array(rows["h"]), "pos": pa.array(rows["pos"])})
+    new[1:] = (rows["t"][1:] != rows["t"][:-1]) | (rows["o"][1:] != rows["o"][:-1])
+    names, counts = np.unique(rows["t"][new], return_counts=True)
+    keep = counts > 1
+    return pa.table({"name": pa.array((key[0].as_py() << 32) | names[keep].astype(np.int64)), "n": pa.array(counts[keep])})
 
 
-def _hash_bytes(raw: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+def _bits(names, bits: int):
+    """The two places of a name in the filter."""
+    mixed = mix(np.asarray(names).astype(np.uint64) + np.uint64(3))
+    return (mixed & np.uint64(bits - 1)).astype(np.int64), ((mixed >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-_CONTEXT = "h long, lo int, hi int, x long, first long, class long, n_bytes long, pos int, at int, bytes binary"
+def _filter(repeated: DataFrame) -> np.ndarray:
+    """Bloom filter of the repeated anchors, 16 bits for each up to ``FILTER_BITS`` in all."""
+    wanted = 16 * max(1, repeated.count())
+    bits = 1 << 16
+    while bits < min(wanted, FILTER_BITS):
+        bits *= 2
 
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_bits(batch.column("name").to_numpy(), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["word", "bit"])
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The context of each repeated anchor. ``lo`` and ``hi``: the first and last string's start, from ``at``; x: hash of the context."""
-    reach = LENGTH - GRAM
-    for batch in batches:
-        for row in batch.to_pylist():
-            raw = (row["text"] or "").encode()
-            cols: list[list] = [[] for _ in range(6)]
-            for o in row["places"]:
-                at, end = max(0, o["pos"] - reach), min(len(raw), o["pos"] + LENGTH)
-                context = raw[at:end]
-                for c, v in zip(cols, (o["h"], end - at - LENGTH, _hash_bytes(context + bytes([o["pos"] - at])), o["pos"], at, context), strict=True):
-                    c.append(v)
-            n = len(cols[0])
-            same = lambda v, n=n: pa.array(np.full(n, v, np.int64))
+    words = repeated.select("name").mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+_CONTEXT = "h long, lo int, hi int, x long, first long, class long, at int, bytes binary"
+_RANGE = "first long, class long, a long, b long"
+
+
+def _contexts(docs: DataFrame, parts: int, words, hot: np.ndarray, only_hot: bool) -> DataFrame:
+    """Contexts of anchors that may occur again. ``lo``, ``hi``: first and last start of the strings, counted
+    from ``REACH`` before the anchor; ``at``: where the bytes begin in the document; x: hash of the context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = words.value
+        seen: dict[int, int] = {}
+        for piece in slices(batches, "text"):
+            classes, firsts = piece.column("class").to_numpy(), piece.column("first").to_numpy()
+            new = []
+            for i, (c, f) in enumerate(zip(classes.tolist(), firsts.tolist(), strict=True)):
+                if f < seen.get(c, 1 << 63):  # else a copy of an earlier document, which goes as a whole
+                    seen[c] = f
+                    new.append(i)
+            piece, classes, firsts = piece.take(pa.array(new, pa.int64())), classes[new], firsts[new]
+            data, offsets = flat(piece.column("text"))
+            places, hashed = anchors(data, offsets)
+            doc = np.searchsorted(offsets, places, side="right") - 1
+            low, high = own_strings(places, hashed, offsets[doc], offsets[doc + 1])
+            part, name = _names(hashed, parts)
+            names = (part.astype(np.int64) << 32) | name.astype(np.int64)
+            keep = low <= high
+            for at in _bits(names, 64 * len(table)):
+                keep &= (table[at >> 6] >> (at & 63)) & 1 == 1
+            keep &= np.isin(names, hot) == only_hot
+            places, hashed, doc, low, high = (x[keep] for x in (places, hashed, doc, low, high))
+            sizes = high - low + LENGTH
+            total = np.cumsum(sizes)
+            raw = data[np.repeat(low - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)]
+            start = low - places + REACH
+            x = mix(range_hash(prefix_sums(data), low, high + LENGTH) + start.astype(np.uint64))
+            bounds = pa.py_buffer(np.concatenate([[0], total]).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(np.zeros(n, np.int32)), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), same(row["first"]), same(row["class"]), same(row["n_bytes"]), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())],
+                [pa.array(hashed.view(np.int64)), pa.array(start, pa.int32()), pa.array(high - places + REACH, pa.int32()), pa.array(x.view(np.int64)), pa.array(firsts[doc], pa.int64()), pa.array(classes[doc]), pa.array(low - offsets[doc], pa.int32()), pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, bounds, pa.py_buffer(raw.tobytes())])],
                 names=[c.split()[0] for c in _CONTEXT.split(", ")],
             )
 
+    return docs.select("first", "class", "text").mapInArrow(run, _CONTEXT)
+
+
+def _hash_bytes(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+
+
+def _zones(r: tuple, zones) -> Iterator[tuple]:
+    """Parts of a context (lo, hi, bytes): (zone, bytes that all strings of the zone share, lo, hi, bytes)."""
+    low, high, raw = r
+    for zone in zones:
+        lo, hi = max(low, zone[0]), min(high, zone[1])
+        if lo <= hi:
+            yield zone, raw[zone[1] - low : zone[0] - low + LENGTH], lo, hi, raw[lo - low : hi - low + LENGTH]
+
 
 def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts as those of the earlier and the later half of their strings, keyed by the bytes that the half's strings share."""
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            # Places count from where a whole context would start, also if a document's edge cuts this one.
-            base = LENGTH - GRAM - (r["pos"] - r["at"])
-            low, high = base + r["lo"], base + r["hi"]
-            size = r["span"] // 2
-            for a, b in ((r["zone"], r["zone"] + size - 1), (r["zone"] + size, r["zone"] + r["span"] - 1)):
-                lo, hi = max(low, a), min(high, b)
-                if lo > hi:
-                    continue
-                core, part = r["bytes"][b - low : a - low + LENGTH], r["bytes"][lo - low : hi - low + LENGTH]
-                out.append({**r, "h": _hash_bytes(b"%d %d %d " % (r["h"], a, b) + core), "zone": a, "span": b - a + 1, "lo": lo - base, "hi": hi - base, "x": _hash_bytes(part + b"%d" % lo), "bytes": part})
+            mid = r["zone"] + r["span"] // 2
+            for (a, b), core, lo, hi, raw in _zones((r["lo"], r["hi"], r["bytes"]), ((r["zone"], mid - 1), (mid, r["zone"] + r["span"] - 1))):
+                out.append({**r, "h": _hash_bytes(b"%d %d %d " % (r["h"], a, b) + core), "zone": a, "span": b - a + 1, "lo": lo, "hi": hi, "at": r["at"] + lo - r["lo"], "x": _hash_bytes(raw + b"%d" % lo), "bytes": raw})
         yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
 
 
@@ -268,46 +346,75 @@ def _covered_strings(rows: list[tuple]) -> Iterator[tuple[int, int]]:
     return zip(owner[late].tolist(), start[late].tolist(), strict=True)
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered byte ranges of the contexts, which come by anchor; sorted some anchors at a time."""
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        spans: dict[int, list[int]] = {}
-        for k, s in _covered_strings([r[:2] for r in rows]):
-            spans.setdefault(k, []).append(s)
-        out: list[tuple] = []
-        for k, starts in spans.items():
-            starts.sort()
-            a = b = starts[0]
-            (_, c, at), _, n = rows[k]
-            for s in [*starts[1:], 1 << 40]:
-                if s != b + 1 and s != b:
-                    out.append((c, n, at + a, at + b + LENGTH))
-                    a = s
-                b = s
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["class", "n_bytes", "a", "b"])
+def _covered(rows: list[tuple]) -> list[tuple]:
+    """Covered ranges (first, class, a, b) of contexts that a suffix sort decides; rows: ((first, class, at), bytes)."""
+    spans: dict[int, list[int]] = {}
+    for k, s in _covered_strings(rows):
+        spans.setdefault(k, []).append(s)
+    out = []
+    for k, starts in spans.items():
+        starts.sort()
+        first, c, at = rows[k][0]
+        a = b = starts[0]
+        for s in [*starts[1:], 1 << 40]:
+            if s > b + 1:
+                out.append((first, c, at + a, at + b + LENGTH))
+                a = s
+            b = s
+    return out
+
+
+def _collapse(rows: list[tuple], out: list[tuple]) -> list[tuple]:
+    """Rows ((first, class, at), lo, hi, bytes) in order, without those equal to an earlier one, which are covered."""
+    seen: set[tuple] = set()
+    rest = []
+    for r in rows:
+        if (k := (r[1], r[3])) in seen:
+            out.append((*r[0][:2], r[0][2], r[0][2] + len(r[3])))
+        else:
+            seen.add(k)
+            rest.append(r)
+    return rest
+
 
+def _decide(key, table):
+    """Covered ranges among the contexts of a part's anchors."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("h", "first", "class", "at", "lo", "hi", "bytes")), strict=True))
+    out: list[tuple] = []
     held: list[tuple] = []
-    size, last = 0, None
-    for batch in batches:
-        for h, first, c, n, at, lo, raw in zip(*(batch.column(x).to_pylist() for x in ("h", "first", "class", "n_bytes", "at", "lo", "bytes")), strict=True):
-            if h != last and size >= SORT_BYTES:
-                yield solve(held)
-                held, size = [], 0
-            held.append(((first, c, at + lo), raw, n))
-            size, last = size + len(raw), h
+    size = at = 0
+    while at < len(rows):
+        to = at
+        while to < len(rows) and rows[to][0] == rows[at][0]:
+            to += 1
+        group = _collapse([(r[1:4], *r[4:]) for r in rows[at:to]], out) if to - at > 1 else []
+        at = to
+        if len(group) < 2:
+            continue
+        parts: dict[tuple, list[tuple]] = {}
+        for (first, c, start), low, high, raw in group:
+            for zone, core, lo, hi, part in _zones((low, high, raw), ZONES):
+                parts.setdefault((zone, core), []).append(((first, c, start + lo - low), lo, hi, part))
+        for part in parts.values():
+            if len(part) > 1 and len(part := _collapse(part, out)) > 1:
+                held += [(r[0], r[3]) for r in part]
+                size += sum(len(r[3]) for r in part)
+        if size >= SORT_BYTES:
+            out += _covered(held)
+            held, size = [], 0
     if held:
-        yield solve(held)
+        out += _covered(held)
+    cols = list(zip(*out, strict=True)) or [()] * 4
+    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("first", "class", "a", "b"), cols, strict=True)})
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[] for _ in range(5)]
-        for doc_id, text, n, whole, ranges in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "n_bytes", "whole", "ranges")), strict=True):
+        for doc_id, text, n, ranges in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "n_bytes", "ranges")), strict=True):
             raw = (text or "").encode()
             kept, merged = hashlib.sha256(), []
-            for r in [{"a": 0, "b": n}] if whole else sorted(ranges or [], key=lambda r: r["a"]):
+            for r in sorted(ranges or [], key=lambda r: r["a"]):
                 if merged and r["a"] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], r["b"])
                 else:
@@ -323,42 +430,79 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
-    """docs with class, n_bytes, whole (a copy of an earlier document) and ranges (covered bytes, may overlap)."""
-    parts = 8 * parts_of(docs.sparkSession)
-    last = F.lit((1 << 63) - 1)
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"class": F.xxhash64(text), "n_bytes": F.octet_length(text).cast("long")})
-    firsts = materialize(keyed.groupBy("class", "n_bytes").agg(F.min(F.coalesce("doc_id", last)).alias("first")), "firsts")
-    seen = _anchor_rows(keyed.where(F.col("n_bytes") >= LENGTH), parts).groupBy("part").applyInArrow(_repeated, "class long, n_bytes long, h long, pos int")
-    # the anchors of one document: no more than its bytes
-    places = seen.groupBy("class", "n_bytes").agg(F.collect_list(F.struct("h", "pos")).alias("places")).join(firsts, ["class", "n_bytes"])
-    source = keyed.select("class", "n_bytes", F.coalesce("doc_id", last).alias("first"), "text").join(places, ["class", "n_bytes", "first"])
-    found = source.mapInArrow(_contexts, _CONTEXT).withColumns({"zone": F.lit(0), "span": F.lit(LENGTH - GRAM + 1)})
-    span, ranges = LENGTH - GRAM + 1, None
-    while True:
-        found = materialize(found.where("hi >= lo"), "contexts")
+    """(first, class, ranges): the covered bytes (they may overlap) of each document that loses any.
+
+    ``docs``: first (doc_id, null last), class (hash of the text), n_bytes, text.
+    """
+    spark = docs.sparkSession
+    parts = 8 * parts_of(spark)
+    long = docs.where(F.col("n_bytes") >= LENGTH)
+    counted = _anchor_rows(long, parts).groupBy("part").applyInArrow(_repeated, "name long, n long")
+    counted = materialize(counted, "anchors")
+    # A bounded number of names: they only choose between two exact ways.
+    hot = np.array([r["name"] for r in counted.where(F.col("n") > CAP).orderBy(F.desc("n"), "name").limit(HOT).collect()], dtype=np.int64)
+    words = spark.sparkContext.broadcast(_filter(counted))
+    packed = lambda found: found.withColumn("pack", F.pmod(F.xxhash64("h"), F.lit(parts))).groupBy("pack").applyInArrow(_decide, _RANGE)
+    ranges = packed(_contexts(long, parts, words, hot, False))
+    found = _contexts(long, parts, words, hot, True).withColumns({"zone": F.lit(0), "span": F.lit(REACH + 1)}) if len(hot) else None
+    span = REACH + 1
+    while found is not None:
+        found = materialize(found, "contexts")
         # Of equal contexts the earliest stays.
-        rank = F.struct("first", "class", "at", "pos")
-        least = found.groupBy("h", "x").agg(F.min(rank).alias("least"))
-        least = materialize(least, "least")
-        many = least.groupBy("h").count()
+        rank = F.struct("first", "class", "at")
+        least = materialize(found.groupBy("h", "x").agg(F.min(rank).alias("least")), "least")
         judged = found.join(least, ["h", "x"])
-        copies = judged.where(rank != F.col("least")).select("class", "n_bytes", (F.col("at") + F.col("lo")).cast("long").alias("a"), (F.col("at") + F.col("hi") + LENGTH).cast("long").alias("b"))
-        ranges = copies if ranges is None else ranges.unionByName(copies)
-        rest = judged.where(rank == F.col("least")).drop("least").join(many.where("count > 1"), "h")
-        small = rest.where(F.col("count") <= CAP).select("h", "first", "class", "n_bytes", "at", "lo", "bytes")
-        ranges = ranges.unionByName(small.repartition(parts // 2, "h").sortWithinPartitions("h").mapInArrow(_sorted_groups, "class long, n_bytes long, a long, b long"))
+        ranges = ranges.unionByName(judged.where(rank != F.col("least")).select("first", "class", F.col("at").cast("long").alias("a"), (F.col("at") + F.length("bytes")).cast("long").alias("b")))
+        many = least.groupBy("h").count().where("count > 1")
+        rest = judged.where(rank == F.col("least")).drop("least").join(many, "h")
+        ranges = ranges.unionByName(packed(rest.where(F.col("count") <= CAP)))
         if span == 1 or not many.where(F.col("count") > CAP).head(1):
             break
         found = rest.where(F.col("count") > CAP).select(*found.columns).mapInArrow(_halves, found.schema)
         span = -(-span // 2)
-    ranges = materialize(ranges, "ranges").groupBy("class", "n_bytes").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    judged = firsts.join(ranges, ["class", "n_bytes"], "left")
-    whole = (F.coalesce("doc_id", last) != F.col("first")) & (F.col("n_bytes") >= LENGTH)
-    return keyed.join(judged, ["class", "n_bytes"]).withColumn("whole", whole)
+    whole = docs.groupBy("class", "n_bytes").agg(F.min("first").alias("least"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n_bytes") >= LENGTH))
+    copies = docs.select("first", "class", "n_bytes").join(whole, ["class", "n_bytes"]).where("first > least")
+    ranges = ranges.unionByName(copies.select("first", "class", F.lit(0).cast("long").alias("a"), F.col("n_bytes").alias("b")).distinct())
+    return ranges.groupBy("first", "class").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumns({"first": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "class": F.xxhash64(text), "n_bytes": F.octet_length(text).cast("long")})
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    judged = removed_ranges(docs.select("doc_id", "text")).select("doc_id", "text", "n_bytes", "whole", "ranges")
+    keyed = _keyed(docs.select("doc_id", "text"))
+    judged = keyed.join(removed_ranges(keyed), ["first", "class"], "left").select("doc_id", "text", "n_bytes", "ranges")
     return judged.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts without their ranges, which give way to characters that they would split."""
+    for batch in batches:
+        texts = []
+        for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+            if text is not None and ranges:
+                raw = text.encode()
+                gone = np.zeros(len(raw) + 1, np.int32)
+                for r in ranges:
+                    gone[r["a"]] += 1
+                    gone[r["b"]] -= 1
+                keep = np.cumsum(gone[:-1]) <= 0
+                data = np.frombuffer(raw, np.uint8)
+                head = np.flatnonzero((data & 0xC0) != 0x80)
+                keep = np.repeat(np.logical_or.reduceat(keep, head), np.diff(np.append(head, len(data))))
+                text = data[keep].tobytes().decode()
+            texts.append(text)
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["ranges"])
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with the covered bytes cut from ``text``, as far as they are whole characters."""
+    plain = _keyed(docs.select("doc_id", "text"))
+    # one column for all others, so that names can't clash
+    keyed = _keyed(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("own")))
+    full = keyed.join(removed_ranges(plain), ["first", "class"], "left").select("own", "text", "ranges")
+    schema = ", ".join(f"`{n}` {t}" for n, t in full.drop("ranges").dtypes)
+    return full.mapInArrow(_cut_text, schema).select(*((F.col("text") if c == "text" else F.col(f"own.`{c}`").alias(c)) for c in docs.columns))
