@@ -255,8 +255,8 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     judged = repeated_lines(docs.select("doc_id", "text"), percent).withColumn("n_removed", F.coalesce(F.size("removed"), F.lit(0)).cast("long"))
     judged = judged.select("first", "row", F.col("n_lines").cast("long").alias("n_lines"), F.when(F.col("n_removed") > 0, F.col("n_removed")).otherwise(0).cast("long").alias("n_removed"), "removed")
-    # names that can't clash with the table's own columns
-    keys = _order(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in own)).alias("own")))
+    # one column for all others, so that names can't clash
+    keys = _order(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in own if c != "text")).alias("own")))
     full = keys.join(judged, ["first", "row"], "left").select("text", "own", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), "removed")
     schema = ", ".join(f"`{n}` {t}" for n, t in full.drop("removed").dtypes)
     cut = full.mapInArrow(_without, schema)
