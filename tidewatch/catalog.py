@@ -314,7 +314,7 @@ def time2_canonical(spark, d):
 @query(""" SELECT seq, 1::BIGINT AS type, mmsi, right(replace(station, ':', '_'), 15) AS tag_s, t // 1000 * 1000 AS tag_t, CASE WHEN seq % 2 = 0 THEN 'A' ELSE 'B' END AS channel,
   round(round(least(sog, 102.2) * 10) / 10, 6) AS sog, round(round(lon * 600000) / 600000, 6) AS lon, round(round(lat * 600000) / 600000, 6) AS lat FROM ev""")
 def par9_encode_decode(spark, d):
-    out = formats.decode_positions(formats.parse(formats.sentences(events(spark, d))))
+    out = formats.decode_positions(formats.parse(_replayed(spark, d)))
     return out.select("seq", "type", "mmsi", "tag_s", "tag_t", "channel", *(F.round(c, 6).alias(c) for c in ("sog", "lon", "lat")))
 
 
@@ -446,9 +446,16 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _replayed(spark: SparkSession, d: str) -> DataFrame:
+    """The events as sentences, archived and read back."""
+    path = _scratch(spark, "sentences")
+    formats.write_archive(formats.sentences(events(spark, d)), path)
+    return formats.read_archive(spark, path).select("seq", "source", "station", "recv_t", "body")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences decoded, de-duplicated and folded: the vessels last seen in one of the boxes."""
-    told = formats.decode_positions(formats.parse(formats.sentences(events(spark, sf_dir))))
+    told = formats.decode_positions(formats.parse(_replayed(spark, sf_dir)))
     rows = told.select("seq", "mmsi", F.col("tag_t").alias("t"), "lat", "lon", "sog", F.col("tag_s").alias("source"), F.col("tag_s").alias("station"), F.lit("").alias("name"), F.lit(True).alias("pos"), F.concat_ws("|", F.col("mmsi").cast("string"), F.col("sog").cast("string"), "channel").alias("payload"))
     kept = folds.dedupe(rows, ["payload"], 10_000_000).where("not is_dup")
     return vessels.vessel_fold(kept).where(subscribe.any_box([(-90.0, -30.0, -50.0, 30.0), (50.0, -60.0, 90.0, 0.0)])).select("mmsi", "seen", "lat", "lon", "sog", "station", "n")

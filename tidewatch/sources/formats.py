@@ -16,9 +16,12 @@ def position_bits(mmsi, lat, lon, sog):
 
 def sentences(events: DataFrame) -> DataFrame:
     """Receptions: one TAG-prefixed sentence per position event."""
-    line = C.sentence(C.armour(position_bits(F.col("mmsi"), F.col("lat"), F.col("lon"), F.least(F.col("sog"), F.lit(102.2)))), F.when(F.col("seq") % 2 == 0, "A").otherwise("B"))
+    # one step each, as the next one reads a row's bits (and payload) many times
+    bits = position_bits(F.col("mmsi"), F.col("lat"), F.col("lon"), F.least(F.col("sog"), F.lit(102.2)))
+    coded = events.withColumn("bits", bits).withColumn("armoured", C.armour(F.col("bits")))
+    line = C.sentence(F.col("armoured"), F.when(F.col("seq") % 2 == 0, "A").otherwise("B"))
     tag = F.concat(F.lit("s:"), C.tag_safe(F.col("station")), F.lit(",c:"), F.floor(F.col("t") / 1000).cast("string"))
-    return events.select("seq", "source", "station", F.col("t").alias("recv_t"), F.concat(F.lit("\\"), tag, F.lit("*"), C.checksum(tag), F.lit("\\"), line).alias("body"))
+    return coded.select("seq", "source", "station", F.col("t").alias("recv_t"), F.concat(F.lit("\\"), tag, F.lit("*"), C.checksum(tag), F.lit("\\"), line).alias("body"))
 
 
 def parse(receptions: DataFrame) -> DataFrame:
@@ -101,12 +104,13 @@ def snapshot_rows(bodies: DataFrame) -> DataFrame:
 
 
 def write_archive(receptions: DataFrame, path: str) -> None:
-    """Lossless archive, by licence, source and hour."""
+    """Lossless archive by licence, source and day, sorted by hour; rows are dealt out by these, large days over several files."""
     at = F.timestamp_micros("recv_t")
     parted = receptions.select(
         C.license_of(F.col("source")).alias("license"), F.replace("source", F.lit(":"), F.lit("/")).alias("feed"), F.date_format(at, "yyyy-MM-dd").alias("day"), F.hour(at).alias("hour"), "seq", "recv_t", "source", "station", "body"
     )
-    parted.write.mode("overwrite").partitionBy("license", "feed", "day", "hour").parquet(path)
+    parted = parted.hint("rebalance", "license", "feed", "day").sortWithinPartitions("license", "feed", "day", "hour", "seq")
+    parted.write.mode("overwrite").partitionBy("license", "feed", "day").parquet(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
