@@ -35,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import flat, materialize, mix, parts_of, prefix_sums, range_hash, slices
+from tidewatch.llm.common import flat, materialize, mix, parts_of, powers, prefix_sums, range_hash, slices
 
 LENGTH, GRAM = 100, 32
 #: Strings that may share an anchor: their starts lie up to REACH bytes before it.
 REACH = LENGTH - GRAM
 FLUSH_ROWS = 1_000_000
+#: Bytes of text hashed at a time: the arrays of eight times its size stay in a core's cache.
+STEP_BYTES = 250_000
 #: Contexts of one anchor that a task takes together; anchors known to have more: at most HOT.
 CAP, HOT = 2_000, 50_000
 FILTER_BITS = 1 << 28
@@ -140,7 +142,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if len(data) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.arange(len(data) - GRAM + 1)
-    hashed = range_hash(prefix_sums(data), at, at + GRAM) | np.uint64(1)
+    sums = prefix_sums(data)
+    hashed = (sums[GRAM:] - sums[: len(at)]) * powers(len(sums))[1][: len(at)]
+    hashed = ((hashed ^ (hashed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
     least = _sliding(hashed, REACH + 1, np.minimum)
     ends = np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
     least[at[: len(least)] + LENGTH > ends] = 0
@@ -188,7 +192,7 @@ def _anchor_rows(docs: DataFrame, parts: int) -> DataFrame:
             bounds = pa.py_buffer((np.append(first, len(part)) * _ROW.itemsize).astype(np.int32).tobytes())
             return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, bounds, pa.py_buffer(rows.tobytes())])], names=["part", "rows"])
 
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", STEP_BYTES):
             classes = piece.column("class").to_numpy()
             new = [i for i, c in enumerate(classes.tolist()) if not (c in seen or seen.add(c))]
             piece, classes = piece.take(pa.array(new, pa.int64())), classes[new]
@@ -254,7 +258,7 @@ def _contexts(docs: DataFrame, parts: int, words, hot: np.ndarray, only_hot: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = words.value
         seen: dict[int, int] = {}
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", STEP_BYTES):
             classes, firsts = piece.column("class").to_numpy(), piece.column("first").to_numpy()
             new = []
             for i, (c, f) in enumerate(zip(classes.tolist(), firsts.tolist(), strict=True)):
@@ -379,7 +383,19 @@ def _collapse(rows: list[tuple], out: list[tuple]) -> list[tuple]:
 
 def _decide(key, table):
     """Covered ranges among the contexts of a part's anchors."""
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("h", "first", "class", "at", "lo", "hi", "bytes")), strict=True))
+    table = table.combine_chunks()
+    h, x, first, c, start = (table.column(n).to_numpy() for n in ("h", "x", "first", "class", "at"))
+    order = np.lexsort((start, c, first, x, h))
+    same = (h[order][1:] == h[order][:-1]) & (x[order][1:] == x[order][:-1])
+    # Of equal contexts the earliest stays; anchors with one kind of context are settled by that.
+    copies, kinds = order[1:][same], order[np.concatenate([[True], ~same])] if len(order) else order
+    sizes = table.column("hi").to_numpy()[copies] - table.column("lo").to_numpy()[copies] + LENGTH
+    settled = [first[copies], c[copies], start[copies].astype(np.int64), start[copies].astype(np.int64) + sizes]
+    several = np.zeros(len(kinds), bool)
+    several[1:] |= h[kinds][1:] == h[kinds][:-1]
+    several[:-1] |= h[kinds][1:] == h[kinds][:-1]
+    table = table.take(pa.array(kinds[several]))
+    rows = sorted(zip(*(table.column(n).to_pylist() for n in ("h", "first", "class", "at", "lo", "hi", "bytes")), strict=True))
     out: list[tuple] = []
     held: list[tuple] = []
     size = at = 0
@@ -405,7 +421,7 @@ def _decide(key, table):
     if held:
         out += _covered(held)
     cols = list(zip(*out, strict=True)) or [()] * 4
-    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("first", "class", "a", "b"), cols, strict=True)})
+    return pa.table({n: pa.array(np.concatenate([np.asarray(v, np.int64), np.asarray(w, np.int64)])) for n, v, w in zip(("first", "class", "a", "b"), settled, cols, strict=True)})
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
