@@ -300,3 +300,26 @@ def test_html(spark):
     by = {r.page_id: r.text for r in got}
     assert [by[i] for i in (1, 2, 6)] == [main] * 3 and [by[i] for i in (3, 4, 5)] == [""] * 3 and by[None] == "bare"
     assert len(got) == 8 and all(r.n_chars == len(r.text) for r in got)
+
+
+@pytest.mark.parametrize("page", ["<body><article><p>{0}</p>{1}<p>{0}</p></article></body>", "<body><div id=x><p>{0}</p>{1}<p>{0}</p></div></body>"])
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ("<h2 id='related-work'>Work</h2>", "Work"),
+        ("<section class='discussion'><p>Said.</p></section>", "Said."),
+        ("<p id='share-price'>Up.</p>", "Up."),
+        ("<table><tr><td class='search'>Find</td></tr></table>", "Find"),
+        ("<p class='notice-period'>Two months.</p>", "Two months."),
+        ("<figure><figcaption>The bridge.</figcaption></figure>", "The bridge."),
+        ("<ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul>", "One\n\nTwo"),
+        ("<div class='ad'>Buy</div>", None),
+        ("<div class='related-posts'><a href=x>More</a></div>", None),
+    ],
+)
+def test_html_keeps_the_text(page, inner, text):
+    """Headings, paragraphs, cells, captions and lists of links in the text stay whatever their class or id."""
+    assert html_text.main_text(page.format(ARTICLE_LINE, inner)) == "\n\n".join([ARTICLE_LINE, *([text] if text else []), ARTICLE_LINE])
+
+
+ARTICLE_LINE = "The tide turned early, and the pilots waited for the wind to drop, as they do. " * 3 + "Then they left."

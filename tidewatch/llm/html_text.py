@@ -3,7 +3,9 @@
 Each page is parsed into a tree of elements. Paragraphs pass points for their length
 and commas to their ancestors, fewer to farther ones; a container's points are
 discounted by its share of linked text. The best container and those siblings that
-also read as text are kept; their blocks are the page's text.
+also read as text are kept; their blocks are the page's text. Class, id and role name
+furniture outside the text; inside it only containers are judged, by words that can't be
+a section's name, and a box of links is dropped only if its words name furniture too.
 
 Defined results: null or empty html, or a page without text outside its furniture, has
 the empty text; unclosed, wrongly nested and truncated markup is repaired as browsers
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 
 # Element names of HTML, and words that name page furniture in class, id or role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head script style noscript template iframe object svg math canvas form nav footer aside button input select textarea dialog menu audio video figcaption".split())
+DROPPED = frozenset("head script style noscript template iframe object svg math canvas form nav footer aside button input select textarea dialog menu audio video".split())
 RAW = ("script", "style", "textarea", "title", "iframe", "noscript", "template")
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -32,6 +34,12 @@ HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 FURNITURE = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation navlinks menu menubar submenu breadcrumb breadcrumbs toc pager pagination sidebar sidebars aside rail widget widgets footer foot masthead header topbar toolbar comment comments commentlist respond disqus discussion replies reply share sharing social related recommended recommendations subscribe subscription newsletter signup login search hidden skip skiplink contentinfo complementary dialog".split()
 )
+#: Of these, the words that name furniture inside the text as well: as a part of a token, or as a whole token only.
+CLEAR = frozenset("advert adverts advertisement advertising adbox sponsored navbar navlinks menubar submenu breadcrumb breadcrumbs pager pagination sidebar sidebars masthead topbar toolbar commentlist disqus signup skiplink contentinfo popup".split())
+WHOLE = frozenset("ad ads promo promoted banner gdpr modal nav menu toc widget widgets footer comments subscribe newsletter login hidden skip complementary comment-list comments-area ad-box ad-slot ad-unit ad-banner ad-container ad-wrapper google-ad google-ads".split())
+CONTAINERS = frozenset("div section aside ul form".split())
+#: Text whatever its class: no word of these elements' class, id or role is judged.
+PROSE = HEADINGS | frozenset("p pre blockquote td th tr li dt dd figure figcaption caption".split())
 BODY_WORDS = frozenset("article content main body post entry text story maincontent articlebody page".split())
 TAG_POINTS = {"article": 10.0, "main": 8.0, "section": 2.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "address": -3.0}
 
@@ -41,27 +49,35 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("children", "links", "name", "parent", "points", "size", "words")
+    __slots__ = ("apart", "children", "commas", "doubt", "links", "name", "parent", "points", "size", "words")
 
     def __init__(self, name: str, parent: Node | None, words: frozenset = frozenset()):
         self.name, self.parent, self.words = name, parent, words
         self.children: list[Node | str] = []
         self.points = self.size = self.links = 0.0
+        self.commas = 0
+        # doubt: furniture unless it stands in the text; apart: so is this node or one above it.
+        self.doubt = self.apart = False
 
 
-def _furniture(name: str, attrs: str) -> tuple[bool, frozenset]:
+def _furniture(name: str, attrs: str) -> tuple[bool, bool, frozenset]:
+    """Whether an element is furniture anywhere, whether it is unless it stands in the text, and its words."""
     if name in DROPPED:
-        return True, frozenset()
+        return True, False, frozenset()
     if not attrs:
-        return False, frozenset()
+        return False, False, frozenset()
     got = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
     if re.search(r"\shidden(?=[\s/>]|$)", attrs) or got.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", got.get("style", "")):
-        return True, frozenset()
+        return True, False, frozenset()
     words: set[str] = set()
+    tokens: set[str] = set()
     for key in ("class", "id", "role"):
         for token in got.get(key, "").split():
+            tokens.add(token.lower())
             words |= {w.lower() for w in _WORD.findall(token)} | {token.lower()}
-    return bool(words & FURNITURE) and not (name in ("html", "body", "article", "main") or words & BODY_WORDS and not words & {"comment", "comments", "sidebar", "ad", "ads", "advert", "footer", "header", "nav", "menu", "share", "related", "form"}), frozenset(words)
+    named = words & FURNITURE and name not in PROSE and not (name in ("html", "body", "article", "main") or words & BODY_WORDS and not words & {"comment", "comments", "sidebar", "ad", "ads", "advert", "footer", "header", "nav", "menu", "share", "related", "form"})
+    sure = bool(named and name in CONTAINERS and (words & CLEAR or tokens & WHOLE))
+    return sure, bool(named and not sure), frozenset(words)
 
 
 def parse(page: str) -> Node:
@@ -94,7 +110,7 @@ def parse(page: str) -> Node:
             if name in BLOCKS or name not in VOID:
                 close({name}, frozenset() if name in BLOCKS else BLOCKS - {name})
             continue
-        gone, words = _furniture(name, found[3])
+        gone, doubt, words = _furniture(name, found[3])
         if name in RAW:
             lower = page.lower() if lower is None else lower
             end = lower.find(f"</{name}", at)
@@ -110,7 +126,7 @@ def parse(page: str) -> Node:
         if name == "header" and not gone:
             gone = True
         node = Node("#gone" if gone else name, here, words)
-        node.name = name
+        node.name, node.doubt = name, doubt
         if gone:
             node.points = -1e9
         here.children.append(node)
@@ -141,12 +157,14 @@ def _measure(root: Node) -> list[Node]:
             else:
                 node.parent.children[node.parent.children.index(node)] = " "
                 continue
+        node.apart = node.doubt or node.parent is not None and node.parent.apart
         order.append(node)
         stack += [c for c in node.children if isinstance(c, Node)]
     order.reverse()
     for node in order:
         own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
-        inner = [c for c in node.children if isinstance(c, Node)]
+        inner = [c for c in node.children if isinstance(c, Node) and (node.apart or not c.doubt)]
+        node.commas = sum(c.count(",") + c.count("，") for c in node.children if isinstance(c, str)) + sum(c.commas for c in inner)
         node.size = own + sum(c.size for c in inner)
         node.links = node.size if node.name == "a" else sum(c.links for c in inner)
     return order
@@ -170,10 +188,9 @@ def _best(order: list[Node]) -> Node | None:
     for least in (25, 1):
         scored: dict[int, Node] = {}
         for node in order:
-            if not _is_paragraph(node) or node.size < least:
+            if node.apart or not _is_paragraph(node) or node.size < least:
                 continue
-            own = _text(node)
-            points = 1 + own.count(",") + own.count("，") + min(node.size / 100, 3)
+            points = 1 + node.commas + min(node.size / 100, 3)
             points *= 1 - _density(node)
             up, level = node.parent if node.name in ("p", "pre", "blockquote") else node, 0
             while up is not None and up.name not in ("#root", "html") and level < 4:
@@ -189,24 +206,27 @@ def _best(order: list[Node]) -> Node | None:
     return None
 
 
-def _keep(node: Node) -> bool:
-    """False for a list, table or box of links inside the text."""
-    return not (node.name in ("ul", "ol", "dl", "div", "section", "table") and node.size and _density(node) > 0.5)
+def _keep(node: Node, inside: bool) -> bool:
+    """False for a list, table or box of links; inside the text, only if its words name furniture too."""
+    linked = node.name in ("ul", "ol", "dl", "div", "section", "table") and node.size and _density(node) > 0.5
+    return not linked or inside and not node.words & FURNITURE
 
 
-def _blocks(node: Node, out: list[list[str]]) -> None:
+def _blocks(node: Node, out: list[list[str]], inside: bool) -> None:
     for child in node.children:
         if isinstance(child, str):
             out[-1].append(child)
+        elif child.doubt and not inside:
+            out[-1].append(" ")
         elif child.name == "br":
             out[-1].append(" ")
         elif child.name in BLOCKS:
             out.append([])
-            if _keep(child):
-                _blocks(child, out)
+            if _keep(child, inside):
+                _blocks(child, out, inside or child.name == "article")
             out.append([])
         else:
-            _blocks(child, out)
+            _blocks(child, out, inside)
 
 
 def main_text(page: str | None) -> str:
@@ -235,7 +255,8 @@ def main_text(page: str | None) -> str:
     out: list[list[str]] = [[]]
     for node in chosen:
         out.append([])
-        _blocks(node, out)
+        # In the whole body, or beside an article in main, boxes may still be furniture.
+        _blocks(node, out, node.name not in ("#root", "html", "body"))
     return "\n\n".join(t for t in (" ".join("".join(b).split()) for b in out) if t)
 
 
