@@ -323,3 +323,21 @@ def test_html_keeps_the_text(page, inner, text):
 
 
 ARTICLE_LINE = "The tide turned early, and the pilots waited for the wind to drop, as they do. " * 3 + "Then they left."
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<body><article><p>{0}</p></article><article><p>{0} Two.</p></article><article><p>{0} Three.</p></article></body>", ["{0}", "{0} Two.", "{0} Three."]),
+        ("<main><h1>Title</h1><p>Lead.</p><article><p>{0}</p></article><section><p>Rest.</p></section></main>", ["Title", "Lead.", "{0}", "Rest."]),
+        ("<main><div><h1>Title</h1></div><article><p>{0}</p></article><div class=related><p>Other things.</p></div></main>", ["Title", "{0}"]),
+        ("<body><h1>Title</h1><article><p>{0}</p></article><p>After it.</p><article><p>Short.</p></article></body>", ["Title", "{0}", "After it.", "Short."]),
+    ],
+)
+def test_html_articles_in_page_order(page, texts):
+    assert html_text.main_text(page.format(ARTICLE_LINE)).split("\n\n") == [t.format(ARTICLE_LINE) for t in texts]
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "article", "p><div", "li"])
+def test_html_nested_deeply(tag):
+    assert html_text.main_text(f"<{tag}>" * 20000 + ARTICLE_LINE) == ARTICLE_LINE

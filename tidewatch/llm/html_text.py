@@ -2,8 +2,9 @@
 
 Each page is parsed into a tree of elements. Paragraphs pass points for their length
 and commas to their ancestors, fewer to farther ones; a container's points are
-discounted by its share of linked text. The best container and those siblings that
-also read as text are kept; their blocks are the page's text. Class, id and role name
+discounted by its share of linked text. The best container, or the whole article or main
+that it stands in, and those siblings that also read as text are kept in page order;
+their blocks are the page's text. Class, id and role name
 furniture outside the text; inside it only containers are judged, by words that can't be
 a section's name, and a box of links is dropped only if its words name furniture too.
 
@@ -171,7 +172,14 @@ def _measure(root: Node) -> list[Node]:
 
 
 def _text(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else _text(c) for c in node.children)
+    out, stack = [], [node]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            out.append(item)
+        else:
+            stack += item.children[::-1]
+    return "".join(out)
 
 
 def _is_paragraph(node: Node) -> bool:
@@ -213,20 +221,40 @@ def _keep(node: Node, inside: bool) -> bool:
 
 
 def _blocks(node: Node, out: list[list[str]], inside: bool) -> None:
-    for child in node.children:
-        if isinstance(child, str):
-            out[-1].append(child)
-        elif child.doubt and not inside:
-            out[-1].append(" ")
-        elif child.name == "br":
-            out[-1].append(" ")
-        elif child.name in BLOCKS:
-            out.append([])
-            if _keep(child, inside):
-                _blocks(child, out, inside or child.name == "article")
+    """Appends the node's text, a list of pieces for each block, without recursion: pages may be nested at any depth."""
+    stack: list[tuple[Node | str | None, bool]] = [(c, inside) for c in reversed(node.children)]
+    while stack:
+        item, inside = stack.pop()
+        if item is None:
             out.append([])
+        elif isinstance(item, str):
+            out[-1].append(item)
+        elif item.doubt and not inside or item.name == "br":
+            out[-1].append(" ")
+        elif item.name not in BLOCKS:
+            stack += [(c, inside) for c in reversed(item.children)]
         else:
-            _blocks(child, out, inside)
+            out.append([])
+            if _keep(item, inside):
+                stack.append((None, inside))
+                inside = inside or item.name == "article"
+                stack += [(c, inside) for c in reversed(item.children)]
+
+
+def _siblings(best: Node, anchor: Node) -> list[Node]:
+    """The anchor and those of its siblings that also read as text, in page order."""
+    least, chosen = max(10.0, 0.2 * best.points), []
+    for n in anchor.parent.children if anchor.parent else [anchor]:
+        if n is anchor:
+            chosen.append(n)
+        if n is anchor or not isinstance(n, Node) or n.doubt or not n.size:
+            continue
+        alike = n.points + (0.2 * best.points if n.words and n.words == best.words else 0) >= least
+        prose = n.name == "p" and (n.size > 80 and _density(n) < 0.25 or _density(n) == 0 and re.search(r"[.!?](\s|$)", _text(n)) is not None)
+        article = n.name == "article" and anchor.name == "article" and _density(n) <= 0.5
+        if alike or prose or article or n.name in HEADINGS and _density(n) < 0.5:
+            chosen.append(n)
+    return chosen
 
 
 def main_text(page: str | None) -> str:
@@ -235,28 +263,12 @@ def main_text(page: str | None) -> str:
     root = parse(page)
     order = _measure(root)
     best = _best(order)
-    if best is None:
-        chosen = [root]
-    elif article := _inside(best, ("article", "main")):
-        inner = best
-        while inner is not article and inner.name != "article":
-            inner = inner.parent
-        chosen = [n for n in order[::-1] if n.name == "article" and n.parent is inner.parent] if inner.name == "article" else [article]
-        chosen = [n for n in chosen if n is inner or n.points >= max(10.0, 0.2 * best.points)]
-    else:
-        least, chosen = max(10.0, 0.2 * best.points), []
-        for n in best.parent.children if best.parent else [best]:
-            if not isinstance(n, Node) or not n.size:
-                continue
-            alike = n.points + (0.2 * best.points if n.words and n.words == best.words else 0) >= least
-            prose = n.name == "p" and (n.size > 80 and _density(n) < 0.25 or _density(n) == 0 and re.search(r"[.!?](\s|$)", _text(n)) is not None)
-            if n is best or alike or prose or n.name in HEADINGS and _density(n) < 0.5:
-                chosen.append(n)
+    chosen = [root] if best is None else _siblings(best, _inside(best, ("article", "main")) or best)
     out: list[list[str]] = [[]]
     for node in chosen:
         out.append([])
-        # In the whole body, or beside an article in main, boxes may still be furniture.
-        _blocks(node, out, node.name not in ("#root", "html", "body"))
+        # In the whole body, or beside the articles of main, boxes may still be furniture.
+        _blocks(node, out, node.name not in ("#root", "html", "body", "main") or node.name == "main" and _inside(best, ("article",)) is None)
     return "\n\n".join(t for t in (" ".join("".join(b).split()) for b in out) if t)
 
 
