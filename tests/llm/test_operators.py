@@ -341,3 +341,13 @@ def test_html_articles_in_page_order(page, texts):
 @pytest.mark.parametrize("tag", ["div", "b", "article", "p><div", "li"])
 def test_html_nested_deeply(tag):
     assert html_text.main_text(f"<{tag}>" * 20000 + ARTICLE_LINE) == ARTICLE_LINE
+
+
+def test_jaccard_of_one_id_with_two_texts(spark):
+    """Each text of a doc_id is linked by itself: neither hides the other's links nor ties them together."""
+    words = [[f"{x}{i}" for i in range(80)] for x in "ab"]
+    texts = [" ".join(w) for w in words]
+    near = [" ".join([*w[:78], "other"]) for w in words]
+    rows = [(7, texts[0]), (7, texts[1]), (8, near[0]), (9, near[1]), (2, " ".join(["new", *words[1][2:]]))]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (7, 2), (7, 7), (8, 7), (9, 2)]

@@ -15,7 +15,7 @@
 
 Defined results: null or blank text has the empty set and is its own component; a null
 doc_id is linked through equal sets alone; repeated rows share their class; equal
-doc_ids with different texts each keep their row; an empty table gives no rows. Sets are
+doc_ids with different texts each keep their row and are linked by their own text; an empty table gives no rows. Sets are
 of 64-bit hashes.
 """
 
@@ -72,7 +72,7 @@ def prefix_size(n, percent: int = PERCENT):
 
 
 def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """kind 0: doc_id, n, class, bits of each document; kind 1: shingles (as class) frequent within a task, with their number (n)."""
+    """kind 0: doc_id, key (hash of the text), n, class, bits of each document; kind 1: shingles (as class) frequent within a task, with their number (n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -83,7 +83,7 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
             values, counts = values[counts >= HOT_LOCAL].view(np.int64), counts[counts >= HOT_LOCAL]
             held.clear()
             n = len(values)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(counts.astype(np.int64)), pa.array(values), pa.nulls(n, pa.binary())], names=["kind", "doc_id", "n", "class", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(counts.astype(np.int64)), pa.array(values), pa.nulls(n, pa.binary())], names=["kind", "doc_id", "key", "n", "class", "bits"])
 
         for part in slices(batches, "text"):
             sets = shingle_sets(*flat(part.column("text")), words)
@@ -94,15 +94,15 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     rows += len(s)
             n = part.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(n, np.int32)), part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())],
-                names=["kind", "doc_id", "n", "class", "bits"],
+                [pa.array(np.zeros(n, np.int32)), part.column("doc_id").cast(pa.int64()), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())],
+                names=["kind", "doc_id", "key", "n", "class", "bits"],
             )
             if rows >= HOT_WINDOW:
                 yield frequent()
                 rows = 0
         yield frequent()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, class long, bits binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, "kind int, doc_id long, key long, n long, class long, bits binary")
 
 
 def prefix_rows(docs: DataFrame, hot: np.ndarray, parts: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -319,12 +319,17 @@ def dealt_blocks(members: DataFrame, parts: int, block: int = LIST_BLOCK) -> Dat
     )
 
 
+def _texts(classes: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
+    """class, text of each class's representative: doc_ids may occur again with other texts, so the text's hash is joined on too."""
+    named = classes.join(info.where("doc_id is not null").select("class", "doc_id", "key"), "class")
+    return named.join(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("class", "text")
+
+
 def _verify(pairs: DataFrame, info: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(u, v): representatives' doc_ids of those pairs (a, b) of classes whose texts reach the threshold."""
-    names = info.select("class", "doc_id")
-    pairs = pairs.select("a", "b").join(names.toDF("a", "u"), "a").join(names.toDF("b", "v"), "b").where("u is not null and v is not null")
-    texts = docs.select(F.col("doc_id"), "text")
-    full = pairs.join(texts.toDF("v", "text_b"), "v").join(texts.toDF("u", "text_a"), "u").select("u", "v", "a", "b", "text_a", "text_b")
+    """(u, v): those pairs of classes whose representatives' texts reach the threshold."""
+    pairs = pairs.select("a", "b")
+    texts = _texts(pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct(), info, docs)
+    full = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select(F.col("a").alias("u"), F.col("b").alias("v"), "a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,8 +351,8 @@ def _verify(pairs: DataFrame, info: DataFrame, docs: DataFrame, words: int, perc
     return full.mapInArrow(run, "u long, v long").distinct()
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, key, n, class of every document, with its group (a class that stands for all that are linked) and the group's least doc_id."""
     spark = docs.sparkSession
     parts = 8 * parts_of(spark)
     seen = materialize(profiles(docs, words), "profiles")
@@ -356,8 +361,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     frequent = seen.where("kind = 1").groupBy("class").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_AT).orderBy(F.desc("n"), "class").limit(HOT).collect()
     hot = np.array([r["class"] for r in sorted(frequent, key=lambda r: (r["n"], r["class"]))], dtype=np.int64).view(np.uint64)
     top = F.lit((1 << 63) - 1)
-    info = own.where("n > 0").groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", top).alias("d"), "n", "bits")).alias("x"))
-    info = materialize(info.select("class", F.nullif(F.col("x.d"), top).alias("doc_id"), F.col("x.n").alias("n"), F.col("x.bits").alias("bits")), "classes")
+    info = own.where("n > 0").groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", top).alias("d"), "key", "n", "bits")).alias("x"))
+    info = materialize(info.select("class", F.nullif(F.col("x.d"), top).alias("doc_id"), F.col("x.key").alias("key"), F.col("x.n").alias("n"), F.col("x.bits").alias("bits")), "classes")
 
     rows = prefix_rows(docs, hot, parts, words, percent)
     lists = rows.groupBy("part").applyInArrow(_lists(percent), "list long, members array<long>")
@@ -388,19 +393,25 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     sizes = stars.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
     wide = materialize(stars.join(sizes, "a").select(F.col("a").alias("list"), F.col("b").alias("class"), "m"), "lists")
     tied = components(links)
-    comp = info.where("doc_id is not null").select("class", "n", "bits", "doc_id").join(tied.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    comp = materialize(comp.select("class", "n", "bits", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "comps")
+    comp = info.where("doc_id is not null").select("class", "n", "bits").join(tied.select(F.col("node").alias("class"), "component"), "class", "left")
+    comp = materialize(comp.select("class", "n", "bits", F.coalesce("component", "class").alias("comp")), "comps")
     mixed = wide.join(comp.select("class", "comp"), "class").groupBy("list").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("list")
-    dealt = dealt_blocks(wide.join(mixed, "list").join(comp.drop("doc_id"), "class"), parts)
+    dealt = dealt_blocks(wide.join(mixed, "list").join(comp, "class"), parts)
     left = dealt.groupBy("pack").applyInArrow(_survivors(percent), "list long, i int, j int, block int, class long, comp long")
-    left = materialize(left.join(comp.select("class", "doc_id"), "class"), "survivors")
-    known = left.select("doc_id").distinct().join(docs.select("doc_id", "text"), "doc_id").dropDuplicates(["doc_id"])
-    again = left.join(known, "doc_id").select("list", "i", "j", "block", "class", "comp", F.col("doc_id").alias("node"), "text", F.pmod(F.xxhash64("list", "i", "j"), F.lit(parts)).alias("pack"))
+    left = materialize(left, "survivors")
+    known = _texts(left.select("class").distinct(), info, docs)
+    again = left.join(known, "class").select("list", "i", "j", "block", "class", "comp", F.col("class").alias("node"), "text", F.pmod(F.xxhash64("list", "i", "j"), F.lit(parts)).alias("pack"))
     links = materialize(links.unionByName(again.groupBy("pack").applyInArrow(linked(lambda texts: shingle_sets(*flat(texts), words), class_of, percent), "u long, v long")), "links")
-    tied = components(links)
-    comp = info.select("class", "doc_id").join(tied.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("class", F.coalesce("component", "doc_id").alias("component"))
-    out = own.select("doc_id", "n", "class").join(comp, "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    tied = components(links).select(F.col("node").alias("class"), F.col("component").alias("group"))
+    grouped = info.select("class", "doc_id").join(tied, "class", "left").select("class", "doc_id", F.coalesce("group", "class").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    grouped = grouped.drop("doc_id").join(least, "group")
+    return own.drop("bits").join(grouped, "class", "left").select("doc_id", "key", "n", "class", "group", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    return _judged(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
