@@ -29,3 +29,14 @@ def test_stages(spark):
         assert all(r.n_chars == len(r.text) for r in docs.collect())
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
     assert {r.doc_id for r in pieces} == set(after)
+
+
+def test_one_of_each_of_repeated_rows(spark):
+    """Rows that occur again, null ids and one id with several texts: one of each group stays, and nothing else goes."""
+    words = [f"w{i}" for i in range(60)]
+    a, near, b, c, d = " ".join(words), " ".join([*words[:58], "other"]), " ".join(f"b{i}" for i in range(30)), " ".join(f"c{i}" for i in range(30)), " ".join(f"d{i}" for i in range(30))
+    rows = [(1, a)] * 50 + [(2, near), (2, b), (None, a), (None, c), (None, c), (3, d), (3, c.replace("c", "x")), (4, d), (5, ""), (5, ""), (5, " "), (6, None)]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got.collect())) == sorted([(1, a), (2, b), (0, c), (3, d), (3, c.replace("c", "x")), (5, ""), (5, " "), (6, "")])

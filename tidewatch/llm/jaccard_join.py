@@ -415,6 +415,23 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without those that aren't the first of their component; rows without a doc_id stay."""
-    judged = jaccard_components(docs.select("doc_id", "text"), words, percent)
-    return docs.join(judged.where("component_id != doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component: the least doc_id (null is the last), then the least hash of the text and of the row, one of equal rows.
+
+    Rows without shingles are their own component, one for each doc_id and text.
+    """
+    blank = lambda c: F.when(F.col("n") == 0, F.col(c))
+    group = ["group", "blank_id", "blank_key"]
+    judged = _judged(docs.select("doc_id", "text"), words, percent)
+    rows = judged.select("doc_id", "key", "group", blank("doc_id").alias("blank_id"), blank("key").alias("blank_key")).groupBy("doc_id", "key", *group).agg(F.count("*").alias("times"))
+    rows = materialize(rows, "rows")
+    none = F.col("doc_id").isNull()
+    first = rows.groupBy(*group).agg(F.min(F.struct(none.alias("none"), "doc_id", "key")).alias("x")).select(F.col("x.doc_id").alias("i"), F.col("x.key").alias("k"), F.lit(True).alias("first"))
+    marked = rows.join(first, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left").where("first is null or times > 1")
+    marked = materialize(marked.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.coalesce("first", F.lit(False)).alias("__first")), "marked")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    single = docs.join(marked, same, "left_anti").select(*docs.columns)
+    # Of a row that occurs again, with the same doc_id and text, one stays.
+    again = docs.join(marked.where("__first").drop("__first"), same)
+    row = F.struct(*docs.columns)
+    again = again.groupBy("__id", "__key").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
+    return single.unionByName(again)
