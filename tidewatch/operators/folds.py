@@ -1,53 +1,61 @@
 """Ordered folds: rules whose outcome depends on what was kept before.
 
-A fold takes a key's rows in arrival order. Rows of a key that lie further apart than the
-rule's window can't affect each other, so a key is first cut into sessions at such gaps:
-a busy key becomes many groups and only a session's rows come together.
+A fold takes a key's rows in arrival order: rows are dealt out by key, sorted in their
+task, and only the rule's small state is carried from row to row, so a key may have any
+number of rows. The latest value so far is taken per block of arrival numbers, with what
+earlier blocks end with carried in, so a busy key is spread over tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Arrival numbers of a block.
+BLOCK = 65_536
+
 
-def sessions(df: DataFrame, key: list[str], gap_us: int, time: str = "t", order: str = "seq") -> DataFrame:
-    """Adds ``session``, which grows at every gap of ``gap_us`` or more to all earlier rows of the key (in arrival order)."""
-    w = Window.partitionBy(*key).orderBy(order)
-    top = F.max(time).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("session", F.sum(F.when(F.col(time) - top < gap_us, 0).otherwise(1)).over(w))
+def _flagged(df: DataFrame, key: list[str], name: str, step: Callable) -> DataFrame:
+    """Adds ``name``. ``step(state, t)`` gives the next state and a row's flag; a key's first state is None."""
+    n = len(key)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = state = None
+        for batch in batches:
+            flags = []
+            for *own, t in zip(*(batch.column(i).to_pylist() for i in range(n)), batch.column(n + 1).to_pylist(), strict=True):
+                if own != held:
+                    held, state = own, None
+                state, flag = step(state, t)
+                flags.append(flag)
+            yield pa.RecordBatch.from_arrays([batch.column(n), pa.array(flags, pa.bool_())], names=["seq", name])
 
-def _scan(rows: str, drop: str) -> str:
-    start = "named_struct('last', cast(null as bigint), 'out', cast(array() as array<struct<s:bigint,keep:boolean>>))"
-    item = "array(named_struct('s', x.s, 'keep', {keep}))"
-    return (
-        f"aggregate({rows}, {start}, (acc, x) -> if(acc.last is not null and ({drop}), "
-        f"named_struct('last', acc.last, 'out', concat(acc.out, {item.format(keep='false')})), "
-        f"named_struct('last', x.t, 'out', concat(acc.out, {item.format(keep='true')}))), acc -> acc.out)"
-    )
+    rows = df.select(*key, F.col("seq").cast("long").alias("seq"), "t").repartition(*key).sortWithinPartitions(*key, "seq")
+    return df.join(rows.mapInArrow(run, f"seq long, {name} boolean"), "seq")
 
 
 def dedupe(df: DataFrame, key: list[str], window_us: int) -> DataFrame:
     """Adds ``is_dup``: within ``window_us`` (either way) of the last row kept for the key. Duplicates don't extend the window."""
-    cut = sessions(df, key, window_us)
-    rows = F.sort_array(F.collect_list(F.struct(F.col("seq").alias("s"), F.col("t"))))
-    flags = cut.groupBy(*key, "session").agg(rows.alias("rows")).select(F.explode(F.expr(_scan("rows", f"abs(x.t - acc.last) < {window_us}"))).alias("x"))
-    return df.join(flags.select(F.col("x.s").alias("seq"), (~F.col("x.keep")).alias("is_dup")), "seq")
+
+    def step(last, t):
+        dup = last is not None and t is not None and abs(t - last) < window_us
+        return (last if dup else t), dup
+
+    return _flagged(df, key, "is_dup", step)
 
 
 def anchored_limit(df: DataFrame, key: list[str], window_us: int, most: int) -> DataFrame:
     """Adds ``allowed``: at most ``most`` rows in a window that starts with the key's first row after the last window ended."""
-    start = "named_struct('start', cast(null as bigint), 'n', 0, 'out', cast(array() as array<struct<s:bigint,ok:boolean>>))"
-    step = (
-        f"aggregate(rows, {start}, (acc, x) -> if(acc.start is null or x.t - acc.start > {window_us}, "
-        f"named_struct('start', x.t, 'n', 1, 'out', concat(acc.out, array(named_struct('s', x.s, 'ok', 1 <= {most})))), "
-        f"named_struct('start', acc.start, 'n', acc.n + 1, 'out', concat(acc.out, array(named_struct('s', x.s, 'ok', acc.n + 1 <= {most}))))), acc -> acc.out)"
-    )
-    cut = sessions(df, key, window_us + 1)
-    rows = F.sort_array(F.collect_list(F.struct(F.col("seq").alias("s"), F.col("t"))))
-    flags = cut.groupBy(*key, "session").agg(rows.alias("rows")).select(F.explode(F.expr(step)).alias("x"))
-    return df.join(flags.select(F.col("x.s").alias("seq"), F.col("x.ok").alias("allowed")), "seq")
+
+    def step(state, t):
+        start, n = state or (None, 0)
+        start, n = (t, 1) if start is None or t is not None and t - start > window_us else (start, n + 1)
+        return (start, n), n <= most
+
+    return _flagged(df, key, "allowed", step)
 
 
 def pacer(df: DataFrame, key: list[str], unit_us: int, most: int) -> DataFrame:
@@ -58,13 +66,23 @@ def pacer(df: DataFrame, key: list[str], unit_us: int, most: int) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).drop("nth")
 
 
+def _latest(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """Adds ``name``: the latest value that isn't null of the key's rows so far, this one included."""
+    rows = df.withColumns({"__value": value, "__block": F.floor(F.col("seq") / BLOCK)})
+    ends = rows.groupBy(F.col(key).alias("__key"), F.col("__block").alias("__at")).agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col("seq"))).alias("__end"))
+    before = F.last("__end", ignorenulls=True).over(Window.partitionBy("__key").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select("__key", "__at", before.alias("__before"))
+    own = F.last("__value", ignorenulls=True).over(Window.partitionBy(key, "__block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    joined = rows.withColumn("__own", own).join(carried, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__block") == F.col("__at")))
+    return joined.withColumn(name, F.coalesce("__own", "__before")).drop("__value", "__block", "__key", "__at", "__before", "__own")
+
+
 def relabel(df: DataFrame, own: Column) -> DataFrame:
     """UDP sources take the label of the latest own-ship report so far, including this row's."""
-    w = Window.partitionBy("source").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    label = F.last(F.when(own, F.concat(F.lit("mmsi:"), F.col("mmsi").cast("string"))), ignorenulls=True).over(w)
-    return df.withColumn("label", F.when(F.col("source").startswith("udp:"), F.coalesce(label, "source")).otherwise(F.col("source")))
+    udp = F.col("source").startswith("udp:")
+    known = _latest(df, "source", F.when(udp & own, F.concat(F.lit("mmsi:"), F.col("mmsi").cast("string"))), "label")
+    return known.withColumn("label", F.when(udp, F.coalesce("label", "source")).otherwise(F.col("source")))
 
 
 def last_known(df: DataFrame, value: Column, name: str) -> DataFrame:
-    w = Window.partitionBy("mmsi").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    return _latest(df, "mmsi", value, name)

@@ -1,12 +1,16 @@
 """Vessel state: every message of a vessel folded, in arrival order, into its latest state.
 
 A late position never moves a vessel back, but its static fields still count. A jump that
-is too fast to be real, from a source of low trust, changes nothing. A vessel's messages
-since its state was last saved come together in one row; the state itself stays small.
+is too fast to be real, from a source of low trust, changes nothing. Messages are dealt
+out by vessel and sorted in their task; only a vessel's small state is carried along.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,38 +18,61 @@ from tidewatch.functions.columns import EARTH_NM, LOW_TRUST
 
 STALE_US, JUMP_US, MAX_KNOTS, TRUST_US = 1_000_000, 1_000_000, 120.0, 3_600_000_000
 
-_STATE = "named_struct('seen', {seen}, 'has_pos', {has_pos}, 'lat', {lat}, 'lon', {lon}, 'pos_at', {pos_at}, 'sog', {sog}, 'name', {name}, 'station', {station}, 'trusted_at', {trusted_at}, 'n', {n}, 'n_stale', {n_stale}, 'n_jump', {n_jump})"
-_START = {"seen": "cast(null as bigint)", "has_pos": "false", "lat": "cast(null as double)", "lon": "cast(null as double)", "pos_at": "cast(null as bigint)", "sog": "cast(null as double)", "name": "cast(null as string)", "station": "cast(null as string)", "trusted_at": "cast(null as bigint)", "n": "0L", "n_stale": "0L", "n_jump": "0L"}
-
-
-def _step() -> str:
-    dist = f"{2 * EARTH_NM} * asin(sqrt(least(1D, pow(sin(radians(x.lat - v.lat) / 2), 2) + cos(radians(v.lat)) * cos(radians(x.lat)) * pow(sin(radians(x.lon - v.lon) / 2), 2))))"
-    stale = f"(v.has_pos and x.t < v.seen - {STALE_US})"
-    jump = f"(x.low and x.pos and not {stale} and v.has_pos and x.t - v.pos_at >= {JUMP_US} and {dist} / ((x.t - v.pos_at) / 3.6e9) > {MAX_KNOTS})"
-    moves, fresh = f"(x.pos and not {stale})", f"not {stale}"
-    new = {
-        "seen": f"if({fresh}, x.t, v.seen)",
-        "has_pos": f"v.has_pos or {moves}",
-        **{c: f"if({moves}, x.{c}, v.{c})" for c in ("lat", "lon", "sog")},
-        "pos_at": f"if({moves}, x.t, v.pos_at)",
-        "name": "if(x.name != '', x.name, v.name)",
-        "station": f"if({fresh}, x.station, v.station)",
-        "trusted_at": f"if({moves} and not x.low, x.t, v.trusted_at)",
-        "n": "v.n + 1",
-        "n_stale": f"v.n_stale + if({stale}, 1, 0)",
-        "n_jump": "v.n_jump",
-    }
-    skipped = {c: f"v.{c}" for c in _START} | {"n_jump": "v.n_jump + 1"}
-    return f"if({jump}, {_STATE.format(**skipped)}, {_STATE.format(**new)})"
+_READ = ("mmsi", "t", "lat", "lon", "sog", "station", "name", "pos", "low")
+_STATE = "seen long, has_pos boolean, lat double, lon double, pos_at long, sog double, name string, station string, trusted_at long, n long, n_stale long, n_jump long"
 
 
 def vessel_fold(messages: DataFrame) -> DataFrame:
     """One row per mmsi. ``messages``: seq, mmsi, t (microseconds), lat, lon, sog, source, station, name, pos (has a position)."""
-    low = F.col("source").rlike(LOW_TRUST).alias("low")
-    valid = (F.col("pos") & (F.abs("lat") <= 90) & (F.abs("lon") <= 180)).alias("pos")
-    rows = F.sort_array(F.collect_list(F.struct("seq", "t", "lat", "lon", "sog", "station", F.coalesce("name", F.lit("")).alias("name"), valid, low))).alias("rows")
-    state = F.expr(f"aggregate(rows, {_STATE.format(**_START)}, (v, x) -> {_step()})").alias("v")
-    return messages.groupBy("mmsi").agg(rows).select("mmsi", state).select("mmsi", "v.*")
+    schema = f"mmsi {messages.schema['mmsi'].dataType.simpleString()}, {_STATE}"
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    types = [kinds[c.split()[1]] for c in _STATE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        begun, held, mmsis = False, None, None
+
+        def table() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True))
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], mmsis), *(pa.array(c, k) for c, k in zip(columns[1:], types, strict=True))], names=names)
+
+        for batch in batches:
+            mmsis = batch.column("mmsi").type
+            for mmsi, t, x_lat, x_lon, x_sog, x_station, x_name, pos, low in zip(*(batch.column(c).to_pylist() for c in _READ), strict=True):
+                if not begun or mmsi != held:
+                    if begun:
+                        done.append((held, seen, has_pos, lat, lon, pos_at, sog, name, station, trusted_at, n, n_stale, n_jump))
+                    begun, held, has_pos, n, n_stale, n_jump = True, mmsi, False, 0, 0, 0
+                    seen = lat = lon = pos_at = sog = name = station = trusted_at = None
+                stale = bool(has_pos and t < seen - STALE_US)
+                if low and pos and not stale and has_pos and t - pos_at >= JUMP_US:
+                    arc = math.sin(math.radians(x_lat - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(x_lat)) * math.sin(math.radians(x_lon - lon) / 2) ** 2
+                    if 2 * EARTH_NM * math.asin(math.sqrt(min(1.0, arc))) / ((t - pos_at) / 3.6e9) > MAX_KNOTS:
+                        n_jump += 1
+                        continue
+                n += 1
+                n_stale += stale
+                if x_name:
+                    name = x_name
+                if stale:
+                    continue
+                seen, station = t, x_station
+                if pos:
+                    has_pos, lat, lon, sog, pos_at = True, x_lat, x_lon, x_sog, t
+                    if low is False:
+                        trusted_at = t
+            if len(done) >= 10_000:
+                yield table()
+        if begun:
+            done.append((held, seen, has_pos, lat, lon, pos_at, sog, name, station, trusted_at, n, n_stale, n_jump))
+            yield table()
+
+    valid = F.coalesce(F.col("pos") & (F.abs("lat") <= 90) & (F.abs("lon") <= 180), F.lit(False)).alias("pos")
+    double = [F.col(c).cast("double").alias(c) for c in ("lat", "lon", "sog")]
+    rows = messages.select("seq", "mmsi", F.col("t").cast("long").alias("t"), *double, "station", F.coalesce("name", F.lit("")).alias("name"), valid, F.col("source").rlike(LOW_TRUST).alias("low"))
+    return rows.repartition("mmsi").sortWithinPartitions("mmsi", "seq").mapInArrow(run, schema)
 
 
 def corroborated(now_us: int):
