@@ -42,8 +42,9 @@ def parse(receptions: DataFrame) -> DataFrame:
 
 
 def decode_positions(parsed: DataFrame) -> DataFrame:
+    """Position reports of types 1 to 3; other types have other layouts (``decode``) and give no row."""
     bits = parsed.where("ok").withColumn("bits", C.unarmour(F.col("payload")))
-    return bits.select(
+    return bits.where(C.unsigned(F.col("bits"), 0, 6).between(1, 3)).select(
         "seq", "tag_s", "tag_t", "channel",
         C.unsigned(F.col("bits"), 0, 6).alias("type"), C.unsigned(F.col("bits"), 8, 30).alias("mmsi"),
         (C.unsigned(F.col("bits"), 50, 10) / 10.0).alias("sog"), (C.signed(F.col("bits"), 61, 28) / 600000.0).alias("lon"), (C.signed(F.col("bits"), 89, 27) / 600000.0).alias("lat"),
@@ -95,6 +96,69 @@ def decode_static(bits):
     return [C.unsigned(bits, 8, 30).alias("mmsi"), part.alias("part"), F.when(part == 0, C.six_bit_text(bits, 40, 20)).alias("name"), F.when(part == 1, C.unsigned(bits, 40, 8)).alias("ship_type")]
 
 
+#: Fields of each layout as (name, offset, length, kind or divisor): u unsigned, s signed, t text, a number divides a signed
+#: value (coordinates) or, as a negative number, an unsigned one.
+_SIZES = lambda at: (("to_bow", at, 9, "u"), ("to_stern", at + 9, 9, "u"), ("to_port", at + 18, 6, "u"), ("to_starboard", at + 24, 6, "u"))
+_CLASS_B = (("sog", 46, 10, -10), ("accuracy", 56, 1, "u"), ("lon", 57, 28, 600000), ("lat", 85, 27, 600000), ("cog", 112, 12, -10), ("heading", 124, 9, "u"), ("second", 133, 6, "u"))
+_CLASS_A = (
+    ("nav_status", 38, 4, "u"), ("rot", 42, 8, "s"), ("sog", 50, 10, -10), ("accuracy", 60, 1, "u"), ("lon", 61, 28, 600000), ("lat", 89, 27, 600000), ("cog", 116, 12, -10), ("heading", 128, 9, "u"),
+    ("second", 137, 6, "u"), ("manoeuvre", 143, 2, "u"), ("raim", 148, 1, "u"), ("comm_state", 149, 19, "u"),
+)
+LAYOUTS = {
+    1: _CLASS_A, 2: _CLASS_A, 3: _CLASS_A,
+    4: (("year", 38, 14, "u"), ("month", 52, 4, "u"), ("day", 56, 5, "u"), ("hour", 61, 5, "u"), ("minute", 66, 6, "u"), ("second", 72, 6, "u"), ("accuracy", 78, 1, "u"), ("lon", 79, 28, 600000), ("lat", 107, 27, 600000), ("fix", 134, 4, "u")),
+    5: (
+        ("ais_version", 38, 2, "u"), ("imo", 40, 30, "u"), ("callsign", 70, 42, "t"), ("name", 112, 120, "t"), ("ship_type", 232, 8, "u"), *_SIZES(240), ("fix", 270, 4, "u"), ("eta_month", 274, 4, "u"), ("eta_day", 278, 5, "u"),
+        ("eta_hour", 283, 5, "u"), ("eta_minute", 288, 6, "u"), ("draught", 294, 8, -10), ("destination", 302, 120, "t"), ("dte", 422, 1, "u"),
+    ),
+    9: (("altitude", 38, 12, "u"), ("sog", 50, 10, -1), ("accuracy", 60, 1, "u"), ("lon", 61, 28, 600000), ("lat", 89, 27, 600000), ("cog", 116, 12, -10), ("second", 128, 6, "u")),
+    18: _CLASS_B,
+    19: (*_CLASS_B, ("name", 143, 120, "t"), ("ship_type", 263, 8, "u"), *_SIZES(271)),
+    21: (("aid_type", 38, 5, "u"), ("name", 43, 120, "t"), ("accuracy", 163, 1, "u"), ("lon", 164, 28, 600000), ("lat", 192, 27, 600000), *_SIZES(219), ("fix", 249, 4, "u")),
+    24: (("part", 38, 2, "u"),),
+    27: (("accuracy", 38, 1, "u"), ("raim", 39, 1, "u"), ("nav_status", 40, 4, "u"), ("lon", 44, 18, 600), ("lat", 62, 17, 600), ("sog", 79, 6, -1), ("cog", 85, 9, -1)),
+}
+#: Parts A and B of type 24.
+_STATIC = (("name", 40, 120, "t"),), (("ship_type", 40, 8, "u"), ("vendor", 48, 18, "t"), ("callsign", 90, 42, "t"), *_SIZES(132))
+
+
+def _field(bits, at: int, width: int, kind):
+    if kind == "t":
+        value = C.six_bit_text(F.rpad(F.substring(bits, at + 1, width), width, "0"), 0, width // 6)
+    elif kind == "u":
+        value = C.unsigned(bits, at, width)
+    elif kind == "s":
+        value = C.signed(bits, at, width)
+    else:
+        value = C.signed(bits, at, width) / float(kind) if kind > 0 else C.unsigned(bits, at, width) / float(-kind)
+    # a field that the message is too short for is missing; a text may end early
+    return F.when(F.length(bits) >= (at + 6 if kind == "t" else at + width), value)
+
+
+def decode_type(bits, number: int) -> dict:
+    """Columns of the fields of a type with a surveyed layout, the name extension of type 21 included; in type 24 null in the other part."""
+    out = {name: _field(bits, at, width, kind) for name, at, width, kind in LAYOUTS[number]}
+    if number == 24:
+        for part, fields in enumerate(_STATIC):
+            out |= {name: F.when(out["part"] == part, _field(bits, at, width, kind)) for name, at, width, kind in fields}
+    if number == 21:
+        # 14 characters at most, of a name that takes all 20 of its own
+        cut = F.length(bits) > 272
+        more = C.six_bit_text(F.rpad(F.substring(bits, 273, 84), 84, "0"), 0, 14)
+        last = C.unsigned(bits, 43 + 19 * 6, 6)
+        out["name"] = F.when(cut & (last != 0), F.rtrim(F.concat(F.rpad(out["name"], 20, " "), more))).otherwise(out["name"])
+    return out
+
+
+def decode(parsed: DataFrame, number: int) -> DataFrame:
+    """Messages of one type: the common fields and the type's own, nulls where a message is too short."""
+    rows = parsed.where("ok").withColumn("bits", C.unarmour(F.col("payload")))
+    bits = F.col("bits")
+    of_type = rows.where(C.unsigned(bits, 0, 6) == number)
+    common = (C.unsigned(bits, 0, 6).alias("type"), C.unsigned(bits, 6, 2).alias("repeat"), C.unsigned(bits, 8, 30).alias("mmsi"))
+    return of_type.select("seq", "tag_s", "tag_t", "channel", *common, *(c.alias(n) for n, c in decode_type(bits, number).items()))
+
+
 def snapshot_rows(bodies: DataFrame) -> DataFrame:
     """Rows of poll bodies ``[{"ERROR": false}, [row, ...]]``; an error body has none."""
     row = "array<struct<MMSI:bigint,SEQ:bigint,LATITUDE:bigint,LONGITUDE:bigint,SOG:bigint>>"
