@@ -351,3 +351,11 @@ def test_jaccard_of_one_id_with_two_texts(spark):
     rows = [(7, texts[0]), (7, texts[1]), (8, near[0]), (9, near[1]), (2, " ".join(["new", *words[1][2:]]))]
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (7, 2), (7, 7), (8, 7), (9, 2)]
+
+
+def test_language_of_few_documents_is_learned(spark):
+    """However few documents a language has, the bounded sample holds some of it."""
+    rows = [(i, prose(i, 20), "en") for i in range(300)] + [(1000 + 100 * k + i, prose(k, 20), f"l{k}") for k in range(4) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    known = {r.lang for r in docs.where(language_id.remainder() != 2).select("lang").distinct().collect()}
+    assert len(known) == 5 and set(language_id.fit(docs, 15).langs) == known

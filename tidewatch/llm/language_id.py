@@ -16,13 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import _LOWER, flat, slices
 
-#: Bound on the labelled documents that the network learns from (those with the smallest hash of doc_id).
-LEARN_ROWS = 6_000
+#: Bound on the labelled documents that the network learns from: those with the smallest hash of doc_id of each language
+#: (so many at most that Spark limits them before the shuffle), filled up by the smallest of all.
+LEARN_ROWS, EACH_ROWS = 6_000, 1_000
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 WINDOWS_EACH, EPOCHS, BATCH = 2, 8, 64
 UNKNOWN = "und"
@@ -120,7 +121,12 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, rows: int = LEARN_ROWS) -> ByteConv | None:
     """Train on at most ``rows`` labelled documents that aren't held out, a few windows of each."""
     usable = (remainder() != 2) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
-    chosen = docs.where(usable).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    ids = docs.where(usable).select("lang", "doc_id").distinct().withColumn("hash", F.xxhash64("doc_id"))
+    each = max(1, min(EACH_ROWS, rows // max(1, docs.where("lang is not null").select("lang").distinct().count())))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    own = ids.withColumn("nth", nth).where(F.col("nth") <= each).select("doc_id", "hash", F.lit(0).alias("rest"))
+    filled = own.unionByName(ids.orderBy("hash", "doc_id").limit(rows).select("doc_id", "hash", F.lit(1).alias("rest")))
+    chosen = filled.groupBy("doc_id", "hash").agg(F.min("rest").alias("rest")).orderBy("rest", "hash", "doc_id").limit(rows).select("doc_id")
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
