@@ -144,6 +144,40 @@ def test_suffix_dedup(docs, odd, none, monkeypatch, cap):
         assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+def test_suffix_dedup_of_periodic_hot_and_repeated_text(spark, monkeypatch):
+    """Short periods, a passage in hundreds of other surroundings, rows that occur again in other partitions, text in stretches."""
+    monkeypatch.setattr(suffix_dedup, "CAP", 20)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 900)
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    core = "".join(rng.choice("abcdefgh") for _ in range(130))
+    rows = [(i, some(60) + core + some(60)) for i in range(300)] + [(1000 + i, "x" * 3000 + "ab" * 700 + "word " * 400) for i in range(2)]
+    rows += [(2000 + i, core[3:]) for i in range(100)] + [(3000, "x" * 200_000)]
+    flags = brute.covered(rows)
+    df = spark.createDataFrame(rows + rows[:50] + rows[-5:], "doc_id long, text string").repartition(5)
+    got = [tuple(r) for r in suffix_dedup.suffix_dedup(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert len(got) == len(rows) + 55 and set(got) == {(i, *brute.cut_row(t, flags[i])) for i, t in rows}
+
+
+def test_long_periodic_text_brings_one_context():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    class Plain:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    full, empty = SimpleNamespace(value=np.full(1024, -1, np.int64)), SimpleNamespace(value=np.zeros(1024, np.int64))
+    batch = pa.RecordBatch.from_pydict({"first": [1], "class": [5], "text": ["x" * 2_000_000]})
+    found = list(suffix_dedup._contexts(Plain(), 8, full, empty)(iter([batch])))
+    assert sum(b.nbytes for b in found) < 10_000
+    assert sum(b.nbytes for b in suffix_dedup._anchor_rows(Plain(), 8)(iter([batch]))) < 100_000
+
+
 def test_line_dedup(docs, odd, none):
     out = line_dedup.line_dedup(docs)
     assert [c for c in out.columns if c != "n_removed"] == [*[c for c in docs.columns if c != "n_lines"], "n_lines"]

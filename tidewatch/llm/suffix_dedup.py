@@ -12,17 +12,21 @@
    string of a run are covered.
 4. Covered strings are joined to their document and their bytes cut out.
 
-A hot anchor's contexts are not gathered in one task: beyond ``CAP`` they are collapsed by
-aggregation and halved into the contexts of the earlier and the later strings, keyed by
-the bytes that all strings of that half share, until groups are small.
+Equal contexts are settled where they arise, over ``HOLD_BYTES`` of text at a time: only the
+earliest goes on, so at most one row a buffer and context is shuffled, and text of a short
+period brings one context and not one a byte. Contexts of hot anchors are dealt out by
+anchor and context, so no task gathers an anchor: equal ones are settled again, and those
+whose anchor has several kinds left are cut into contexts of fewer strings, keyed by the
+bytes that all of these share, until nothing differs.
 
-Which anchors occur again goes to the tasks as a Bloom filter of at most ``FILTER_BITS``
-bits; one that is too full lets more contexts through, but none is lost.
+Which anchors occur again, and which are hot, goes to the tasks as Bloom filters of at most
+``FILTER_BITS`` bits; one that is too full lets more contexts through, but none is lost.
 
 Defined results: null text is empty; a null doc_id comes after all others; rows equal in
 doc_id and text are one document, judged alike; a document under 100 bytes loses
 nothing; a copy of an earlier document of 100 bytes or more loses all; an empty table
-gives no rows. Documents of equal length and equal 64-bit hash count as equal.
+gives no rows. Documents of equal length and equal 64-bit hash count as equal, as do contexts
+whose anchor and bytes agree in both 64-bit hashes. A long document is read in stretches.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +48,14 @@ REACH = LENGTH - GRAM
 FLUSH_ROWS = 1_000_000
 #: Bytes of text hashed at a time: the arrays of eight times its size stay in a core's cache.
 STEP_BYTES = 250_000
-#: Contexts of one anchor that a task takes together; anchors known to have more: at most HOT.
-CAP, HOT = 2_000, 50_000
+#: Text whose contexts are settled together before they are shuffled; stretches of a longer document, and their overlap.
+HOLD_BYTES, STRETCH, MARGIN = 8_000_000, 500_000, 2 * LENGTH
+#: Contexts of one anchor that a task takes together; an anchor that may have more goes the other, as exact way.
+CAP = 2_000
+#: Rows of one anchor that a step counts, and classes that a task remembers: neither changes a result.
+COUNTED, REMEMBERED = 64, 500_000
+#: Into how many parts the strings of a hot context are cut at a time.
+FAN = 4
 FILTER_BITS = 1 << 28
 #: Parts of an anchor's strings (first and last start) that are compared before any suffix is sorted.
 ZONES = ((0, 16), (17, 33), (34, 50), (51, REACH))
@@ -157,14 +168,21 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def own_strings(places: np.ndarray, hashed: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last start of the strings whose leftmost least gram is at each place; ``begin``, ``end``: the document's bounds."""
     low, high = np.maximum(places - REACH, begin), np.minimum(places, end - LENGTH)
-    for k in range(1, len(places)):
-        near = places[k:] - places[:-k] <= REACH
-        if not near.any():
-            break
-        left, right = np.flatnonzero(near), np.flatnonzero(near) + k
-        lower = hashed[left] <= hashed[right]
-        np.maximum.at(low, right[lower], places[left[lower]] + 1)
-        np.minimum.at(high, left[~lower], places[right[~lower]] - REACH - 1)
+    # The nearest place before that is as low, and the nearest after that is lower, bound the strings.
+    left = right = np.arange(len(places))
+    k = 0
+    while len(left) or len(right):
+        k += 1
+        right = right[right >= k]
+        right = right[places[right] - places[right - k] <= REACH]
+        found = hashed[right - k] <= hashed[right]
+        low[right[found]] = np.maximum(low[right[found]], places[right[found] - k] + 1)
+        right = right[~found]
+        left = left[left < len(places) - k]
+        left = left[places[left + k] - places[left] <= REACH]
+        found = hashed[left + k] < hashed[left]
+        high[left[found]] = np.minimum(high[left[found]], places[left[found] + k] - REACH - 1)
+        left = left[~found]
     return low, high
 
 
@@ -174,6 +192,24 @@ def _names(hashed: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return (mixed % np.uint64(parts)).astype(np.int32), (mixed >> np.uint64(32)).astype(np.uint32)
 
 
+def _stretches(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[tuple]:
+    """(rows, bytes, offsets, base, first, end): wanted documents a step at a time.
+
+    A long document comes in stretches that overlap; its anchors from ``first`` up to ``end`` of
+    the bytes belong to this one, and ``base`` is where the bytes begin in the document.
+    """
+    for piece in slices(batches, "text", STEP_BYTES):
+        piece = piece.take(pa.array(wanted(piece), pa.int64()))
+        data, offsets = flat(piece.column("text"))
+        if len(data) <= STRETCH:
+            yield piece, data, offsets, 0, 0, len(data)
+            continue
+        for at in range(0, len(data), STRETCH):
+            low, end = max(0, at - MARGIN), min(len(data), at + STRETCH)
+            high = min(len(data), end + MARGIN)
+            yield piece, data[low:high], np.array([0, high - low]), low, at - low, end - low
+
+
 def _anchor_rows(docs: DataFrame, parts: int) -> DataFrame:
     """(part, rows): packed (anchor's name, hash of document and place) rows by reducer part."""
 
@@ -192,16 +228,25 @@ def _anchor_rows(docs: DataFrame, parts: int) -> DataFrame:
             bounds = pa.py_buffer((np.append(first, len(part)) * _ROW.itemsize).astype(np.int32).tobytes())
             return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, bounds, pa.py_buffer(rows.tobytes())])], names=["part", "rows"])
 
-        for piece in slices(batches, "text", STEP_BYTES):
+        def fresh(piece: pa.RecordBatch) -> list[int]:
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            return [i for i, c in enumerate(piece.column("class").to_pylist()) if not (c in seen or seen.add(c))]
+
+        for piece, data, offsets, base, begin, end in _stretches(batches, fresh):
             classes = piece.column("class").to_numpy()
-            new = [i for i, c in enumerate(classes.tolist()) if not (c in seen or seen.add(c))]
-            piece, classes = piece.take(pa.array(new, pa.int64())), classes[new]
-            data, offsets = flat(piece.column("text"))
             places, hashed = anchors(data, offsets)
+            own = (places >= begin) & (places < end)
+            places, hashed = places[own], hashed[own]
+            # text of a short period has one anchor at very many places
+            order = np.argsort(hashed, kind="stable")
+            if len(order) > COUNTED:
+                order = order[np.concatenate([np.ones(COUNTED, bool), hashed[order][COUNTED:] != hashed[order][:-COUNTED]])]
+            places, hashed = places[order], hashed[order]
             doc = np.searchsorted(offsets, places, side="right") - 1
             rows = np.zeros(len(places), _ROW)
             part, rows["t"] = _names(hashed, parts)
-            rows["o"] = mix(classes.view(np.uint64)[doc] + mix((places - offsets[doc]).astype(np.uint64)))
+            rows["o"] = mix(classes.view(np.uint64)[doc] + mix((places - offsets[doc] + base).astype(np.uint64)))
             held.append((part, rows))
             count += len(rows)
             if count >= FLUSH_ROWS:
@@ -247,52 +292,166 @@ def _filter(repeated: DataFrame) -> np.ndarray:
     return out
 
 
-_CONTEXT = "h long, lo int, hi int, x long, first long, class long, at int, bytes binary"
+_CONTEXT = "h long, lo int, hi int, x long, first long, class long, at int, hot boolean, bytes binary"
 _RANGE = "first long, class long, a long, b long"
 
 
-def _contexts(docs: DataFrame, parts: int, words, hot: np.ndarray, only_hot: bool) -> DataFrame:
+def _merged(first: np.ndarray, classes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges of documents (first, class), those that touch made one."""
+    order = np.lexsort((a, classes, first))
+    first, classes, a, b = first[order], classes[order], a[order], b[order]
+    if not len(a):
+        return first, classes, a, b
+    group = np.cumsum(np.concatenate([[False], (first[1:] != first[:-1]) | (classes[1:] != classes[:-1])])) << 32
+    most = np.maximum.accumulate(b + group)
+    new = np.flatnonzero(np.concatenate([[True], (a + group)[1:] > most[:-1]]))
+    last = np.append(new[1:], len(a)) - 1
+    return first[new], classes[new], a[new], most[last] - group[last]
+
+
+def _repeats(h, x, first, classes, at) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of contexts in order: those equal to the one before, and of these those at the very same place (of a row that occurs again)."""
+    same, again = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    same[1:] = (h[1:] == h[:-1]) & (x[1:] == x[:-1])
+    again[1:] = same[1:] & (first[1:] == first[:-1]) & (classes[1:] == classes[:-1]) & (at[1:] == at[:-1])
+    return same, again
+
+
+def _context_batch(h, lo, hi, x, first, classes, at, hot, start, data) -> Iterator[pa.RecordBatch]:
+    """Contexts whose bytes begin at ``start`` in ``data``: of equal ones the earliest, and the others' ranges as rows without bytes."""
+    names = [c.split()[0] for c in _CONTEXT.split(", ")]
+    order = np.lexsort((at, classes, first, x, h))
+    same, again = _repeats(*(c[order] for c in (h, x, first, classes, at)))
+    gone, kept = order[same & ~again], order[~same]
+    f, c, a, b = _merged(first[gone], classes[gone], at[gone], at[gone] + hi[gone] - lo[gone] + LENGTH)
+    none = np.zeros(len(f), np.int32)
+    yield pa.RecordBatch.from_arrays(
+        [pa.nulls(len(f), pa.int64()), pa.array(none), pa.array((b - a - LENGTH).astype(np.int32)), pa.nulls(len(f), pa.int64()), pa.array(f), pa.array(c), pa.array(a.astype(np.int32)), pa.array(none.astype(bool)), pa.nulls(len(f), pa.binary())], names=names
+    )
+    for i in range(0, len(kept), 100_000):
+        k = kept[i : i + 100_000]
+        sizes = hi[k] - lo[k] + LENGTH
+        total = np.cumsum(sizes)
+        raw = data[np.repeat(start[k] - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)]
+        bounds = pa.py_buffer(np.concatenate([[0], total]).astype(np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h[k]), pa.array(lo[k].astype(np.int32)), pa.array(hi[k].astype(np.int32)), pa.array(x[k]), pa.array(first[k]), pa.array(classes[k]), pa.array(at[k].astype(np.int32)), pa.array(hot[k]), pa.BinaryArray.from_buffers(pa.binary(), len(k), [None, bounds, pa.py_buffer(raw.tobytes())])],
+            names=names,
+        )
+
+
+def _holds(names: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each name."""
+    keep = np.ones(len(names), bool)
+    for at in _bits(names, 64 * len(table)):
+        keep &= (table[at >> 6] >> (at & 63)) & 1 == 1
+    return keep
+
+
+def _contexts(docs: DataFrame, parts: int, words, hot) -> DataFrame:
     """Contexts of anchors that may occur again. ``lo``, ``hi``: first and last start of the strings, counted
-    from ``REACH`` before the anchor; ``at``: where the bytes begin in the document; x: hash of the context."""
+    from ``REACH`` before the anchor; ``at``: where the bytes begin in the document; x: hash of the context.
+    Rows without bytes are ranges that an equal context of the same task covers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = words.value
         seen: dict[int, int] = {}
-        for piece in slices(batches, "text", STEP_BYTES):
-            classes, firsts = piece.column("class").to_numpy(), piece.column("first").to_numpy()
+        held: list[tuple[np.ndarray, ...]] = []
+        texts: list[np.ndarray] = []
+
+        def fresh(piece: pa.RecordBatch) -> list[int]:
             new = []
-            for i, (c, f) in enumerate(zip(classes.tolist(), firsts.tolist(), strict=True)):
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            for i, (c, f) in enumerate(zip(piece.column("class").to_pylist(), piece.column("first").to_pylist(), strict=True)):
                 if f < seen.get(c, 1 << 63):  # else a copy of an earlier document, which goes as a whole
                     seen[c] = f
                     new.append(i)
-            piece, classes, firsts = piece.take(pa.array(new, pa.int64())), classes[new], firsts[new]
-            data, offsets = flat(piece.column("text"))
+            return new
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from _context_batch(*(np.concatenate(c) for c in zip(*held, strict=True)), np.concatenate(texts))
+            held.clear()
+            texts.clear()
+
+        size = rows = 0
+        for piece, data, offsets, base, begin, end in _stretches(batches, fresh):
+            classes, firsts = piece.column("class").to_numpy(), piece.column("first").to_numpy()
             places, hashed = anchors(data, offsets)
             doc = np.searchsorted(offsets, places, side="right") - 1
             low, high = own_strings(places, hashed, offsets[doc], offsets[doc + 1])
             part, name = _names(hashed, parts)
             names = (part.astype(np.int64) << 32) | name.astype(np.int64)
-            keep = low <= high
-            for at in _bits(names, 64 * len(table)):
-                keep &= (table[at >> 6] >> (at & 63)) & 1 == 1
-            keep &= np.isin(names, hot) == only_hot
-            places, hashed, doc, low, high = (x[keep] for x in (places, hashed, doc, low, high))
-            sizes = high - low + LENGTH
-            total = np.cumsum(sizes)
-            raw = data[np.repeat(low - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)]
+            keep = (low <= high) & (places >= begin) & (places < end)
+            keep[keep] = _holds(names[keep], words.value)
+            places, hashed, doc, low, high, names = (x[keep] for x in (places, hashed, doc, low, high, names))
             start = low - places + REACH
             x = mix(range_hash(prefix_sums(data), low, high + LENGTH) + start.astype(np.uint64))
-            bounds = pa.py_buffer(np.concatenate([[0], total]).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashed.view(np.int64)), pa.array(start, pa.int32()), pa.array(high - places + REACH, pa.int32()), pa.array(x.view(np.int64)), pa.array(firsts[doc], pa.int64()), pa.array(classes[doc]), pa.array(low - offsets[doc], pa.int32()), pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, bounds, pa.py_buffer(raw.tobytes())])],
-                names=[c.split()[0] for c in _CONTEXT.split(", ")],
-            )
+            held.append((hashed.view(np.int64), start, high - places + REACH, x.view(np.int64), firsts[doc], classes[doc], low - offsets[doc] + base, _holds(names, hot.value), low + size))
+            texts.append(data)
+            size += len(data)
+            rows += len(start)
+            if size >= HOLD_BYTES or rows >= FLUSH_ROWS:
+                yield from flush()
+                size = rows = 0
+        yield from flush()
 
     return docs.select("first", "class", "text").mapInArrow(run, _CONTEXT)
 
 
-def _hash_bytes(raw: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+def _settled(found: DataFrame) -> DataFrame:
+    """Contexts without those equal to an earlier one, whose ranges take their place; dealt out by anchor and context."""
+    dealt = found.repartition(parts_of(found.sparkSession), "h", "x").sortWithinPartitions("h", "x", "first", "class", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rank = [batch.column(c).to_numpy() for c in ("h", "x", "first", "class", "at")]
+            same, again = _repeats(*rank)
+            now = tuple(c[0] for c in rank)
+            if before is not None:
+                same[0], again[0] = before[:2] == now[:2], before == now
+            before = tuple(c[-1] for c in rank)
+            gone = pa.array(same)
+            columns = {c: pc.if_else(gone, pa.scalar(None, batch.column(c).type), batch.column(c)) if c in ("h", "bytes") else batch.column(c) for c in batch.schema.names}
+            yield pa.RecordBatch.from_pydict(columns, schema=batch.schema).filter(pa.array(~again))
+
+    return dealt.mapInArrow(run, found.schema)
+
+
+def _parted(words):
+    """Contexts whose anchor the filter ``words`` may hold, as contexts of fewer strings, keyed by the bytes that these share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "bytes", HOLD_BYTES):
+            batch = batch.take(pa.array(np.flatnonzero(_holds(batch.column("h").to_numpy(), words.value))))
+            if not batch.num_rows:
+                continue
+            data, offsets = flat(batch.column("bytes"))
+            sums = prefix_sums(data)
+            h, lo, hi, first, classes, at, zone, span = (batch.column(c).to_numpy().astype(np.int64) for c in ("h", "lo", "hi", "first", "class", "at", "zone", "span"))
+            step = -(-span // FAN)
+            out = []
+            for k in range(FAN):
+                a = zone + k * step
+                b = np.minimum(a + step, zone + span) - 1
+                low, high = np.maximum(lo, a), np.minimum(hi, b)
+                ok = np.flatnonzero(low <= high)
+                a, b, low, high, start = a[ok], b[ok], low[ok], high[ok], offsets[:-1][ok]
+                core = range_hash(sums, start + b - lo[ok], start + a - lo[ok] + LENGTH)
+                x = mix(range_hash(sums, start + low - lo[ok], start + high - lo[ok] + LENGTH) + low.astype(np.uint64))
+                name = mix(h[ok].view(np.uint64) + mix(core + mix((a * 256 + b).astype(np.uint64))))
+                out.append((name.view(np.int64), low, high, x.view(np.int64), first[ok], classes[ok], at[ok] + low - lo[ok], a, b - a + 1, start + low - lo[ok]))
+            h, lo, hi, x, first, classes, at, zone, span, start = (np.concatenate(c) for c in zip(*out, strict=True))
+            for z in np.unique(zone).tolist():
+                own = np.flatnonzero(zone == z)
+                for part in _context_batch(*(c[own] for c in (h, lo, hi, x, first, classes, at)), np.ones(len(own), bool), start[own], data):
+                    n = part.num_rows
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(n, z, np.int32)), pa.array(np.full(n, span[own[0]], np.int32))], names=[*part.schema.names, "zone", "span"])
+
+    return run
 
 
 def _zones(r: tuple, zones) -> Iterator[tuple]:
@@ -304,17 +463,6 @@ def _zones(r: tuple, zones) -> Iterator[tuple]:
             yield zone, raw[zone[1] - low : zone[0] - low + LENGTH], lo, hi, raw[lo - low : hi - low + LENGTH]
 
 
-def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts as those of the earlier and the later half of their strings, keyed by the bytes that the half's strings share."""
-    for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            mid = r["zone"] + r["span"] // 2
-            for (a, b), core, lo, hi, raw in _zones((r["lo"], r["hi"], r["bytes"]), ((r["zone"], mid - 1), (mid, r["zone"] + r["span"] - 1))):
-                out.append({**r, "h": _hash_bytes(b"%d %d %d " % (r["h"], a, b) + core), "zone": a, "span": b - a + 1, "lo": lo, "hi": hi, "at": r["at"] + lo - r["lo"], "x": _hash_bytes(raw + b"%d" % lo), "bytes": raw})
-        yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
-
-
 def _covered_strings(rows: list[tuple]) -> Iterator[tuple[int, int]]:
     """(row, start in its bytes) of every string that also starts earlier; rows: (order, bytes)."""
     text: list[int] = []
@@ -386,9 +534,9 @@ def _decide(key, table):
     table = table.combine_chunks()
     h, x, first, c, start = (table.column(n).to_numpy() for n in ("h", "x", "first", "class", "at"))
     order = np.lexsort((start, c, first, x, h))
-    same = (h[order][1:] == h[order][:-1]) & (x[order][1:] == x[order][:-1])
+    same, again = _repeats(*(v[order] for v in (h, x, first, c, start)))
     # Of equal contexts the earliest stays; anchors with one kind of context are settled by that.
-    copies, kinds = order[1:][same], order[np.concatenate([[True], ~same])] if len(order) else order
+    copies, kinds = order[same & ~again], order[~same]
     sizes = table.column("hi").to_numpy()[copies] - table.column("lo").to_numpy()[copies] + LENGTH
     settled = [first[copies], c[copies], start[copies].astype(np.int64), start[copies].astype(np.int64) + sizes]
     several = np.zeros(len(kinds), bool)
@@ -421,7 +569,8 @@ def _decide(key, table):
     if held:
         out += _covered(held)
     cols = list(zip(*out, strict=True)) or [()] * 4
-    return pa.table({n: pa.array(np.concatenate([np.asarray(v, np.int64), np.asarray(w, np.int64)])) for n, v, w in zip(("first", "class", "a", "b"), settled, cols, strict=True)})
+    found = _merged(*(np.concatenate([np.asarray(v, np.int64), np.asarray(w, np.int64)]) for v, w in zip(settled, cols, strict=True)))
+    return pa.table({n: pa.array(v) for n, v in zip(("first", "class", "a", "b"), found, strict=True)})
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,27 +604,24 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     long = docs.where(F.col("n_bytes") >= LENGTH)
     counted = _anchor_rows(long, parts).groupBy("part").applyInArrow(_repeated, "name long, n long")
     counted = materialize(counted, "anchors")
-    # A bounded number of names: they only choose between two exact ways.
-    hot = np.array([r["name"] for r in counted.where(F.col("n") > CAP).orderBy(F.desc("n"), "name").limit(HOT).collect()], dtype=np.int64)
-    words = spark.sparkContext.broadcast(_filter(counted))
-    packed = lambda found: found.withColumn("pack", F.pmod(F.xxhash64("h"), F.lit(parts))).groupBy("pack").applyInArrow(_decide, _RANGE)
-    ranges = packed(_contexts(long, parts, words, hot, False))
-    found = _contexts(long, parts, words, hot, True).withColumns({"zone": F.lit(0), "span": F.lit(REACH + 1)}) if len(hot) else None
-    span = REACH + 1
-    while found is not None:
-        found = materialize(found, "contexts")
-        # Of equal contexts the earliest stays.
-        rank = F.struct("first", "class", "at")
-        least = materialize(found.groupBy("h", "x").agg(F.min(rank).alias("least")), "least")
-        judged = found.join(least, ["h", "x"])
-        ranges = ranges.unionByName(judged.where(rank != F.col("least")).select("first", "class", F.col("at").cast("long").alias("a"), (F.col("at") + F.length("bytes")).cast("long").alias("b")))
-        many = least.groupBy("h").count().where("count > 1")
-        rest = judged.where(rank == F.col("least")).drop("least").join(many, "h")
-        ranges = ranges.unionByName(packed(rest.where(F.col("count") <= CAP)))
-        if span == 1 or not many.where(F.col("count") > CAP).head(1):
+    share = spark.sparkContext.broadcast
+    found = _contexts(long, parts, share(_filter(counted)), share(_filter(counted.where(F.col("n") > CAP))))
+    found = materialize(found, "contexts")
+    plain = found.where("bytes is not null and not hot").withColumn("pack", F.pmod(F.xxhash64("h"), F.lit(parts)))
+    ranges = plain.groupBy("pack").applyInArrow(_decide, _RANGE)
+    covered = F.col("at").cast("long").alias("a"), (F.col("at") + F.col("hi") - F.col("lo") + LENGTH).cast("long").alias("b")
+    ranges = ranges.unionByName(found.where("bytes is null").select("first", "class", *covered))
+    found = found.where("bytes is not null and hot").withColumns({"zone": F.lit(0), "span": F.lit(REACH + 1)})
+    while found.head(1):
+        found = materialize(_settled(found), "settled")
+        ranges = ranges.unionByName(found.where("bytes is null").select("first", "class", *covered))
+        kinds = found.where("bytes is not null").groupBy(F.col("h").alias("name")).agg(F.min("x").alias("least"), F.max("x").alias("most"))
+        kinds = materialize(kinds.where("least < most").select("name"), "kinds")
+        if not kinds.head(1):
             break
-        found = rest.where(F.col("count") > CAP).select(*found.columns).mapInArrow(_halves, found.schema)
-        span = -(-span // 2)
+        found = materialize(found.where("bytes is not null").mapInArrow(_parted(share(_filter(kinds))), found.schema), "contexts")
+        ranges = ranges.unionByName(found.where("bytes is null").select("first", "class", *covered))
+        found = found.where("bytes is not null")
     whole = docs.groupBy("class", "n_bytes").agg(F.min("first").alias("least"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n_bytes") >= LENGTH))
     copies = docs.select("first", "class", "n_bytes").join(whole, ["class", "n_bytes"]).where("first > least")
     ranges = ranges.unionByName(copies.select("first", "class", F.lit(0).cast("long").alias("a"), F.col("n_bytes").alias("b")).distinct())
