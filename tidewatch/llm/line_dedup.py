@@ -227,7 +227,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wide = materialize(wide, "wide")
     mixed = wide.groupBy("list").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("list")
     rest = dealt_blocks(wide.join(mixed, "list").join(texts.toDF("class", "text"), "class").withColumn("node", F.col("class")), parts)
-    links = links.unionByName(rest.groupBy("pack").applyInArrow(linked(line_sets, None, percent), "u long, v long").toDF("a", "b"))
+    links = materialize(links.unionByName(rest.groupBy("pack").applyInArrow(linked(line_sets, None, percent), "u long, v long").toDF("a", "b")), "links")
 
     tied = materialize(components(links).toDF("class", "component"), "tied")
     keeper = tied.join(earliest, "class").groupBy("component").agg(F.min("at").alias("keep"))
