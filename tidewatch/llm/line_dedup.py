@@ -31,7 +31,8 @@ from tidewatch.llm.jaccard_join import dealt_blocks, linked
 SHINGLE, PERCENT = 8, 75
 #: A pair at the threshold meets in some band with probability 1 - (1 - 0.75**3)**10 = 0.996; at 0.85, 0.9999.
 BANDS, BAND_ROWS = 10, 3
-FLUSH_ROWS = 1_000_000
+#: Rows packed at a time, and classes that a task remembers so as not to pack them again; neither changes a result.
+FLUSH_ROWS, REMEMBERED = 1_000_000, 500_000
 _MULTIPLIERS = np.random.default_rng(31).integers(1, 2**31, BANDS * BAND_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ROW = np.dtype([("t", "<u4"), ("n", "<u4"), ("c", "<i8")])
 _BLANK = np.array([0x20, 0x09, 0x0B, 0x0C, 0x0D], np.uint32)
@@ -113,6 +114,8 @@ def _band_rows(docs: DataFrame, parts: int) -> DataFrame:
 
         for piece in slices(batches, "text", 1_000_000):
             lines = Lines(piece.column("text").to_pylist())
+            if len(seen) > REMEMBERED:
+                seen.clear()
             names, at = np.unique(lines.classes(), return_index=True)
             new = np.array([i for c, i in zip(names.tolist(), at.tolist(), strict=True) if c and c not in seen], np.int64)
             if not len(new):
@@ -138,27 +141,18 @@ def _band_rows(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _meet(key, table):
-    """Distinct lists of two classes or more that agree in a band."""
+    """Of the classes that agree in a band, each (b) with the least (a)."""
     rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), dtype=_ROW)
     rows = rows[np.lexsort((rows["c"], rows["t"]))]
     new = np.ones(len(rows), bool)
-    new[1:] = (rows["t"][1:] != rows["t"][:-1]) | (rows["c"][1:] != rows["c"][:-1])
-    rows = rows[new]
-    first = np.flatnonzero(np.concatenate([[True], rows["t"][1:] != rows["t"][:-1]])) if len(rows) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(rows)))
-    first, size = first[size > 1], size[size > 1]
-    names, members = [], []
-    seen: set[int] = set()
-    for a, n in zip(first.tolist(), size.tolist(), strict=True):
-        own = rows["c"][a : a + n]
-        name = int(mix(np.array([np.bitwise_xor.reduce(mix(own.view(np.uint64)))], np.uint64) + np.uint64(n)).view(np.int64)[0])
-        if name not in seen:
-            seen.add(name)
-            names.append(name)
-            members.append(own)
-    bounds = np.concatenate([[0], np.cumsum([len(m) for m in members])]).astype(np.int32)
-    flat = np.concatenate(members) if members else np.zeros(0, np.int64)
-    return pa.table({"list": pa.array(names, pa.int64()), "members": pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))})
+    new[1:] = rows["t"][1:] != rows["t"][:-1]
+    least = rows["c"][np.flatnonzero(new)][np.cumsum(new) - 1] if len(rows) else rows["c"]
+    far = least != rows["c"]
+    order = np.lexsort((rows["c"][far], least[far]))
+    a, b = least[far][order], rows["c"][far][order]
+    once = np.ones(len(a), bool)
+    once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.table({"a": pa.array(a[once]), "b": pa.array(b[once])})
 
 
 def line_sets(texts) -> list[np.ndarray]:
@@ -210,10 +204,8 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     place = F.struct("first", "row", "pos")
     earliest = materialize(each.groupBy("class").agg(F.min(place).alias("at"), F.count("*").alias("n")), "earliest")
 
-    meets = _band_rows(docs, parts).groupBy("part").applyInArrow(_meet, "list long, members array<long>")
-    meets = materialize(meets, "meets")
-    stars = materialize(meets.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).where("a != b").distinct(), "stars")
-    wanted = meets.select(F.explode("members").alias("class")).distinct().join(earliest, "class")
+    stars = materialize(_band_rows(docs, parts).groupBy("part").applyInArrow(_meet, "a long, b long").distinct(), "stars")
+    wanted = stars.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(earliest, "class")
     wanted = wanted.groupBy(F.col("at.first").alias("first"), F.col("at.row").alias("row")).agg(F.collect_list(F.struct("class", F.col("at.pos").alias("pos"))).alias("wanted"))
     texts = source.select("first", "row", "text").join(wanted, ["first", "row"]).mapInArrow(_pick, "class long, line string")
     texts = materialize(texts.dropDuplicates(["class"]), "texts")
