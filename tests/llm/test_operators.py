@@ -192,6 +192,20 @@ def plain_ids():
     return {i: t.encode(x or "", add_special_tokens=False).ids for i, x in table_rows()}
 
 
+def test_tokens_are_the_library_s():
+    """Strings of added tokens, in their own case, alone, repeated and glued to letters, in any document of a slice."""
+    from tidewatch.llm.tokens import encoder
+
+    library = Tokenizer.from_file(TOKENIZER)
+    rng = random.Random(9)
+    parts = ["a", " ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "word.", "\n", "0", "7 0", "É", "e\u0301", "\u0301", "don't", "", "日本", "|>"]
+    texts = ["", "<|endoftext|>", "a <|endoftext|> b", "x<|startoftext|><|endoftext|>y", "<|endof"] + ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(3000)] + ["text|> end"]
+    raw = [t.encode() for t in texts]
+    ids, offsets = encoder(TOKENIZER).encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    for i, t in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_elias_fano():
     rng = random.Random(5)
     for n in (1, 2, 70, 500):

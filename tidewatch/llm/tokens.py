@@ -3,12 +3,14 @@
 The tokenizers library encodes every different word once per Python worker; the ids of
 a text are then gathered from those of its words. That is exact for vocabularies whose
 pre-tokenizer never joins across ASCII white space and which ignore the case of A-Z,
-as ``word_bpe_49k.json``; strings of special tokens in a text are ordinary text.
+as ``word_bpe_49k.json``. The strings of its added tokens are cut out of a text first, in
+their own case, and stand for their one id, as in the library.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -35,7 +37,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # what is left of them in a word is of another case, and ordinary text
         self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content.encode(): i for i, t in added.items()}
+        self.find_added = re.compile(b"|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))) if added else None
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.separator = self._encode(["0"])[0]
         self.clear()
@@ -90,6 +96,29 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the offsets of each text's ids."""
+        raw = data.tobytes() if self.find_added else b""
+        if not any(x in raw for x in self.added):
+            return self._encode_plain(data, offsets)
+        bounds = offsets.tolist()
+        found = [(i, m.start(), m.end(), self.added[m[0]]) for i in range(len(bounds) - 1) for m in self.find_added.finditer(raw, bounds[i], bounds[i + 1])]
+        doc, start, end, token = (np.array([f[k] for f in found], np.int64) for k in range(4))
+        # Pieces end where an added token stands or the text ends; the tokens' bytes go.
+        n, k = len(offsets) - 1, len(found)
+        docs, at, last = np.concatenate([doc, np.arange(n)]), np.concatenate([start, offsets[1:]]), np.concatenate([np.zeros(k, bool), np.ones(n, bool)])
+        order = np.lexsort((last, at, docs))
+        at, last, token = at[order], last[order], np.concatenate([token, np.zeros(n, np.int64)])[order]
+        gone = np.zeros(len(data) + 1, np.int64)
+        gone[start] += 1
+        gone[end] -= 1
+        keep = np.cumsum(gone[:-1]) == 0
+        ids, pieces = self._encode_plain(data[keep], np.concatenate([[0], np.concatenate([[0], np.cumsum(keep)])[at]]))
+        tokens_so_far = np.cumsum(~last)
+        out = np.zeros(len(ids) + k, np.uint32)
+        out[np.arange(len(ids)) + np.repeat(tokens_so_far - ~last, np.diff(pieces))] = ids
+        out[(pieces[1:] + tokens_so_far - 1)[~last]] = token[~last]
+        return out, np.concatenate([[0], (pieces[1:] + tokens_so_far)[last]])
+
+    def _encode_plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n_docs = len(offsets) - 1
         data = _LOWER[data]
         starts, ends, docs = word_bounds(data, offsets)
