@@ -139,7 +139,8 @@ def read_tokens(file: DataFrame) -> DataFrame:
                 one = {c: batch.column(c)[row] for c in batch.schema.names}
                 width, n_ids = one["width"].as_py(), one["n_ids"].as_py()
                 ids = np.frombuffer(one["ids"].as_buffer(), dtype=f"<u{width}").astype("<u4")
-                starts = EliasFano.from_bytes(one["bounds"].as_py()).values()
+                bounds = EliasFano.from_bytes(one["bounds"].as_py())
+                starts = np.fromiter((bounds[i] for i in range(len(bounds))), np.int64, len(bounds))
                 raw, ends = memoryview(ids.tobytes()), np.concatenate([starts[1:], [n_ids]])
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
