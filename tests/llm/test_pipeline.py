@@ -18,12 +18,15 @@ def test_stages(spark):
         assert docs.columns == columns
         after = {r.doc_id: r.text for r in docs.collect()}
         if name == "line_dedup":
-            assert after == brute.dedup_lines(before)
+            cut = brute.dedup_lines(before)
+            assert after == {i: t for i, t in cut.items() if t == dict(before)[i] or brute.WORD.search(t)}
+            assert len(after) < len(before)  # exact copies lose all their lines
         elif name == "jaccard_join":
             assert set(after) == {i for i, (_, c) in brute.near_components(before).items() if c == i}
         elif name == "suffix_dedup":
             flags = brute.covered(before)
-            assert after == {i: brute.cut_text(t, flags[i]) for i, t in before}
+            cut = {i: brute.cut_text(t, flags[i]) for i, t in before}
+            assert after == {i: t for i, t in cut.items() if t == dict(before)[i] or brute.WORD.search(t)}
         else:
             assert 0 < len(after) < len(before) and all(dict(before)[i] == t for i, t in after.items())
         assert all(r.n_chars == len(r.text) for r in docs.collect())

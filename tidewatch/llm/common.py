@@ -14,7 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2_000_000
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
@@ -52,6 +53,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def has_words(text: str) -> Column:
+    """Whether a column of texts holds more than white space; false of null."""
+    return F.coalesce(F.btrim(F.col(text), F.lit("".join(map(chr, SPACES)))) != "", F.lit(False))
+
+
 def parts_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

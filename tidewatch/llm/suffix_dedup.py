@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import flat, materialize, mix, parts_of, powers, prefix_sums, range_hash, slices
+from tidewatch.llm.common import flat, has_words, materialize, mix, parts_of, powers, prefix_sums, range_hash, slices
 
 LENGTH, GRAM = 100, 32
 #: Strings that may share an anchor: their starts lie up to REACH bytes before it.
@@ -660,11 +660,17 @@ def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["ranges"])
 
 
-def cut_repeats(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, with the covered bytes cut from ``text``, as far as they are whole characters."""
+def cut_repeats(docs: DataFrame, emptied: bool = True) -> DataFrame:
+    """``docs``, all columns, with the covered bytes cut from ``text``, as far as they are whole characters.
+
+    ``emptied`` False: a document that loses bytes and has no word left goes.
+    """
     plain = _keyed(docs.select("doc_id", "text"))
     # one column for all others, so that names can't clash
     keyed = _keyed(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("own")))
-    full = keyed.join(removed_ranges(plain), ["first", "class"], "left").select("own", "text", "ranges")
+    full = keyed.join(removed_ranges(plain), ["first", "class"], "left").select("own", "text", F.col("ranges").isNotNull().alias("loses"), "ranges")
     schema = ", ".join(f"`{n}` {t}" for n, t in full.drop("ranges").dtypes)
-    return full.mapInArrow(_cut_text, schema).select(*((F.col("text") if c == "text" else F.col(f"own.`{c}`").alias(c)) for c in docs.columns))
+    cut = full.mapInArrow(_cut_text, schema)
+    if not emptied:
+        cut = cut.where(~F.col("loses") | has_words("text"))
+    return cut.select(*((F.col("text") if c == "text" else F.col(f"own.`{c}`").alias(c)) for c in docs.columns))
