@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 to the shared folder and read again as the next one's docs. All but the last return the
-columns of documents; where a stage changes the text, n_chars follows it.
+columns of documents; where a stage changes the text, n_chars follows it. A document that
+a stage cuts from, and of which no word is left, goes.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import materialize
+from tidewatch.llm.common import has_words, materialize
 from tidewatch.llm.jaccard_join import one_of_each
 from tidewatch.llm.line_dedup import line_dedup
 from tidewatch.llm.packing import packing
@@ -29,8 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that are alike to an earlier line."""
-    return _recount(line_dedup(docs).select(*docs.columns))
+    """Documents without lines that are alike to an earlier line; those that lose all their words go."""
+    judged = line_dedup(docs)
+    return _recount(judged.where((F.col("n_removed") == 0) | has_words("text")).select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +41,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 100 bytes or more that stand earlier."""
-    return _recount(cut_repeats(docs))
+    """Documents without passages of 100 bytes or more that stand earlier; those that lose all their words go."""
+    return _recount(cut_repeats(docs, emptied=False))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
