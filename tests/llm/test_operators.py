@@ -361,6 +361,11 @@ def test_html(spark):
         ("<p class='notice-period'>Two months.</p>", "Two months."),
         ("<figure><figcaption>The bridge.</figcaption></figure>", "The bridge."),
         ("<ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul>", "One\n\nTwo"),
+        ("<p title=it's>That's it.</p>", "That's it."),
+        ("<p title='a > b' data-x=\"it's\">More.</p>", "More."),
+        ("<p>See <a href=x?a=b title=\"note>link</a> here.</p>", "See link here."),
+        ("<h1 class=\"post-header\">Head</h1>", "Head"),
+        ("<p>1 < 2 and a<b>c</b> </>end.</p>", "1 < 2 and ac end."),
         ("<div class='ad'>Buy</div>", None),
         ("<div class='related-posts'><a href=x>More</a></div>", None),
     ],
@@ -386,6 +391,11 @@ def test_html_articles_in_page_order(page, texts):
     assert html_text.main_text(page.format(ARTICLE_LINE)).split("\n\n") == [t.format(ARTICLE_LINE) for t in texts]
 
 
+@pytest.mark.parametrize("end", ["<p class='x", "<a", "</p", "<!-- c", "<p title=\"a", "<br/"])
+def test_html_cut_off(end):
+    assert html_text.main_text(f"<article><p>{ARTICLE_LINE}</p>" + end) == ARTICLE_LINE
+
+
 @pytest.mark.parametrize("tag", ["div", "b", "article", "p><div", "li"])
 def test_html_nested_deeply(tag):
     assert html_text.main_text(f"<{tag}>" * 20000 + ARTICLE_LINE) == ARTICLE_LINE

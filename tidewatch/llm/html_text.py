@@ -44,8 +44,9 @@ PROSE = HEADINGS | frozenset("p pre blockquote td th tr li dt dd figure figcapti
 BODY_WORDS = frozenset("article content main body post entry text story maincontent articlebody page".split())
 TAG_POINTS = {"article": 10.0, "main": 8.0, "section": 2.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "address": -3.0}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+#: Quotes only count where an attribute's value begins; a quote that is never closed is part of the value. A tag that the page ends in is dropped.
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)(?:>|(\Z))|<[!?/][^>]*>", re.S)
+_ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -105,7 +106,7 @@ def parse(page: str) -> Node:
             break
         at = found.end()
         name = (found[2] or "").lower()
-        if not name:
+        if not name or found[4] is not None:
             continue
         if found[1]:
             if name in BLOCKS or name not in VOID:
