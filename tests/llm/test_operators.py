@@ -411,6 +411,18 @@ def test_jaccard_of_one_id_with_two_texts(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (7, 2), (7, 7), (8, 7), (9, 2)]
 
 
+def test_jaccard_by_way_of_a_null_id(spark):
+    """A row without doc_id links the rows on both sides of it, and belongs to their component."""
+    words = [f"w{i}" for i in range(104)]
+    left, right = [*(f"x{i}" for i in range(10)), *words[10:]], [*words[:93], *(f"y{i}" for i in range(11))]
+    rows = [(1, " ".join(left)), (None, " ".join(words)), (None, " ".join(words)), (3, " ".join(right)), (None, "alone in here by itself now")]
+    sets = [brute.shingles(t) for t in (rows[0][1], rows[1][1], rows[3][1])]
+    alike = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+    assert alike(sets[0], sets[1]) and alike(sets[1], sets[2]) and not alike(sets[0], sets[2])
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id or 0), r.component_id or 0) for r in got) == [(0, 0), (0, 1), (0, 1), (1, 1), (3, 1)]
+
+
 def test_language_of_few_documents_is_learned(spark):
     """However few documents a language has, the bounded sample holds some of it."""
     rows = [(i, prose(i, 20), "en") for i in range(300)] + [(1000 + 100 * k + i, prose(k, 20), f"l{k}") for k in range(4) for i in range(3)]

@@ -6,15 +6,15 @@
    share one (frequent shingles stand last in the order, so they rarely count). Rows go
    to their reducers packed in blocks of bytes.
 3. Classes under one shingle make a list. First each is held against the list's least
-   member; for lists that this leaves in several components, a signature tree is built:
+   member, and lists with the same least member are one; for lists that this leaves in several components, a signature tree is built:
    its nodes hold OR-combined bitmaps of the sets and size ranges, and two nodes are only
    descended together if their greatest possible overlap suffices for some pair.
 4. Members with a surviving partner are verified on their texts, the most promising pairs
    first. Pairs within one component are skipped, so a large group of copies never makes
    all its pairs, while no link between components is lost.
 
-Defined results: null or blank text has the empty set and is its own component; a null
-doc_id is linked through equal sets alone; repeated rows share their class; equal
+Defined results: null or blank text has the empty set and is its own component; a row with a
+null doc_id is linked as any other, and component_id is null where no linked row has an id; repeated rows share their class; equal
 doc_ids with different texts each keep their row and are linked by their own text; an empty table gives no rows. Sets are
 of 64-bit hashes.
 """
@@ -158,32 +158,19 @@ def prefix_rows(docs: DataFrame, hot: np.ndarray, parts: int, words: int = WORDS
     return docs.select("text").mapInArrow(run, "part int, rows binary")
 
 
-def _lists(percent: int):
-    """From all rows of a part: distinct lists of classes that share a shingle."""
-
-    def run(key, table):
-        rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), dtype=_ROW)
-        order = np.lexsort((rows["c"], rows["t"]))
-        t, c, n = rows["t"][order], rows["c"][order], rows["n"][order].astype(np.int64)
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-        t, c, n = t[new], c[new], n[new]
-        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(t)))
-        first, size = first[size > 1], size[size > 1]
-        if not len(first):
-            return pa.table({"list": pa.array([], pa.int64()), "members": pa.array([], pa.list_(pa.int64()))})
-        keep = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        members = c[keep]
-        names = mix(np.add.reduceat(mix(members.view(np.uint64)), np.cumsum(size) - size) + size.astype(np.uint64)).view(np.int64)
-        _, at = np.unique(names, return_index=True)
-        at.sort()
-        starts, sizes = (np.cumsum(size) - size)[at], size[at]
-        take = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(members[take]))
-        return pa.table({"list": pa.array(names[at]), "members": lists})
-
-    return run
+def stars(key, table):
+    """From all packed rows of a part: of the classes under one name (t), each (b) with the least (a)."""
+    rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), dtype=_ROW)
+    rows = rows[np.lexsort((rows["c"], rows["t"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = rows["t"][1:] != rows["t"][:-1]
+    least = rows["c"][np.flatnonzero(new)][np.cumsum(new) - 1] if len(rows) else rows["c"]
+    far = least != rows["c"]
+    order = np.lexsort((rows["c"][far], least[far]))
+    a, b = least[far][order], rows["c"][far][order]
+    once = np.ones(len(a), bool)
+    once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.table({"a": pa.array(a[once]), "b": pa.array(b[once])})
 
 
 class SignatureTree:
@@ -321,8 +308,9 @@ def dealt_blocks(members: DataFrame, parts: int, block: int = LIST_BLOCK) -> Dat
 
 def _texts(classes: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
     """class, text of each class's representative: doc_ids may occur again with other texts, so the text's hash is joined on too."""
-    named = classes.join(info.where("doc_id is not null").select("class", "doc_id", "key"), "class")
-    return named.join(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("class", "text")
+    named = classes.join(info.select("class", F.col("doc_id").alias("id"), "key"), "class")
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    return named.join(docs.select("doc_id", F.xxhash64("text").alias("key"), "text").withColumnRenamed("key", "own"), same & (F.col("own") == F.col("key"))).dropDuplicates(["class"]).select("class", "text")
 
 
 def _verify(pairs: DataFrame, info: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -365,8 +353,7 @@ def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
     info = materialize(info.select("class", F.nullif(F.col("x.d"), top).alias("doc_id"), F.col("x.key").alias("key"), F.col("x.n").alias("n"), F.col("x.bits").alias("bits")), "classes")
 
     rows = prefix_rows(docs, hot, parts, words, percent)
-    lists = rows.groupBy("part").applyInArrow(_lists(percent), "list long, members array<long>")
-    lists = materialize(lists, "lists")
+    starred = materialize(rows.groupBy("part").applyInArrow(stars, "a long, b long").distinct(), "stars")
 
     def bounded(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and bitmaps allow the threshold."""
@@ -386,14 +373,13 @@ def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
         fits = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
         return x.where(fits).select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
 
-    stars = materialize(lists.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).where("a != b").distinct(), "stars")
-    tried = materialize(bounded(stars), "pairs")
+    tried = materialize(bounded(starred), "pairs")
     links = materialize(_verify(tried, info, docs, words, percent), "links")
     # All lists with the same least member are one from here on, so a pair in several of them is met once. That member was held against all.
-    sizes = stars.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
-    wide = materialize(stars.join(sizes, "a").select(F.col("a").alias("list"), F.col("b").alias("class"), "m"), "lists")
+    sizes = starred.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
+    wide = materialize(starred.join(sizes, "a").select(F.col("a").alias("list"), F.col("b").alias("class"), "m"), "lists")
     tied = components(links)
-    comp = info.where("doc_id is not null").select("class", "n", "bits").join(tied.select(F.col("node").alias("class"), "component"), "class", "left")
+    comp = info.select("class", "n", "bits").join(tied.select(F.col("node").alias("class"), "component"), "class", "left")
     comp = materialize(comp.select("class", "n", "bits", F.coalesce("component", "class").alias("comp")), "comps")
     mixed = wide.join(comp.select("class", "comp"), "class").groupBy("list").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("list")
     dealt = dealt_blocks(wide.join(mixed, "list").join(comp, "class"), parts)

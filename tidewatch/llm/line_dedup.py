@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import materialize, mix, parts_of, powers, slices
 from tidewatch.llm.components import components
 from tidewatch.llm.jaccard_join import dealt_blocks, linked
+from tidewatch.llm.jaccard_join import stars as stars_of
 
 SHINGLE, PERCENT = 8, 75
 #: A pair at the threshold meets in some band with probability 1 - (1 - 0.75**3)**10 = 0.996; at 0.85, 0.9999.
@@ -140,21 +141,6 @@ def _band_rows(docs: DataFrame, parts: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "part int, rows binary")
 
 
-def _meet(key, table):
-    """Of the classes that agree in a band, each (b) with the least (a)."""
-    rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), dtype=_ROW)
-    rows = rows[np.lexsort((rows["c"], rows["t"]))]
-    new = np.ones(len(rows), bool)
-    new[1:] = rows["t"][1:] != rows["t"][:-1]
-    least = rows["c"][np.flatnonzero(new)][np.cumsum(new) - 1] if len(rows) else rows["c"]
-    far = least != rows["c"]
-    order = np.lexsort((rows["c"][far], least[far]))
-    a, b = least[far][order], rows["c"][far][order]
-    once = np.ones(len(a), bool)
-    once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return pa.table({"a": pa.array(a[once]), "b": pa.array(b[once])})
-
-
 def line_sets(texts) -> list[np.ndarray]:
     """The shingle set of each line."""
     lines = Lines(texts.to_pylist())
@@ -204,7 +190,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     place = F.struct("first", "row", "pos")
     earliest = materialize(each.groupBy("class").agg(F.min(place).alias("at"), F.count("*").alias("n")), "earliest")
 
-    stars = materialize(_band_rows(docs, parts).groupBy("part").applyInArrow(_meet, "a long, b long").distinct(), "stars")
+    stars = materialize(_band_rows(docs, parts).groupBy("part").applyInArrow(stars_of, "a long, b long").distinct(), "stars")
     wanted = stars.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(earliest, "class")
     wanted = wanted.groupBy(F.col("at.first").alias("first"), F.col("at.row").alias("row")).agg(F.collect_list(F.struct("class", F.col("at.pos").alias("pos"))).alias("wanted"))
     texts = source.select("first", "row", "text").join(wanted, ["first", "row"]).mapInArrow(_pick, "class long, line string")
