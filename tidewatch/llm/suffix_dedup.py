@@ -50,8 +50,8 @@ FLUSH_ROWS = 1_000_000
 STEP_BYTES = 250_000
 #: Text whose contexts are settled together before they are shuffled; stretches of a longer document, and their overlap.
 HOLD_BYTES, STRETCH, MARGIN = 8_000_000, 500_000, 2 * LENGTH
-#: Contexts of one anchor that a task takes together; an anchor that may have more goes the other, as exact way.
-CAP = 2_000
+#: Contexts of one anchor that a task takes together, about 8 MB of them; an anchor that may have more goes the other, as exact way.
+CAP = 20_000
 #: Rows of one anchor that a step counts, and classes that a task remembers: neither changes a result.
 COUNTED, REMEMBERED = 64, 500_000
 #: Into how many parts the strings of a hot context are cut at a time.
