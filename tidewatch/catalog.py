@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import columns as C
 from tidewatch.operators import folds, stations, subscribe, vessels
 from tidewatch.plans.adapt import EVENTS_SQL, events
-from tidewatch.sources import formats
+from tidewatch.sources import codec, formats
 from tidewatch.streaming import dedupe as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -371,9 +371,10 @@ def time4_written_time(spark, d):
 
 @query(" SELECT seq, mmsi, p AS part, CASE WHEN p = 0 THEN concat('V', k, ' ', upper(msg_type)) [1:20] END AS name, CASE WHEN p = 1 THEN k % 100 END AS ship_type FROM ev, (SELECT unnest([0, 1]::BIGINT[]) AS p)")
 def par9_static_reports(spark, d):
-    parts = formats.static_bits(F.col("mmsi"), F.concat(F.lit("V"), F.col("k").cast("string"), F.lit(" "), "msg_type"), F.col("k") % 100)
-    told = events(spark, d).select("seq", F.explode(F.array(*map(C.armour, parts))).alias("payload")).withColumn("bits", C.unarmour(F.col("payload")))
-    return told.select("seq", *formats.decode_static(F.col("bits")))
+    e = events(spark, d)
+    name = F.concat(F.lit("V"), F.col("k").cast("string"), F.lit(" "), "msg_type")
+    told = codec.encoded(e, 24, {"mmsi": F.col("mmsi"), "name": name}, part=0).unionByName(codec.encoded(e, 24, {"mmsi": F.col("mmsi"), "ship_type": F.col("k") % 100}, part=1))
+    return codec.decoded(told.select("seq", "payload", "fill"), ["part", "name", "ship_type"]).select("seq", "mmsi", "part", "name", "ship_type")
 
 
 @query(" SELECT seq, mmsi, round(round(lat * 600000) / 600000, 6) AS lat, round(round(lon * 600000) / 600000, 6) AS lon, round(round(sog * 10) / 10, 6) AS sog FROM ev WHERE t // 3600000000 % 24 <> 0")
@@ -467,3 +468,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+# They register their queries with the decorator above.
+from tidewatch import catalog_feeds, catalog_rules  # noqa: E402, F401

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 # Fixed values of the protocol and of the service's rules.
 EARTH_NM = 3440.065
+KNOTS = 1.9438444924574
 SKEW_US = 30_000_000
 REPLAY_US = 60_000_000
 LOW_TRUST = "^(udp|mmsi):"
 FEEDABLE = "^(udp|mmsi|http|v1):"
 POSITION_TYPES = ("PositionReport", "StandardClassBPositionReport", "ExtendedClassBPositionReport", "LongRangeAisBroadcastMessage", "StandardSearchAndRescueAircraftReport")
 LICENSES = {"kystverket": "nlod", "digitraffic": "cc-by-4.0", "aishub": "aishub", "aisstream": "aisstream"}
+NAV_STATUS = dict(enumerate(("Under way using engine", "At anchor", "Not under command", "Restricted manoeuvrability", "Constrained by draught", "Moored", "Aground", "Fishing", "Under way sailing", "HSC", "WIG"))) | {14: "AIS-SART"}
 SIX_BIT_TEXT = "@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_ !\"#$%&'()*+,-./0123456789:;<=>?"
 
 
@@ -49,6 +51,20 @@ def checksum(body: Column) -> Column:
     return F.lpad(F.hex(F.aggregate(codes, F.lit(0), lambda a, x: a.bitwiseXOR(x)).cast("long")), 2, "0")
 
 
+def refined_station(source: Column, station: Column, tag: Column) -> Column:
+    """The station that the TAG block names, under its source."""
+    return F.when(F.coalesce(tag, F.lit("")) != "", F.concat(source, F.lit("/"), tag)).otherwise(station)
+
+
+def channel(parsed: Column) -> Column:
+    """A or B; anything but B and 2 counts as A."""
+    return F.when(parsed.isin("B", "2"), "B").otherwise("A")
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def tag_safe(text: Column) -> Column:
     """Field text of a TAG block: separators become _, the last 15 characters count."""
     return F.right(F.translate(text, ",\\*:", "____"), F.lit(15))
@@ -80,39 +96,6 @@ def binary(value: Column, width: int) -> Column:
     return F.lpad(F.bin(value.cast("long").bitwiseAND(F.lit((1 << width) - 1).cast("long"))), width, "0")
 
 
-def unsigned(bits: Column, offset: int, width: int) -> Column:
-    return F.conv(F.substring(bits, offset + 1, width), 2, 10).cast("long")
-
-
-def signed(bits: Column, offset: int, width: int) -> Column:
-    return unsigned(bits, offset, width) - F.when(F.substring(bits, offset + 1, 1) == "1", 1 << width).otherwise(0)
-
-
-def armour(bits: Column) -> Column:
-    """Six bits a character: values to 39 from code 48, greater ones from code 56."""
-    padded = F.rpad(bits, F.ceil(F.length(bits) / 6).cast("int") * 6, F.lit("0"))
-    count = F.floor(F.length(padded) / 6).cast("int")
-    values = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.conv(padded.substr(i * 6 + 1, F.lit(6)), 2, 10).cast("int"))
-    return F.array_join(F.transform(values, lambda v: F.chr(v + F.when(v < 40, 48).otherwise(56))), "")
-
-
-def unarmour(payload: Column) -> Column:
-    values = F.transform(F.split(payload, ""), lambda c: F.ascii(c) - F.when(F.ascii(c) > 87, 56).otherwise(48))
-    return F.array_join(F.transform(values, lambda v: F.lpad(F.bin(v.cast("long")), 6, "0")), "")
-
-
-def six_bit_text(bits: Column, offset: int, chars: int) -> Column:
-    """Text of the six-bit alphabet: it ends at @, and trailing spaces go."""
-    letters = [F.substring(F.lit(SIX_BIT_TEXT), unsigned(bits, offset + 6 * i, 6).cast("int") + 1, F.lit(1)) for i in range(chars)]
-    return F.rtrim(F.substring_index(F.concat(*letters, F.lit("@")), "@", 1))
-
-
-def six_bits_of_text(text: Column, chars: int) -> Column:
-    """Upper-case text as six-bit codes, filled up with @."""
-    full = F.substring(F.rpad(F.upper(text), chars, "@"), 1, chars)
-    return F.concat(*(F.lpad(F.bin((F.position(F.substring(full, i + 1, 1), F.lit(SIX_BIT_TEXT)) - 1).cast("long")), 6, "0") for i in range(chars)))
-
-
 def tag_block(fields: list[tuple[str, Column]]) -> Column:
     """A TAG block with its checksum, between backslashes."""
     body = F.concat_ws(",", *(F.concat(F.lit(f"{k}:"), v) for k, v in fields))
@@ -156,3 +139,49 @@ def ship_class(code: Column) -> Column:
 
 def age_opacity(age_s: Column) -> Column:
     return F.when(age_s < 180, 1.0).when(age_s < 600, 0.6).otherwise(0.3)
+
+
+def fingerprint(*fields: str) -> Column:
+    """Static fields as one text; a missing one is empty."""
+    return F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields))
+
+
+def dimensions(bow: Column, length: Column, starboard: Column, beam: Column) -> dict[str, Column]:
+    """Distances of the antenna to the four sides; null where one of the two that it follows from is."""
+    return {"to_bow": bow, "to_stern": length - bow, "to_port": beam - starboard, "to_starboard": starboard}
+
+
+def json_number(value: Column) -> Column:
+    """A number as JSON writers print it: no fraction if it is whole, no exponent."""
+    plain = F.regexp_replace(value.cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    return F.when(F.abs(value) >= 0.001, F.regexp_replace(value.cast("string"), r"\.0$", "")).when(value == 0, "0").otherwise(plain)
+
+
+def lower_keys(body: Column) -> Column:
+    """A JSON object as a map with keys in lower case."""
+    return F.transform_keys(F.from_json(body, "map<string,string>"), lambda k, _: F.lower(k))
+
+
+def nav_label(status: Column) -> Column:
+    """Label of a navigational status; null for one that is reserved."""
+    return F.element_at(F.create_map(*(F.lit(x) for kv in NAV_STATUS.items() for x in kv)), status.cast("int"))
+
+
+def heading_or_course(heading: Column, cog: Column) -> Column:
+    return F.coalesce(F.when(heading < 511, heading.cast("double")), F.when(cog < 360, cog))
+
+
+def ipv4(text: Column) -> Column:
+    """An address as a number; null if it isn't one."""
+    part = lambda i: F.regexp_extract(text, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i).try_cast("long")
+    parts = [part(i) for i in range(1, 5)]
+    fine = parts[0].between(0, 255) & parts[1].between(0, 255) & parts[2].between(0, 255) & parts[3].between(0, 255)
+    return F.when(fine, ((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3])
+
+
+def in_cidr(ip: Column, cidr: Column) -> Column:
+    """Whether an address lies in a block such as ``10.1.0.0/16``, or is the one given; false if either can't be read."""
+    bits = F.when(cidr.contains("/"), F.substring_index(cidr, "/", -1).try_cast("int")).otherwise(32)
+    size = F.pow(F.lit(2.0), 32 - bits).cast("long")
+    block = F.floor(ipv4(F.substring_index(cidr, "/", 1)) / size) == F.floor(ipv4(ip) / size)
+    return F.coalesce(bits.between(0, 32) & block, F.lit(False))

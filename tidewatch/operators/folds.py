@@ -14,27 +14,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.vessels import nautical_miles
+
 #: Arrival numbers of a block.
 BLOCK = 65_536
 
 
-def _flagged(df: DataFrame, key: list[str], name: str, step: Callable) -> DataFrame:
-    """Adds ``name``. ``step(state, t)`` gives the next state and a row's flag; a key's first state is None."""
+def _flagged(df: DataFrame, key: list[str], name: str, step: Callable, read: tuple[str, ...] = ("t",)) -> DataFrame:
+    """Adds ``name``. ``step(state, *read)`` gives the next state and a row's flag; a key's first state is None."""
     n = len(key)
+    own = [c for c in df.columns if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = state = None
         for batch in batches:
             flags = []
-            for *own, t in zip(*(batch.column(i).to_pylist() for i in range(n)), batch.column(n + 1).to_pylist(), strict=True):
-                if own != held:
-                    held, state = own, None
-                state, flag = step(state, t)
+            for row in zip(*(batch.column(c).to_pylist() for c in (*key, *read)), strict=True):
+                if row[:n] != held:
+                    held, state = row[:n], None
+                state, flag = step(state, *row[n:])
                 flags.append(flag)
-            yield pa.RecordBatch.from_arrays([batch.column(n), pa.array(flags, pa.bool_())], names=["seq", name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_())], names=[*own, name])
 
-    rows = df.select(*key, F.col("seq").cast("long").alias("seq"), "t").repartition(*key).sortWithinPartitions(*key, "seq")
-    return df.join(rows.mapInArrow(run, f"seq long, {name} boolean"), "seq")
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.select(*own).dtypes), f"{name} boolean"])
+    return df.select(*own).repartition(*key).sortWithinPartitions(*key, "seq").mapInArrow(run, schema)
 
 
 def dedupe(df: DataFrame, key: list[str], window_us: int) -> DataFrame:
@@ -58,6 +61,31 @@ def anchored_limit(df: DataFrame, key: list[str], window_us: int, most: int) ->
     return _flagged(df, key, "allowed", step)
 
 
+def slots(df: DataFrame, key: list[str], frees: Column, most: int) -> DataFrame:
+    """Adds ``granted``: of a key's streams at most ``most`` are open at a time; a refused one takes no slot, and rows that ``frees`` give one back."""
+
+    def step(n, free):
+        n = n or 0
+        if free:
+            return max(n - 1, 0), False
+        return (n + 1, True) if n < most else (n, False)
+
+    return _flagged(df.withColumn("__frees", frees), key, "granted", step, ("__frees",)).drop("__frees")
+
+
+def moved(df: DataFrame, key: list[str], radius_nm: float, fraction: float = 0.25) -> DataFrame:
+    """Adds ``moved``: farther than that fraction of the radius from where the key last moved to. Rows without a position never are."""
+
+    def step(at, lat, lon):
+        if lat is None or lon is None:
+            return at, False
+        if at is None or nautical_miles(*at, lat, lon) > radius_nm * fraction:
+            return (lat, lon), True
+        return at, False
+
+    return _flagged(df, key, "moved", step, ("lat", "lon"))
+
+
 def pacer(df: DataFrame, key: list[str], unit_us: int, most: int) -> DataFrame:
     """The first ``most`` rows of each key and clock unit; a limit of 0 or less lets all pass."""
     if most <= 0:

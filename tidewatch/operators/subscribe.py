@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import in_box
+from tidewatch.functions.columns import POSITION_TYPES, in_box
 
 CELL = 10.0
 
@@ -33,6 +33,27 @@ def match_any(has_pos: Column, boxes: list[tuple], mmsis: list[int]) -> Column:
     return F.col("mmsi").isin(*mmsis) | (has_pos & any_box(boxes))
 
 
+def match_text_feed(events: DataFrame, low: Column, borne_out: Column, has_pos: Column, boxes: list[tuple]) -> DataFrame:
+    """The text feed: nothing of low trust that isn't borne out; with boxes, positions in any of them."""
+    kept = events.where(~low | borne_out)
+    return kept.where(has_pos & any_box(boxes)) if boxes else kept
+
+
+def vessel_filter(bbox: str | None, mmsis: str | None) -> Column:
+    """Condition on vessels (mmsi, has_pos, lat, lon) of a request: with neither given, all with a position; a box of zeros holds none.
+
+    Raises ValueError for a box that isn't four numbers; names that aren't numbers are left out.
+    """
+    if not bbox and not mmsis:
+        return F.col("has_pos")
+    wanted = [int(x) for x in (mmsis or "").split(",") if x.strip().isdigit()]
+    box = tuple(float(x) for x in bbox.split(",")) if bbox else (0.0,) * 4
+    if len(box) != 4:
+        raise ValueError("bbox=minLat,minLon,maxLat,maxLon")
+    inside = in_box(F.col("lat"), F.col("lon"), box) if any(box) else F.lit(False)
+    return F.col("has_pos") & (F.col("mmsi").isin(*wanted) | inside if wanted else inside)
+
+
 def fan_out(events: DataFrame, boxes: DataFrame) -> DataFrame:
     """Each (subscription, event) once. ``boxes``: sub, min_lat, min_lon, max_lat, max_lon; a subscription may have several."""
     cell = lambda c: F.floor(F.col(c) / CELL)
@@ -42,6 +63,17 @@ def fan_out(events: DataFrame, boxes: DataFrame) -> DataFrame:
     return placed.join(filed, ["cy", "cx"]).where(inside).select("sub", "seq", "mmsi").distinct()
 
 
+def shown_on_board(events: DataFrame, own_source: str, own_mmsi: int) -> DataFrame:
+    """Events that a boat shows: not its own source's, not of itself, and no position report whose position was rejected."""
+    rejected = F.col("msg_type").isin(*POSITION_TYPES) & (F.col("lat").isNull() | F.col("lon").isNull())
+    return events.where((F.col("source") != own_source) & (F.col("mmsi") != own_mmsi) & ~rejected)
+
+
+def not_looped(published: DataFrame, received: DataFrame, within_us: int) -> DataFrame:
+    """Published rows (key, t) whose key wasn't received from the server in the ``within_us`` before."""
+    return quiet_targets(published.withColumn("mmsi", F.col("key")), received.withColumn("mmsi", F.col("key")), within_us).drop("mmsi")
+
+
 def quiet_targets(network: DataFrame, local: DataFrame, within_us: int) -> DataFrame:
     """Network rows of targets that no local row (other source) updated in the ``within_us`` before: an interval anti-join, bucketed by time."""
     bucket = F.floor(F.col("t") / within_us)

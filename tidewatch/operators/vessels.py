@@ -1,8 +1,9 @@
 """Vessel state: every message of a vessel folded, in arrival order, into its latest state.
 
 A late position never moves a vessel back, but its static fields still count. A jump that
-is too fast to be real, from a source of low trust, changes nothing. Messages are dealt
-out by vessel and sorted in their task; only a vessel's small state is carried along.
+is too fast to be real, from a source of low trust, changes nothing. A copy that the dedupe
+dropped only tells, if its source is trusted, when the vessel was last heard by such a one.
+Messages are dealt out by vessel and sorted in their task; a vessel's small state is carried along.
 """
 
 from __future__ import annotations
@@ -11,69 +12,144 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import EARTH_NM, LOW_TRUST
+from tidewatch.functions.columns import EARTH_NM, LOW_TRUST, POSITION_TYPES
 
-STALE_US, JUMP_US, MAX_KNOTS, TRUST_US = 1_000_000, 1_000_000, 120.0, 3_600_000_000
+# Fixed values of the service's rules, and what a state holds where nothing is known.
+STALE_US, JUMP_US, MAX_KNOTS, TRUST_US, EXPIRES_US = 1_000_000, 1_000_000, 120.0, 3_600_000_000, 1_800_000_000
+NO_COG, NO_SOG, NO_HEADING, NO_STATUS = 360.0, 102.3, 511, 15
+KINDS = {"BaseStationReport": "base", "AidsToNavigationReport": "aton", "StandardSearchAndRescueAircraftReport": "sar"}
 
-_READ = ("mmsi", "t", "lat", "lon", "sog", "station", "name", "pos", "low")
-_STATE = "seen long, has_pos boolean, lat double, lon double, pos_at long, sog double, name string, station string, trusted_at long, n long, n_stale long, n_jump long"
+STATE = "seen long, has_pos boolean, lat double, lon double, pos_at long, sog double, cog double, heading long, nav_status long, name string, ship_type long, kind string, source string, station string, msg_type string, trusted_at long, n long, n_stale long, n_jump long"
+STATE_NAMES = [c.split()[0] for c in STATE.split(", ")]
+_READ = ("t", "pos", "low", "dup", "heard", "lat", "lon", "sog", "cog", "heading", "nav_status", "name", "ship_type", "kind", "source", "station", "msg_type")
+_STAMP = "seq long, jump boolean, stale boolean, corroborated boolean, v_name string, v_has_pos boolean, v_lat double, v_lon double"
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def new_state() -> list:
+    return [None, False, None, None, None, None, NO_COG, NO_HEADING, NO_STATUS, None, None, "vessel", None, None, None, None, 0, 0, 0]
+
+
+def nautical_miles(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    arc = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * EARTH_NM * math.asin(math.sqrt(min(1.0, arc)))
+
+
+def fold_row(state: list, row: tuple) -> tuple[bool, bool, bool] | None:
+    """Folds a row (in the order of ``_READ``) into the state: (jump, stale, corroborated), or None for a dropped copy."""
+    t, pos, low, dup, heard, lat, lon, sog, cog, heading, nav_status, name, ship_type, kind, source, station, msg_type = row
+    seen, has_pos, old_lat, old_lon, pos_at = state[:5]
+    if dup:
+        if heard and not low and state[16] + state[18] and (state[15] is None or t > state[15]):
+            state[15] = t
+        return None
+    stale = bool(has_pos and t < seen - STALE_US)
+    if low and pos and not stale and has_pos and t - pos_at >= JUMP_US and nautical_miles(old_lat, old_lon, lat, lon) / ((t - pos_at) / 3.6e9) > MAX_KNOTS:
+        state[18] += 1
+        return True, False, False
+    state[16] += 1
+    state[17] += stale
+    if name:
+        state[9] = name
+    if ship_type:
+        state[10] = ship_type
+    if kind != "vessel":
+        state[11] = kind
+    if pos and not stale:
+        state[1:8] = [True, lat, lon, t, sog, cog, heading]
+        if low is False:
+            state[15] = t
+    if not stale:
+        if nav_status != NO_STATUS:
+            state[8] = nav_status
+        state[0], state[12:15] = t, (source, station, msg_type)
+    return False, stale, not low or state[15] is not None and t - state[15] < TRUST_US
+
+
+def prepared(messages: DataFrame) -> DataFrame:
+    """seq, mmsi and the columns that a fold reads; what ``messages`` lacks is unknown."""
+    have = set(messages.columns)
+    get = lambda c, kind, default: F.coalesce(F.col(c).cast(kind), F.lit(default)) if c in have else F.lit(default).cast(kind)
+    valid = F.coalesce(F.col("pos") & (F.abs("lat") <= 90) & (F.abs("lon") <= 180), F.lit(False))
+    text = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+    kinds = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))
+    return messages.select(
+        "seq", "mmsi", F.col("t").cast("long").alias("t"), valid.alias("pos"), F.col("source").rlike(LOW_TRUST).alias("low"), get("is_dup", "boolean", False).alias("dup"),
+        (text("msg_type").isin(*POSITION_TYPES) if "msg_type" in have else F.lit(False)).alias("heard"),
+        F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), get("sog", "double", NO_SOG).alias("sog"), get("cog", "double", NO_COG).alias("cog"), get("heading", "long", NO_HEADING).alias("heading"),
+        get("nav_status", "long", NO_STATUS).alias("nav_status"), F.coalesce("name", F.lit("")).alias("name"), get("ship_type", "long", 0).alias("ship_type"),
+        (F.coalesce(F.element_at(kinds, text("msg_type")), F.lit("vessel")) if "msg_type" in have else F.lit("vessel")).alias("kind"), F.col("source"), F.col("station"), text("msg_type").alias("msg_type"),
+    )
+
+
+def _dealt(messages: DataFrame) -> DataFrame:
+    return prepared(messages).repartition("mmsi").sortWithinPartitions("mmsi", "seq")
 
 
 def vessel_fold(messages: DataFrame) -> DataFrame:
-    """One row per mmsi. ``messages``: seq, mmsi, t (microseconds), lat, lon, sog, source, station, name, pos (has a position)."""
-    schema = f"mmsi {messages.schema['mmsi'].dataType.simpleString()}, {_STATE}"
-    names = [c.split()[0] for c in schema.split(", ")]
-    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
-    types = [kinds[c.split()[1]] for c in _STATE.split(", ")]
+    """One row per mmsi: its state after its last message. ``messages``: seq, mmsi, t (microseconds), lat, lon, sog, source, station, name, pos
+    (has a position), and optionally cog, heading, nav_status, ship_type, msg_type and is_dup."""
+    schema = f"mmsi {messages.schema['mmsi'].dataType.simpleString()}, {STATE}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
-        begun, held, mmsis = False, None, None
+        state, held, mmsis = None, None, None
 
         def table() -> pa.RecordBatch:
             columns = list(zip(*done, strict=True))
             done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], mmsis), *(pa.array(c, k) for c, k in zip(columns[1:], types, strict=True))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], mmsis), *(pa.array(c, _ARROW[k.split()[1]]) for c, k in zip(columns[1:], STATE.split(", "), strict=True))], names=["mmsi", *STATE_NAMES])
 
         for batch in batches:
             mmsis = batch.column("mmsi").type
-            for mmsi, t, x_lat, x_lon, x_sog, x_station, x_name, pos, low in zip(*(batch.column(c).to_pylist() for c in _READ), strict=True):
-                if not begun or mmsi != held:
-                    if begun:
-                        done.append((held, seen, has_pos, lat, lon, pos_at, sog, name, station, trusted_at, n, n_stale, n_jump))
-                    begun, held, has_pos, n, n_stale, n_jump = True, mmsi, False, 0, 0, 0
-                    seen = lat = lon = pos_at = sog = name = station = trusted_at = None
-                stale = bool(has_pos and t < seen - STALE_US)
-                if low and pos and not stale and has_pos and t - pos_at >= JUMP_US:
-                    arc = math.sin(math.radians(x_lat - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(x_lat)) * math.sin(math.radians(x_lon - lon) / 2) ** 2
-                    if 2 * EARTH_NM * math.asin(math.sqrt(min(1.0, arc))) / ((t - pos_at) / 3.6e9) > MAX_KNOTS:
-                        n_jump += 1
-                        continue
-                n += 1
-                n_stale += stale
-                if x_name:
-                    name = x_name
-                if stale:
-                    continue
-                seen, station = t, x_station
-                if pos:
-                    has_pos, lat, lon, sog, pos_at = True, x_lat, x_lon, x_sog, t
-                    if low is False:
-                        trusted_at = t
+            for mmsi, *row in zip(*(batch.column(c).to_pylist() for c in ("mmsi", *_READ)), strict=True):
+                if state is None or mmsi != held:
+                    if state is not None:
+                        done.append((held, *state))
+                    state, held = new_state(), mmsi
+                fold_row(state, row)
             if len(done) >= 10_000:
                 yield table()
-        if begun:
-            done.append((held, seen, has_pos, lat, lon, pos_at, sog, name, station, trusted_at, n, n_stale, n_jump))
+        if state is not None:
+            done.append((held, *state))
             yield table()
 
-    valid = F.coalesce(F.col("pos") & (F.abs("lat") <= 90) & (F.abs("lon") <= 180), F.lit(False)).alias("pos")
-    double = [F.col(c).cast("double").alias(c) for c in ("lat", "lon", "sog")]
-    rows = messages.select("seq", "mmsi", F.col("t").cast("long").alias("t"), *double, "station", F.coalesce("name", F.lit("")).alias("name"), valid, F.col("source").rlike(LOW_TRUST).alias("low"))
-    return rows.repartition("mmsi").sortWithinPartitions("mmsi", "seq").mapInArrow(run, schema)
+    return _dealt(messages).mapInArrow(run, schema)
+
+
+def vessel_stamps(messages: DataFrame) -> DataFrame:
+    """Of every message that isn't a dropped copy: whether it is a jump (then nothing else is told) or late, whether a trusted source
+    bears it out, and the vessel's name and position after it. A late one keeps its own position."""
+    names = [c.split()[0] for c in _STAMP.split(", ")]
+    at_lat, at_lon, at_pos = _READ.index("lat"), _READ.index("lon"), _READ.index("pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, held = None, None
+        for batch in batches:
+            out = []
+            for seq, mmsi, *row in zip(*(batch.column(c).to_pylist() for c in ("seq", "mmsi", *_READ)), strict=True):
+                if state is None or mmsi != held:
+                    state, held = new_state(), mmsi
+                told = fold_row(state, row)
+                if told is None:
+                    continue
+                jump, stale, borne = told
+                own = stale and row[at_pos]
+                out.append((seq, True, False, False, None, None, None, None) if jump else (seq, False, stale, borne, state[9], state[1], row[at_lat] if own else state[2], row[at_lon] if own else state[3]))
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[k.split()[1]]) for c, k in zip(columns, _STAMP.split(", "), strict=True)], names=names)
+
+    return _dealt(messages).mapInArrow(run, _STAMP)
+
+
+def corroborated(low: Column, t: Column, trusted_at: Column) -> Column:
+    """Whether a message stands for itself, or a trusted source heard the vessel less than an hour before it."""
+    return ~low | F.coalesce(t - trusted_at < TRUST_US, F.lit(False))
 
 
-def corroborated(now_us: int):
-    return F.coalesce(now_us - F.col("trusted_at") < TRUST_US, F.lit(False))
+def alive(vessels: DataFrame, now_us: int) -> DataFrame:
+    """Vessels seen in the last half hour."""
+    return vessels.where(F.col("seen") >= now_us - EXPIRES_US)

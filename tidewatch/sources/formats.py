@@ -6,49 +6,77 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as C
+from tidewatch.sources import codec
 
 
-def position_bits(mmsi, lat, lon, sog):
-    """A type 1 position report of 168 bits (course, heading and the rest not available)."""
-    fields = ((F.lit(1), 6), (F.lit(0), 2), (mmsi, 30), (F.lit(15), 4), (F.lit(-128), 8), (F.round(sog * 10), 10), (F.lit(0), 1), (F.round(lon * 600000), 28), (F.round(lat * 600000), 27), (F.lit(3600), 12), (F.lit(511), 9), (F.lit(60), 6), (F.lit(0), 25))
-    return F.concat(*(C.binary(v, w) for v, w in fields))
+#: A sentence of the two kinds that carry messages: talker, kind, fragments, number, sequence id, channel, payload, fill bits, checksum.
+SENTENCE = r"^[!$][A-Za-z0-9]{2}(VDM|VDO),[1-9],[1-9],[0-9]?,[^,*]*,[^,*]*,[0-5]\*[0-9A-Fa-f]{2}$"
 
 
 def sentences(events: DataFrame) -> DataFrame:
     """Receptions: one TAG-prefixed sentence per position event."""
-    # one step each, as the next one reads a row's bits (and payload) many times
-    bits = position_bits(F.col("mmsi"), F.col("lat"), F.col("lon"), F.least(F.col("sog"), F.lit(102.2)))
-    coded = events.withColumn("bits", bits).withColumn("armoured", C.armour(F.col("bits")))
-    line = C.sentence(F.col("armoured"), F.when(F.col("seq") % 2 == 0, "A").otherwise("B"))
-    tag = F.concat(F.lit("s:"), C.tag_safe(F.col("station")), F.lit(",c:"), F.floor(F.col("t") / 1000).cast("string"))
-    return coded.select("seq", "source", "station", F.col("t").alias("recv_t"), F.concat(F.lit("\\"), tag, F.lit("*"), C.checksum(tag), F.lit("\\"), line).alias("body"))
+    fields = {"mmsi": F.col("mmsi"), "lat": F.col("lat"), "lon": F.col("lon"), "sog": F.least(F.col("sog"), F.lit(102.2))}
+    coded = codec.encoded(events, 1, fields, F.when(F.col("seq") % 2 == 0, "A").otherwise("B"))
+    tag = C.tag_block([("s", C.tag_safe(F.col("station"))), ("c", F.floor(F.col("t") / 1000).cast("string"))])
+    return coded.select("seq", "source", "station", F.col("t").alias("recv_t"), F.concat(tag, F.col("nmea")[0]).alias("body"))
 
 
 def parse(receptions: DataFrame) -> DataFrame:
-    """TAG fields and sentence fields; ``ok`` tells whether both checksums hold."""
-    line = C.without_trailing_fields(F.regexp_replace("body", r"^\s+|\s+$", ""))
-    split = receptions.select("*", F.regexp_extract(line, r"^\\([^\\]*)\\", 1).alias("tag"), F.regexp_replace(line, r"^\\[^\\]*\\", "").alias("line"))
-    fields = F.split(F.regexp_extract("line", r"^[!$]([^*]*)\*", 1), ",")
-    tags = F.str_to_map(F.substring_index("tag", "*", 1), F.lit(","), F.lit(":"))
-    agrees = lambda text: C.checksum(F.substring_index(text, "*", 1)) == F.upper(F.substring_index(text, "*", -1))
-    parsed = split.withColumns({"f": fields, "tags": tags})
-    return parsed.select(
+    """TAG fields and sentence fields of each reception that isn't blank; whatever can't be read makes no row fail.
+
+    ``outcome``: ok, ignored (a sentence of another kind) or parse_err. ``ok`` is the same as a
+    flag. ``refined``: the station named in the TAG block, under the source.
+    """
+    line = C.without_trailing_fields(C.trimmed(F.col("body")))
+    split = receptions.withColumn("__line", line).where(F.col("__line") != "")
+    split = split.select("*", F.regexp_extract("__line", r"^\\([^\\]*)\\", 1).alias("__tag"), F.regexp_replace("__line", r"^\\[^\\]*\\", "").alias("line"))
+    told, tag = F.regexp_extract("line", r"^[!$]([^*]*)\*[0-9A-Fa-f]{2}$", 1), F.substring_index("__tag", "*", 1)
+    field = lambda key: F.nullif(F.regexp_extract("__text", f"(?:^|,){key}:([^,]*)", 1), F.lit(""))
+    fine = lambda text, whole: C.checksum(text) == F.upper(F.right(whole, F.lit(2)))
+    sound = (told != "") & fine(told, F.col("line")) & ((F.col("__tag") == "") | fine(tag, F.col("__tag")))
+    split = split.select("*", F.split(told, ",").alias("__f"), tag.alias("__text"), sound.alias("__sound"), F.col("line").rlike(SENTENCE).alias("__ais"))
+    part = lambda i: F.try_element_at("__f", F.lit(i))
+    kind = F.right(part(1), F.lit(3))
+    ok = F.col("__sound") & F.col("__ais")
+    return split.select(
         *receptions.columns,
-        F.element_at("tags", "s").alias("tag_s"),
-        C.tag_time_us(F.element_at("tags", "c").cast("long")).alias("tag_t"),
-        *(F.try_element_at("f", F.lit(i + 1)).alias(n) for i, n in enumerate(("talker", "total", "num", "seqid", "channel", "payload"))),
-        (agrees(F.regexp_replace("line", "^[!$]", "")) & ((F.col("tag") == "") | agrees(F.col("tag")))).alias("ok"),
-    )
+        field("s").alias("tag_s"), C.tag_time_us(field("c").try_cast("long")).alias("tag_t"),
+        F.substring(part(1), 1, 2).alias("talker"), kind.alias("kind"), part(2).try_cast("int").alias("total"), part(3).try_cast("int").alias("num"), part(4).alias("seqid"), part(5).alias("channel"), part(6).alias("payload"),
+        part(7).try_cast("int").alias("fill"), F.col("__line").alias("line"), ok.alias("ok"),
+        F.when(ok, "ok").when(F.col("__sound") & ~kind.isin("VDM", "VDO"), "ignored").otherwise("parse_err").alias("outcome"),
+    )
+
+
+def decode(parsed: DataFrame, number: int) -> DataFrame:
+    """Messages of one type: the common fields and the type's own, nulls where a message is too short."""
+    own = [n for n, *_ in codec.LAYOUTS[number]] + ([n for part in codec._STATIC for n, *_ in part] if number == 24 else [])
+    rows = codec.decoded(parsed.where("ok"), own).where(F.col("type") == number)
+    return rows.select("seq", "tag_s", "tag_t", "channel", "type", "repeat", "mmsi", *own)
 
 
 def decode_positions(parsed: DataFrame) -> DataFrame:
-    """Position reports of types 1 to 3; other types have other layouts (``decode``) and give no row."""
-    bits = parsed.where("ok").withColumn("bits", C.unarmour(F.col("payload")))
-    return bits.where(C.unsigned(F.col("bits"), 0, 6).between(1, 3)).select(
-        "seq", "tag_s", "tag_t", "channel",
-        C.unsigned(F.col("bits"), 0, 6).alias("type"), C.unsigned(F.col("bits"), 8, 30).alias("mmsi"),
-        (C.unsigned(F.col("bits"), 50, 10) / 10.0).alias("sog"), (C.signed(F.col("bits"), 61, 28) / 600000.0).alias("lon"), (C.signed(F.col("bits"), 89, 27) / 600000.0).alias("lat"),
-    )
+    """Position reports of types 1 to 3 in one sentence; other types have other layouts and give no row."""
+    whole = parsed.where("ok" if "total" not in parsed.columns else "ok and total = 1")
+    rows = codec.decoded(whole, ["sog", "lon", "lat"]).where(F.col("type").between(1, 3))
+    return rows.select("seq", "tag_s", "tag_t", "channel", "type", "mmsi", "sog", "lon", "lat")
+
+
+def assemble(parsed: DataFrame) -> DataFrame:
+    """Whole messages of parsed sentences: those in one sentence, and those whose fragments are all there.
+
+    A first fragment opens a group of its station, talker, kind, channel and sequence number; a
+    fragment without a first yields nothing. ``nmea`` holds the lines, and the other columns are the last fragment's.
+    """
+    from pyspark.sql import Window
+
+    keys = ["station", "talker", "kind", "total", "seqid", "channel"]
+    keep = [c for c in parsed.columns if c not in ("line", "num", "payload", *keys)]
+    single = parsed.where("total = 1").select(*keep, *keys, "payload", F.array("line").alias("nmea"))
+    w = Window.partitionBy(*keys).orderBy("seq")
+    several = parsed.where("total > 1").withColumn("__g", F.count_if(F.col("num") == 1).over(w))
+    grouped = several.groupBy(*keys, "__g").agg(F.sort_array(F.collect_list(F.struct("num", "payload", "line"))).alias("__x"), F.max_by(F.struct(*keep), "seq").alias("__last"))
+    whole = grouped.where(F.col("__x.num") == F.sequence(F.lit(1), F.col("total")))
+    return single.unionByName(whole.select("__last.*", *keys, F.array_join("__x.payload", "").alias("payload"), F.col("__x.line").alias("nmea")))
 
 
 def fragments(receptions: DataFrame, payload: str = "payload") -> DataFrame:
@@ -84,81 +112,6 @@ def snapshot_changes(rows: DataFrame) -> DataFrame:
     return real.withColumn("last", last).where(~F.col("time").eqNullSafe(F.coalesce("last", F.lit("")))).drop("last")
 
 
-def static_bits(mmsi, name, code):
-    """Part A and B of a static report as one row of bits each: (name bits of 160, type bits of 168)."""
-    head = lambda part: F.concat(C.binary(F.lit(24), 6), C.binary(F.lit(0), 2), C.binary(mmsi, 30), C.binary(F.lit(part), 2))
-    return F.concat(head(0), C.six_bits_of_text(name, 20)), F.concat(head(1), C.binary(code, 8), F.lit("0" * 120))
-
-
-def decode_static(bits):
-    """Fields of a static report: name from part A, ship type from part B."""
-    part = C.unsigned(bits, 38, 2)
-    return [C.unsigned(bits, 8, 30).alias("mmsi"), part.alias("part"), F.when(part == 0, C.six_bit_text(bits, 40, 20)).alias("name"), F.when(part == 1, C.unsigned(bits, 40, 8)).alias("ship_type")]
-
-
-#: Fields of each layout as (name, offset, length, kind or divisor): u unsigned, s signed, t text, a number divides a signed
-#: value (coordinates) or, as a negative number, an unsigned one.
-_SIZES = lambda at: (("to_bow", at, 9, "u"), ("to_stern", at + 9, 9, "u"), ("to_port", at + 18, 6, "u"), ("to_starboard", at + 24, 6, "u"))
-_CLASS_B = (("sog", 46, 10, -10), ("accuracy", 56, 1, "u"), ("lon", 57, 28, 600000), ("lat", 85, 27, 600000), ("cog", 112, 12, -10), ("heading", 124, 9, "u"), ("second", 133, 6, "u"))
-_CLASS_A = (
-    ("nav_status", 38, 4, "u"), ("rot", 42, 8, "s"), ("sog", 50, 10, -10), ("accuracy", 60, 1, "u"), ("lon", 61, 28, 600000), ("lat", 89, 27, 600000), ("cog", 116, 12, -10), ("heading", 128, 9, "u"),
-    ("second", 137, 6, "u"), ("manoeuvre", 143, 2, "u"), ("raim", 148, 1, "u"), ("comm_state", 149, 19, "u"),
-)
-LAYOUTS = {
-    1: _CLASS_A, 2: _CLASS_A, 3: _CLASS_A,
-    4: (("year", 38, 14, "u"), ("month", 52, 4, "u"), ("day", 56, 5, "u"), ("hour", 61, 5, "u"), ("minute", 66, 6, "u"), ("second", 72, 6, "u"), ("accuracy", 78, 1, "u"), ("lon", 79, 28, 600000), ("lat", 107, 27, 600000), ("fix", 134, 4, "u")),
-    5: (
-        ("ais_version", 38, 2, "u"), ("imo", 40, 30, "u"), ("callsign", 70, 42, "t"), ("name", 112, 120, "t"), ("ship_type", 232, 8, "u"), *_SIZES(240), ("fix", 270, 4, "u"), ("eta_month", 274, 4, "u"), ("eta_day", 278, 5, "u"),
-        ("eta_hour", 283, 5, "u"), ("eta_minute", 288, 6, "u"), ("draught", 294, 8, -10), ("destination", 302, 120, "t"), ("dte", 422, 1, "u"),
-    ),
-    9: (("altitude", 38, 12, "u"), ("sog", 50, 10, -1), ("accuracy", 60, 1, "u"), ("lon", 61, 28, 600000), ("lat", 89, 27, 600000), ("cog", 116, 12, -10), ("second", 128, 6, "u")),
-    18: _CLASS_B,
-    19: (*_CLASS_B, ("name", 143, 120, "t"), ("ship_type", 263, 8, "u"), *_SIZES(271)),
-    21: (("aid_type", 38, 5, "u"), ("name", 43, 120, "t"), ("accuracy", 163, 1, "u"), ("lon", 164, 28, 600000), ("lat", 192, 27, 600000), *_SIZES(219), ("fix", 249, 4, "u")),
-    24: (("part", 38, 2, "u"),),
-    27: (("accuracy", 38, 1, "u"), ("raim", 39, 1, "u"), ("nav_status", 40, 4, "u"), ("lon", 44, 18, 600), ("lat", 62, 17, 600), ("sog", 79, 6, -1), ("cog", 85, 9, -1)),
-}
-#: Parts A and B of type 24.
-_STATIC = (("name", 40, 120, "t"),), (("ship_type", 40, 8, "u"), ("vendor", 48, 18, "t"), ("callsign", 90, 42, "t"), *_SIZES(132))
-
-
-def _field(bits, at: int, width: int, kind):
-    if kind == "t":
-        value = C.six_bit_text(F.rpad(F.substring(bits, at + 1, width), width, "0"), 0, width // 6)
-    elif kind == "u":
-        value = C.unsigned(bits, at, width)
-    elif kind == "s":
-        value = C.signed(bits, at, width)
-    else:
-        value = C.signed(bits, at, width) / float(kind) if kind > 0 else C.unsigned(bits, at, width) / float(-kind)
-    # a field that the message is too short for is missing; a text may end early
-    return F.when(F.length(bits) >= (at + 6 if kind == "t" else at + width), value)
-
-
-def decode_type(bits, number: int) -> dict:
-    """Columns of the fields of a type with a surveyed layout, the name extension of type 21 included; in type 24 null in the other part."""
-    out = {name: _field(bits, at, width, kind) for name, at, width, kind in LAYOUTS[number]}
-    if number == 24:
-        for part, fields in enumerate(_STATIC):
-            out |= {name: F.when(out["part"] == part, _field(bits, at, width, kind)) for name, at, width, kind in fields}
-    if number == 21:
-        # 14 characters at most, of a name that takes all 20 of its own
-        cut = F.length(bits) > 272
-        more = C.six_bit_text(F.rpad(F.substring(bits, 273, 84), 84, "0"), 0, 14)
-        last = C.unsigned(bits, 43 + 19 * 6, 6)
-        out["name"] = F.when(cut & (last != 0), F.rtrim(F.concat(F.rpad(out["name"], 20, " "), more))).otherwise(out["name"])
-    return out
-
-
-def decode(parsed: DataFrame, number: int) -> DataFrame:
-    """Messages of one type: the common fields and the type's own, nulls where a message is too short."""
-    rows = parsed.where("ok").withColumn("bits", C.unarmour(F.col("payload")))
-    bits = F.col("bits")
-    of_type = rows.where(C.unsigned(bits, 0, 6) == number)
-    common = (C.unsigned(bits, 0, 6).alias("type"), C.unsigned(bits, 6, 2).alias("repeat"), C.unsigned(bits, 8, 30).alias("mmsi"))
-    return of_type.select("seq", "tag_s", "tag_t", "channel", *common, *(c.alias(n) for n, c in decode_type(bits, number).items()))
-
-
 def snapshot_rows(bodies: DataFrame) -> DataFrame:
     """Rows of poll bodies ``[{"ERROR": false}, [row, ...]]``; an error body has none."""
     row = "array<struct<MMSI:bigint,SEQ:bigint,LATITUDE:bigint,LONGITUDE:bigint,SOG:bigint>>"

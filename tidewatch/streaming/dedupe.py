@@ -1,4 +1,9 @@
-"""Streaming forms: the greedy dedupe as a stateful operator, hourly counts, and runs to completion."""
+"""Streaming forms: the greedy dedupe and the vessels' fold as stateful operators, and runs to completion.
+
+A key's state goes when nothing can need it any more: a payload's a minute after the window
+of its last kept message, a vessel's half an hour after it was last seen. Late rows are
+not dropped before the fold, which has its own rule for them.
+"""
 
 from __future__ import annotations
 
@@ -9,13 +14,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewatch.operators.vessels import _READ, EXPIRES_US, STATE, STATE_NAMES, fold_row, new_state
+
 OUT = "payload string, seq long, t long, is_dup boolean"
+EVICT_US = 60_000_000
+
+
+def _expire(state: GroupState, at_us: int) -> None:
+    state.setTimeoutTimestamp(max(at_us // 1000, state.getCurrentWatermarkMs() + 1))
 
 
 def stream_dedupe(stream: DataFrame, window_us: int) -> DataFrame:
     """payload, seq, t, is_dup of a stream of (payload, seq, t): the state is the time of the last kept row per key."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values("seq")
         flags = []
@@ -24,18 +39,41 @@ def stream_dedupe(stream: DataFrame, window_us: int) -> DataFrame:
             last = last if dup else t
             flags.append(dup)
         state.update((last,))
+        _expire(state, last + window_us + EVICT_US)
         yield pd.DataFrame({"payload": key[0], "seq": rows["seq"], "t": rows["t"], "is_dup": flags})
 
-    return stream.groupBy("payload").applyInPandasWithState(step, OUT, "last long", "append", GroupStateTimeout.NoTimeout)
+    timed = stream.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", "60 seconds")
+    return timed.groupBy("payload").applyInPandasWithState(step, OUT, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
 
+def stream_vessels(stream: DataFrame) -> DataFrame:
+    """mmsi and its state, each time that it changed, of a stream of ``vessels.prepared`` rows."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = list(state.get) if state.exists else new_state()
+        rows = pd.concat(list(frames)).sort_values("seq").astype(object)
+        rows = rows.where(rows.notna(), None)
+        for row in rows[list(_READ)].itertuples(index=False, name=None):
+            fold_row(now, row)
+        state.update(tuple(now))
+        _expire(state, (now[0] or 0) + EXPIRES_US)
+        out = pd.DataFrame([[key[0], *now]], columns=["mmsi", *STATE_NAMES])
+        yield out.astype({c: t for c, t in (("heading", "Int64"), ("nav_status", "Int64"), ("ship_type", "Int64"), ("seen", "Int64"), ("pos_at", "Int64"), ("trusted_at", "Int64"))})
 
-def hourly_counts(stream: DataFrame) -> DataFrame:
     timed = stream.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", "60 seconds")
-    return timed.groupBy(F.window("ts", "1 hour").alias("w"), "msg_type").agg(F.count("*").alias("events"))
+    return timed.groupBy("mmsi").applyInPandasWithState(step, f"mmsi long, {STATE}", STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now into a Parquet folder, and read that."""
-    query = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out")
+    """Run a stream over what is there now into a Parquet folder, and read that; updates are written as they are told."""
+    out, check = f"{path}/out", f"{path}/checkpoint"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").start(out)
+    else:
+        query = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
