@@ -320,6 +320,13 @@ def check_neighbours(df, least):
     assert hits >= least * total
 
 
+def test_neighbours_in_parts(spark, monkeypatch):
+    """Leaves and queries dealt out in many small parts find the same."""
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "QUERY_PART", 3)
+    check_neighbours(spark.read.parquet(f"{SMALL}/embeddings.parquet"), 0.9)
+
+
 def test_neighbours_odd(spark):
     rng = np.random.default_rng(0)
     same = [float(x) for x in rng.standard_normal(8)]

@@ -7,8 +7,10 @@ are ranked by exact cosine in double precision. How many leaves are taken is fit
 the sample, as the fewest that find ``TARGET`` of its true neighbours.
 
 Equal vectors are one entry with their smallest ids, and equal queries are searched once,
-so a vector that fills a third of the table costs no more than another. Leaves and the
-queries at a leaf are dealt out in blocks, so no task holds a whole leaf.
+so a vector that fills a third of the table costs no more than another. A leaf is dealt out
+in salted parts that meet its queries in one shuffle, so no task holds a whole leaf. Trees
+deepen with the table, up to ``MAX_DEPTH``, the bound on what is broadcast; beyond
+``LEAF << MAX_DEPTH`` vectors leaves grow with the table.
 
 Defined results: vectors that are null, zero, or hold null, infinite or NaN components, or
 whose length isn't the most common one, take no part; a null vec_id takes no part; rows
@@ -28,10 +30,11 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import materialize, parts_of
 
 K, EVERY = 5, 50
-TREES, LEAF, MAX_DEPTH = 8, 400, 9
-#: Bound on the distinct vectors that trees are fitted on, and the recall sought among them.
-SAMPLE, TARGET, PROBES = 8_000, 0.97, 120
-BLOCK, QUERY_BLOCK = 1_024, 256
+TREES, LEAF, MAX_DEPTH = 4, 400, 12
+#: Bounds on the distinct vectors that trees are fitted on (16 a leaf between the two), and the recall sought among them.
+SAMPLE, MOST_SAMPLE, TARGET, PROBES = 8_000, 65_536, 0.97, 120
+#: Vectors of a leaf that meet its queries in one group, queries multiplied with them at a time, and queries in one group at most.
+BLOCK, QUERY_BLOCK, QUERY_PART = 4_096, 256, 65_536
 
 
 class Forest:
@@ -110,25 +113,21 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return df.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(2), "embedding")})
 
 
-def _blocks(rows: DataFrame, parts: int, most: int, kind: str) -> DataFrame:
-    """(cell, ids, vectors) of at most ``most`` rows each, from rows of (cell, salt, id, embedding)."""
-    dealt = rows.repartition(parts, "cell", "salt").sortWithinPartitions("cell", "salt", "id")
+def _ranked(k: int):
+    """The best candidates of each query (query, id, score) from a part of a leaf and the queries that reach it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell = batch.column("cell").to_numpy()
-            edges = np.flatnonzero(np.diff(cell)) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(cell)], strict=True):
-                for i in range(a, b, most):
-                    part = batch.slice(i, min(most, b - i))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([cell[a]]), pa.array([part.column("id").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([unit(_matrix(part.column("embedding"))).tobytes()], pa.binary())],
-                        names=["cell", f"{kind}_ids", f"{kind}_vectors"],
-                    )
+    def run(key, leaf, queries):
+        near, ids, asked = [], leaf.column("id").to_numpy(), queries.column("id").to_numpy()
+        if len(ids) and len(asked):
+            vectors, wanted = (unit(_matrix(t.column("embedding").combine_chunks())) for t in (leaf, queries))
+            for a in range(0, len(asked), QUERY_BLOCK):
+                scores = wanted[a : a + QUERY_BLOCK] @ vectors.T
+                top = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, : k + 1]
+                near.append((np.repeat(asked[a : a + QUERY_BLOCK], top.shape[1]), ids[top].reshape(-1), np.take_along_axis(scores, top, axis=1).reshape(-1)))
+        columns = [np.concatenate(c) for c in zip(*near, strict=True)] if near else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({n: pa.array(c) for n, c in zip(("query", "id", "score"), columns, strict=True)})
 
-    return dealt.mapInArrow(run, f"cell long, {kind}_ids binary, {kind}_vectors binary")
+    return run
 
 
 def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
@@ -146,15 +145,15 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     )
     entries = materialize(entries, "entries")
     count = entries.count()
-    sample = entries.orderBy("h1", "id").limit(SAMPLE).select("embedding").collect()
+    depth = int(np.clip(np.log2(max(1, count / LEAF)), 0, MAX_DEPTH))
+    sample = entries.orderBy("h1", "id").limit(min(MOST_SAMPLE, max(SAMPLE, 16 << depth))).select("embedding").collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = unit(np.array([r.embedding for r in sample], dtype=np.float64))
-    depth = int(np.clip(np.log2(max(1, count / LEAF)), 0, MAX_DEPTH))
     depth = max(0, min(depth, int(np.log2(max(1, len(sample) / 8)))))
     forest = Forest(sample, depth)
     forest.calibrate(sample, k)
-    salts = max(1, round(count / (1 << depth) / (4 * BLOCK)))
+    salts = max(1, -(-count // (BLOCK << depth)))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,24 +172,16 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 
     kind = dict(usable.dtypes)["embedding"]
     schema = f"cell long, id long, embedding {kind}"
-    salt = F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")
-    index = _blocks(entries.select("id", "embedding").mapInArrow(file, schema).select("*", salt), parts, BLOCK, "index")
+    index = entries.select("id", "embedding").mapInArrow(file, schema).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
     asked = usable.where(F.col("vec_id") % every == 0).select("vec_id", "h1", "h2")
     wanted = entries.join(asked.select("h1", "h2").distinct(), ["h1", "h2"]).select("id", "embedding")
-    queries = _blocks(wanted.repartition(parts).mapInArrow(seek, schema).select("*", salt), parts, QUERY_BLOCK, "query")
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                raw = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
-                ids, qids = np.frombuffer(raw["index_ids"], "<i8"), np.frombuffer(raw["query_ids"], "<i8")
-                near = np.frombuffer(raw["query_vectors"]).reshape(len(qids), -1) @ np.frombuffer(raw["index_vectors"]).reshape(len(ids), -1).T
-                top = np.lexsort((np.broadcast_to(ids, near.shape), -near), axis=1)[:, : k + 1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qids, top.shape[1])), pa.array(ids[top].reshape(-1)), pa.array(np.take_along_axis(near, top, axis=1).reshape(-1))], names=["query", "id", "score"]
-                )
-
-    found = index.join(queries, "cell").drop("cell").mapInArrow(rank, "query long, id long, score double")
+    wanted = materialize(wanted.repartition(parts), "queries")
+    lots = max(1, -(-wanted.count() // QUERY_PART))
+    # every lot of queries meets every part of a leaf
+    every_one = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    queries = wanted.mapInArrow(seek, schema).withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(lots)).cast("int")).select("*", every_one("salt", salts))
+    index, group = index.select("*", every_one("lot", lots)), ["cell", "salt", "lot"]
+    found = index.groupBy(*group).cogroup(queries.groupBy(*group)).applyInArrow(_ranked(k), "query long, id long, score double")
     best = found.groupBy("query", "id").agg(F.max("score").alias("score"))
     best = best.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("n") <= k + 1)
     near = best.join(entries.select("id", "members"), "id").select("query", "score", F.explode("members").alias("vec_id"))
