@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import columns as C
 from tidewatch.operators import folds, stations, subscribe, vessels
 from tidewatch.plans.adapt import EVENTS_SQL, events
+from tidewatch.plans.scratch import new_path as _scratch
 from tidewatch.sources import codec, formats
 from tidewatch.streaming import dedupe as streams
 
@@ -437,16 +437,6 @@ def plan_tracks(spark, d):
     return part.select("mmsi", "seq", "t", "lat", "lon", F.row_number().over(Window.partitionBy("mmsi").orderBy("seq")).cast("long").alias("step"))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidewatch-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _replayed(spark: SparkSession, d: str) -> DataFrame:
     """The events as sentences, archived and read back."""
     path = _scratch(spark, "sentences")
