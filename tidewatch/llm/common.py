@@ -7,8 +7,6 @@ memory of a task follows its longest document and not its partition.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.plans.scratch import new_path
+
 SLICE_BYTES = 2_000_000
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -31,24 +31,10 @@ _SHINGLE = np.uint64(0xD6E8FEB86659FD93)
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is taken.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not (found := spark.sparkContext.getCheckpointDir()):
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidewatch-"))
-            found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

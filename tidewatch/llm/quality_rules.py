@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import scratch
+from tidewatch.plans.scratch import folder
 
 #: Bound on the labelled documents that a list is learned from (those with the smallest hash of doc_id).
 LEARN_ROWS = 20_000
@@ -100,8 +100,9 @@ def base_failed() -> Column:
 
 def _cells(stats: DataFrame) -> tuple[dict[str, list[float]], list[tuple]]:
     """Cut points of each feature, and the examples counted by (bins, fold): at most one cell per example."""
-    points = stats.approxQuantile(list(FEATURES), _PROBS, 0.002)
-    cuts = {f: sorted(set(p)) for f, p in zip(FEATURES, points, strict=True)}
+    # exact, so that they don't hang on how the rows are dealt out; the rows are bounded
+    points = stats.agg(*(F.percentile(f, F.array(*map(F.lit, _PROBS))).alias(f) for f in FEATURES)).first()
+    cuts = {f: sorted(set(points[f] or ())) for f in FEATURES}
     bins = [
         sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cuts[f]), F.lit(0)).alias(f"b_{f}") if cuts[f] else F.lit(0).alias(f"b_{f}")
         for f in FEATURES
@@ -199,7 +200,7 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Data
 
 
 def learned(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> list[list[tuple[str, str, float]]]:
-    scratch(docs.sparkSession)
+    folder(docs.sparkSession)
     return learn(labelled(docs, labels, rows).drop(*BASE).checkpoint())
 
 

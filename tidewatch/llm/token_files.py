@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import flat, materialize, parts_of, scratch, slices
+from tidewatch.llm.common import flat, materialize, parts_of, slices
 from tidewatch.llm.tokens import encoder, with_end
 
 END_ID = 2
@@ -99,7 +99,6 @@ class EliasFano:
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Write the token file of ``docs`` and return it as read back."""
     spark = docs.sparkSession
-    scratch(spark)
     ordered = (
         docs.select("doc_id", "text")
         .repartitionByRange(parts_of(spark), "doc_id")
