@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as C
 from tidewatch.operators import folds, stations, subscribe, vessels
-from tidewatch.plans.adapt import EVENTS_SQL, events
+from tidewatch.plans.adapt import EVENTS_SQL, events, spread
 from tidewatch.plans.scratch import new_path as _scratch
 from tidewatch.sources import codec, formats
 from tidewatch.streaming import dedupe as streams
@@ -251,11 +251,8 @@ def join5_quiet_targets(spark, d):
 def join7_claim_boxes(spark, d):
     key = F.col("s_suppkey")
     claims = spark.read.parquet(f"{d}/supplier.parquet").select(key.alias("claim"), (key * 7 % 100 - 60).cast("double").alias("a"), (key * 13 % 200 - 120).cast("double").alias("b"))
-    cell = lambda c, step: F.floor(c / step)
-    filed = claims.withColumn("cy", F.explode(F.sequence(cell(F.col("a"), 20), cell(F.col("a") + 20, 20)))).withColumn("cx", F.explode(F.sequence(cell(F.col("b"), 40), cell(F.col("b") + 40, 40))))
-    placed = _subs(spark, d).withColumns({"cy": cell(F.col("min_lat"), 20), "cx": cell(F.col("min_lon"), 40)})
-    inside = (F.col("min_lat") >= F.col("a")) & (F.col("max_lat") <= F.col("a") + 20) & (F.col("min_lon") >= F.col("b")) & (F.col("max_lon") <= F.col("b") + 40)
-    return placed.join(filed, ["cy", "cx"]).where(inside).groupBy("sub").agg(F.countDistinct("claim").alias("claims"))
+    boxes = claims.select("claim", F.col("a").alias("min_lat"), F.col("b").alias("min_lon"), (F.col("a") + 20).alias("max_lat"), (F.col("b") + 40).alias("max_lon"))
+    return subscribe.boxes_within(_subs(spark, d), boxes).groupBy("sub").agg(F.count("*").alias("claims"))
 
 
 @query(" SELECT feed, count(*) AS n, min(seq) AS first_seq FROM (SELECT 'a' AS feed, seq FROM ev WHERE source = 'kystverket' UNION ALL SELECT 'b' AS feed, seq FROM ev WHERE source <> 'kystverket') GROUP BY 1")
@@ -405,10 +402,13 @@ def agg11_contributed(spark, d):
     return claims.join(recent, "station", "left").groupBy("claim").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("contributed"))
 
 
-@query(f" SELECT mmsi, arg_max(lat, seq) AS lat, arg_max(lon, seq) AS lon, max(t) AS t FROM ev GROUP BY 1 HAVING {_BOX_SQL.replace('lat', 'arg_max(lat, seq)').replace('lon', 'arg_max(lon, seq)')}")
+_WIDE = [(-90.0, -170.0, 90.0, 170.0)]
+
+
+@query(" SELECT mmsi, lat, lon, t FROM (SELECT mmsi, arg_max(lat, seq) AS lat, arg_max(lon, seq) AS lon, max(t) AS t FROM ev GROUP BY 1) WHERE lon BETWEEN -170 AND 170")
 def flt5_vessels_in_box(spark, d):
     last = events(spark, d).groupBy("mmsi").agg(F.max_by("lat", "seq").alias("lat"), F.max_by("lon", "seq").alias("lon"), F.max("t").alias("t"))
-    return last.where(subscribe.any_box(BOXES))
+    return last.where(subscribe.any_box(_WIDE))
 
 
 @query(" SELECT mmsi, count(*) AS n, CASE WHEN count(*) FILTER (t > %d AND t <= %d) >= 2 THEN 'feeder' ELSE 'personal' END AS tier FROM ev GROUP BY 1" % (NOW - 86_400_000_000, NOW))
@@ -440,7 +440,7 @@ def plan_tracks(spark, d):
 def _replayed(spark: SparkSession, d: str) -> DataFrame:
     """The events as sentences, archived and read back."""
     path = _scratch(spark, "sentences")
-    formats.write_archive(formats.sentences(events(spark, d)), path)
+    formats.write_archive(formats.sentences(spread(events(spark, d))), path)
     return formats.read_archive(spark, path).select("seq", "source", "station", "recv_t", "body")
 
 

@@ -9,7 +9,7 @@ from tidewatch.catalog import _LICENSE_SQL, _XOR_SQL, MIN, NOW, _scratch, query
 from tidewatch.functions import columns as C
 from tidewatch.operators import folds, stations, vessels
 from tidewatch.plans import chain
-from tidewatch.plans.adapt import events
+from tidewatch.plans.adapt import events, spread
 from tidewatch.sources import codec, feeds, formats, render
 
 _HMAC_SQL = "substr(sha256(unhex(concat('%s', sha256(unhex(concat('%s', hex({0}))))))), 1, 12)" % tuple(bytes(b ^ p for b in b"salt".ljust(64, b"\0")).hex() for p in (0x5C, 0x36))
@@ -164,7 +164,7 @@ def flt11_static_changes(spark, d):
 
 def _lines(spark, d):
     """Events as TAG-prefixed sentences of several kinds, some of them broken, some buffered."""
-    e = events(spark, d).withColumn("sog", F.least("sog", F.lit(102.2)))
+    e = spread(events(spark, d)).withColumn("sog", F.least("sog", F.lit(102.2)))
     coded = codec.encoded(e, 1, {c: F.col(c) for c in ("mmsi", "lat", "lon", "sog")}, F.when(F.col("seq") % 2 == 0, "C").otherwise("B"))
     tag = C.tag_block([("s", F.when(F.col("seq") % 5 != 0, C.tag_safe(F.col("station")))), ("c", F.floor((F.col("t") - (F.col("seq") % 4) * 40_000_000) / 1_000_000).cast("string"))])
     line = F.element_at("nmea", 1)
@@ -193,15 +193,19 @@ def _type_query(number, name):
     """A query for each layout: the events told as messages of that type, split into sentences, put together and decoded."""
     own = {n for n, *_ in codec.LAYOUTS[number]} | ({n for n, *_ in codec._STATIC[1]} if number == 24 else set())
     scale = {27: 600}.get(number, 600000)
-    values = {
-        "lat": (F.col("lat"), f"round(round(lat * {scale}) / {scale}, 6)"), "lon": (F.col("lon"), f"round(round(lon * {scale}) / {scale}, 6)"), "name": (F.concat(F.lit("V "), F.col("k").cast("string")), "concat('V ', k)"),
-        "ship_type": (F.col("k") % 100, "k % 100"), "aid_type": (F.col("k") % 30, "k % 30"), "callsign": (F.concat(F.lit("C"), (F.col("k") % 1000).cast("string")), "concat('C', k % 1000)"), "imo": (F.col("seq"), "seq"), "heading": (F.col("seq") % 360, "seq % 360"),
-        "altitude": (F.col("seq") % 4000, "seq % 4000"), "to_bow": (F.col("seq") % 500, "seq % 500"), "year": (2000 + F.col("seq") % 50, "2000 + seq % 50"), "nav_status": (F.col("seq") % 15, "seq % 15"), "second": (F.col("seq") % 60, "seq % 60"),
+    sql = {
+        "lat": f"round(round(lat * {scale}) / {scale}, 6)", "lon": f"round(round(lon * {scale}) / {scale}, 6)", "name": "concat('V ', k)", "ship_type": "k % 100", "aid_type": "k % 30", "callsign": "concat('C', k % 1000)", "imo": "seq", "heading": "seq % 360",
+        "altitude": "seq % 4000", "to_bow": "seq % 500", "year": "2000 + seq % 50", "nav_status": "seq % 15", "second": "seq % 60",
     }
-    shown = [n for n in values if n in own]
+    shown = [n for n in sql if n in own]
+
+    def values(name):
+        if name in ("lat", "lon"):
+            return F.col(name)
+        return F.expr(sql[name])
 
     def run(spark, d):
-        e = events(spark, d).select("seq", "source", "station", "t", "mmsi", *(values[n][0].alias(f"_{n}") for n in shown))
+        e = spread(events(spark, d)).select("seq", "source", "station", "t", "mmsi", *(values(n).alias(f"_{n}") for n in shown))
         made = codec.encoded(e, number, {"mmsi": F.col("mmsi")} | {n: F.col(f"_{n}") for n in shown}, F.lit("B"), part=1)
         lines = made.select((F.col("seq") * 4).alias("n"), "source", F.concat("source", F.lit("/"), (F.col("seq") % 97).cast("string")).alias("station"), F.col("t").alias("recv_t"), F.posexplode("nmea").alias("i", "body"))
         parsed = formats.parse(lines.select((F.col("n") + F.col("i")).alias("seq"), "source", "station", "recv_t", "body"))
@@ -209,7 +213,7 @@ def _type_query(number, name):
         return told.select(F.floor(F.col("seq") / 4).alias("seq"), "type", "mmsi", *(F.round(n, 6).alias(n) if n in ("lat", "lon") else F.col(n) for n in shown))
 
     run.__name__ = name
-    query(f" SELECT seq, {number}::BIGINT AS type, mmsi" + "".join(f", {values[n][1]} AS {n}" for n in shown) + " FROM ev")(run)
+    query(f" SELECT seq, {number}::BIGINT AS type, mmsi" + "".join(f", {sql[n]} AS {n}" for n in shown) + " FROM ev")(run)
 
 
 for _number, _name in ((4, "base_stations"), (5, "ship_static"), (9, "rescue_aircraft"), (18, "class_b"), (19, "extended_class_b"), (21, "aids"), (24, "static_part_b"), (27, "long_range")):

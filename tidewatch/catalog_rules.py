@@ -37,7 +37,7 @@ def _stamped(spark, d):
 @query(_STEPS_SQL + " SELECT seq, jump, CASE WHEN jump THEN false ELSE stale END AS stale, CASE WHEN jump THEN false ELSE NOT low OR coalesce(t - trusted_at < 3600000000, false) END AS corroborated, CASE WHEN NOT jump THEN name END AS name, round(CASE WHEN NOT jump THEN e_lat END, 6) AS lat FROM f WHERE NOT dup")
 def win5_stamped_events(spark, d):
     """JOIN1, FLT8, WIN4, WIN13: what the fold stamps on each message, dropped copies of trusted sources counted for trust."""
-    return vessels.vessel_stamps(_stamped(spark, d)).select("seq", "jump", "stale", "corroborated", F.col("v_name").alias("name"), F.round("v_lat", 6).alias("lat"))
+    return vessels.vessel_stamps(_stamped(spark, d)).where("not is_dup").select("seq", "jump", "stale", "corroborated", F.col("v_name").alias("name"), F.round("v_lat", 6).alias("lat"))
 
 
 @query(_STEPS_SQL + " SELECT mmsi, trusted_at, n FROM f QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY rn DESC) = 1")

@@ -1,7 +1,8 @@
 """Subscriptions: boxes and identities matched against the stream.
 
-Boxes are filed under the grid cells that they touch, so matching is an equi-join on the
-cell followed by the exact test, and neither side has to be broadcast.
+Boxes are filed under the cells that they touch of a grid that suits their size, so matching
+is an equi-join on the cell followed by the exact test, neither side has to be broadcast, and
+few rows meet that don't match.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import POSITION_TYPES, in_box
 
-CELL = 10.0
+#: Sizes of cells in degrees; a box is filed under cells no smaller than itself.
+GRIDS = (0.5, 2.0, 8.0, 32.0, 360.0)
 
 
 def any_box(boxes: list[tuple]) -> Column:
@@ -54,13 +56,35 @@ def vessel_filter(bbox: str | None, mmsis: str | None) -> Column:
     return F.col("has_pos") & (F.col("mmsi").isin(*wanted) | inside if wanted else inside)
 
 
+def _filed(boxes: DataFrame) -> DataFrame:
+    """Boxes under the cells that they touch, in the finest grid of ``GRIDS`` whose cells are no smaller than the box, so at most four."""
+    span = F.greatest(F.col("max_lat") - F.col("min_lat"), F.col("max_lon") - F.col("min_lon"))
+    grid = F.coalesce(*(F.when(span <= g, F.lit(g)) for g in GRIDS), F.lit(GRIDS[-1]))
+    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / F.col("grid")), F.floor(F.col(high) / F.col("grid"))))
+    return boxes.withColumn("grid", grid).withColumn("cy", cells("min_lat", "max_lat")).withColumn("cx", cells("min_lon", "max_lon"))
+
+
+def _placed(points: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Points under their cell in each grid."""
+    every = points.withColumn("grid", F.explode(F.array(*map(F.lit, GRIDS))))
+    return every.withColumns({"cy": F.floor(F.col(lat) / F.col("grid")), "cx": F.floor(F.col(lon) / F.col("grid"))})
+
+
 def fan_out(events: DataFrame, boxes: DataFrame) -> DataFrame:
     """Each (subscription, event) once. ``boxes``: sub, min_lat, min_lon, max_lat, max_lon; a subscription may have several."""
-    cell = lambda c: F.floor(F.col(c) / CELL)
-    filed = boxes.withColumn("cy", F.explode(F.sequence(cell("min_lat"), cell("max_lat")))).withColumn("cx", F.explode(F.sequence(cell("min_lon"), cell("max_lon"))))
-    placed = events.withColumns({"cy": cell("lat"), "cx": cell("lon")})
     inside = F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lon").between(F.col("min_lon"), F.col("max_lon"))
-    return placed.join(filed, ["cy", "cx"]).where(inside).select("sub", "seq", "mmsi").distinct()
+    counted = boxes.join(boxes.groupBy("sub").agg((F.count("*") > 1).alias("several")), "sub")
+    matched = _placed(events.select("seq", "mmsi", "lat", "lon")).join(_filed(counted), ["grid", "cy", "cx"]).where(inside)
+    # An event has one cell in a grid, so one box holds it once; only subscriptions with several boxes may hold it again.
+    return matched.where(~F.col("several")).select("sub", "seq", "mmsi").unionByName(matched.where("several").select("sub", "seq", "mmsi").distinct())
+
+
+def boxes_within(asked: DataFrame, claims: DataFrame) -> DataFrame:
+    """(sub, claim) of asked boxes that lie inside one claimed box (claim, min_lat, min_lon, max_lat, max_lon)."""
+    names = ("min_lat", "min_lon", "max_lat", "max_lon")
+    filed = _filed(claims).select("claim", "grid", "cy", "cx", *(F.col(n).alias(f"c_{n}") for n in names))
+    inside = (F.col("min_lat") >= F.col("c_min_lat")) & (F.col("max_lat") <= F.col("c_max_lat")) & (F.col("min_lon") >= F.col("c_min_lon")) & (F.col("max_lon") <= F.col("c_max_lon"))
+    return _placed(asked.select("sub", *names), "min_lat", "min_lon").join(filed, ["grid", "cy", "cx"]).where(inside).select("sub", "claim")
 
 
 def shown_on_board(events: DataFrame, own_source: str, own_mmsi: int) -> DataFrame:

@@ -25,7 +25,7 @@ KINDS = {"BaseStationReport": "base", "AidsToNavigationReport": "aton", "Standar
 STATE = "seen long, has_pos boolean, lat double, lon double, pos_at long, sog double, cog double, heading long, nav_status long, name string, ship_type long, kind string, source string, station string, msg_type string, trusted_at long, n long, n_stale long, n_jump long"
 STATE_NAMES = [c.split()[0] for c in STATE.split(", ")]
 _READ = ("t", "pos", "low", "dup", "heard", "lat", "lon", "sog", "cog", "heading", "nav_status", "name", "ship_type", "kind", "source", "station", "msg_type")
-_STAMP = "seq long, jump boolean, stale boolean, corroborated boolean, v_name string, v_has_pos boolean, v_lat double, v_lon double"
+_STAMP = "jump boolean, stale boolean, corroborated boolean, v_name string, v_has_pos boolean, v_lat double, v_lon double"
 _ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 
 
@@ -69,20 +69,23 @@ def fold_row(state: list, row: tuple) -> tuple[bool, bool, bool] | None:
     return False, stale, not low or state[15] is not None and t - state[15] < TRUST_US
 
 
-def prepared(messages: DataFrame) -> DataFrame:
-    """seq, mmsi and the columns that a fold reads; what ``messages`` lacks is unknown."""
+def _read(messages: DataFrame) -> dict[str, Column]:
+    """The columns that a fold reads; what ``messages`` lacks is unknown."""
     have = set(messages.columns)
     get = lambda c, kind, default: F.coalesce(F.col(c).cast(kind), F.lit(default)) if c in have else F.lit(default).cast(kind)
     valid = F.coalesce(F.col("pos") & (F.abs("lat") <= 90) & (F.abs("lon") <= 180), F.lit(False))
-    text = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+    kind_of = F.col("msg_type") if "msg_type" in have else F.lit(None).cast("string")
     kinds = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))
-    return messages.select(
-        "seq", "mmsi", F.col("t").cast("long").alias("t"), valid.alias("pos"), F.col("source").rlike(LOW_TRUST).alias("low"), get("is_dup", "boolean", False).alias("dup"),
-        (text("msg_type").isin(*POSITION_TYPES) if "msg_type" in have else F.lit(False)).alias("heard"),
-        F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), get("sog", "double", NO_SOG).alias("sog"), get("cog", "double", NO_COG).alias("cog"), get("heading", "long", NO_HEADING).alias("heading"),
-        get("nav_status", "long", NO_STATUS).alias("nav_status"), F.coalesce("name", F.lit("")).alias("name"), get("ship_type", "long", 0).alias("ship_type"),
-        (F.coalesce(F.element_at(kinds, text("msg_type")), F.lit("vessel")) if "msg_type" in have else F.lit("vessel")).alias("kind"), F.col("source"), F.col("station"), text("msg_type").alias("msg_type"),
-    )
+    return {
+        "t": F.col("t").cast("long"), "pos": valid, "low": F.col("source").rlike(LOW_TRUST), "dup": get("is_dup", "boolean", False), "heard": kind_of.isin(*POSITION_TYPES), "lat": F.col("lat").cast("double"), "lon": F.col("lon").cast("double"),
+        "sog": get("sog", "double", NO_SOG), "cog": get("cog", "double", NO_COG), "heading": get("heading", "long", NO_HEADING), "nav_status": get("nav_status", "long", NO_STATUS), "name": F.coalesce("name", F.lit("")), "ship_type": get("ship_type", "long", 0),
+        "kind": F.coalesce(F.element_at(kinds, kind_of), F.lit("vessel")), "source": F.col("source"), "station": F.col("station"), "msg_type": kind_of,
+    }
+
+
+def prepared(messages: DataFrame) -> DataFrame:
+    """seq, mmsi and the columns that a fold reads."""
+    return messages.select("seq", "mmsi", *(c.alias(n) for n, c in _read(messages).items()))
 
 
 def _dealt(messages: DataFrame) -> DataFrame:
@@ -121,28 +124,37 @@ def vessel_fold(messages: DataFrame) -> DataFrame:
 
 
 def vessel_stamps(messages: DataFrame) -> DataFrame:
-    """Of every message that isn't a dropped copy: whether it is a jump (then nothing else is told) or late, whether a trusted source
-    bears it out, and the vessel's name and position after it. A late one keeps its own position."""
-    names = [c.split()[0] for c in _STAMP.split(", ")]
+    """``messages``, all columns, with jump, stale, corroborated and the vessel's name and position after each: v_name, v_has_pos, v_lat, v_lon.
+
+    Nothing else is told of a jump, and nothing of a dropped copy. A late message keeps its own position.
+    """
+    stamps = [c.split() for c in _STAMP.split(", ")]
+    own = [c for c in messages.columns if c not in [n for n, _ in stamps]]
     at_lat, at_lon, at_pos = _READ.index("lat"), _READ.index("lon"), _READ.index("pos")
+    nothing = (None,) * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, held = None, None
         for batch in batches:
             out = []
-            for seq, mmsi, *row in zip(*(batch.column(c).to_pylist() for c in ("seq", "mmsi", *_READ)), strict=True):
+            read = batch.column("__read")
+            for mmsi, *row in zip(batch.column("mmsi").to_pylist(), *(read.field(c).to_pylist() for c in _READ), strict=True):
                 if state is None or mmsi != held:
                     state, held = new_state(), mmsi
                 told = fold_row(state, row)
                 if told is None:
-                    continue
-                jump, stale, borne = told
-                own = stale and row[at_pos]
-                out.append((seq, True, False, False, None, None, None, None) if jump else (seq, False, stale, borne, state[9], state[1], row[at_lat] if own else state[2], row[at_lon] if own else state[3]))
-            columns = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[k.split()[1]]) for c, k in zip(columns, _STAMP.split(", "), strict=True)], names=names)
-
-    return _dealt(messages).mapInArrow(run, _STAMP)
+                    out.append((None, None, None, *nothing))
+                elif told[0]:
+                    out.append((True, False, False, *nothing))
+                else:
+                    late = told[1] and row[at_pos]
+                    out.append((*told, state[9], state[1], row[at_lat] if late else state[2], row[at_lon] if late else state[3]))
+            columns = list(zip(*out, strict=True)) or [()] * len(stamps)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *(pa.array(c, _ARROW[k]) for c, (_, k) in zip(columns, stamps, strict=True))], names=[*own, *(n for n, _ in stamps)])
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in messages.select(*own).dtypes), _STAMP])
+    read = F.struct(*(c.alias(n) for n, c in _read(messages).items()))
+    return messages.select(*own, read.alias("__read")).repartition("mmsi").sortWithinPartitions("mmsi", "seq").mapInArrow(run, schema)
 
 
 def corroborated(low: Column, t: Column, trusted_at: Column) -> Column:

@@ -35,6 +35,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The table is one small file; dealt out as a feed of several files is, so that its sentences are made and read in parallel."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 #: The same for DuckDB, as a common table expression.
 EVENTS_SQL = """ev AS (
   SELECT event_id AS seq, 200000000 + user_id AS mmsi, epoch_us(ts) AS t,

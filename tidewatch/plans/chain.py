@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as C
 from tidewatch.operators import folds, vessels
+from tidewatch.plans.scratch import written
 from tidewatch.sources import codec, formats
 
 DEDUPE_US = 10_000_000
@@ -32,7 +33,8 @@ def messages(lines: DataFrame) -> DataFrame:
 
     ``type`` is null where a whole message can't be decoded.
     """
-    whole = formats.assemble(lines.where("outcome = 'ok'")).withColumn("channel", C.channel(F.col("channel")))
+    # both are read twice: lines by their number of fragments, messages for their sender's own ship
+    whole = formats.assemble(written(lines.where("outcome = 'ok'"), "lines")).withColumn("channel", C.channel(F.col("channel")))
     told = codec.decoded(whole, _FIELDS, ids=True)
     source_t = F.col("source_t") if "source_t" in told.columns else F.lit(None).cast("long")
     # a long-range report has its own marks of what is not available
@@ -43,7 +45,7 @@ def messages(lines: DataFrame) -> DataFrame:
         "pos": F.coalesce(F.col("type").isin(*_WITH_POSITION) & (F.abs("lat") <= 90) & (F.abs("lon") <= 180), F.lit(False)),
         "ship_type": F.coalesce("ship_type", "aid_type"),
     })
-    told = folds.relabel(told, F.col("own") & (F.col("mmsi") != 0))
+    told = folds.relabel(written(told, "messages"), F.col("own") & (F.col("mmsi") != 0))
     renamed = F.col("label") != F.col("source")
     return told.withColumns({"station": F.when(renamed, F.col("label")).otherwise(F.col("station")), "source": F.col("label")}).drop("label", "kind", "talker", "total", "seqid", "fill", "ok", "outcome", "tag_s", "tag_t", "recv_t", "source_t", "buffered", "body")
 
@@ -61,8 +63,7 @@ def synthesized(rows: DataFrame, number: int, fields: dict[str, Column]) -> Data
 
 def events(told: DataFrame, window_us: int = DEDUPE_US) -> DataFrame:
     """Messages with is_dup, and what the vessel's fold stamps on those that aren't: jump, stale, corroborated, v_name, v_has_pos, v_lat, v_lon."""
-    judged = folds.dedupe(told.where("type is not null"), ["id"], window_us)
-    return judged.join(vessels.vessel_stamps(judged), "seq", "left")
+    return vessels.vessel_stamps(folds.dedupe(told.where("type is not null"), ["id"], window_us))
 
 
 def outcomes(lines: DataFrame, judged: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -29,3 +29,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(full)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return full
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder and read again: for what is read more than once."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
