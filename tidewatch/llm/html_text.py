@@ -85,7 +85,6 @@ def _furniture(name: str, attrs: str) -> tuple[bool, bool, frozenset]:
 def parse(page: str) -> Node:
     """Tree of the page without its furniture."""
     root = here = Node("#root", None)
-    skip: Node | None = None
     at, lower = 0, None
 
     def close(names: set[str] | frozenset, stop: set[str] | frozenset) -> None:
@@ -134,7 +133,6 @@ def parse(page: str) -> Node:
         here.children.append(node)
         if not found[3].endswith("/") or name in BLOCKS:
             here = node
-    del skip
     return root
 
 

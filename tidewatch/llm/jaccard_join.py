@@ -35,7 +35,8 @@ from tidewatch.llm.components import UnionFind, components
 WORDS, PERCENT = 5, 75
 #: Frequent shingles put last in the order: at most so many (a bound on what is broadcast), of at least so many classes.
 HOT, HOT_AT, HOT_LOCAL, HOT_WINDOW = 50_000, 64, 8, 1_000_000
-FLUSH_ROWS = 1_000_000
+#: Rows packed at a time, and classes that a task remembers so as not to pack them again; neither changes a result.
+FLUSH_ROWS, REMEMBERED = 1_000_000, 500_000
 LIST_BLOCK, LEAF = 1_024, 16
 MIN_BITS, MAX_BITS = 256, 1 << 16
 _ROW = np.dtype([("t", "<u4"), ("n", "<u4"), ("c", "<i8")])
@@ -134,6 +135,8 @@ def prefix_rows(docs: DataFrame, hot: np.ndarray, parts: int, words: int = WORDS
         kind = np.dtype([("c2", "<u8"), ("n", "<u4"), ("c", "<i8")])
         for piece in slices(batches, "text"):
             sets = shingle_sets(*flat(piece.column("text")), words)
+            if len(seen) > REMEMBERED:
+                seen.clear()
             for s in sets:
                 c, n = class_of(s), len(s)
                 if not n or c in seen:
