@@ -71,3 +71,32 @@ def test_state_keeps_what_a_message_lacks(spark, kind):
     (s,) = vessels.vessel_fold(df).collect()
     assert (s.lat, s.cog, s.heading, s.nav_status, s.name, s.ship_type, s.seen, s.pos_at) == (51.0, 360.0, 511, 5, "B", 70, NOW + 2 * S, NOW + S)
     assert s.kind == ("base" if kind == "BaseStationReport" else "vessel")
+
+
+def test_outcomes(spark):
+    lines = chain.judged_lines(receptions(spark, [("udp:ab", 0, POSITION, False), ("kystverket", 1, POSITION, False), ("kystverket", 2, OTHER, False), ("udp:ab", 3, "junk", False), ("v1:a", 100, TAGGED, True), ("udp:ab", 4, "$GPGLL,1*4D", False)]))
+    judged = chain.events(chain.messages(lines))
+    assert {r.outcome: r.n for r in chain.outcomes(lines, judged).collect()} == {"parse_err": 1, "ignored": 1, "replayed": 1, "duplicate": 1, "uncorroborated": 1, "event": 1}
+
+
+def test_golden_envelope(spark):
+    """The rendered envelope of a position, byte by byte."""
+    from tidewatch.sources import codec, formats, render
+
+    df = spark.createDataFrame([(0, "test", "test", 1_698_014_856_940_343, POSITION)], "seq long, source string, station string, recv_t long, body string")
+    told = codec.decoded(formats.parse(df)).withColumns({"t": F.col("recv_t"), "v_name": F.lit(""), "v_lat": F.col("lat"), "v_lon": F.col("lon")})
+    want = (
+        '{"Message":{"PositionReport":{"Cog":36.7,"CommunicationState":22136,"Latitude":49.47557666666667,"Longitude":0.13138,"MessageID":1,"NavigationalStatus":0,"PositionAccuracy":false,"Raim":false,"RateOfTurn":-128,"RepeatIndicator":0,"Sog":0,"Spare":0,'
+        '"SpecialManoeuvreIndicator":0,"Timestamp":14,"TrueHeading":511,"UserID":227006760,"Valid":true}},"MessageType":"PositionReport","MetaData":{"MMSI":227006760,"MMSI_String":227006760,"ShipName":"","latitude":49.47557666666667,"longitude":0.13138,"time_utc":"2023-10-22 22:47:36.940343 +0000 UTC"}}'
+    )
+    assert told.select(render.envelope().alias("x")).first().x == want
+
+
+def test_feature_leaves_out_what_is_not_known(spark):
+    import json
+
+    from tidewatch.sources import render
+
+    df = spark.createDataFrame([(0, 7, NOW, 49.5, 0.0005, 102.3, "kystverket", "k/1", 'A"B', True, "PositionReport", 36.7)], "seq long, mmsi long, t long, lat double, lon double, sog double, source string, station string, name string, pos boolean, msg_type string, cog double")
+    made = json.loads(vessels.vessel_fold(df).select(render.feature().alias("x")).first().x)
+    assert made == {"type": "Feature", "id": 7, "geometry": {"type": "Point", "coordinates": [0.0005, 49.5]}, "properties": {"mmsi": 7, "kind": "vessel", "seen": "2026-08-20T14:09:50Z", "source": "kystverket", "station": "k/1", "msg_type": "PositionReport", "name": 'A"B', "cog": 36.7}}

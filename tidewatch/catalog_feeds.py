@@ -100,6 +100,15 @@ def src9_envelopes(spark, d):
     return feeds.envelopes(e.select("seq", (F.col("t") + 1).alias("recv_t"), body.alias("body"))).select("seq", "msg_type", "mmsi", "t", "lat", "lon")
 
 
+@query(" SELECT seq, mmsi, CASE WHEN k % 3 = 0 THEN t ELSE k * 1000000 + 1000000 END AS t, concat('V', k) AS name, seq AS imo, k % 100 AS ship_type, round(k % 250 / 10.0::DOUBLE, 6) AS draught, ((seq * 733 % 1000000) >> 16) & 15 AS eta_month, round((k * 7 % 3600) / 10.0::DOUBLE, 6) AS cog, k % 16 AS nav_status FROM ev")
+def src10_snapshot_fields(spark, d):
+    k = F.col("k")
+    row = F.struct(F.col("mmsi").alias("MMSI"), F.col("seq").alias("SEQ"), F.when(k % 3 == 0, "n/a").otherwise((k + 1).cast("string")).alias("TIME"), F.concat(F.lit("V"), k.cast("string")).alias("NAME"), F.col("seq").alias("IMO"), (k % 100).alias("TYPE"), (k % 250).alias("DRAUGHT"), (F.col("seq") * 733 % 1_000_000).alias("ETA"), (k * 7 % 3600).alias("COG"), (k % 16).alias("NAVSTAT"))
+    body = F.concat(F.lit('[{"ERROR":false},'), F.to_json(F.array(row)), F.lit("]"))
+    rows = formats.snapshot_rows(events(spark, d).select(F.col("t").alias("recv_t"), body.alias("body")))
+    return rows.select("seq", "mmsi", "t", "name", "imo", F.col("ship_type").cast("long").alias("ship_type"), *_held("draught"), "eta_month", *_held("cog"), F.col("nav_status").cast("long").alias("nav_status"))
+
+
 @query(" SELECT source, seq, k FROM (SELECT source, seq, k, lag(k) OVER (PARTITION BY source ORDER BY seq) AS p, row_number() OVER (PARTITION BY source ORDER BY seq) AS r FROM (SELECT source, seq, k % 3 AS k FROM ev)) WHERE r = 1 OR k <> p")
 def src11_same_body(spark, d):
     polls = events(spark, d).select("source", "seq", (F.col("k") % 3).cast("string").alias("body"))

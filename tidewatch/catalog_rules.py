@@ -207,6 +207,24 @@ def str1_hourly_stream(spark, d):
     return windows.latest(streams.run_to_end(windows.hourly_counts(stream), base, "update"), "start_t", "msg_type")
 
 
+@query(" SELECT station, count(*) FILTER (k % 5 <> 0) AS events, count(*) FILTER (k % 5 = 0) AS duplicates FROM ev GROUP BY 1")
+def str5_stream_stations(spark, d):
+    base = _scratch(spark, "stream")
+    rows = events(spark, d).select("station", (F.col("k") % 5 == 0).alias("is_dup"))
+    rows.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+    return windows.latest(streams.run_to_end(windows.station_counts(stream), base, "update"), "station")
+
+
+@query(_SUBS_SQL + " SELECT sub, min_lat, min_lon, max_lat, max_lon, CASE WHEN sub % 60 > 50 + sub % 20 THEN 'too many mmsi' END AS error FROM subs")
+def flt14_normalised(spark, d):
+    """Corners in any order; a claim of more than 50 vessels."""
+    subs, swap = _subs(spark, d), F.col("sub") % 2 == 0
+    given = subs.select("sub", *(F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("min_lat", "max_lat"), ("min_lon", "max_lon"), ("max_lat", "min_lat"), ("max_lon", "min_lon"))))
+    asked = subscribe.normalised(given).withColumns({"mmsis": F.array_repeat(F.lit("200000001"), (F.col("sub") % 60).cast("int")), "types": F.array(F.lit("PositionReport"))})
+    return asked.select("sub", "min_lat", "min_lon", "max_lat", "max_lon", subscribe.subscription_error(50 + F.col("sub") % 20).alias("error"))
+
+
 @query(_MESSAGES_SQL + " SELECT mmsi, count(*) AS n FROM m GROUP BY 1")
 def str5_stream_vessels(spark, d):
     """STR6: the vessels' fold as a stream; its state is kept per vessel, and late messages are folded, not dropped."""

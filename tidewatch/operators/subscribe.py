@@ -106,8 +106,15 @@ def quiet_targets(network: DataFrame, local: DataFrame, within_us: int) -> DataF
     return network.withColumn("b", bucket).alias("n").join(heard.alias("l"), near, "left_anti").drop("b")
 
 
-def subscription_error(most_mmsis: int = 50) -> Column:
-    """First rule that a subscription (min_lat, min_lon, max_lat, max_lon, mmsis, types) breaks, or null."""
+def normalised(asked: DataFrame) -> DataFrame:
+    """Boxes with their corners in order, whichever two were given."""
+    order = lambda of, axis: of(f"min_{axis}", f"max_{axis}")
+    corners = {f"min_{a}": order(F.least, a) for a in ("lat", "lon")} | {f"max_{a}": order(F.greatest, a) for a in ("lat", "lon")}
+    return asked.withColumns(corners)
+
+
+def subscription_error(most_mmsis: int | Column = 50) -> Column:
+    """First rule that a subscription (min_lat, min_lon, max_lat, max_lon, mmsis, types) breaks, or null; a claim may allow more vessels."""
     at = lambda c, most: F.abs(F.col(c)) > most
     return (
         F.when(F.col("min_lat").isNull() | F.col("max_lat").isNull(), "no box")

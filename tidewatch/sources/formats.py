@@ -113,11 +113,22 @@ def snapshot_changes(rows: DataFrame) -> DataFrame:
 
 
 def snapshot_rows(bodies: DataFrame) -> DataFrame:
-    """Rows of poll bodies ``[{"ERROR": false}, [row, ...]]``; an error body has none."""
-    row = "array<struct<MMSI:bigint,SEQ:bigint,LATITUDE:bigint,LONGITUDE:bigint,SOG:bigint>>"
+    """Rows of poll bodies ``[{"ERROR": false}, [row, ...]]``, in degrees, knots and metres; an error body has none.
+
+    ``time`` is the row's own text; where bodies have a recv_t, ``t`` is it as microseconds, or recv_t if it can't be read.
+    """
+    row = "array<struct<MMSI:bigint,SEQ:bigint,TIME:string,LATITUDE:bigint,LONGITUDE:bigint,COG:bigint,SOG:bigint,HEADING:int,ROT:int,NAVSTAT:int,IMO:bigint,NAME:string,CALLSIGN:string,TYPE:int,A:int,B:int,C:int,D:int,DRAUGHT:int,DEST:string,ETA:bigint>>"
     fine = bodies.where(F.coalesce(F.get_json_object("body", "$[0].ERROR"), F.lit("false")) != "true")
-    rows = fine.select(F.explode(F.from_json(F.get_json_object("body", "$[1]"), row)).alias("r"))
-    return rows.select(F.col("r.SEQ").alias("seq"), F.col("r.MMSI").alias("mmsi"), (F.col("r.LATITUDE") / 600000).alias("lat"), (F.col("r.LONGITUDE") / 600000).alias("lon"), (F.col("r.SOG") / 10).alias("sog"))
+    own = [c for c in ("recv_t",) if c in bodies.columns]
+    rows = fine.select(*own, F.explode(F.from_json(F.get_json_object("body", "$[1]"), row)).alias("r"))
+    eta = [c.alias(n) for n, c in C.eta_fields(F.col("r.ETA")).items()]
+    told = rows.select(
+        *own, F.col("r.SEQ").alias("seq"), F.col("r.MMSI").alias("mmsi"), F.col("r.TIME").alias("time"), (F.col("r.LATITUDE") / 600000).alias("lat"), (F.col("r.LONGITUDE") / 600000).alias("lon"), (F.col("r.COG") / 10).alias("cog"), (F.col("r.SOG") / 10).alias("sog"),
+        F.col("r.HEADING").alias("heading"), F.col("r.ROT").alias("rot"), F.col("r.NAVSTAT").alias("nav_status"), F.col("r.IMO").alias("imo"), F.col("r.NAME").alias("name"), F.col("r.CALLSIGN").alias("callsign"), F.col("r.TYPE").alias("ship_type"),
+        F.col("r.A").alias("to_bow"), F.col("r.B").alias("to_stern"), F.col("r.C").alias("to_port"), F.col("r.D").alias("to_starboard"), (F.col("r.DRAUGHT") / 10).alias("draught"), F.col("r.DEST").alias("destination"), *eta,
+    )
+    seconds = F.col("time").try_cast("long")
+    return told.withColumn("t", F.coalesce(F.when(seconds > 0, seconds * 1_000_000), F.col("recv_t"))) if own else told
 
 
 def write_archive(receptions: DataFrame, path: str) -> None:

@@ -1,8 +1,8 @@
 """Streaming forms: the greedy dedupe and the vessels' fold as stateful operators, and runs to completion.
 
 A key's state goes when nothing can need it any more: a payload's a minute after the window
-of its last kept message, a vessel's half an hour after it was last seen. Late rows are
-not dropped before the fold, which has its own rule for them.
+of its last kept message, a vessel's half an hour after it was last seen. The fold has its own
+rule for late rows, so the watermark waits for ``LATE``; only rows later than that are dropped.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidewatch.operators.vessels import _READ, EXPIRES_US, STATE, STATE_NAMES, fold_row, new_state
 
 OUT = "payload string, seq long, t long, is_dup boolean"
-EVICT_US = 60_000_000
+EVICT_US, LATE = 60_000_000, "1 day"
 
 
 def _expire(state: GroupState, at_us: int) -> None:
@@ -42,7 +42,7 @@ def stream_dedupe(stream: DataFrame, window_us: int) -> DataFrame:
         _expire(state, last + window_us + EVICT_US)
         yield pd.DataFrame({"payload": key[0], "seq": rows["seq"], "t": rows["t"], "is_dup": flags})
 
-    timed = stream.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", "60 seconds")
+    timed = stream.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", LATE)
     return timed.groupBy("payload").applyInPandasWithState(step, OUT, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -63,7 +63,7 @@ def stream_vessels(stream: DataFrame) -> DataFrame:
         out = pd.DataFrame([[key[0], *now]], columns=["mmsi", *STATE_NAMES])
         yield out.astype({c: t for c, t in (("heading", "Int64"), ("nav_status", "Int64"), ("ship_type", "Int64"), ("seen", "Int64"), ("pos_at", "Int64"), ("trusted_at", "Int64"))})
 
-    timed = stream.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", "60 seconds")
+    timed = stream.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", LATE)
     return timed.groupBy("mmsi").applyInPandasWithState(step, f"mmsi long, {STATE}", STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -76,4 +76,4 @@ def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     else:
         query = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+    return stream.sparkSession.read.schema(stream.schema).parquet(out).select(*stream.columns)

@@ -13,6 +13,11 @@ def hourly_counts(stream: DataFrame) -> DataFrame:
     return counted.select(F.unix_micros("w.start").alias("start_t"), "msg_type", "events")
 
 
+def station_counts(stream: DataFrame) -> DataFrame:
+    """station, events, duplicates so far of a stream of judged rows (station, is_dup): the state is a row per station."""
+    return stream.groupBy("station").agg(F.count_if(~F.col("is_dup")).alias("events"), F.count_if("is_dup").alias("duplicates"))
+
+
 def latest(updates: DataFrame, *key: str) -> DataFrame:
-    """Of rows told again and again as they grow, the last."""
-    return updates.groupBy(*key).agg(F.max("events").alias("events"))
+    """Of rows told again and again as their counts grow, the last."""
+    return updates.groupBy(*key).agg(*(F.max(c).alias(c) for c in updates.columns if c not in key))
