@@ -14,7 +14,7 @@ DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def db():
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
-    for t in ("events", "customer", "supplier"):
+    for t in ("events", "customer", "supplier", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     return con
 
