@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.vessels import nautical_miles
+from tidewatch.operators.vessels import dealt, nautical_miles
 
 #: Arrival numbers of a block.
 BLOCK = 65_536
@@ -37,7 +37,7 @@ def _flagged(df: DataFrame, key: list[str], name: str, step: Callable, read: tup
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_())], names=[*own, name])
 
     schema = ", ".join([*(f"`{c}` {t}" for c, t in df.select(*own).dtypes), f"{name} boolean"])
-    return df.select(*own).repartition(*key).sortWithinPartitions(*key, "seq").mapInArrow(run, schema)
+    return dealt(df.select(*own), *key).mapInArrow(run, schema)
 
 
 def dedupe(df: DataFrame, key: list[str], window_us: int) -> DataFrame:

@@ -88,8 +88,9 @@ def prepared(messages: DataFrame) -> DataFrame:
     return messages.select("seq", "mmsi", *(c.alias(n) for n, c in _read(messages).items()))
 
 
-def _dealt(messages: DataFrame) -> DataFrame:
-    return prepared(messages).repartition("mmsi").sortWithinPartitions("mmsi", "seq")
+def dealt(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows by key and arrival, over as many tasks as the session shuffles into: the row by row work behind is too slow for few."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, "seq")
 
 
 def vessel_fold(messages: DataFrame) -> DataFrame:
@@ -120,7 +121,7 @@ def vessel_fold(messages: DataFrame) -> DataFrame:
             done.append((held, *state))
             yield table()
 
-    return _dealt(messages).mapInArrow(run, schema)
+    return dealt(prepared(messages), "mmsi").mapInArrow(run, schema)
 
 
 def vessel_stamps(messages: DataFrame) -> DataFrame:
@@ -154,7 +155,7 @@ def vessel_stamps(messages: DataFrame) -> DataFrame:
 
     schema = ", ".join([*(f"`{c}` {t}" for c, t in messages.select(*own).dtypes), _STAMP])
     read = F.struct(*(c.alias(n) for n, c in _read(messages).items()))
-    return messages.select(*own, read.alias("__read")).repartition("mmsi").sortWithinPartitions("mmsi", "seq").mapInArrow(run, schema)
+    return dealt(messages.select(*own, read.alias("__read")), "mmsi").mapInArrow(run, schema)
 
 
 def corroborated(low: Column, t: Column, trusted_at: Column) -> Column:
