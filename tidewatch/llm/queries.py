@@ -79,13 +79,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidewatch.llm.byte_bpe import byte_bpe_digest
+
+    return byte_bpe_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and callable(f)}
 
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
-#: The other eight can't be stated as SQL on the given tables: models, dictionaries and searches
+#: The others can't be stated as SQL on the given tables: models, dictionaries and searches
 #: are fitted or read outside SQL. tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op5_suffix_dedup": """WITH bytes AS (SELECT doc_id, encode(coalesce(text, '')) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
