@@ -321,12 +321,6 @@ def par2_trailing_fields(spark, d):
     return events(spark, d).select("seq", C.without_trailing_fields(line).alias("line"))
 
 
-@query(" SELECT station, count(*) AS messages, sum(length(payload))::BIGINT AS chars FROM ev GROUP BY 1")
-def par7_reassembly(spark, d):
-    whole = formats.reassemble(formats.fragments(events(spark, d)))
-    return whole.groupBy("station").agg(F.count("*").alias("messages"), F.sum(F.length("payload")).cast("long").alias("chars"))
-
-
 @query(" SELECT seq, 'http:st1' AS source, epoch_us(strptime(strftime(make_timestamp(t), '%Y%m%d%H%M%S'), '%Y%m%d%H%M%S')) AS source_t, concat('!', n, payload) AS line FROM ev, (SELECT unnest(['1','2']) AS n)")
 def src3_http_envelopes(spark, d):
     msg = F.struct(F.array(F.concat(F.lit("!1"), "payload"), F.concat(F.lit("!2"), "payload")).alias("nmea"), F.date_format(F.timestamp_micros("t"), "yyyyMMddHHmmss").alias("rxtime"))
@@ -461,4 +455,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 # They register their queries with the decorator above.
-from tidewatch import catalog_feeds, catalog_rules  # noqa: E402, F401
+from tidewatch import catalog_feeds, catalog_rules, catalog_streams  # noqa: E402, F401

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as C
+from tidewatch.operators import fragments
 from tidewatch.sources import codec
 
 
@@ -62,38 +63,13 @@ def decode_positions(parsed: DataFrame) -> DataFrame:
 
 
 def assemble(parsed: DataFrame) -> DataFrame:
-    """Whole messages of parsed sentences: those in one sentence, and those whose fragments are all there.
+    """Whole messages of parsed sentences: those in one sentence, and those whose fragments came one after another.
 
-    A first fragment opens a group of its station, talker, kind, channel and sequence number; a
-    fragment without a first yields nothing. ``nmea`` holds the lines, and the other columns are the last fragment's.
+    ``nmea`` holds the lines, and the other columns are the last fragment's.
     """
-    from pyspark.sql import Window
-
-    keys = ["station", "talker", "kind", "total", "seqid", "channel"]
-    keep = [c for c in parsed.columns if c not in ("line", "num", "payload", *keys)]
-    single = parsed.where("total = 1").select(*keep, *keys, "payload", F.array("line").alias("nmea"))
-    w = Window.partitionBy(*keys).orderBy("seq")
-    several = parsed.where("total > 1").withColumn("__g", F.count_if(F.col("num") == 1).over(w))
-    grouped = several.groupBy(*keys, "__g").agg(F.sort_array(F.collect_list(F.struct("num", "payload", "line"))).alias("__x"), F.max_by(F.struct(*keep), "seq").alias("__last"))
-    whole = grouped.where(F.col("__x.num") == F.sequence(F.lit(1), F.col("total")))
-    return single.unionByName(whole.select("__last.*", *keys, F.array_join("__x.payload", "").alias("payload"), F.col("__x.line").alias("nmea")))
-
-
-def fragments(receptions: DataFrame, payload: str = "payload") -> DataFrame:
-    """Each payload as two fragments; a station's sequence numbers are used again and again."""
-    half = F.floor(F.length(payload) / 2).cast("int")
-    two = F.array(F.struct(F.lit(1).alias("num"), F.col(payload).substr(F.lit(1), half).alias("part")), F.struct(F.lit(2).alias("num"), F.col(payload).substr(half + 1, F.length(payload)).alias("part")))
-    return receptions.select("seq", "station", (F.col("seq") % 10).alias("seqid"), F.explode(two).alias("x")).select("station", "seqid", (F.col("seq") * 2 + F.col("x.num") - 1).alias("arrival"), F.lit(2).alias("total"), "x.num", "x.part")
-
-
-def reassemble(parts: DataFrame) -> DataFrame:
-    """Complete messages: a first fragment opens a group of its station and sequence number; orphans yield nothing."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("station", "total", "seqid").orderBy("arrival")
-    grouped = parts.withColumn("g", F.sum(F.when(F.col("num") == 1, 1).otherwise(0)).over(w)).groupBy("station", "total", "seqid", "g")
-    whole = grouped.agg(F.sort_array(F.collect_list(F.struct("num", "part"))).alias("x"), F.min("arrival").alias("arrival"))
-    return whole.where(F.col("x.num") == F.sequence(F.lit(1), F.col("total"))).select("station", "arrival", F.array_join("x.part", "").alias("payload"))
+    kept = [c for c in parsed.columns if c not in ("line", "num", "payload")]
+    single = parsed.where("total = 1").select(*kept, "payload", F.array("line").alias("nmea"))
+    return single.unionByName(fragments.whole_messages(parsed))
 
 
 def http_envelopes(bodies: DataFrame, sub: str) -> DataFrame:
