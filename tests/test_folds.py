@@ -56,3 +56,14 @@ def test_vessel_fold_collects_nothing(spark):
     assert len(got) == 3001 and sum(r.n for r in got.values()) == 9000
     assert (got[7].n, got[7].seen, got[7].name, got[7].station) == (6000, 8_999_000_000, "n8995", "s3")
     assert "collect_list" not in plan(out)
+
+
+def test_rows_without_a_time(spark):
+    """They count and tell their static fields, but move nothing; the stream form of the dedupe passes them on."""
+    from tidewatch.operators import vessels
+
+    rows = [(0, 7, 100, 50.0, 1.0, "A", True), (1, 7, None, 51.0, 2.0, "B", True), (2, 8, None, 51.0, 2.0, "", True), (3, 7, 101, 52.0, 1.0, "", True)]
+    df = spark.createDataFrame([(*r[:3], r[3], r[4], 3.0, s, "k", r[5], r[6], "PositionReport") for r in rows for s in ("udp:a",)], "seq long, mmsi long, t long, lat double, lon double, sog double, source string, station string, name string, pos boolean, msg_type string")
+    got = {r.mmsi: (r.seen, r.has_pos, r.lat, r.name, r.n, r.n_stale) for r in vessels.vessel_fold(df).collect()}
+    assert got == {7: (101, True, 52.0, "B", 3, 1), 8: (None, False, None, None, 1, 1)}
+    assert {r.seq: r.stale for r in vessels.vessel_stamps(df).collect()} == {0: False, 1: True, 2: True, 3: False}

@@ -37,3 +37,22 @@ def test_long_range_and_short(parsed):
 
 def test_positions_are_of_types_1_to_3(parsed):
     assert formats.decode_positions(parsed).count() == 0
+
+
+def test_what_a_message_cannot_hold(spark):
+    """Out of range and missing values, by type: not available, or the nearest number that fits."""
+    from pyspark.sql import functions as F
+
+    from tidewatch.sources import codec
+
+    rows = spark.createDataFrame([(0, None, None, None, None, None), (1, 91.5, -180.5, 150.0, 400.0, 600), (2, 90.0, 180.0, 102.2, 359.97, 359), (3, -90.0, -180.0, -1.0, 0.0, 0), (4, 10.0, 20.0, 102.3, 360.0, 511)], "seq int, lat double, lon double, sog double, cog double, heading int")
+    given = {"mmsi": F.lit(227006760), **{c: F.col(f"__{c}") for c in ("lat", "lon", "sog", "cog")}}
+    named = rows.select("seq", *(F.col(c).alias(f"__{c}") for c in ("lat", "lon", "sog", "cog", "heading")))
+    near = lambda told: {r.seq: tuple(round(x, 4) if x is not None else None for x in (r.lat, r.lon, r.sog, r.cog)) for r in told.collect()}
+    a = codec.decoded(codec.encoded(named, 1, given | {"heading": F.col("__heading")}).select("seq", "payload", "fill"))
+    assert near(a) == {0: (91.0, 181.0, 102.3, 360.0), 1: (91.0, 181.0, 102.2, 360.0), 2: (90.0, 180.0, 102.2, 0.0), 3: (-90.0, -180.0, 0.0, 0.0), 4: (10.0, 20.0, 102.3, 360.0)}
+    assert {r.seq: r.heading for r in a.collect()} == {0: 511, 1: 511, 2: 359, 3: 0, 4: 511}
+    far = codec.decoded(codec.encoded(named, 27, given).select("seq", "payload", "fill"))
+    assert near(far) == {0: (91.0, 181.0, 63.0, 511.0), 1: (91.0, 181.0, 62.0, 511.0), 2: (90.0, 180.0, 62.0, 0.0), 3: (-90.0, -180.0, 0.0, 0.0), 4: (10.0, 20.0, 62.0, 511.0)}
+    fast = codec.decoded(codec.encoded(named, 9, {**given, "altitude": F.lit(5000)}).select("seq", "payload", "fill"))
+    assert {r.seq: (r.sog, r.altitude) for r in fast.collect()}[1] == (150.0, 4095)

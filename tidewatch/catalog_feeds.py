@@ -157,10 +157,10 @@ def par14_tagged(spark, d):
     return events(spark, d).select("seq", feeds.tagged(line, station, F.floor(F.col("t") / 1000)).alias("line"))
 
 
-@query(" SELECT seq, CASE WHEN k % 4 = 0 OR k % 4 = 1 THEN t ELSE k * 1000000 END AS t FROM ev")
+@query(" SELECT seq, CASE WHEN k % 4 = 0 OR k % 4 = 1 OR k <= 0 THEN t ELSE k * 1000000 END AS t FROM ev")
 def time5_row_time(spark, d):
     told = F.when(F.col("k") % 4 == 0, "n/a").when(F.col("k") % 4 == 1, "-5").otherwise(F.col("k").cast("string"))
-    return events(spark, d).where("k > 0").select("seq", feeds.row_time(told, F.col("t")).alias("t")).unionByName(events(spark, d).where("k <= 0").select("seq", F.when(F.col("k") % 4 > 1, F.col("k") * 1_000_000).otherwise(F.col("t")).alias("t")))
+    return events(spark, d).select("seq", feeds.row_time(told, F.col("t")).alias("t"))
 
 
 @query(" SELECT seq, mmsi FROM (SELECT seq, mmsi, f, lag(f) OVER (PARTITION BY mmsi ORDER BY seq) AS p, row_number() OVER (PARTITION BY mmsi ORDER BY seq) AS r FROM (SELECT seq, mmsi, concat_ws('|', CASE WHEN k % 6 = 0 THEN 'V' ELSE '' END, 'CS', CASE WHEN k % 2 = 0 THEN '0' ELSE '7' END, (k % 3)::VARCHAR, '') AS f, k FROM ev) WHERE k % 6 = 0 OR k % 2 = 1) WHERE r = 1 OR f <> p")

@@ -78,16 +78,24 @@ def agg14_targets(spark, d):
     return events(spark, d).groupBy(F.unix_micros(w["start"]).alias("x")).agg(F.countDistinct("mmsi").alias("targets"))
 
 
-@query(" SELECT count(DISTINCT source) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS seen FROM ev")
+@query(" SELECT source, count(*) AS events, min(t) AS first_t, max(t) AS last_t FROM ev GROUP BY 1")
 def agg15_sources_seen(spark, d):
-    seen = F.array_sort(F.collect_set("source"))
-    return events(spark, d).agg(F.countDistinct("source").alias("n"), F.array_join(seen, ",").alias("seen"))
+    """A row per source: their names are without bound."""
+    return events(spark, d).groupBy("source").agg(F.count("*").alias("events"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
-@query(" SELECT kind, count(*) AS vessels, count(*) FILTER (has) AS with_position FROM (SELECT mmsi, CASE WHEN bool_or(msg_type = 'BaseStationReport') THEN 'base' ELSE 'vessel' END AS kind, bool_or(msg_type <> 'ShipStaticData') AS has FROM ev GROUP BY 1) GROUP BY 1")
+_KINDS_SQL = "CASE WHEN mmsi % 10 = 7 AND msg_type = 'BaseStationReport' THEN 'base' WHEN mmsi % 10 = 8 AND msg_type = 'BaseStationReport' THEN 'aton' WHEN mmsi % 10 = 9 AND msg_type = 'BaseStationReport' THEN 'sar' END"
+
+
+@query(f" SELECT kind, count(*) AS vessels, count(*) FILTER (has) AS with_position, count(*) FILTER (seen >= {NOW}) AS alive FROM (SELECT mmsi, coalesce(max({_KINDS_SQL}), 'vessel') AS kind, bool_or(msg_type <> 'ShipStaticData' AND k % 5 = 0) AS has, max(t) AS seen FROM ev GROUP BY 1) GROUP BY 1")
 def agg7_vessels_by_kind(spark, d):
-    state = vessels.vessel_fold(events(spark, d).select("seq", "mmsi", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), "sog", "source", "station", F.lit("").alias("name"), (F.col("msg_type") != "ShipStaticData").alias("pos"), "msg_type"))
-    return state.groupBy("kind").agg(F.count("*").alias("vessels"), F.count_if("has_pos").alias("with_position"))
+    """Base stations, marks, aircraft and vessels, by what each of them last said it is; with their last positions."""
+    last = F.col("mmsi") % 10
+    base = F.col("msg_type") == "BaseStationReport"
+    kind = F.when(base & (last == 8), "AidsToNavigationReport").when(base & (last == 9), "StandardSearchAndRescueAircraftReport").when(base & (last == 7), "BaseStationReport").otherwise(F.when(base, "StaticDataReport").otherwise(F.col("msg_type")))
+    rows = events(spark, d).select("seq", "mmsi", "t", "lat", "lon", "sog", F.lit("kystverket").alias("source"), "station", F.lit("").alias("name"), ((F.col("msg_type") != "ShipStaticData") & (F.col("k") % 5 == 0)).alias("pos"), kind.alias("msg_type"))
+    state = vessels.vessel_fold(rows)
+    return state.groupBy("kind").agg(F.count("*").alias("vessels"), F.count_if("has_pos").alias("with_position"), F.count_if(F.col("seen") >= NOW).alias("alive"))
 
 
 @query(""", o AS (SELECT source, seq, k % 3 = 0 AS frees, row_number() OVER (PARTITION BY source ORDER BY seq) AS rn FROM ev),

@@ -107,9 +107,10 @@ def _latest(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
 
 def relabel(df: DataFrame, own: Column) -> DataFrame:
     """UDP sources take the label of the latest own-ship report so far, including this row's."""
-    udp = F.col("source").startswith("udp:")
-    known = _latest(df, "source", F.when(udp & own, F.concat(F.lit("mmsi:"), F.col("mmsi").cast("string"))), "label")
-    return known.withColumn("label", F.when(udp, F.coalesce("label", "source")).otherwise(F.col("source")))
+    udp = F.coalesce(F.col("source").startswith("udp:"), F.lit(False))
+    # only these rows can change, so only they are dealt out
+    known = _latest(df.where(udp), "source", F.when(own, F.concat(F.lit("mmsi:"), F.col("mmsi").cast("string"))), "label")
+    return known.withColumn("label", F.coalesce("label", "source")).unionByName(df.where(~udp).withColumn("label", F.col("source")))
 
 
 def last_known(df: DataFrame, value: Column, name: str) -> DataFrame:

@@ -95,15 +95,15 @@ def shown_on_board(events: DataFrame, own_source: str, own_mmsi: int) -> DataFra
 
 def not_looped(published: DataFrame, received: DataFrame, within_us: int) -> DataFrame:
     """Published rows (key, t) whose key wasn't received from the server in the ``within_us`` before."""
-    return quiet_targets(published.withColumn("mmsi", F.col("key")), received.withColumn("mmsi", F.col("key")), within_us).drop("mmsi")
+    return quiet_targets(published, received, within_us, "key")
 
 
-def quiet_targets(network: DataFrame, local: DataFrame, within_us: int) -> DataFrame:
+def quiet_targets(network: DataFrame, local: DataFrame, within_us: int, key: str = "mmsi") -> DataFrame:
     """Network rows of targets that no local row (other source) updated in the ``within_us`` before: an interval anti-join, bucketed by time."""
     bucket = F.floor(F.col("t") / within_us)
-    heard = local.select(F.col("mmsi"), F.col("t").alias("heard"), F.explode(F.array(bucket, bucket + 1)).alias("b"))
-    near = (F.col("n.mmsi") == F.col("l.mmsi")) & (F.col("n.b") == F.col("l.b")) & (F.col("n.t") - F.col("l.heard")).between(0, within_us - 1)
-    return network.withColumn("b", bucket).alias("n").join(heard.alias("l"), near, "left_anti").drop("b")
+    heard = local.select(F.col(key).alias("__key"), F.col("t").alias("__heard"), F.explode(F.array(bucket, bucket + 1)).alias("__l"))
+    near = (F.col(key) == F.col("__key")) & (F.col("__b") == F.col("__l")) & (F.col("t") - F.col("__heard")).between(0, within_us - 1)
+    return network.withColumn("__b", bucket).join(heard, near, "left_anti").drop("__b")
 
 
 def normalised(asked: DataFrame) -> DataFrame:

@@ -43,10 +43,11 @@ def fold_row(state: list, row: tuple) -> tuple[bool, bool, bool] | None:
     t, pos, low, dup, heard, lat, lon, sog, cog, heading, nav_status, name, ship_type, kind, source, station, msg_type = row
     seen, has_pos, old_lat, old_lon, pos_at = state[:5]
     if dup:
-        if heard and not low and state[16] + state[18] and (state[15] is None or t > state[15]):
+        if heard and not low and t is not None and state[16] + state[18] and (state[15] is None or t > state[15]):
             state[15] = t
         return None
-    stale = bool(has_pos and t < seen - STALE_US)
+    # what comes without a time counts as late, so it moves nothing
+    stale = t is None or bool(has_pos and t < seen - STALE_US)
     if low and pos and not stale and has_pos and t - pos_at >= JUMP_US and nautical_miles(old_lat, old_lon, lat, lon) / ((t - pos_at) / 3.6e9) > MAX_KNOTS:
         state[18] += 1
         return True, False, False
@@ -66,7 +67,7 @@ def fold_row(state: list, row: tuple) -> tuple[bool, bool, bool] | None:
         if nav_status != NO_STATUS:
             state[8] = nav_status
         state[0], state[12:15] = t, (source, station, msg_type)
-    return False, stale, not low or state[15] is not None and t - state[15] < TRUST_US
+    return False, stale, not low or t is not None and state[15] is not None and t - state[15] < TRUST_US
 
 
 def _read(messages: DataFrame) -> dict[str, Column]:

@@ -193,8 +193,11 @@ def xor_sums(lines: list[str]) -> list[str]:
     return [f"{x:02X}" for x in np.bitwise_xor.reduceat(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes).tolist()]
 
 
-#: What a field holds where it isn't given: not available, by the protocol.
-_UNKNOWN = {"repeat": 0, "nav_status": 15, "rot": -128, "sog": 1023, "lon": 181 * 600000, "lat": 91 * 600000, "cog": 3600, "heading": 511, "second": 60, "eta_hour": 24, "eta_minute": 60}
+#: Fixed values of the protocol: what a field holds where it isn't given or not available; long-range reports have coarser units.
+_UNKNOWN = {"repeat": 0, "nav_status": 15, "rot": -128, "sog": 1023, "lon": 181 * 600000, "lat": 91 * 600000, "cog": 3600, "heading": 511, "second": 60, "hour": 24, "minute": 60, "eta_hour": 24, "eta_minute": 60, "altitude": 4095}
+_UNKNOWN_COARSE = {"lon": 181 * 600, "lat": 91 * 600, "sog": 63, "cog": 511}
+#: What these fields can tell, in their own units; their width could hold more.
+_RANGES = {"lon": (-180, 180), "lat": (-90, 90), "cog": (0, 359.999), "heading": (0, 359)}
 _TOTAL = {1: 168, 4: 168, 5: 424, 9: 168, 18: 168, 19: 312, 21: 272, 24: 168, 27: 96}
 
 
@@ -202,18 +205,30 @@ def encoded(rows: DataFrame, number: int, fields: dict[str, Column], channel: Co
     """``rows``, all columns, with ``payload``, ``fill`` and ``nmea``, the sentences of a message of type ``number``.
 
     ``fields`` gives the layout's values in their own units (degrees, knots); the rest are not available.
-    Values are rounded to what the message can hold.
+    Values are rounded to what the message can hold. Places, courses and headings out of range are not
+    available, any other number that the field can't hold becomes the nearest one that it can.
     """
     layout = [*_HEAD, *LAYOUTS[number], *(_STATIC[part] if number == 24 else ())]
     given = {"type": F.lit(number), **({"part": F.lit(part)} if number == 24 else {}), **fields}
     known = [(name, at, width, kind) for name, at, width, kind in layout if name in given]
-    rest = [(at, width, _UNKNOWN.get(name, 0)) for name, at, width, kind in layout if name not in given and kind != "t"]
+    unknown = _UNKNOWN | (_UNKNOWN_COARSE if number in (17, 27) else {})
+    rest = [(at, width, unknown.get(name, 0)) for name, at, width, kind in layout if name not in given and kind not in ("t", "x")]
 
-    def coded(name: str, kind) -> Column:
+    def coded(name: str, width: int, kind) -> Column:
         if kind == "t":
             return F.upper(F.coalesce(given[name].cast("string"), F.lit(""))).alias(name)
         scale = 1 if kind in ("u", "s") else abs(kind)
-        return F.coalesce(F.round(given[name] * scale).cast("long"), F.lit(_UNKNOWN.get(name, 0))).alias(name)
+        signed = kind == "s" or not isinstance(kind, str) and kind > 0
+        least, most = (-(1 << width - 1), (1 << width - 1) - 1) if signed else (0, (1 << width) - 1)
+        value, none = F.round(given[name] * scale).cast("long"), F.lit(unknown.get(name, 0)).cast("long")
+        if name in _RANGES:
+            value = F.when(given[name].between(*_RANGES[name]), value % (360 * scale) if name == "cog" else value)
+        elif name == "sog":
+            # the last number before "not available" stands for all greater speeds
+            value = F.when(value != none, F.greatest(F.lit(0), F.least(none - 1, value)))
+        else:
+            value = F.greatest(F.lit(least), F.least(F.lit(most), value))
+        return F.coalesce(value.cast("long"), none).alias(name)
 
     total = _TOTAL[1 if number < 4 else number] if not (number == 24 and part == 0) else 160
     own = [c for c in rows.columns if c not in ("payload", "fill", "nmea")]
@@ -248,7 +263,7 @@ def encoded(rows: DataFrame, number: int, fields: dict[str, Column], channel: Co
                 names=[*own, "payload", "fill", "nmea"],
             )
 
-    made = rows.select(*own, F.struct(*(coded(name, kind) for name, _, _, kind in known)).alias("__fields"), F.coalesce(channel if channel is not None else F.lit("A"), F.lit("A")).alias("__channel"))
+    made = rows.select(*own, F.struct(*(coded(name, width, kind) for name, _, width, kind in known)).alias("__fields"), F.coalesce(channel if channel is not None else F.lit("A"), F.lit("A")).alias("__channel"))
     return made.mapInArrow(run, schema)
 
 

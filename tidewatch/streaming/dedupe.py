@@ -35,11 +35,12 @@ def stream_dedupe(stream: DataFrame, window_us: int) -> DataFrame:
         rows = pd.concat(list(frames)).sort_values("seq")
         flags = []
         for t in rows["t"].tolist():
-            dup = last is not None and abs(t - last) < window_us
+            t = None if pd.isna(t) else t
+            dup = last is not None and t is not None and abs(t - last) < window_us
             last = last if dup else t
             flags.append(dup)
         state.update((last,))
-        _expire(state, last + window_us + EVICT_US)
+        _expire(state, (last or 0) + window_us + EVICT_US)
         yield pd.DataFrame({"payload": key[0], "seq": rows["seq"], "t": rows["t"], "is_dup": flags})
 
     timed = stream.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", LATE)
