@@ -58,7 +58,10 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component): every node of the edges (two long columns) with the smallest node of its component."""
+    """(node, component): every node of the edges (two long columns) with the smallest node of its component.
+
+    Rounds grow with the logarithm of the longest path; one that isn't settled after ``most_rounds`` fails.
+    """
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v")
     tasks = -(-e.count() // TASK_EDGES)
@@ -78,5 +81,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if tuple(now) == before:
             break
         before = tuple(now)
+    else:
+        if tasks > 1:
+            raise RuntimeError(f"components aren't settled after {most_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -10,13 +10,15 @@ a section's name, and a box of links is dropped only if its words name furniture
 
 Defined results: null or empty html, or a page without text outside its furniture, has
 the empty text; unclosed, wrongly nested and truncated markup is repaired as browsers
-do; repeated rows give one result each; extra columns are ignored.
+do; repeated rows give one result each; extra columns are ignored. A page costs time in proportion to its length,
+however its elements are nested.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,23 +37,31 @@ HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 FURNITURE = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation navlinks menu menubar submenu breadcrumb breadcrumbs toc pager pagination sidebar sidebars aside rail widget widgets footer foot masthead header topbar toolbar comment comments commentlist respond disqus discussion replies reply share sharing social related recommended recommendations subscribe subscription newsletter signup login search hidden skip skiplink contentinfo complementary dialog".split()
 )
-#: Of these, the words that name furniture inside the text as well: as a part of a token, or as a whole token only.
-CLEAR = frozenset("advert adverts advertisement advertising adbox sponsored navbar navlinks menubar submenu breadcrumb breadcrumbs pager pagination sidebar sidebars masthead topbar toolbar commentlist disqus signup skiplink contentinfo popup".split())
-WHOLE = frozenset("ad ads promo promoted banner gdpr modal nav menu toc widget widgets footer comments subscribe newsletter login hidden skip complementary comment-list comments-area ad-box ad-slot ad-unit ad-banner ad-container ad-wrapper google-ad google-ads".split())
-CONTAINERS = frozenset("div section aside ul form".split())
-#: Text whatever its class: no word of these elements' class, id or role is judged.
+#: Words that name furniture inside the text as well, on containers and lists: as any part of a token, as its first part, its last, or the whole token.
+CLEAR = frozenset("adverts advertisement advertising adbox sponsored navbar navlinks menubar submenu breadcrumb breadcrumbs pager pagination sidebar sidebars masthead topbar toolbar commentlist disqus signup skiplink contentinfo popup".split())
+FIRST = frozenset("advert cookie cookies gdpr promo comment comments newsletter".split())
+LAST = frozenset("ad ads advert comment comments notice notices consent share sharing promo banner sponsor sponsors newsletter".split())
+WHOLE = frozenset("promoted gdpr modal overlay nav menu toc widget widgets footer subscribe subscription login hidden skip complementary alert alerts alertdialog cookie cookies related recommended recommendations social replies respond ad-box ad-slot ad-unit ad-banner ad-container ad-wrapper".split())
+#: First parts that name furniture only before such a last part: share-buttons, but not share-price; related-posts, but not related-work.
+PAIRED, ENDS = frozenset("share sharing social related recommended reader user alert notice consent".split()), frozenset("buttons button bar links link tools box icons icon widget posts post articles stories news reads items list content comments area section wrapper container message banner".split())
+#: Whole tokens that name an advert on a paragraph or a stretch of text.
+ADVERTS, JUDGED_PROSE = frozenset("ad ads advert adverts advertisement".split()), frozenset("p span li".split())
+CONTAINERS = frozenset("div section aside ul ol form".split())
+#: Text whatever its class, but for an advert's: no other word of these elements' class, id or role is judged.
 PROSE = HEADINGS | frozenset("p pre blockquote td th tr li dt dd figure figcaption caption".split())
 BODY_WORDS = frozenset("article content main body post entry text story maincontent articlebody page".split())
 TAG_POINTS = {"article": 10.0, "main": 8.0, "section": 2.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "address": -3.0}
 
 #: Quotes only count where an attribute's value begins; a quote that is never closed is part of the value. A tag that the page ends in is dropped.
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)(?:>|(\Z))|<[!?/][^>]*>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)(?:>|(\Z))|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: Points of an element that is removed.
+GONE = -1e9
 
 
 class Node:
-    __slots__ = ("apart", "children", "commas", "doubt", "links", "name", "parent", "points", "size", "words")
+    __slots__ = ("apart", "children", "commas", "doubt", "links", "name", "parent", "points", "size", "within", "words")
 
     def __init__(self, name: str, parent: Node | None, words: frozenset = frozenset()):
         self.name, self.parent, self.words = name, parent, words
@@ -59,7 +69,8 @@ class Node:
         self.points = self.size = self.links = 0.0
         self.commas = 0
         # doubt: furniture unless it stands in the text; apart: so is this node or one above it.
-        self.doubt = self.apart = False
+        # within: this node or one above it is an article or main.
+        self.doubt = self.apart = self.within = False
 
 
 def _furniture(name: str, attrs: str) -> tuple[bool, bool, frozenset]:
@@ -78,29 +89,44 @@ def _furniture(name: str, attrs: str) -> tuple[bool, bool, frozenset]:
             tokens.add(token.lower())
             words |= {w.lower() for w in _WORD.findall(token)} | {token.lower()}
     named = words & FURNITURE and name not in PROSE and not (name in ("html", "body", "article", "main") or words & BODY_WORDS and not words & {"comment", "comments", "sidebar", "ad", "ads", "advert", "footer", "header", "nav", "menu", "share", "related", "form"})
-    sure = bool(named and name in CONTAINERS and (words & CLEAR or tokens & WHOLE))
+    sure = name in CONTAINERS and any(map(_names_furniture, tokens)) or name in JUDGED_PROSE and bool(tokens & ADVERTS)
     return sure, bool(named and not sure), frozenset(words)
 
 
+def _names_furniture(token: str) -> bool:
+    parts = token.replace("_", "-").strip("-").split("-")
+    return token in WHOLE or not CLEAR.isdisjoint(parts) or parts[0] in FIRST or parts[-1] in LAST or parts[0] in PAIRED and parts[-1] in ENDS and len(parts) > 1
+
+
 def parse(page: str) -> Node:
     """Tree of the page without its furniture."""
-    root = here = Node("#root", None)
+    root = Node("#root", None)
+    # the open elements from the root on, places in there by name, and those of blocks
+    path, opened, blocks = [root], defaultdict(list), [0]
     at, lower = 0, None
 
-    def close(names: set[str] | frozenset, stop: set[str] | frozenset) -> None:
-        nonlocal here
-        node = here
-        while node.parent is not None and node.name not in stop:
-            if node.name in names:
-                here = node.parent
-                return
-            node = node.parent
+    def close(names: tuple[str, ...], scopes: frozenset | set | None) -> None:
+        """Closes the innermost of these elements, unless one of ``scopes`` (None: any other block) stands inside it."""
+        found = max((opened[n][-1] for n in names if opened[n]), default=0)
+        if scopes is None:
+            k = len(blocks) - 1
+            while k and path[blocks[k]].name in names:
+                k -= 1
+            inner = blocks[k]
+        else:
+            inner = max((opened[n][-1] for n in scopes if opened[n]), default=0)
+        if found > inner:
+            while len(path) > found:
+                name = path.pop().name
+                opened[name].pop()
+                if name in BLOCKS:
+                    blocks.pop()
 
     while at < len(page):
         found = _TOKEN.search(page, at)
         text = page[at : found.start() if found else len(page)]
         if text:
-            here.children.append(html.unescape(text))
+            path[-1].children.append(html.unescape(text))
         if not found:
             break
         at = found.end()
@@ -109,7 +135,7 @@ def parse(page: str) -> Node:
             continue
         if found[1]:
             if name in BLOCKS or name not in VOID:
-                close({name}, frozenset() if name in BLOCKS else BLOCKS - {name})
+                close((name,), frozenset() if name in BLOCKS else None)
             continue
         gone, doubt, words = _furniture(name, found[3])
         if name in RAW:
@@ -117,22 +143,25 @@ def parse(page: str) -> Node:
             end = lower.find(f"</{name}", at)
             at = len(page) if end < 0 else end
         if name in VOID:
-            here.children.append(Node(name, here))
+            path[-1].children.append(Node(name, path[-1]))
             continue
         if name in BLOCKS:
-            close({"p"}, BLOCKS - {"p"})
+            close(("p",), None)
         if name in CLOSES:
             for _ in range(2):
-                close(CLOSES[name], SCOPES[name])
+                close(tuple(CLOSES[name]), SCOPES[name])
         if name == "header" and not gone:
             gone = True
-        node = Node("#gone" if gone else name, here, words)
-        node.name, node.doubt = name, doubt
+        node = Node(name, path[-1], words)
+        node.doubt = doubt
         if gone:
-            node.points = -1e9
-        here.children.append(node)
+            node.points = GONE
+        path[-1].children.append(node)
         if not found[3].endswith("/") or name in BLOCKS:
-            here = node
+            opened[name].append(len(path))
+            if name in BLOCKS:
+                blocks.append(len(path))
+            path.append(node)
     return root
 
 
@@ -146,19 +175,19 @@ def _inside(node: Node, names: tuple[str, ...]) -> Node | None:
 
 
 def _measure(root: Node) -> list[Node]:
-    """Sizes and linked sizes of all kept nodes, children first; headings of an article's own header are kept."""
+    """Sizes and linked sizes of all kept nodes, children first; headings and paragraphs of an article's own header are kept."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
-        if node.points < -1e8:
-            if node.name == "header" and _inside(node, ("article", "main")):
-                node.points = 0.0
-                node.children = [c for c in node.children if isinstance(c, Node) and c.name in HEADINGS | {"hgroup"}]
-            else:
-                node.parent.children[node.parent.children.index(node)] = " "
-                continue
-        node.apart = node.doubt or node.parent is not None and node.parent.apart
+        up = node.parent
+        node.within = node.name in ("article", "main") or up is not None and up.within
+        node.apart = node.doubt or up is not None and up.apart
         order.append(node)
+        if node.name == "header" and node.points == GONE:
+            # an article's own: its headings and paragraphs
+            node.points = 0.0
+            node.children = [c for c in node.children if isinstance(c, Node) and c.name in HEADINGS | {"hgroup", "p"}]
+        node.children = [" " if isinstance(c, Node) and c.points == GONE and not (c.name == "header" and node.within) else c for c in node.children]
         stack += [c for c in node.children if isinstance(c, Node)]
     order.reverse()
     for node in order:
