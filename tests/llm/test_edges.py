@@ -53,10 +53,25 @@ def test_pieces_of_a_very_long_text(spark):
 def test_vectors_of_other_lengths_and_repeated_ids(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.standard_normal(6)]) for i in range(200)]
-    odd = [(i, [1.0, 2.0]) for i in range(1000, 1100)] + [(50, rows[3][1]), (7, rows[7][1])]
+    odd = [(i, [float(x) for x in rng.standard_normal(2 + i % 2)]) for i in range(1000, 1100)] + [(50, rows[3][1]), (7, rows[7][1]), (3000, [1.0] * 9)]
     got = neighbours.nearest(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")).collect()
-    assert {r.query_id for r in got} == {0, 50, 100, 150} and all(r.vec_id < 200 and r.vec_id != r.query_id for r in got)
-    assert all(sorted(r.rank for r in got if r.query_id == q) == [1, 2, 3, 4, 5] for q in (0, 50, 100, 150))
+    # of two rows of one id the first in sort order counts
+    vectors = dict(sorted(rows + odd, key=lambda r: r[1], reverse=True))
+    for q in (0, 50, 100, 150, 1000, 1050):
+        own = [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)]
+        same = [(i, v) for i, v in vectors.items() if i != q and len(v) == len(vectors[q])]
+        scores = {i: float(np.dot(v, vectors[q]) / np.linalg.norm(v) / np.linalg.norm(vectors[q])) for i, v in same}
+        want = sorted(scores, key=lambda i: (-round(scores[i], 12), i))[:5]
+        assert [i for i, _ in own] == want and np.allclose([s for _, s in own], [scores[i] for i in want])
+    # no other vector has its length
+    assert {r.query_id for r in got} == {0, 50, 100, 150, 1000, 1050}
+
+
+def test_parallel_vectors_are_ties(spark):
+    v = np.random.default_rng(2).standard_normal(24)
+    rows = [(i, [float(x) for x in v * f]) for i, f in enumerate((1, 3, 0.1, 7, 1 / 3, 1e-3, 11, 5))]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 0] == [1, 2, 3, 4, 5]
 
 
 def test_very_many_equal_rows(spark):

@@ -10,11 +10,12 @@ Equal vectors are one entry with their smallest ids, and equal queries are searc
 so a vector that fills a third of the table costs no more than another. A leaf is dealt out
 in salted parts that meet its queries in one shuffle, so no task holds a whole leaf. Trees
 deepen with the table, up to ``MAX_DEPTH``, the bound on what is broadcast; beyond
-``LEAF << MAX_DEPTH`` vectors leaves grow with the table.
+``LEAF << MAX_DEPTH`` vectors leaves grow with the table. Vectors of each length have a forest of their
+own, of one leaf where they are few, and are neighbours among themselves.
 
-Defined results: vectors that are null, zero, or hold null, infinite or NaN components, or
-whose length isn't the most common one, take no part; a null vec_id takes no part; rows
-with the same vec_id count as one, by its first vector in sort order.
+Defined results: vectors that are null, zero, or hold null, infinite or NaN components take no
+part; a null vec_id takes no part; rows with the same vec_id count as one, by its first
+vector in sort order; scores that are equal to 12 decimals are ties, as those of parallel vectors are.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ K, EVERY = 5, 50
 TREES, LEAF, MAX_DEPTH = 4, 400, 12
 #: Bounds on the distinct vectors that trees are fitted on (16 a leaf between the two), and the recall sought among them.
 SAMPLE, MOST_SAMPLE, TARGET, PROBES = 8_000, 65_536, 0.97, 120
+#: Decimals to which scores are compared: those of parallel vectors may differ in their last bits.
+DECIMALS = 12
 #: Vectors of a leaf that meet its queries in one group, queries multiplied with them at a time, and queries in one group at most.
 BLOCK, QUERY_BLOCK, QUERY_PART = 4_096, 256, 65_536
 
@@ -108,8 +112,6 @@ def _usable(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     df = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False)))
-    sizes = df.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    df = df.where(F.size("embedding") == (sizes[0]["n"] if sizes else -1))
     return df.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(2), "embedding")})
 
 
@@ -122,7 +124,7 @@ def _ranked(k: int):
             vectors, wanted = (unit(_matrix(t.column("embedding").combine_chunks())) for t in (leaf, queries))
             for a in range(0, len(asked), QUERY_BLOCK):
                 scores = wanted[a : a + QUERY_BLOCK] @ vectors.T
-                top = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, : k + 1]
+                top = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, DECIMALS)), axis=1)[:, : k + 1]
                 near.append((np.repeat(asked[a : a + QUERY_BLOCK], top.shape[1]), ids[top].reshape(-1), np.take_along_axis(scores, top, axis=1).reshape(-1)))
         columns = [np.concatenate(c) for c in zip(*near, strict=True)] if near else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({n: pa.array(c) for n, c in zip(("query", "id", "score"), columns, strict=True)})
@@ -130,6 +132,31 @@ def _ranked(k: int):
     return run
 
 
+def _by_length(column: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Vectors of each length in a batch: the length, their places, and they themselves at length one."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for n in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == n)
+        yield n, rows, unit(_matrix(column.take(pa.array(rows))))
+
+
+def _forests(entries: DataFrame, k: int) -> dict[int, tuple[int, Forest]]:
+    """A fitted forest for each length of vectors, with the number of its first leaf. One row a length is read, and the samples."""
+    out, first = {}, 0
+    for n, count in sorted((r[0], r[1]) for r in entries.groupBy(F.size("embedding")).count().collect()):
+        depth = int(np.clip(np.log2(max(1, count / LEAF)), 0, MAX_DEPTH))
+        if depth:
+            rows = entries.where(F.size("embedding") == n).orderBy("h1", "id").limit(min(MOST_SAMPLE, max(SAMPLE, 16 << depth))).select("embedding").collect()
+            sample = unit(np.array([r.embedding for r in rows], dtype=np.float64))
+            forest = Forest(sample, max(0, min(depth, int(np.log2(max(1, len(sample) / 8))))))
+            forest.calibrate(sample, k)
+        else:
+            forest = Forest(np.zeros((0, n)), 0, 1)
+        out[n] = first, forest
+        first += forest.leaves
+    return out
+
+
 def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
@@ -144,31 +171,30 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         .agg(F.min("vec_id").alias("id"), F.sort_array(F.collect_list("vec_id")).alias("members"), F.min_by("embedding", "vec_id").alias("embedding"))
     )
     entries = materialize(entries, "entries")
-    count = entries.count()
-    depth = int(np.clip(np.log2(max(1, count / LEAF)), 0, MAX_DEPTH))
-    sample = entries.orderBy("h1", "id").limit(min(MOST_SAMPLE, max(SAMPLE, 16 << depth))).select("embedding").collect()
-    if not sample:
+    forests = _forests(entries, k)
+    if not forests:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = unit(np.array([r.embedding for r in sample], dtype=np.float64))
-    depth = max(0, min(depth, int(np.log2(max(1, len(sample) / 8)))))
-    forest = Forest(sample, depth)
-    forest.calibrate(sample, k)
-    salts = max(1, -(-count // (BLOCK << depth)))
+    count = entries.count()
+    salts = max(1, -(-count // (BLOCK << max(f.depth for _, f in forests.values()))))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
-                cells = forest.cells(unit(_matrix(part.column("embedding"))))
-                for t in range(cells.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(cells[:, t]), part.column("id"), part.column("embedding")], names=["cell", "id", "embedding"])
+                for n, rows, units in _by_length(part.column("embedding")):
+                    first, forest = forests[n]
+                    cells, own = forest.cells(units) + first, part.take(pa.array(rows))
+                    for t in range(cells.shape[1]):
+                        yield pa.RecordBatch.from_arrays([pa.array(cells[:, t]), own.column("id"), own.column("embedding")], names=["cell", "id", "embedding"])
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, u in enumerate(unit(_matrix(batch.column("embedding"))) if batch.num_rows else ()):
-                cells = forest.search(u, forest.take)
-                again = pa.array(np.full(len(cells), i))
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), batch.column("id").take(again), batch.column("embedding").take(again)], names=["cell", "id", "embedding"])
+            for n, rows, units in _by_length(batch.column("embedding")):
+                first, forest = forests[n]
+                for i, u in zip(rows.tolist(), units, strict=True):
+                    cells = np.array(forest.search(u, forest.take), np.int64) + first
+                    again = pa.array(np.full(len(cells), i))
+                    yield pa.RecordBatch.from_arrays([pa.array(cells), batch.column("id").take(again), batch.column("embedding").take(again)], names=["cell", "id", "embedding"])
 
     kind = dict(usable.dtypes)["embedding"]
     schema = f"cell long, id long, embedding {kind}"
@@ -183,12 +209,12 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     index, group = index.select("*", every_one("lot", lots)), ["cell", "salt", "lot"]
     found = index.groupBy(*group).cogroup(queries.groupBy(*group)).applyInArrow(_ranked(k), "query long, id long, score double")
     best = found.groupBy("query", "id").agg(F.max("score").alias("score"))
-    best = best.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("n") <= k + 1)
+    best = best.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", DECIMALS)), "id"))).where(F.col("n") <= k + 1)
     near = best.join(entries.select("id", "members"), "id").select("query", "score", F.explode("members").alias("vec_id"))
-    near = near.groupBy("query").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("near"))
+    near = near.groupBy("query").agg(F.collect_list(F.struct((-F.round("score", DECIMALS)).alias("s"), "vec_id", "score")).alias("near"))
     # at most (k + 1) ** 2 candidates stand in a row; sorted once for all queries with this vector
     near = near.select(F.col("query").alias("id"), F.slice(F.array_sort("near"), 1, k + 1).alias("near"))
     by_id = entries.select("id", "h1", "h2").join(near, "id")
     own = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     out = asked.withColumnRenamed("vec_id", "query_id").join(by_id.select("h1", "h2", "near"), ["h1", "h2"]).select("query_id", F.posexplode(own).alias("p", "x"))
-    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.greatest(F.least(-F.col("x.s"), F.lit(1.0)), F.lit(-1.0)).alias("score"))
+    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.greatest(F.least(F.col("x.score"), F.lit(1.0)), F.lit(-1.0)).alias("score"))
