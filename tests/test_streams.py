@@ -61,3 +61,48 @@ def test_hours_over_batches(spark):
     for t, k in rows:
         want[t // (3600 * S) * 3600 * S, k] = want.get((t // (3600 * S) * 3600 * S, k), 0) + 1
     assert {(r.start_t, r.msg_type): r.events for r in got.collect()} == want
+
+
+def test_restored_stream_equals_one_that_ran_through(spark):
+    """Stopped after two of five batches, saved as JSON, and started from it: the same states as without a stop, and as the fold."""
+    from tidewatch.streaming import fragments
+    from tidewatch.streaming import vessels as saved
+
+    rng = random.Random(9)
+    schema = "seq long, mmsi long, t long, lat double, lon double, sog double, source string, station string, name string, pos boolean, msg_type string"
+    rows = [(i, 100 + i % 6, 9000 * S + i * S * 20 - (300 * S if i % 7 == 0 else 0), 10 + i / 1000 + (5 if i % 11 == 0 else 0), 20.0, 5.0, "kystverket" if i % 2 else "udp:a", f"s{i % 4}", f"n{i}" if rng.random() < 0.3 else "", i % 5 != 0, "PositionReport") for i in range(200)]
+    batches = [[tuple(r) for r in vessels.prepared(spark.createDataFrame(rows[a : a + 40], schema)).collect()] for a in range(0, 200, 40)]
+    kind = vessels.prepared(spark.createDataFrame([], schema)).schema
+    last = lambda told: {m: max((tuple(r) for r in told if r.mmsi == m), key=lambda r: sum(r[-3::2])) for m in {r.mmsi for r in told}}
+
+    def run(parts, restored=None):
+        with fragments.store(spark):
+            stream, base = in_batches(spark, parts, kind)
+            return last(dedupe.run_to_end(saved.stream_states(stream, restored), base).collect())
+
+    want = {r.mmsi: tuple(r) for r in vessels.vessel_fold(spark.createDataFrame(rows, schema)).collect()}
+    assert run(batches) == want
+    path, now = scratch.new_path(spark, "snapshots"), 9000 * S + 80 * 20 * S
+    assert saved.latest(spark, path) is None
+    first = spark.createDataFrame(list(run(batches[:2]).values()), saved.OUT)
+    saved.save(first.where("mmsi < 103"), path, now - 1)
+    saved.save(first, path, now)
+    restored = saved.restore(spark, saved.latest(spark, path), now)
+    assert restored.count() == 6 and run(batches[2:], restored) == want
+    assert saved.restore(spark, saved.latest(spark, path), now + 1800 * S).count() == 0
+
+
+def test_a_silent_vessel_is_forgotten(spark):
+    """Its timer fires when the watermark has passed; heard again, it begins from nothing, and others go on."""
+    from tidewatch.streaming import fragments
+    from tidewatch.streaming import vessels as saved
+
+    day = 86_400 * S
+    schema = "seq long, mmsi long, t long, lat double, lon double, sog double, source string, station string, name string, pos boolean, msg_type string"
+    row = lambda i, m, t, name: (i, m, t, 10.0, 20.0, 5.0, "kystverket", "s", name, True, "PositionReport")
+    rows = [[row(0, 1, 10 * day, "A"), row(1, 2, 10 * day, "B")], [row(2, 2, 12 * day, "")], [row(3, 2, 12 * day + 60 * S, "")], [row(4, 1, 12 * day + 61 * S, "")]]
+    batches = [[tuple(r) for r in vessels.prepared(spark.createDataFrame(b, schema)).collect()] for b in rows]
+    with fragments.store(spark):
+        stream, base = in_batches(spark, batches, vessels.prepared(spark.createDataFrame([], schema)).schema)
+        got = {(r.mmsi, r.seen): (r.name, r.n) for r in dedupe.run_to_end(saved.stream_states(stream), base).collect()}
+    assert got[1, 12 * day + 61 * S] == (None, 1) and got[2, 12 * day] == ("B", 2)

@@ -121,15 +121,6 @@ def src12_paced(spark, d):
     return feeds.paced(rows, "hour", F.col("hour") * stations.HOUR_US, 45 * MIN).select("seq", "emit_t")
 
 
-@query(" SELECT mmsi, max(t) AS seen, arg_max(station, seq) AS station FROM ev GROUP BY 1 HAVING max(t) >= %d" % (NOW - 3 * 1440 * MIN))
-def src13_restored_state(spark, d):
-    """SNK3: the vessels' state is written as JSON, and read again without what is too old."""
-    path = _scratch(spark, "state")
-    state = events(spark, d).groupBy("mmsi").agg(F.max("t").alias("seen"), F.max_by("station", "seq").alias("station"))
-    state.write.json(path)
-    return spark.read.schema(state.schema).json(path).where(F.col("seen") >= NOW - 3 * 1440 * MIN)
-
-
 @query(" SELECT seq, k % 3 = 1 AS own, concat('!AIVD', CASE WHEN k % 3 = 1 THEN 'O' ELSE 'M' END, ',', payload) AS line FROM ev WHERE k % 3 <> 0")
 def src16_bus_sentences(spark, d):
     """PAR13."""

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.catalog import _scratch, query
-from tidewatch.operators import fragments
+from tidewatch.catalog import NOW, _scratch, query
+from tidewatch.operators import fragments, vessels
 from tidewatch.plans.adapt import events
 from tidewatch.streaming import dedupe as streams
 from tidewatch.streaming import fragments as fragment_stream
+from tidewatch.streaming import vessels as vessel_stream
 
 # How the fragments of a message of two arrive, by turns: as sent, the first or second lost, either doubled, reversed, after a stray.
 _FATES = [[1, 2], [2], [1], [1, 1, 2], [1, 2, 2], [2, 1], [2, 1, 2]]
@@ -45,3 +46,45 @@ def str5_stream_fragments(spark, d):
     with fragment_stream.store(spark):
         stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
         return streams.run_to_end(fragment_stream.stream_messages(stream), base).select("seq", "station", "payload")
+
+
+# The month as 15 hours, so that half an hour is a time in which some vessels are heard and others aren't.
+_HURRIED_SQL = f""", m AS (SELECT seq, mmsi, {NOW} + (t - {NOW}) // 48 AS t, (mmsi % 120 - 60)::DOUBLE + sog / 1000 AS lat, (mmsi % 300 - 150)::DOUBLE + sog / 1000 AS lon, CASE WHEN k % 6 = 0 THEN concat('V', k::VARCHAR) ELSE '' END AS name, msg_type <> 'ShipStaticData' AS pos FROM ev)"""
+_STATE_SQL = "count(*) AS n, max(t) AS seen, max_by(lat, seq) FILTER (pos) AS lat, max_by(lon, seq) FILTER (pos) AS lon, max_by(name, seq) FILTER (name <> '') AS name"
+
+
+def _hurried(spark, d):
+    rows = events(spark, d)
+    at = F.lit(NOW) + F.floor((F.col("t") - NOW) / 48)
+    named = F.when(F.col("k") % 6 == 0, F.concat(F.lit("V"), F.col("k").cast("string"))).otherwise("")
+    near = lambda most, half: (F.col("mmsi") % most - half).cast("double") + F.col("sog") / 1000
+    return rows.select("seq", "mmsi", at.alias("t"), near(120, 60).alias("lat"), near(300, 150).alias("lon"), "sog", F.lit("kystverket").alias("source"), "station", named.alias("name"), (F.col("msg_type") != "ShipStaticData").alias("pos"), "msg_type")
+
+
+@query(_HURRIED_SQL + f" SELECT mmsi, {_STATE_SQL} FROM m GROUP BY 1")
+def snk3_snapshot(spark, d):
+    """All of the vessels' state as JSON, in a folder that is there when it is whole, and read again as it was."""
+    path = _scratch(spark, "snapshots")
+    vessel_stream.save(vessels.vessel_fold(_hurried(spark, d).where(F.col("t") <= NOW)), path, NOW)
+    vessel_stream.save(vessels.vessel_fold(_hurried(spark, d)), path, NOW + 1)
+    return spark.read.schema(vessel_stream.OUT).json(vessel_stream.latest(spark, path)).select("mmsi", "n", "seen", "lat", "lon", "name")
+
+
+@query(
+    _HURRIED_SQL
+    + f""", fresh AS (SELECT mmsi FROM m WHERE t <= {NOW} GROUP BY 1 HAVING max(t) > {NOW} - 1800000000)
+SELECT mmsi, {_STATE_SQL} FROM m WHERE t > {NOW} OR mmsi IN (SELECT mmsi FROM fresh) GROUP BY 1"""
+)
+def src13_restored_stream(spark, d):
+    """A stream stopped at a moment and started anew from its snapshot; vessels not seen for half an hour begin from nothing."""
+    base, rows = _scratch(spark, "restored"), _hurried(spark, d)
+    before = vessels.vessel_fold(rows.where(F.col("t") <= NOW))
+    restored = vessel_stream.restore(spark, vessel_stream.save(before, f"{base}/snapshots", NOW), NOW)
+    later = vessels.prepared(rows.where(F.col("t") > NOW))
+    later.write.parquet(f"{base}/in")
+    with fragment_stream.store(spark):
+        told = streams.run_to_end(vessel_stream.stream_states(spark.readStream.schema(later.schema).parquet(f"{base}/in"), restored), base)
+    # what the stream had no news of is as it was
+    columns = ("n", "seen", "lat", "lon", "name")
+    every = told.select("mmsi", *columns).unionByName(restored.select("mmsi", *columns))
+    return every.groupBy("mmsi").agg(F.max_by(F.struct(*columns), "n").alias("x")).select("mmsi", "x.*")
