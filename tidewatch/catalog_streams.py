@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.catalog import NOW, _scratch, query
-from tidewatch.operators import fragments, vessels
+from tidewatch.catalog import _DEDUPE_SQL, MIN, NOW, _scratch, query
+from tidewatch.operators import busy, folds, fragments, vessels
 from tidewatch.plans.adapt import events
 from tidewatch.streaming import dedupe as streams
 from tidewatch.streaming import fragments as fragment_stream
@@ -88,3 +88,20 @@ def src13_restored_stream(spark, d):
     columns = ("n", "seen", "lat", "lon", "name")
     every = told.select("mmsi", *columns).unionByName(restored.select("mmsi", *columns))
     return every.groupBy("mmsi").agg(F.max_by(F.struct(*columns), "n").alias("x")).select("mmsi", "x.*")
+
+
+@query(_DEDUPE_SQL.replace("payload", "source").replace("1800000000", str(5 * MIN)) + " SELECT seq, is_dup FROM f")
+def win1_busy_sources(spark, d):
+    """Five keys with all rows between them, each over several tasks: blocks as maps of the time last kept."""
+    rows = events(spark, d).select("seq", "t", "source")
+    return folds.dedupe(rows, ["source"], 5 * MIN, busy.busy_keys(rows, ["source"], 100), 1_000).select("seq", "is_dup")
+
+
+@query(""", o AS (SELECT source, seq, k % 3 = 0 AS frees, row_number() OVER (PARTITION BY source ORDER BY seq) AS rn FROM ev),
+RECURSIVE f AS (SELECT source, rn, seq, CASE WHEN frees THEN 0 ELSE 1 END AS n, NOT frees AS granted FROM o WHERE rn = 1
+  UNION ALL SELECT o.source, o.rn, o.seq, CASE WHEN frees THEN greatest(f.n - 1, 0) WHEN f.n < 3 THEN f.n + 1 ELSE f.n END, NOT frees AND f.n < 3 FROM f JOIN o ON o.source = f.source AND o.rn = f.rn + 1)
+SELECT seq, granted FROM f""")
+def win9_busy_slots(spark, d):
+    """The same of slots: a block is a table of how many are open."""
+    rows = events(spark, d)
+    return folds.slots(rows, ["source"], F.col("k") % 3 == 0, 3, busy.busy_keys(rows, ["source"], 100), 1_000).select("seq", "granted")

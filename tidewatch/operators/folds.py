@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators import busy
 from tidewatch.operators.vessels import dealt, nautical_miles
 
 #: Arrival numbers of a block.
@@ -40,37 +41,31 @@ def _flagged(df: DataFrame, key: list[str], name: str, step: Callable, read: tup
     return dealt(df.select(*own), *key).mapInArrow(run, schema)
 
 
-def dedupe(df: DataFrame, key: list[str], window_us: int) -> DataFrame:
-    """Adds ``is_dup``: within ``window_us`` (either way) of the last row kept for the key. Duplicates don't extend the window."""
+def _ruled(df: DataFrame, key: list[str], rule, keys: DataFrame | None, block: int) -> DataFrame:
+    """A rule as a fold per key; the keys in ``keys`` are spread over tasks by blocks of so many arrival numbers."""
+    if keys is None:
+        return _flagged(df, key, rule.name, rule.step, rule.read)
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
+    rest = df.alias("a").join(keys.alias("b"), same, "left_anti")
+    return _flagged(rest, key, rule.name, rule.step, rule.read).unionByName(busy.spread(df, key, rule, keys, block))
 
-    def step(last, t):
-        dup = last is not None and t is not None and abs(t - last) < window_us
-        return (last if dup else t), dup
 
-    return _flagged(df, key, "is_dup", step)
+def dedupe(df: DataFrame, key: list[str], window_us: int, keys: DataFrame | None = None, block: int = busy.BLOCK) -> DataFrame:
+    """Adds ``is_dup``: within ``window_us`` (either way) of the last row kept for the key. Duplicates don't extend the window.
 
+    ``keys``: those with very many rows (``busy.busy_keys``), which are spread over tasks; ``df`` is then read three times.
+    """
+    return _ruled(df, key, busy.Dedupe(window_us), keys, block)
 
-def anchored_limit(df: DataFrame, key: list[str], window_us: int, most: int) -> DataFrame:
-    """Adds ``allowed``: at most ``most`` rows in a window that starts with the key's first row after the last window ended."""
-
-    def step(state, t):
-        start, n = state or (None, 0)
-        start, n = (t, 1) if start is None or t is not None and t - start > window_us else (start, n + 1)
-        return (start, n), n <= most
 
-    return _flagged(df, key, "allowed", step)
+def anchored_limit(df: DataFrame, key: list[str], window_us: int, most: int, keys: DataFrame | None = None, block: int = busy.BLOCK) -> DataFrame:
+    """Adds ``allowed``: at most ``most`` rows in a window that starts with the key's first row after the last window ended."""
+    return _ruled(df, key, busy.Limit(window_us, most), keys, block)
 
 
-def slots(df: DataFrame, key: list[str], frees: Column, most: int) -> DataFrame:
+def slots(df: DataFrame, key: list[str], frees: Column, most: int, keys: DataFrame | None = None, block: int = busy.BLOCK) -> DataFrame:
     """Adds ``granted``: of a key's streams at most ``most`` are open at a time; a refused one takes no slot, and rows that ``frees`` give one back."""
-
-    def step(n, free):
-        n = n or 0
-        if free:
-            return max(n - 1, 0), False
-        return (n + 1, True) if n < most else (n, False)
-
-    return _flagged(df.withColumn("__frees", frees), key, "granted", step, ("__frees",)).drop("__frees")
+    return _ruled(df.withColumn("__frees", frees), key, busy.Slots(most), keys, block).drop("__frees")
 
 
 def moved(df: DataFrame, key: list[str], radius_nm: float, fraction: float = 0.25) -> DataFrame:
