@@ -67,3 +67,18 @@ def test_rows_without_a_time(spark):
     got = {r.mmsi: (r.seen, r.has_pos, r.lat, r.name, r.n, r.n_stale) for r in vessels.vessel_fold(df).collect()}
     assert got == {7: (101, True, 52.0, "B", 3, 1), 8: (None, False, None, None, 1, 1)}
     assert {r.seq: r.stale for r in vessels.vessel_stamps(df).collect()} == {0: False, 1: True, 2: True, 3: False}
+
+
+def test_fan_out_of_small_large_and_world_boxes(spark):
+    """One box, several that overlap, the whole world, a point; against the plain test of every pair."""
+    import random
+
+    from tidewatch.operators import subscribe
+
+    rng = random.Random(6)
+    points = [(i, i % 9, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(400)] + [(400, 1, 90.0, 180.0), (401, 2, None, None)]
+    boxes = [(0, -90.0, -180.0, 90.0, 180.0), (1, 10.0, 10.0, 10.3, 10.4), (2, -5.0, -5.0, 20.0, 26.0), (2, 0.0, 0.0, 30.0, 30.0), (3, 89.0, 179.0, 90.0, 180.0), (4, 5.0, 5.0, 5.0, 5.0), (5, -60.0, -100.0, 60.0, 100.0)]
+    for some in (boxes, boxes[1:2], boxes[:1], []):
+        got = subscribe.fan_out(spark.createDataFrame(points, "seq long, mmsi long, lat double, lon double"), spark.createDataFrame(some, "sub long, min_lat double, min_lon double, max_lat double, max_lon double")).collect()
+        want = {(s, i, m) for i, m, la, lo in points if la is not None for s, a, b, c, d in some if a <= la <= c and b <= lo <= d}
+        assert sorted((r.sub, r.seq, r.mmsi) for r in got) == sorted(want)

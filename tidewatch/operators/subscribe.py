@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import POSITION_TYPES, in_box
@@ -64,17 +64,29 @@ def _filed(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("grid", grid).withColumn("cy", cells("min_lat", "max_lat")).withColumn("cx", cells("min_lon", "max_lon"))
 
 
-def _placed(points: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+def _placed(points: DataFrame, lat: str = "lat", lon: str = "lon", grids: tuple[float, ...] = GRIDS) -> DataFrame:
     """Points under their cell in each grid."""
-    every = points.withColumn("grid", F.explode(F.array(*map(F.lit, GRIDS))))
+    every = points.withColumn("grid", F.explode(F.array(*map(F.lit, grids))) if len(grids) != 1 else F.lit(grids[0]))
     return every.withColumns({"cy": F.floor(F.col(lat) / F.col("grid")), "cx": F.floor(F.col(lon) / F.col("grid"))})
 
 
-def fan_out(events: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Each (subscription, event) once. ``boxes``: sub, min_lat, min_lon, max_lat, max_lon; a subscription may have several."""
+def _dealt(rows: DataFrame, salts: Column) -> DataFrame:
+    """Adds ``salt``: the cells of the widest grid hold all points, so these are dealt out, and its boxes stand in every share."""
+    return rows.withColumn("salt", F.when(F.col("grid") == GRIDS[-1], salts).otherwise(F.lit(0)))
+
+
+def fan_out(events: DataFrame, boxes: DataFrame, shares: int = 64) -> DataFrame:
+    """Each (subscription, event) once. ``boxes``: sub, min_lat, min_lon, max_lat, max_lon; a subscription may have several.
+
+    Events are filed in those grids alone that hold boxes.
+    """
     inside = F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lon").between(F.col("min_lon"), F.col("max_lon"))
-    counted = boxes.join(boxes.groupBy("sub").agg((F.count("*") > 1).alias("several")), "sub")
-    matched = _placed(events.select("seq", "mmsi", "lat", "lon")).join(_filed(counted), ["grid", "cy", "cx"]).where(inside)
+    several = F.count("*").over(Window.partitionBy("sub")) > 1
+    filed = _filed(boxes.withColumn("several", several))
+    grids = tuple(sorted(r[0] for r in filed.select("grid").distinct().collect())) or GRIDS[:1]
+    filed = filed.withColumn("salt", F.explode(F.when(F.col("grid") == GRIDS[-1], F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.lit(0)))))
+    points = _dealt(_placed(events.select("seq", "mmsi", "lat", "lon"), grids=grids), F.pmod(F.hash("seq"), F.lit(shares)))
+    matched = points.join(filed, ["grid", "cy", "cx", "salt"]).where(inside)
     # An event has one cell in a grid, so one box holds it once; only subscriptions with several boxes may hold it again.
     return matched.where(~F.col("several")).select("sub", "seq", "mmsi").unionByName(matched.where("several").select("sub", "seq", "mmsi").distinct())
 
