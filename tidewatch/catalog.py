@@ -455,4 +455,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 # They register their queries with the decorator above.
-from tidewatch import catalog_feeds, catalog_rules, catalog_streams  # noqa: E402, F401
+from tidewatch import catalog_feeds, catalog_messages, catalog_rules, catalog_streams  # noqa: E402, F401

@@ -119,6 +119,17 @@ class _Columns:
         return [pa.array(v, types[v.dtype.type if v.dtype != object else object], mask=~self.known[n]) for n, v in self.values.items()]
 
 
+def six_bits(data: np.ndarray, start: np.ndarray, end: np.ndarray, fill: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Type of each payload (0 if it is none), the six bits of every character, which payloads have a type and no foreign characters, and their sizes in bits."""
+    size = np.maximum(6 * (end - start) - fill, 0)
+    six = data.astype(np.int16) - 48
+    six -= 8 * (six > 40)
+    bad = np.concatenate([[0], np.cumsum((six < 0) | (six > 63))])
+    kind = np.where(end > start, six[np.minimum(start, len(data) - 1)], 0).astype(np.int64)
+    kind[(size < 38) | (kind < 1) | (kind > 27)] = 0
+    return kind, six.astype(np.uint8), (kind > 0) & (bad[end] == bad[start]), size
+
+
 def _decode(payload: pa.Array, fill: np.ndarray, channel: list, names: list[str], ids: bool) -> list[pa.Array]:
     data, start, end = _bytes(payload)
     size = np.maximum(6 * (end - start) - fill, 0)

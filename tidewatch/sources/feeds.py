@@ -88,6 +88,15 @@ def envelopes(received: DataFrame) -> DataFrame:
     return rows.select("seq", F.col("x.MessageType").alias("msg_type"), F.col("m.UserID").alias("mmsi"), near(C.go_time_us(F.col("x.MetaData.time_utc")), F.col("recv_t")).alias("t"), F.col("m.Latitude").alias("lat"), F.col("m.Longitude").alias("lon"), F.col("m.Sog").alias("sog"), F.col("m.Cog").alias("cog"), F.col("m.TrueHeading").alias("heading"), F.col("m.NavigationalStatus").alias("nav_status"), F.col("m.Name").alias("name"), F.col("m.Type").alias("ship_type"))
 
 
+def whole_envelopes(received: DataFrame) -> DataFrame:
+    """seq, msg_type, mmsi, t and ``body``, the message itself as VARIANT, of envelopes (seq, recv_t, body); those that can't be read
+    or are of a type that isn't carried are left out."""
+    shape = "struct<MessageType:string,MetaData:struct<time_utc:string>,Message:map<string,variant>>"
+    rows = received.withColumn("x", F.from_json("body", shape)).where(F.col("x.MessageType").isin(*codec.NAMES)).withColumn("m", F.try_element_at("x.Message", "x.MessageType"))
+    rows = rows.where(F.col("m").isNotNull() & F.schema_of_variant("m").startswith("OBJECT"))
+    return rows.select("seq", F.col("x.MessageType").alias("msg_type"), F.try_variant_get("m", "$.UserID", "long").alias("mmsi"), near(C.go_time_us(F.col("x.MetaData.time_utc")), F.col("recv_t")).alias("t"), F.col("m").alias("body"))
+
+
 def row_time(told: Column, now: Column) -> Column:
     """Seconds of a row of a snapshot, whatever their skew; now if they can't be read or aren't positive."""
     seconds = told.try_cast("long")

@@ -54,10 +54,20 @@ def message(name: str, prefix: str = "") -> Column:
     return record(*((k, kinds[kind](c) if c else F.lit(kind)) for k, c, kind in MESSAGES[name]))
 
 
+def envelope_of(name: Column, body: Column) -> Column:
+    meta = record(("MMSI", C.json_number(F.col("mmsi"))), ("MMSI_String", C.json_number(F.col("mmsi"))), ("ShipName", text(F.col("v_name"))), ("latitude", C.json_number(F.coalesce("v_lat", F.lit(0.0)))), ("longitude", C.json_number(F.coalesce("v_lon", F.lit(0.0)))), ("time_utc", text(written_time(F.col("t")))))
+    inner = F.concat(F.lit("{"), text(name), F.lit(":"), body, F.lit("}"))
+    return record(("Message", inner), ("MessageType", text(name)), ("MetaData", meta))
+
+
 def envelope(name: str = "PositionReport") -> Column:
     """The envelope of an event with the columns of a decoded message and v_name, v_lat, v_lon."""
-    meta = record(("MMSI", C.json_number(F.col("mmsi"))), ("MMSI_String", C.json_number(F.col("mmsi"))), ("ShipName", text(F.col("v_name"))), ("latitude", C.json_number(F.coalesce("v_lat", F.lit(0.0)))), ("longitude", C.json_number(F.coalesce("v_lon", F.lit(0.0)))), ("time_utc", text(written_time(F.col("t")))))
-    return record(("Message", record((name, message(name)))), ("MessageType", text(F.lit(name))), ("MetaData", meta))
+    return envelope_of(F.lit(name), message(name))
+
+
+def body_envelope() -> Column:
+    """The same of a message of any type: msg_type, and body as VARIANT, whose keys are written in byte order."""
+    return envelope_of(F.col("msg_type"), F.to_json("body"))
 
 
 def event(body: Column) -> Column:
