@@ -74,9 +74,10 @@ def test_state_keeps_what_a_message_lacks(spark, kind):
 
 
 def test_outcomes(spark):
-    lines = chain.judged_lines(receptions(spark, [("udp:ab", 0, POSITION, False), ("kystverket", 1, POSITION, False), ("kystverket", 2, OTHER, False), ("udp:ab", 3, "junk", False), ("v1:a", 100, TAGGED, True), ("udp:ab", 4, "$GPGLL,1*4D", False)]))
-    judged = chain.events(chain.messages(lines))
-    assert {r.outcome: r.n for r in chain.outcomes(lines, judged).collect()} == {"parse_err": 1, "ignored": 1, "replayed": 1, "duplicate": 1, "uncorroborated": 1, "event": 1}
+    lines = chain.judged_lines(receptions(spark, [("udp:ab", 0, POSITION, False), ("kystverket", 1, POSITION, False), ("kystverket", 2, OTHER, False), ("udp:ab", 3, "junk", False), ("v1:a", 100, TAGGED, True), ("udp:ab", 4, "$GPGLL,1*4D", False), ("kystverket", 5, "!AIVDM,1,1,,A,w,0*51", False)]))
+    messages = chain.messages(lines)
+    judged = chain.events(messages)
+    assert {r.outcome: r.n for r in chain.outcomes(lines, messages, judged).collect()} == {"parse_err": 1, "ignored": 1, "replayed": 1, "duplicate": 1, "uncorroborated": 1, "event": 1, "decode_fail": 1}
 
 
 def test_golden_envelope(spark):

@@ -205,12 +205,6 @@ def agg9_sources(spark, d):
     return events(spark, d).groupBy("source").agg(F.count("*").alias("events"), (NOW - F.max("t")).alias("age_us"))
 
 
-@query(_DEDUPE_SQL + " SELECT CASE WHEN is_dup THEN 'duplicate' WHEN k % 11 = 0 THEN 'replayed' ELSE 'event' END AS outcome, count(*) AS n FROM ev JOIN f USING (seq) GROUP BY 1")
-def agg10_outcomes(spark, d):
-    outcome = F.when(F.col("is_dup"), "duplicate").when(F.col("k") % 11 == 0, "replayed").otherwise("event")
-    return folds.dedupe(events(spark, d), ["payload"], WINDOW).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
-
-
 #: Subscriptions around a place that follows from the customer's number.
 _SUBS_SQL = ", subs AS (SELECT c_custkey AS sub, (c_custkey * 7 % 160 - 80)::DOUBLE AS min_lat, (c_custkey * 13 % 340 - 170)::DOUBLE AS min_lon, (c_custkey * 7 % 160 - 80)::DOUBLE + 4 AS max_lat, (c_custkey * 13 % 340 - 170)::DOUBLE + 6 AS max_lon FROM customer)"
 
@@ -455,4 +449,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 # They register their queries with the decorator above.
-from tidewatch import catalog_feeds, catalog_messages, catalog_rules, catalog_streams  # noqa: E402, F401
+from tidewatch import catalog_feeds, catalog_messages, catalog_outcomes, catalog_rules, catalog_streams  # noqa: E402, F401

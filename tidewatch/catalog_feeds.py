@@ -303,16 +303,6 @@ def snk10_stats(spark, d):
     return one.select(render.record(("stations", render.record(("total", F.col("n").cast("string")), ("active", text("active")), ("by_source", by))), ("vessels", render.record(("total", text("vessels")))), ("events", render.record(("total", text("events")), ("duplicates", text("duplicates"))))).alias("stats"))
 
 
-@query(f""" SELECT 0 AS part, concat('tidewatch_', CASE WHEN k % 5 = 0 THEN 'duplicates' ELSE 'events' END, '_total ', count(*)) AS line FROM ev GROUP BY k % 5 = 0
-  UNION ALL SELECT 1, concat('tidewatch_source_last_age_seconds{{source="', source, '"}} ', ({NOW} - max(t)) // 1000000) FROM ev GROUP BY source UNION ALL SELECT 2, concat('tidewatch_source_events_total{{source="', source, '"}} ', count(*)) FROM ev GROUP BY source""")
-def snk11_metrics(spark, d):
-    """STR12, ORD2."""
-    e = events(spark, d)
-    counters = e.groupBy(F.when(F.col("k") % 5 == 0, "duplicates").otherwise("events").alias("name")).agg(F.count("*").alias("n"))
-    sources = e.groupBy("source").agg(((NOW - F.max("t")) / 1_000_000).cast("long").alias("age_s"), F.count("*").alias("events"))
-    return render.metric_lines(counters, sources, "tidewatch_").orderBy("part", "line")
-
-
 @query(""" SELECT station, count(*) AS events FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY seq) AS r FROM ev) WHERE seq % 2 = 0 AND split_part(source, ':', 1) IN ('http', 'v1') GROUP BY 1""")
 def snk12_upstream(spark, d):
     """FLT7, FLT8: what may be fed on: of a feeding source, not synthesized, and borne out."""

@@ -66,9 +66,18 @@ def events(told: DataFrame, window_us: int = DEDUPE_US) -> DataFrame:
     return vessels.vessel_stamps(folds.dedupe(told.where("type is not null"), ["id"], window_us))
 
 
-def outcomes(lines: DataFrame, judged: DataFrame) -> DataFrame:
-    """How many lines or messages ended in which way; lines that are fragments count only if they can't be read."""
-    bad = lines.where("outcome != 'ok'").groupBy("outcome").agg(F.count("*").alias("n"))
+def judged_rows(lines: DataFrame, told: DataFrame, judged: DataFrame) -> DataFrame:
+    """seq, source, t, outcome of every line or whole message; fragments of messages that aren't whole have none.
+
+    ``lines``: from ``judged_lines``; ``told``: from ``messages``; ``judged``: from ``events``.
+    """
+    bad = lines.where("outcome != 'ok'").select("seq", "source", F.col("recv_t").alias("t"), "outcome")
+    failed = told.where("type is null").select("seq", "source", "t", F.lit("decode_fail").alias("outcome"))
     low = F.col("source").rlike(C.LOW_TRUST)
     way = F.when(F.col("is_dup"), "duplicate").when(F.col("jump"), "implausible").when(low & ~F.col("corroborated"), "uncorroborated").otherwise("event")
-    return bad.unionByName(judged.groupBy(way.alias("outcome")).agg(F.count("*").alias("n")))
+    return bad.unionByName(failed).unionByName(judged.select("seq", "source", "t", way.alias("outcome")))
+
+
+def outcomes(lines: DataFrame, told: DataFrame, judged: DataFrame) -> DataFrame:
+    """How many lines or messages ended in which way."""
+    return judged_rows(lines, told, judged).groupBy("outcome").agg(F.count("*").alias("n"))

@@ -116,12 +116,3 @@ def station_details(stations: DataFrame, vessels: DataFrame, now_us: int) -> Dat
     here = vessels.where("has_pos").groupBy("station").agg(F.array_sort(F.collect_list(feature())).alias("__f"))
     full = stations.join(here, "station", "left").withColumn("__f", F.coalesce("__f", F.array().cast("array<string>")))
     return full.select("station", record(("station", station_row(now_us)), ("vessels", collection(F.col("__f")))).alias("detail"))
-
-
-def metric_lines(counters: DataFrame, sources: DataFrame, prefix: str) -> DataFrame:
-    """Lines of the text exposition, in order: (name, n) of counters, then (source, age_s, events)."""
-    total = counters.select(F.lit(0).alias("part"), F.concat(F.lit(prefix), "name", F.lit("_total ")).alias("line"), F.col("n").cast("string").alias("v"))
-    label = lambda what: F.concat(F.lit(f'{prefix}{what}{{source="'), "source", F.lit('"} '))
-    ages = sources.select(F.lit(1).alias("part"), label("source_last_age_seconds").alias("line"), F.col("age_s").cast("string").alias("v"))
-    counts = sources.select(F.lit(2).alias("part"), label("source_events_total").alias("line"), F.col("events").cast("string").alias("v"))
-    return total.unionByName(ages).unionByName(counts).select("part", F.concat("line", "v").alias("line"))
