@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog import _BOX_SQL, _DEDUPE_SQL, _MESSAGES_SQL, _POS_SQL, BOXES, MIN, NOW, WINDOW, _messages, _scratch, _subs, _SUBS_SQL, query
 from tidewatch.functions import columns as C
-from tidewatch.operators import folds, policy, stations, subscribe, vessels
+from tidewatch.operators import addresses, folds, policy, stations, subscribe, vessels
 from tidewatch.plans.adapt import events
 from tidewatch.streaming import dedupe as streams
 from tidewatch.streaming import windows
@@ -128,6 +128,26 @@ def join8_addresses(spark, d):
     return asked.select("sub", policy.allowed_address(F.col("cidrs"), F.col("ip")).alias("allowed"))
 
 
+# Addresses of both families by turns, and blocks of several lengths around them; the shorter hold the longer.
+_IP_SQL = "CASE sub % 3 WHEN 0 THEN concat('10.', sub % 4, '.', sub % 250, '.7') WHEN 1 THEN concat('2001:db8:', sub % 4, '::', lower(hex(sub % 4000))) ELSE concat('::ffff:10.', sub % 4, '.', sub % 250, '.7') END"
+
+
+@query(f""", c AS (SELECT c_custkey AS sub FROM customer), b AS (SELECT sub, CASE WHEN sub % 5 = 0 THEN NULL WHEN sub % 3 = 1 THEN CASE WHEN sub % 4 = 1 THEN '2001:db8:1::/48' WHEN sub % 2 = 0 THEN '2001:DB8::/32' END
+  ELSE CASE WHEN sub % 4 = 1 AND sub % 250 < 128 THEN '10.1.0.0/17' WHEN sub % 4 = 1 THEN '10.1.0.0/16' WHEN sub % 2 = 0 THEN '10.0.0.0/8' END END AS cidr FROM c)
+SELECT sub AS id, {_IP_SQL} AS ip, cidr FROM b WHERE cidr IS NOT NULL""")
+def join8_longest_prefix(spark, d):
+    """The longest block of a token that holds its sender's address; tokens without a fitting block have no row."""
+    key = F.col("c_custkey")
+    asked = spark.read.parquet(f"{d}/customer.parquet").select(key.alias("id"))
+    ip = F.when(F.col("id") % 3 == 1, F.concat(F.lit("2001:db8:"), (F.col("id") % 4).cast("string"), F.lit("::"), F.lower(F.hex(F.col("id") % 4000)))).otherwise(F.concat(F.when(F.col("id") % 3 == 2, "::ffff:").otherwise(""), F.lit("10."), (F.col("id") % 4).cast("string"), F.lit("."), (F.col("id") % 250).cast("string"), F.lit(".7")))
+    even = ["10.0.0.0/8", "2001:DB8::/32", "::/0", "junk", "10.0.0.0/33"]
+    odd = ["10.1.0.0/16", "10.1.0.0/17", "2001:db8:1::/48", "2001:db8:1::/129", "fe80::/10"]
+    given = F.when(F.col("id") % 2 == 0, F.array(*map(F.lit, [x for x in even if x != "::/0"]))).otherwise(F.array(*map(F.lit, odd)))
+    table = asked.where("id % 5 <> 0").select("id", F.explode(given).alias("cidr"))
+    return addresses.longest_match(asked.select("id", ip.alias("ip")), table)
+
+
+
 @query(" SELECT concat('dev/', c_custkey) AS sub FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 5 <> 0 AND (c_custkey % 3 <> 0) AND c_custkey NOT IN (SELECT s_suppkey FROM supplier) AND n_regionkey < 3", base=False)
 def join9_valid_tokens(spark, d):
     """POL7: tokens of a known key, not expired, not revoked, with a proper subject."""

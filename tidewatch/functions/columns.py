@@ -169,19 +169,3 @@ def nav_label(status: Column) -> Column:
 
 def heading_or_course(heading: Column, cog: Column) -> Column:
     return F.coalesce(F.when(heading < 511, heading.cast("double")), F.when(cog < 360, cog))
-
-
-def ipv4(text: Column) -> Column:
-    """An address as a number; null if it isn't one."""
-    part = lambda i: F.regexp_extract(text, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i).try_cast("long")
-    parts = [part(i) for i in range(1, 5)]
-    fine = parts[0].between(0, 255) & parts[1].between(0, 255) & parts[2].between(0, 255) & parts[3].between(0, 255)
-    return F.when(fine, ((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3])
-
-
-def in_cidr(ip: Column, cidr: Column) -> Column:
-    """Whether an address lies in a block such as ``10.1.0.0/16``, or is the one given; false if either can't be read."""
-    bits = F.when(cidr.contains("/"), F.substring_index(cidr, "/", -1).try_cast("int")).otherwise(32)
-    size = F.pow(F.lit(2.0), 32 - bits).cast("long")
-    block = F.floor(ipv4(F.substring_index(cidr, "/", 1)) / size) == F.floor(ipv4(ip) / size)
-    return F.coalesce(bits.between(0, 32) & block, F.lit(False))

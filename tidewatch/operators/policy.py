@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as C
+from tidewatch.operators import addresses
 
 # Fixed values of the service's tiers: connections, messages a second, square degrees (0 unlimited), vessels followed.
 TIERS = {"anonymous": (2, 20, 100.0, 10), "personal": (2, 50, 400.0, 50), "feeder": (5, 200, 0.0, 200)}
@@ -58,5 +59,5 @@ def valid_tokens(tokens: DataFrame, keys: DataFrame, revoked: DataFrame, now: in
 
 
 def allowed_address(cidrs: Column, ip: Column) -> Column:
-    """No blocks allow every address."""
-    return (F.size(cidrs) <= 0) | F.exists(cidrs, lambda c: C.in_cidr(ip, c))
+    """No blocks allow every address; for many blocks, or as a table, see ``addresses.longest_match``."""
+    return (F.size(cidrs) <= 0) | F.exists(cidrs, lambda c: addresses.in_block(ip, c))
