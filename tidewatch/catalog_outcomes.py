@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.catalog import NOW, _scratch, query
+from tidewatch.catalog import _LICENSE_SQL, NOW, _scratch, query
 from tidewatch.functions import columns as C
 from tidewatch.plans import chain
 from tidewatch.plans.adapt import events, spread
 from tidewatch.plans.scratch import written
-from tidewatch.sources import codec
+from tidewatch.sources import codec, hourly
 from tidewatch.streaming import dedupe as streams
 from tidewatch.streaming import metrics
 
@@ -85,3 +85,24 @@ def snk11_exposition(spark, d):
     age = ((NOW - F.max("t")) / 1_000_000).cast("long")
     sources = rows.where("outcome = 'event'").groupBy("source").agg(age.alias("age_s"), F.count("*").alias("events"))
     return metrics.exposition(counters, gauges, sources, _PREFIX)
+
+
+def _archived(spark, d):
+    path = _scratch(spark, "hourly")
+    hourly.write(events(spark, d).select("seq", F.col("t").alias("recv_t"), "source", "station", F.concat("payload", F.lit("\r\n")).alias("body")), path)
+    return hourly.read(spark, path)
+
+
+_LICENSED = f"SELECT {_LICENSE_SQL.format('source')} AS license, source, strftime(make_timestamp(t), '%Y-%m-%d %H') AS hour, t AS recv_t, station, payload AS body FROM ev"
+
+
+@query(" " + _LICENSED)
+def snk1_hourly_archive(spark, d):
+    """Every reception as a gzipped line of its hour, and back."""
+    return _archived(spark, d)
+
+
+@query(f" SELECT * FROM ({_LICENSED}) WHERE source IN ('udp:ab', 'aishub') AND hour >= '2024-01-10 00' AND hour < '2024-01-12 06' AND length(body) > 8")
+def src14_hours(spark, d):
+    """Two sources and some hours of an archive: only their files are read."""
+    return _archived(spark, d).where(F.col("source").isin("udp:ab", "aishub") & (F.col("hour") >= "2024-01-10 00") & (F.col("hour") < "2024-01-12 06") & (F.length("body") > 8))
