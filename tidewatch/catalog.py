@@ -449,4 +449,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 # They register their queries with the decorator above.
-from tidewatch import catalog_feeds, catalog_messages, catalog_outcomes, catalog_rules, catalog_streams  # noqa: E402, F401
+from tidewatch import catalog_feeds, catalog_maps, catalog_messages, catalog_outcomes, catalog_rules, catalog_streams  # noqa: E402, F401

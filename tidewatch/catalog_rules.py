@@ -9,6 +9,7 @@ from tidewatch.catalog import _BOX_SQL, _DEDUPE_SQL, _MESSAGES_SQL, _POS_SQL, BO
 from tidewatch.functions import columns as C
 from tidewatch.operators import addresses, folds, policy, stations, subscribe, vessels
 from tidewatch.plans.adapt import events
+from tidewatch.sources import positions
 from tidewatch.streaming import dedupe as streams
 from tidewatch.streaming import windows
 
@@ -279,4 +280,7 @@ def plan_last_known(spark, d):
 
 @query(f" SELECT seq, mmsi, t, lat, lon FROM ev WHERE {_BOX_SQL} AND t BETWEEN {NOW - 5 * 1440 * MIN} AND {NOW}")
 def plan_history(spark, d):
-    return events(spark, d).where(F.col("t").between(NOW - 5 * 1440 * MIN, NOW) & subscribe.any_box(BOXES)).select("seq", "mmsi", "t", "lat", "lon")
+    """From the table clustered by place and time: only the boxes' folders are read."""
+    path = _scratch(spark, "positions")
+    positions.write(events(spark, d).select("seq", "mmsi", "t", "lat", "lon"), path)
+    return positions.read(spark, path, BOXES, NOW - 5 * 1440 * MIN, NOW).select("seq", "mmsi", "t", "lat", "lon")
