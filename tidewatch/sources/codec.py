@@ -195,13 +195,22 @@ def decoded(messages: DataFrame, fields: list[str] | None = None, ids: bool = Fa
     return messages.select(*own).mapInArrow(run, schema)
 
 
+_HEX = np.array([f"{x:02X}" for x in range(256)], object)
+
+
+def xor_digits(texts: pa.Array) -> pa.Array:
+    """Two hexadecimal digits of the exclusive or of each text's bytes."""
+    data, start, end = _bytes(texts)
+    sums, some = np.zeros(len(start), np.uint8), end > start
+    if some.any():
+        # the texts stand one after another, so each reaches to where the next that isn't empty begins
+        sums[some] = np.bitwise_xor.reduceat(data[: end[-1]], start[some])
+    return pa.array(_HEX[sums], pa.string())
+
+
 def xor_sums(lines: list[str]) -> list[str]:
-    """Two hexadecimal digits of the exclusive or of each line's bytes."""
-    raw = [x.encode() for x in lines]
-    sizes = np.array([len(x) for x in raw], np.int64)
-    if not sizes.all() or not len(sizes):
-        return [f"{np.bitwise_xor.reduce(np.frombuffer(x, np.uint8)) if x else 0:02X}" for x in raw]
-    return [f"{x:02X}" for x in np.bitwise_xor.reduceat(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes).tolist()]
+    """The same of a list."""
+    return xor_digits(pa.array(lines, pa.string())).to_pylist()
 
 
 #: Fixed values of the protocol: what a field holds where it isn't given or not available; long-range reports have coarser units.
@@ -212,12 +221,13 @@ _RANGES = {"lon": (-180, 180), "lat": (-90, 90), "cog": (0, 359.999), "heading":
 _TOTAL = {1: 168, 4: 168, 5: 424, 9: 168, 18: 168, 19: 312, 21: 272, 24: 168, 27: 96}
 
 
-def encoded(rows: DataFrame, number: int, fields: dict[str, Column], channel: Column | None = None, part: int = 0) -> DataFrame:
+def encoded(rows: DataFrame, number: int, fields: dict[str, Column], channel: Column | None = None, part: int = 0, tag: Column | None = None) -> DataFrame:
     """``rows``, all columns, with ``payload``, ``fill`` and ``nmea``, the sentences of a message of type ``number``.
 
     ``fields`` gives the layout's values in their own units (degrees, knots); the rest are not available.
     Values are rounded to what the message can hold. Places, courses and headings out of range are not
-    available, any other number that the field can't hold becomes the nearest one that it can.
+    available, any other number that the field can't hold becomes the nearest one that it can. ``tag``: the text of a
+    TAG block, which is summed and put before each first sentence.
     """
     layout = [*_HEAD, *LAYOUTS[number], *(_STATIC[part] if number == 24 else ())]
     given = {"type": F.lit(number), **({"part": F.lit(part)} if number == 24 else {}), **fields}
@@ -268,13 +278,18 @@ def encoded(rows: DataFrame, number: int, fields: dict[str, Column], channel: Co
             for p, c, seq in zip(payload, channels, range(n), strict=True):
                 for k in range(count):
                     lines.append(f"AIVDM,{count},{k + 1},{seq % 10 if count > 1 else ''},{c},{p[k * _SENTENCE_CHARS : (k + 1) * _SENTENCE_CHARS]},{fill if k == count - 1 else 0}")
-            nmea = pa.array([f"!{x}*{s}" for x, s in zip(lines, xor_sums(lines), strict=True)], pa.string())
+            told = [f"!{x}*{s}" for x, s in zip(lines, xor_sums(lines), strict=True)]
+            if tag is not None:
+                for k, (text, s) in enumerate(zip(batch.column("__tag").to_pylist(), xor_digits(batch.column("__tag")).to_pylist(), strict=True)):
+                    if text is not None:
+                        told[k * count] = f"\\{text}*{s}\\{told[k * count]}"
+            nmea = pa.array(told, pa.string())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in own), pa.array(payload, pa.string()), pa.array(np.full(n, fill, np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * count, pa.int32()), nmea)],
                 names=[*own, "payload", "fill", "nmea"],
             )
 
-    made = rows.select(*own, F.struct(*(coded(name, width, kind) for name, _, width, kind in known)).alias("__fields"), F.coalesce(channel if channel is not None else F.lit("A"), F.lit("A")).alias("__channel"))
+    made = rows.select(*own, F.struct(*(coded(name, width, kind) for name, _, width, kind in known)).alias("__fields"), F.coalesce(channel if channel is not None else F.lit("A"), F.lit("A")).alias("__channel"), *([tag.alias("__tag")] if tag is not None else []))
     return made.mapInArrow(run, schema)
 
 

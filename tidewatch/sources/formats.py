@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,35 +21,58 @@ SENTENCE = r"^[!$][A-Za-z0-9]{2}(VDM|VDO),[1-9],[1-9],[0-9]?,[^,*]*,[^,*]*,[0-5]
 def sentences(events: DataFrame) -> DataFrame:
     """Receptions: one TAG-prefixed sentence per position event."""
     fields = {"mmsi": F.col("mmsi"), "lat": F.col("lat"), "lon": F.col("lon"), "sog": F.least(F.col("sog"), F.lit(102.2))}
-    coded = codec.encoded(events, 1, fields, F.when(F.col("seq") % 2 == 0, "A").otherwise("B"))
-    tag = C.tag_block([("s", C.tag_safe(F.col("station"))), ("c", F.floor(F.col("t") / 1000).cast("string"))])
-    return coded.select("seq", "source", "station", F.col("t").alias("recv_t"), F.concat(tag, F.col("nmea")[0]).alias("body"))
+    tag = F.concat(F.lit("s:"), C.tag_safe(F.col("station")), F.lit(",c:"), F.floor(F.col("t") / 1000).cast("string"))
+    coded = codec.encoded(events, 1, fields, F.when(F.col("seq") % 2 == 0, "A").otherwise("B"), tag=tag)
+    return coded.select("seq", "source", "station", F.col("t").alias("recv_t"), F.col("nmea")[0].alias("body"))
+
+
+_BLANKS = " \t\n\x0b\x0c\r"
+_FIELDS = "".join(f"(?P<f{i}>[^,]*)" + ("" if i == 7 else ",") for i in range(1, 8))
+_PARSED = "tag_s string, tag_c string, talker string, kind string, total int, num int, seqid string, channel string, payload string, fill int, line string, ok boolean, outcome string"
+
+
+def _picked(texts: pa.Array, pattern: str) -> pa.Array:
+    """The pattern's group ``x`` in each text; empty where it doesn't match."""
+    return pc.fill_null(pc.struct_field(pc.extract_regex(texts, pattern), "x"), "")
+
+
+def _read_lines(lines: pa.Array) -> list[pa.Array]:
+    """The columns of ``_PARSED`` for trimmed lines, all of them at a time."""
+    lines = pc.replace_substring_regex(lines, r"^(.*[!$][^!$*]*\*[^!$]{2}),[^!$]*$", r"\1")
+    tag = _picked(lines, r"^\\(?P<x>[^\\]*)\\")
+    bare = pc.replace_substring_regex(lines, r"^\\[^\\]*\\", "")
+    told, text = _picked(bare, r"^[!$](?P<x>[^*]*)\*[0-9A-Fa-f]{2}$"), _picked(tag, r"^(?P<x>[^*]*)")
+    summed = lambda of, whole: pc.equal(codec.xor_digits(of), pc.utf8_upper(pc.utf8_slice_codeunits(whole, -2)))
+    sound = pc.and_(pc.and_(pc.not_equal(told, ""), summed(told, bare)), pc.or_(pc.equal(tag, ""), summed(text, tag)))
+    ok = pc.and_(sound, pc.match_substring_regex(bare, SENTENCE))
+    kind = pc.utf8_slice_codeunits(_picked(told, "^(?P<x>[^,]*)"), -3)
+    outcome = pc.case_when(pc.make_struct(ok, pc.and_(sound, pc.invert(pc.is_in(kind, pa.array(["VDM", "VDO"]))))), pa.scalar("ok"), pa.scalar("ignored"), pa.scalar("parse_err"))
+    found = pc.extract_regex(pc.if_else(ok, told, pa.scalar(None, told.type)), f"^{_FIELDS}$")
+    f = lambda i: pc.struct_field(found, f"f{i}")
+    whole = lambda i: pc.cast(f(i), pa.int32())
+    tagged = lambda key: pc.replace_with_mask(x := _picked(text, f"(?:^|,){key}:(?P<x>[^,]*)"), pc.equal(x, ""), pa.scalar(None, x.type))
+    return [tagged("s"), tagged("c"), pc.utf8_slice_codeunits(f(1), 0, 2), pc.utf8_slice_codeunits(f(1), -3), whole(2), whole(3), f(4), f(5), f(6), whole(7), lines, ok, outcome]
 
 
 def parse(receptions: DataFrame) -> DataFrame:
     """TAG fields and sentence fields of each reception that isn't blank; whatever can't be read makes no row fail.
 
     ``outcome``: ok, ignored (a sentence of another kind) or parse_err. ``ok`` is the same as a
-    flag. ``refined``: the station named in the TAG block, under the source.
+    flag; sentence fields are null where it is false. Lines are read and summed a batch at a time.
     """
-    line = C.without_trailing_fields(C.trimmed(F.col("body")))
-    split = receptions.withColumn("__line", line).where(F.col("__line") != "")
-    split = split.select("*", F.regexp_extract("__line", r"^\\([^\\]*)\\", 1).alias("__tag"), F.regexp_replace("__line", r"^\\[^\\]*\\", "").alias("line"))
-    told, tag = F.regexp_extract("line", r"^[!$]([^*]*)\*[0-9A-Fa-f]{2}$", 1), F.substring_index("__tag", "*", 1)
-    field = lambda key: F.nullif(F.regexp_extract("__text", f"(?:^|,){key}:([^,]*)", 1), F.lit(""))
-    fine = lambda text, whole: C.checksum(text) == F.upper(F.right(whole, F.lit(2)))
-    sound = (told != "") & fine(told, F.col("line")) & ((F.col("__tag") == "") | fine(tag, F.col("__tag")))
-    split = split.select("*", F.split(told, ",").alias("__f"), tag.alias("__text"), sound.alias("__sound"), F.col("line").rlike(SENTENCE).alias("__ais"))
-    part = lambda i: F.try_element_at("__f", F.lit(i))
-    kind = F.right(part(1), F.lit(3))
-    ok = F.col("__sound") & F.col("__ais")
-    return split.select(
-        *receptions.columns,
-        field("s").alias("tag_s"), C.tag_time_us(field("c").try_cast("long")).alias("tag_t"),
-        F.substring(part(1), 1, 2).alias("talker"), kind.alias("kind"), part(2).try_cast("int").alias("total"), part(3).try_cast("int").alias("num"), part(4).alias("seqid"), part(5).alias("channel"), part(6).alias("payload"),
-        part(7).try_cast("int").alias("fill"), F.col("__line").alias("line"), ok.alias("ok"),
-        F.when(ok, "ok").when(F.col("__sound") & ~kind.isin("VDM", "VDO"), "ignored").otherwise("parse_err").alias("outcome"),
-    )
+    names = [c.split()[0] for c in _PARSED.split(", ")]
+    own = [c for c in receptions.columns if c not in (*names, "tag_t")]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in receptions.select(*own).dtypes), _PARSED])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = pc.utf8_trim(batch.column("body").cast(pa.string()), characters=_BLANKS)
+            told = pc.fill_null(pc.not_equal(lines, ""), False)
+            rows, lines = batch.filter(told), lines.filter(told)
+            yield pa.RecordBatch.from_arrays([*rows.columns, *_read_lines(lines)], names=[*own, *names])
+
+    read = receptions.select(*own).mapInArrow(run, schema)
+    return read.withColumn("tag_t", C.tag_time_us(F.col("tag_c").try_cast("long"))).select(*own, "tag_s", "tag_t", *names[2:])
 
 
 def decode(parsed: DataFrame, number: int) -> DataFrame:
