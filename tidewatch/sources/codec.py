@@ -251,6 +251,7 @@ def encoded(rows: DataFrame, number: int, fields: dict[str, Column], channel: Co
             value = F.greatest(F.lit(least), F.least(F.lit(most), value))
         return F.coalesce(value.cast("long"), none).alias(name)
 
+    has_tag = tag is not None
     total = _TOTAL[1 if number < 4 else number] if not (number == 24 and part == 0) else 160
     own = [c for c in rows.columns if c not in ("payload", "fill", "nmea")]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.select(*own).dtypes), "payload string", "fill int", "nmea array<string>"])
@@ -279,7 +280,7 @@ def encoded(rows: DataFrame, number: int, fields: dict[str, Column], channel: Co
                 for k in range(count):
                     lines.append(f"AIVDM,{count},{k + 1},{seq % 10 if count > 1 else ''},{c},{p[k * _SENTENCE_CHARS : (k + 1) * _SENTENCE_CHARS]},{fill if k == count - 1 else 0}")
             told = [f"!{x}*{s}" for x, s in zip(lines, xor_sums(lines), strict=True)]
-            if tag is not None:
+            if has_tag:
                 for k, (text, s) in enumerate(zip(batch.column("__tag").to_pylist(), xor_digits(batch.column("__tag")).to_pylist(), strict=True)):
                     if text is not None:
                         told[k * count] = f"\\{text}*{s}\\{told[k * count]}"
@@ -289,7 +290,7 @@ def encoded(rows: DataFrame, number: int, fields: dict[str, Column], channel: Co
                 names=[*own, "payload", "fill", "nmea"],
             )
 
-    made = rows.select(*own, F.struct(*(coded(name, width, kind) for name, _, width, kind in known)).alias("__fields"), F.coalesce(channel if channel is not None else F.lit("A"), F.lit("A")).alias("__channel"), *([tag.alias("__tag")] if tag is not None else []))
+    made = rows.select(*own, F.struct(*(coded(name, width, kind) for name, _, width, kind in known)).alias("__fields"), F.coalesce(channel if channel is not None else F.lit("A"), F.lit("A")).alias("__channel"), *([tag.alias("__tag")] if has_tag else []))
     return made.mapInArrow(run, schema)
 
 
