@@ -36,6 +36,7 @@ from tidewatch.llm.pretokens import Ragged, Splitter, byte_letters, tokenizers_m
 BLOCK_BYTES = 8_000_000
 #: Units (and characters of theirs) that a worker remembers, and how many of the first ones it keeps when it starts anew.
 REMEMBERED, FIRST, REMEMBERED_CHARS = 400_000, 100_000, 16_000_000
+AT_A_TIME = 2_000
 _SHIFT = 32
 _ALIGNERS: dict[tuple[str, str, str], Aligner] = {}
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -97,7 +98,8 @@ class Aligner:
         out += flat[done:]
         return out, np.concatenate([[0], np.cumsum(first)])[at]
 
-    def _ends(self, unit: str, ids: list[int], spans: list[tuple[int, int]], raw: dict[int, bytes], byte_at: list[int] | None) -> list[int]:
+    @staticmethod
+    def _ends(ids: list[int], spans: list[tuple[int, int]], raw: dict[int, bytes], byte_at: list[int] | None) -> list[int]:
         """Where each token ends, in bytes: at its span's end if the next begins there, else as far as its bytes go."""
         out, at, n = [], 0, len(ids)
         for k, (i, (begin, end)) in enumerate(zip(ids, spans, strict=True)):
@@ -115,8 +117,12 @@ class Aligner:
             return None
         if len(a) == len(b) == 1:
             return [(a, b)], [a[0] << _SHIFT | b[0]]
-        byte_at = None if len(data) == len(unit) else np.concatenate([[0], np.cumsum([len(c.encode()) for c in unit])]).tolist()
-        a_ends, b_ends = self._ends(unit, a, a_spans, self.raw_a, byte_at), self._ends(unit, b, b_spans, self.raw_b, None)
+        if len(data) == len(unit):
+            # every character is a byte, so every span is one of bytes
+            a_ends, b_ends = [e for _, e in a_spans], [e for _, e in b_spans]
+        else:
+            byte_at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in unit])]).tolist()
+            a_ends, b_ends = self._ends(a, a_spans, self.raw_a, byte_at), self._ends(b, b_spans, self.raw_b, None)
         groups, links, i, j, i0, j0 = [], [], 0, 0, 0, 0
         while i < len(a):
             links.append(a[i] << _SHIFT | b[j])
@@ -140,12 +146,16 @@ class Aligner:
 
     def numbers(self, units: list[str]) -> np.ndarray:
         """The unit's numbers; those that are new are aligned."""
-        new = list(set(units) - self.known.keys())
-        if new:
+        every = list(set(units) - self.known.keys())
+        # the libraries' objects of few units at a time
+        for k in range(0, len(every), AT_A_TIME):
+            new = every[k : k + AT_A_TIME]
             sizes, links, n = [], [], len(self.known)
             for unit, told, piece in zip(new, self.a.encode_batch(new, add_special_tokens=False), self.b.encode(new, return_type="proto", num_threads=1), strict=True):
-                a, b = told.ids, [(p.id, (p.begin, p.end)) for p in piece.pieces]
-                got = self.align(unit, a, told.offsets, [i for i, _ in b], [s for _, s in b])
+                # a piece begins where the one before ends, those of a character's first bytes end there too
+                a, pieces = told.ids, piece.pieces
+                b, ends = [p.id for p in pieces], [p.end for p in pieces]
+                got = self.align(unit, a, told.offsets if len(a) > 1 or len(b) > 1 else (), b, list(zip([0, *ends], ends, strict=False)))
                 if got is None:
                     sizes.append((0, 0, 0))
                     links.append(())
