@@ -2,7 +2,7 @@
 
 A reception is a line of its time, station and body with tabs between, in
 ``licence/source parts/yyyy/mm/dd/hh[.task].gz``. The reader lists the files, takes those that the filters on license, source and hour
-allow, and gives each to a task. The writer's tasks write beside the archive, and the driver
+allow, and gives a task some of them, or one if it is large. The writer's tasks write beside the archive, and the driver
 moves their files to their places when all are whole, so a lost task leaves nothing behind. Further writes add files.
 
 Defined results: a source with a part that is empty, ``.`` or ``..``, or with a path's separator in it, could leave the archive, and its rows are refused and counted;
@@ -28,6 +28,8 @@ from tidewatch.functions import columns as C
 
 SCHEMA = "license string, source string, hour string, recv_t long, station string, body string"
 NAME = "hourly_archive"
+#: Compressed bytes, and small files, that one task reads at most; a larger file is one task's.
+BUNDLE_BYTES, BUNDLE_FILES = 32 << 20, 64
 _FILE = re.compile(r"(?P<license>[^/]+)/(?P<feed>.+)/(?P<y>\d{4})/(?P<m>\d\d)/(?P<d>\d\d)/(?P<h>\d\d)(\.[^/]*)?\.gz")
 _TIME = re.compile(r"(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)(?:\.(\d{1,9}))?Z")
 _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
@@ -35,11 +37,19 @@ _TESTS = {EqualTo: lambda x, v: x == v, In: lambda x, v: x in v, GreaterThan: la
 
 
 @dataclass
-class _File(InputPartition):
+class _File:
     path: str
     license: str
     source: str
     hour: str
+    size: int
+
+
+@dataclass
+class _Bundle(InputPartition):
+    """Files that one task reads."""
+
+    files: list[_File]
 
 
 @dataclass
@@ -87,29 +97,39 @@ class _Reader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[_File]:
+    def chosen(self) -> list[_File]:
+        """The files that the filters allow."""
         store, root = _open(self.path)
         root = root.rstrip("/")
         out = []
         for info in store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
             found = _FILE.fullmatch(info.path[len(root) + 1 :]) if info.type == fs.FileType.File else None
             if found and not found["license"].startswith("_"):
-                file = _File(info.path, found["license"], found["feed"].replace("/", ":"), f"{found['y']}-{found['m']}-{found['d']} {found['h']}")
+                file = _File(info.path, found["license"], found["feed"].replace("/", ":"), f"{found['y']}-{found['m']}-{found['d']} {found['h']}", info.size)
                 if all(_TESTS[kind](getattr(file, name), value) for name, kind, value in self.tests):
                     out.append(file)
         return sorted(out, key=lambda f: f.path)
 
-    def read(self, partition: _File | None) -> Iterator[tuple]:
-        if partition is None:
-            return
+    def partitions(self) -> list[_Bundle]:
+        out, held, size = [], [], 0
+        for file in self.chosen():
+            if held and (size + file.size > BUNDLE_BYTES or len(held) == BUNDLE_FILES):
+                out.append(_Bundle(held))
+                held, size = [], 0
+            held.append(file)
+            size += file.size
+        return [*out, _Bundle(held)]
+
+    def read(self, partition: _Bundle) -> Iterator[tuple]:
         store, _ = _open(self.path)
-        # one after another, compressed members are one stream
-        with store.open_input_stream(partition.path, compression=None) as raw, gzip.open(raw, "rt", encoding="utf-8", errors="replace", newline="\n") as lines:
-            for line in lines:
-                parts = line.rstrip("\r\n").split("\t", 2)
-                t = read_time(parts[0]) if len(parts) == 3 else None
-                if t is not None:
-                    yield partition.license, partition.source, partition.hour, t, parts[1], parts[2]
+        for file in partition.files:
+            # one after another, compressed members are one stream
+            with store.open_input_stream(file.path, compression=None) as raw, gzip.open(raw, "rt", encoding="utf-8", errors="replace", newline="\n") as lines:
+                for line in lines:
+                    parts = line.rstrip("\r\n").split("\t", 2)
+                    t = read_time(parts[0]) if len(parts) == 3 else None
+                    if t is not None:
+                        yield file.license, file.source, file.hour, t, parts[1], parts[2]
 
 
 class _Writer(DataSourceWriter):
