@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import vessels
 from tidewatch.plans import chain
 
+# Fixed values of the protocol's public samples.
 POSITION = "!AIVDM,1,1,,A,13HOI:0P0000VOHLCnHQKwvL05Ip,0*23"
 OWN = "!AIVDO,1,1,,A,13HOI:0P0000VOHLCnHQKwvL05Ip,0*21"
 OTHER = "!AIVDM,1,1,,A,15NJ5cPP00o?8pHG8CpSWwvP2<1h,0*6E"
@@ -54,12 +55,12 @@ def test_trust(spark):
 
 def test_late_position(spark):
     """Late by 90 s: the vessel keeps its place and takes the name; the event itself is told where it was."""
-    rows = [(0, 50.0, ""), (-90, 49.0, "LATE"), (-0.5, 51.0, "")]
+    rows = [(0, 50.0, ""), (-90, 49.0, "SLOW BOAT"), (-0.5, 51.0, "")]
     df = spark.createDataFrame([(i, 7, int(t * S) + NOW, la, 1.0, 3.0, "kystverket", "k", n, True, "PositionReport") for i, (t, la, n) in enumerate(rows)], "seq long, mmsi long, t long, lat double, lon double, sog double, source string, station string, name string, pos boolean, msg_type string")
     stamps = {r.seq: r for r in vessels.vessel_stamps(df).collect()}
-    assert [(stamps[i].v_lat, stamps[i].stale) for i in range(3)] == [(50.0, False), (49.0, True), (51.0, False)] and stamps[1].v_name == "LATE"
+    assert [(stamps[i].v_lat, stamps[i].stale) for i in range(3)] == [(50.0, False), (49.0, True), (51.0, False)] and stamps[1].v_name == "SLOW BOAT"
     (state,) = vessels.vessel_fold(df).collect()
-    assert (state.lat, state.name, state.n, state.n_stale, state.kind) == (51.0, "LATE", 3, 1, "vessel")
+    assert (state.lat, state.name, state.n, state.n_stale, state.kind) == (51.0, "SLOW BOAT", 3, 1, "vessel")
 
 
 @pytest.mark.parametrize("kind", ["BaseStationReport", "PositionReport"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.sources import codec, formats
 
+# Fixed values of the protocol's public samples.
 GOLDEN = "!AIVDM,1,1,,A,13HOI:0P0000VOHLCnHQKwvL05Ip,0*23"
 
 

@@ -88,7 +88,7 @@ def _seconds(timestamp: str) -> float:
 def exposition(counters: DataFrame, gauges: DataFrame, sources: DataFrame, prefix: str) -> DataFrame:
     """part, line: the text exposition, in order. ``counters``: name, n, those that are missing are 0; ``gauges``: name, n; ``sources``: source, age_s, events."""
     names = counters.sparkSession.createDataFrame([(i, name, HELP[name]) for i, name in enumerate(COUNTERS)], "part int, name string, help string")
-    full = names.join(F.broadcast(counters.groupBy("name").agg(F.sum("n").alias("n"))), "name", "left")
+    full = names.join(F.broadcast(counters.where(F.col("name").isin(*COUNTERS)).groupBy("name").agg(F.sum("n").alias("n"))), "name", "left")
     metric = F.concat(F.lit(prefix), "name", F.lit("_total"))
     head = lambda name, kind, told=None: F.concat(*([F.lit("# HELP "), name, F.lit(" "), told, F.lit("\n")] if told is not None else []), F.lit("# TYPE "), name, F.lit(f" {kind}\n"))
     counted = full.select("part", F.concat(head(metric, "counter", F.col("help")), metric, F.lit(" "), F.coalesce("n", F.lit(0)).cast("string")).alias("line"))
