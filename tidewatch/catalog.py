@@ -217,8 +217,7 @@ def _subs(spark, d):
 
 @query(_SUBS_SQL + " SELECT sub, count(*) AS n, min(seq) AS first_seq, count(DISTINCT mmsi) AS vessels FROM ev JOIN subs ON lat BETWEEN min_lat AND max_lat AND lon BETWEEN min_lon AND max_lon GROUP BY 1")
 def join2_fan_out(spark, d):
-    matched = subscribe.fan_out(events(spark, d), _subs(spark, d))
-    return matched.groupBy("sub").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.countDistinct("mmsi").alias("vessels"))
+    return subscribe.fan_out_totals(events(spark, d), _subs(spark, d))
 
 
 @query(""", s AS (SELECT station, count(*) AS events FROM ev GROUP BY 1), v AS (SELECT mmsi, arg_max(station, seq) AS station FROM ev GROUP BY 1)

@@ -16,6 +16,7 @@ from tidewatch.functions.columns import POSITION_TYPES, in_box
 
 #: Sizes of cells in degrees; a box is filed under cells no smaller than itself.
 GRIDS = (0.5, 2.0, 8.0, 32.0, 360.0)
+CORNERS = ("min_lat", "min_lon", "max_lat", "max_lon")
 
 
 def any_box(boxes: list[tuple]) -> Column:
@@ -75,6 +76,10 @@ def _dealt(rows: DataFrame, salts: Column) -> DataFrame:
     return rows.withColumn("salt", F.when(F.col("grid") == GRIDS[-1], salts).otherwise(F.lit(0)))
 
 
+def _in_every_share(filed: DataFrame, shares: int) -> DataFrame:
+    return filed.withColumn("salt", F.explode(F.when(F.col("grid") == GRIDS[-1], F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.lit(0)))))
+
+
 def fan_out(events: DataFrame, boxes: DataFrame, shares: int = 64) -> DataFrame:
     """Each (subscription, event) once. ``boxes``: sub, min_lat, min_lon, max_lat, max_lon; a subscription may have several.
 
@@ -84,13 +89,26 @@ def fan_out(events: DataFrame, boxes: DataFrame, shares: int = 64) -> DataFrame:
     several = F.count("*").over(Window.partitionBy("sub")) > 1
     filed = _filed(boxes.withColumn("several", several))
     grids = tuple(sorted(r[0] for r in filed.select("grid").distinct().collect())) or GRIDS[:1]
-    filed = filed.withColumn("salt", F.explode(F.when(F.col("grid") == GRIDS[-1], F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.lit(0)))))
+    filed = _in_every_share(filed, shares)
     points = _dealt(_placed(events.select("seq", "mmsi", "lat", "lon"), grids=grids), F.pmod(F.hash("seq"), F.lit(shares)))
     matched = points.join(filed, ["grid", "cy", "cx", "salt"]).where(inside)
     # An event has one cell in a grid, so one box holds it once; only subscriptions with several boxes may hold it again.
     return matched.where(~F.col("several")).select("sub", "seq", "mmsi").unionByName(matched.where("several").select("sub", "seq", "mmsi").distinct())
 
 
+def fan_out_totals(events: DataFrame, boxes: DataFrame) -> DataFrame:
+    """sub, n, first_seq, vessels of the events of every subscription that has any; ``boxes`` as for ``fan_out``.
+
+    Subscriptions to the very same boxes have the same events: these are met once for all of them, and each of them has the totals.
+    """
+    asked = boxes.groupBy("sub").agg(F.array_sort(F.collect_set(F.struct(*CORNERS))).alias("boxes"))
+    kinds = asked.groupBy("boxes").agg(F.min("sub").alias("of"))
+    told = fan_out(events, kinds.select(F.col("of").alias("sub"), F.inline("boxes")))
+    totals = told.groupBy(F.col("sub").alias("__of")).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.countDistinct("mmsi").alias("vessels"))
+    kinds = kinds.join(totals, F.col("of").eqNullSafe(F.col("__of"))).select("boxes", "n", "first_seq", "vessels")
+    return asked.join(kinds, "boxes").select("sub", "n", "first_seq", "vessels")
+
+
 def boxes_within(asked: DataFrame, claims: DataFrame) -> DataFrame:
     """(sub, claim) of asked boxes that lie inside one claimed box (claim, min_lat, min_lon, max_lat, max_lon)."""
     names = ("min_lat", "min_lon", "max_lat", "max_lon")
