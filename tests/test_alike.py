@@ -19,3 +19,12 @@ def test_fan_out_totals_of_many_equal_boxes(spark, monkeypatch):
     assert met[0].count() == 50 + 40 + 100
 
 
+def test_claims_around_many_equal_boxes(spark, monkeypatch):
+    met = []
+    whole = subscribe.boxes_within
+    monkeypatch.setattr(subscribe, "boxes_within", lambda a, c: met.append(whole(a, c)) or met[-1])
+    asked = [(s, 0.0, 0.0, 1.0, 1.0) for s in range(300)] + [(300, 5.0, 5.0, 6.0, 6.0), (300, 0.0, 0.0, 1.0, 1.0), (301, 80.0, 80.0, 81.0, 81.0)]
+    claims = [(c, -1.0, -1.0, 19.0, 39.0) for c in range(200)] + [(200, 0.0, 0.0, 1.0, 1.0), (201, 0.5, 0.0, 3.0, 3.0), (202, -90.0, -180.0, 70.0, 180.0)]
+    got = {r.sub: r.claims for r in subscribe.claims_around(spark.createDataFrame(asked, f"sub long, {BOX}"), spark.createDataFrame(claims, f"claim long, {BOX}")).collect()}
+    assert got == {s: 202 for s in range(300)} | {300: 202 + 201}
+    assert met[0].count() == 3 + 2

@@ -245,7 +245,7 @@ def join7_claim_boxes(spark, d):
     key = F.col("s_suppkey")
     claims = spark.read.parquet(f"{d}/supplier.parquet").select(key.alias("claim"), (key * 7 % 100 - 60).cast("double").alias("a"), (key * 13 % 200 - 120).cast("double").alias("b"))
     boxes = claims.select("claim", F.col("a").alias("min_lat"), F.col("b").alias("min_lon"), (F.col("a") + 20).alias("max_lat"), (F.col("b") + 40).alias("max_lon"))
-    return subscribe.boxes_within(_subs(spark, d), boxes).groupBy("sub").agg(F.count("*").alias("claims"))
+    return subscribe.claims_around(_subs(spark, d), boxes)
 
 
 @query(" SELECT feed, count(*) AS n, min(seq) AS first_seq FROM (SELECT 'a' AS feed, seq FROM ev WHERE source = 'kystverket' UNION ALL SELECT 'b' AS feed, seq FROM ev WHERE source <> 'kystverket') GROUP BY 1")

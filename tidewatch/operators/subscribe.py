@@ -109,12 +109,24 @@ def fan_out_totals(events: DataFrame, boxes: DataFrame) -> DataFrame:
     return asked.join(kinds, "boxes").select("sub", "n", "first_seq", "vessels")
 
 
-def boxes_within(asked: DataFrame, claims: DataFrame) -> DataFrame:
+def boxes_within(asked: DataFrame, claims: DataFrame, shares: int = 16) -> DataFrame:
     """(sub, claim) of asked boxes that lie inside one claimed box (claim, min_lat, min_lon, max_lat, max_lon)."""
-    names = ("min_lat", "min_lon", "max_lat", "max_lon")
-    filed = _filed(claims).select("claim", "grid", "cy", "cx", *(F.col(n).alias(f"c_{n}") for n in names))
+    filed = _in_every_share(_filed(claims), shares).select("claim", "grid", "cy", "cx", "salt", *(F.col(n).alias(f"c_{n}") for n in CORNERS))
     inside = (F.col("min_lat") >= F.col("c_min_lat")) & (F.col("max_lat") <= F.col("c_max_lat")) & (F.col("min_lon") >= F.col("c_min_lon")) & (F.col("max_lon") <= F.col("c_max_lon"))
-    return _placed(asked.select("sub", *names), "min_lat", "min_lon").join(filed, ["grid", "cy", "cx"]).where(inside).select("sub", "claim")
+    placed = _dealt(_placed(asked.select("sub", *CORNERS), "min_lat", "min_lon"), F.pmod(F.hash("sub", *CORNERS), F.lit(shares)))
+    return placed.join(filed, ["grid", "cy", "cx", "salt"]).where(inside).select("sub", "claim")
+
+
+def claims_around(asked: DataFrame, claims: DataFrame) -> DataFrame:
+    """sub, claims: in how many claimed boxes an asked one (sub, min_lat, min_lon, max_lat, max_lon) lies, if in any; several boxes of a sub add up.
+
+    Equal boxes, asked or claimed, are met once: the pairs are of different boxes, weighted by the claims of each.
+    """
+    box = F.struct(*CORNERS)
+    own = claims.groupBy(*CORNERS).agg(F.count("*").alias("n"))
+    met = boxes_within(asked.select(*CORNERS).distinct().withColumn("sub", box), own.withColumn("claim", F.struct(*CORNERS, "n")))
+    held = met.groupBy(F.col("sub").alias("__box")).agg(F.sum("claim.n").alias("n"))
+    return asked.join(held, box == F.col("__box")).groupBy("sub").agg(F.sum("n").alias("claims"))
 
 
 def shown_on_board(events: DataFrame, own_source: str, own_mmsi: int) -> DataFrame:
