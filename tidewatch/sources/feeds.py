@@ -92,8 +92,9 @@ def whole_envelopes(received: DataFrame) -> DataFrame:
     """seq, msg_type, mmsi, t and ``body``, the message itself as VARIANT, of envelopes (seq, recv_t, body); those that can't be read
     or are of a type that isn't carried are left out."""
     shape = "struct<MessageType:string,MetaData:struct<time_utc:string>,Message:map<string,variant>>"
-    rows = received.withColumn("x", F.from_json("body", shape)).where(F.col("x.MessageType").isin(*codec.NAMES)).withColumn("m", F.try_element_at("x.Message", "x.MessageType"))
-    rows = rows.where(F.col("m").isNotNull() & F.schema_of_variant("m").startswith("OBJECT"))
+    # as the rows of a generator, a text is read once: conditions on what it holds would each read it again
+    rows = received.select("*", F.explode(F.array(F.from_json("body", shape))).alias("x")).where(F.col("x.MessageType").isin(*codec.NAMES))
+    rows = rows.select("*", F.explode(F.array(F.try_element_at("x.Message", "x.MessageType"))).alias("m")).where(F.col("m").isNotNull() & F.schema_of_variant("m").startswith("OBJECT"))
     return rows.select("seq", F.col("x.MessageType").alias("msg_type"), F.try_variant_get("m", "$.UserID", "long").alias("mmsi"), near(C.go_time_us(F.col("x.MetaData.time_utc")), F.col("recv_t")).alias("t"), F.col("m").alias("body"))
 
 
