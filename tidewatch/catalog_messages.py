@@ -84,13 +84,18 @@ CASE shape WHEN 'b' THEN CASE WHEN n = 1 THEN 'true' ELSE 'false' END WHEN 't' T
 
 
 def _spelled(rows):
-    """seq, path, number, told of every field of a table of bodies: each reader types what it asks for."""
-    flags = {p for _, _, own in _layouts() for p, *_ in own} - {"UserID", "PartNumber", "DestinationIDValid", "ApplicationIDValid"}
+    """seq, path, number, told of every field of a table of bodies: an object's fields are rows, at most three deep, so a row costs what its own body holds."""
+    known = {p for _, _, own in _layouts() for p, *_ in own} - {"UserID", "PartNumber", "DestinationIDValid", "ApplicationIDValid"}
     texts = {p for _, _, own in _layouts() for p, *_, kind in own if kind in ("t", "x", "d")}
-    each = [F.struct(F.lit(p).alias("path"), F.try_variant_get("body", "$" + "".join(f"['{s}']" for s in p.split(".")), "string").alias("v"), F.lit(p in texts).alias("plain")) for p in sorted(flags)]
-    told = rows.select("seq", F.explode(F.filter(F.array(*each), lambda x: x["v"].isNotNull() & ~x["v"].startswith("{"))).alias("x"))
-    number = F.when(~F.col("x.plain"), F.col("x.v").try_cast("double"))
-    return told.select("seq", "x.path", F.round(number, 6).alias("number"), F.when(number.isNull(), F.col("x.v")).alias("told"))
+    tvf, told = rows.sparkSession.tvf, rows.select("seq", F.lit("").alias("path"), F.col("body").alias("v"))
+    for depth in range(3):
+        # what is no object stays as it is
+        inner = F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v")) if depth else F.col("v")
+        deeper = told.lateralJoin((tvf.variant_explode_outer if depth else tvf.variant_explode)(inner.outer()))
+        told = deeper.select("seq", F.concat("path", F.coalesce(F.concat(F.lit("." if depth else ""), "key"), F.lit(""))).alias("path"), F.coalesce("value", "v").alias("v"))
+    told = told.where(F.col("path").isin(*known)).select("seq", "path", F.col("v").try_cast("string").alias("v")).where("v is not null and not startswith(v, '{')")
+    number = F.when(~F.col("path").isin(*texts), F.col("v").try_cast("double"))
+    return told.select("seq", "path", F.round(number, 6).alias("number"), F.when(number.isNull(), F.col("v")).alias("told"))
 
 
 @query(_sql())
