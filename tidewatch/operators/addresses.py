@@ -81,16 +81,25 @@ def _family(of: Column, length: Column, block: Column) -> Column:
     return ~(of.startswith(MAPPED) & (length < 96) & block.contains(":"))
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a value as the rows of a generator: it is worked out once a row, also if a condition on it could be pushed below."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def longest_match(asked: DataFrame, table: DataFrame) -> DataFrame:
     """``asked`` (id, ip) that lie in a block of their id's in ``table`` (id, cidr), each with the longest such block.
 
-    The lengths that occur, 129 at most, are read; every address is looked up once for each of them.
+    The lengths that occur, 129 at most, are read; every address is looked up once for each of them. Rows are dealt out before
+    they are read, as a small file of many texts is one task.
     """
-    filed = table.select("id", "cidr", blocks(F.col("cidr")).alias("b")).where("b is not null").select("id", "cidr", "b.length", "b.prefix")
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocked = _once(table.select("id", F.explode(F.array("cidr")).alias("cidr")).repartition(tasks), "b", blocks(F.col("cidr")))
+    filed = blocked.where("b is not null").select("id", "cidr", "b.length", "b.prefix")
     lengths = [r[0] for r in filed.select("length").distinct().collect()]
     if not lengths:
         return asked.select("id", "ip", F.lit(None).cast("string").alias("cidr")).where(F.lit(False))
-    at = asked.select("id", "ip", digits(F.col("ip")).alias("__d")).where("__d is not null").withColumn("length", F.explode(F.array(*map(F.lit, lengths))))
-    met = at.withColumn("prefix", _prefix(F.col("__d"), F.col("length"))).join(filed, ["id", "length", "prefix"]).where(_family(F.col("__d"), F.col("length"), F.col("cidr")))
+    read = _once(asked.select("id", F.explode(F.array("ip")).alias("ip")).repartition(tasks), "__d", digits(F.col("ip")))
+    at = read.where("__d is not null").withColumn("length", F.explode(F.array(*map(F.lit, lengths))))
+    met = _once(at, "prefix", _prefix(F.col("__d"), F.col("length"))).join(filed, ["id", "length", "prefix"]).where(_family(F.col("__d"), F.col("length"), F.col("cidr")))
     first = F.row_number().over(Window.partitionBy("id", "ip").orderBy(F.desc("length"), "cidr"))
     return met.withColumn("__k", first).where("__k = 1").select("id", "ip", "cidr")
