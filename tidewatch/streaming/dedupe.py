@@ -7,10 +7,11 @@ rule for late rows, so the watermark waits for ``LATE``; only rows later than th
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,54 +19,97 @@ from tidewatch.operators.vessels import _READ, EXPIRES_US, STATE, STATE_NAMES, f
 
 OUT = "payload string, seq long, t long, is_dup boolean"
 EVICT_US, LATE = 60_000_000, "1 day"
+#: Buckets of keys in a stream's state.
+BUCKETS = 1024
+WHOLE = {c.split()[0]: "Int64" for c in ("mmsi long", *STATE.split(", ")) if c.endswith(" long")}
 
 
-def _expire(state: GroupState, at_us: int) -> None:
-    state.setTimeoutTimestamp(max(at_us // 1000, state.getCurrentWatermarkMs() + 1))
+def bucketed(rows: DataFrame, key: str) -> GroupedData:
+    """Keys are kept by the bucket, each with its own state and deadline, as a call for every key costs far more than its few rows."""
+    return rows.withColumn("bucket", F.pmod(F.hash(F.col(key).cast("string")), F.lit(BUCKETS))).groupBy("bucket")
+
+
+def read_bucket(text: str | None) -> dict:
+    """Deadline in milliseconds and state of each key of a bucket."""
+    return {key: held for key, *held in json.loads(text)} if text else {}
+
+
+def write_bucket(keys: dict) -> str:
+    return json.dumps([[key, *held] for key, held in keys.items()])
+
+
+def _settle(state: GroupState, keys: dict, touched: set) -> None:
+    """Keeps what was touched, or isn't over its deadline; the bucket is called again at the first deadline."""
+    now = state.getCurrentWatermarkMs()
+    for key in touched:
+        keys[key][0] = max(keys[key][0], now + 1)
+    kept = {key: held for key, held in keys.items() if key in touched or held[0] >= now}
+    if not kept:
+        state.remove()
+        return
+    state.update((write_bucket(kept),))
+    state.setTimeoutTimestamp(max(min(held[0] for held in kept.values()), now + 1))
 
 
 def stream_dedupe(stream: DataFrame, window_us: int) -> DataFrame:
     """payload, seq, t, is_dup of a stream of (payload, seq, t): the state is the time of the last kept row per key."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys = read_bucket(state.get[0] if state.exists else None)
         if state.hasTimedOut:
-            state.remove()
+            _settle(state, keys, set())
             return
-        last = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values("seq")
-        flags = []
-        for t in rows["t"].tolist():
-            t = None if pd.isna(t) else t
+        flags, touched = [], set()
+        for key, t in zip(rows["payload"].tolist(), rows["t"].tolist(), strict=True):
+            t = None if pd.isna(t) else int(t)
+            last = keys[key][1] if key in keys else None
             dup = last is not None and t is not None and abs(t - last) < window_us
-            last = last if dup else t
             flags.append(dup)
-        state.update((last,))
-        _expire(state, (last or 0) + window_us + EVICT_US)
-        yield pd.DataFrame({"payload": key[0], "seq": rows["seq"], "t": rows["t"], "is_dup": flags})
+            last = last if dup else t
+            keys[key] = [((last or 0) + window_us + EVICT_US) // 1000, last]
+            touched.add(key)
+        _settle(state, keys, touched)
+        yield pd.DataFrame({"payload": rows["payload"], "seq": rows["seq"], "t": rows["t"], "is_dup": flags})
 
     timed = stream.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", LATE)
-    return timed.groupBy("payload").applyInPandasWithState(step, OUT, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return bucketed(timed, "payload").applyInPandasWithState(step, OUT, "keys string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_vessels(stream: DataFrame) -> DataFrame:
     """mmsi and its state, each time that it changed, of a stream of ``vessels.prepared`` rows."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys = read_bucket(state.get[0] if state.exists else None)
         if state.hasTimedOut:
-            state.remove()
+            _settle(state, keys, set())
             return
-        now = list(state.get) if state.exists else new_state()
-        rows = pd.concat(list(frames)).sort_values("seq").astype(object)
-        rows = rows.where(rows.notna(), None)
-        for row in rows[list(_READ)].itertuples(index=False, name=None):
-            fold_row(now, row)
-        state.update(tuple(now))
-        _expire(state, (now[0] or 0) + EXPIRES_US)
-        out = pd.DataFrame([[key[0], *now]], columns=["mmsi", *STATE_NAMES])
-        yield out.astype({c: t for c, t in (("heading", "Int64"), ("nav_status", "Int64"), ("ship_type", "Int64"), ("seen", "Int64"), ("pos_at", "Int64"), ("trusted_at", "Int64"))})
+        touched = fold_frames(frames, keys)
+        for mmsi in touched:
+            keys[mmsi][0] = ((keys[mmsi][1] or 0) + EXPIRES_US) // 1000
+        _settle(state, keys, touched)
+        yield told(keys, touched)
 
     timed = stream.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", LATE)
-    return timed.groupBy("mmsi").applyInPandasWithState(step, f"mmsi long, {STATE}", STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return bucketed(timed, "mmsi").applyInPandasWithState(step, f"mmsi long, {STATE}", "keys string", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def fold_frames(frames: Iterator[pd.DataFrame], keys: dict) -> set:
+    """Folds prepared rows into the states of their bucket, in arrival order; the vessels that they are of."""
+    rows = pd.concat(list(frames)).sort_values("seq").astype(object)
+    rows = rows.where(rows.notna(), None)
+    touched = set()
+    for mmsi, *row in rows[["mmsi", *_READ]].itertuples(index=False, name=None):
+        deadline, *now = keys.get(mmsi) or [None, *new_state()]
+        fold_row(now, row)
+        keys[mmsi] = [deadline, *now]
+        touched.add(mmsi)
+    return touched
+
+
+def told(keys: dict, touched: set) -> pd.DataFrame:
+    """The states of these vessels as rows."""
+    return pd.DataFrame([[mmsi, *keys[mmsi][1:]] for mmsi in touched], columns=["mmsi", *STATE_NAMES]).astype(WHOLE)
 
 
 def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
