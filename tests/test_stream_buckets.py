@@ -1,5 +1,6 @@
 """State of streams is kept by buckets of keys, so calls don't grow with the number of keys."""
 
+from tidewatch.operators import vessels
 from tidewatch.plans import scratch
 from tidewatch.streaming import dedupe
 
@@ -18,3 +19,14 @@ def test_dedupe_of_many_keys(spark):
     got = dedupe.run_to_end(dedupe.stream_dedupe(spark.readStream.schema("payload string, seq long, t long").parquet(f"{base}/in"), 10 * S), base).collect()
     assert {r.seq for r in got if r.is_dup} == set(range(3000, 6000)) and len(got) == 9000
     assert _states(spark, base) <= dedupe.BUCKETS
+
+
+def test_vessels_of_many_keys(spark):
+    base = scratch.new_path(spark, "stream")
+    schema = "seq long, mmsi long, t long, lat double, lon double, sog double, source string, station string, name string, pos boolean, msg_type string"
+    rows = [(3000 * j + i, i, 9000 * S + j * 60 * S, 10.0, 20.0, 5.0, "kystverket", "s", f"n{i}" if j else "", True, "PositionReport") for i in range(3000) for j in range(2)]
+    prepared = vessels.prepared(spark.createDataFrame(rows, schema))
+    prepared.write.parquet(f"{base}/in")
+    got = dedupe.run_to_end(dedupe.stream_vessels(spark.readStream.schema(prepared.schema).parquet(f"{base}/in")), base, "update").collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in vessels.vessel_fold(spark.createDataFrame(rows, schema)).collect()}
+    assert _states(spark, base) <= dedupe.BUCKETS
