@@ -8,6 +8,7 @@ from tidewatch.catalog import query
 from tidewatch.functions import sql
 from tidewatch.operators import tiles
 from tidewatch.plans.adapt import events, spread
+from tidewatch.plans.scratch import written
 from tidewatch.sources import codec
 
 
@@ -32,7 +33,9 @@ def plan_sql_text(spark, d):
     coded = codec.encoded(e, 1, {c: F.col(c) for c in ("mmsi", "lat", "lon", "sog")})
     line = F.element_at("nmea", 1)
     # every seventh line is damaged
-    coded.select("seq", "payload", F.when(F.col("seq") % 7 == 0, F.concat(F.expr("left(nmea[0], 20)"), F.lit("x"), F.expr("substr(nmea[0], 22)"))).otherwise(line).alias("sentence")).createOrReplaceTempView("tidewatch_lines")
+    told = coded.select("seq", "payload", F.when(F.col("seq") % 7 == 0, F.concat(F.expr("left(nmea[0], 20)"), F.lit("x"), F.expr("substr(nmea[0], 22)"))).otherwise(line).alias("sentence"))
+    # both the table function and the query read them
+    written(told, "lines").createOrReplaceTempView("tidewatch_lines")
     return spark.sql("""
         SELECT d.seq, d.mmsi, round(d.lat, 6) AS lat, round(d.lon, 6) AS lon, round(geo_nm(d.lat, d.lon, 60D, 10D), 4) AS nm, ais_unsigned(ais_bits(l.payload, 0), 8, 30) AS sender
         FROM ais_decode(TABLE(SELECT seq, sentence FROM tidewatch_lines)) d JOIN tidewatch_lines l ON l.seq = d.seq
