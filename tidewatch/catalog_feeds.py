@@ -10,6 +10,7 @@ from tidewatch.functions import columns as C
 from tidewatch.operators import folds, stations, vessels
 from tidewatch.plans import chain
 from tidewatch.plans.adapt import events, spread
+from tidewatch.plans.scratch import written
 from tidewatch.sources import codec, feeds, formats, render
 
 _HMAC_SQL = "substr(sha256(unhex(concat('%s', sha256(unhex(concat('%s', hex({0}))))))), 1, 12)" % tuple(bytes(b ^ p for b in b"salt".ljust(64, b"\0")).hex() for p in (0x5C, 0x36))
@@ -209,7 +210,8 @@ def _type_query(number, name):
         made = codec.encoded(e, number, {"mmsi": F.col("mmsi")} | {n: F.col(f"_{n}") for n in shown}, F.lit("B"), part=1)
         lines = made.select((F.col("seq") * 4).alias("n"), "source", F.concat("source", F.lit("/"), (F.col("seq") % 97).cast("string")).alias("station"), F.col("t").alias("recv_t"), F.posexplode("nmea").alias("i", "body"))
         parsed = formats.parse(lines.select((F.col("n") + F.col("i")).alias("seq"), "source", "station", "recv_t", "body"))
-        told = codec.decoded(formats.assemble(parsed.where("ok")), shown).where(F.col("type") == number)
+        # sentences are read three times: those alone, fragments, and the count of all
+        told = codec.decoded(formats.assemble(written(parsed.where("ok"), "lines")), shown).where(F.col("type") == number)
         return told.select(F.floor(F.col("seq") / 4).alias("seq"), "type", "mmsi", *(F.round(n, 6).alias(n) if n in ("lat", "lon") else F.col(n) for n in shown))
 
     run.__name__ = name
