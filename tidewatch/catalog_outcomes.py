@@ -36,8 +36,8 @@ def _lines(spark, d):
 
 def _judged(spark, d):
     """seq, source, t, outcome of all of these lines, by the whole chain."""
-    lines = chain.judged_lines(_lines(spark, d))
-    told = written(chain.messages(lines), "told")
+    lines = written(chain.judged_lines(_lines(spark, d)), "lines")
+    told = written(chain.messages(lines, kept=True), "told")
     return chain.judged_rows(lines, told, chain.events(told))
 
 

@@ -28,13 +28,14 @@ def judged_lines(receptions: DataFrame) -> DataFrame:
     return parsed.withColumns({"outcome": F.when(old, "replayed").otherwise(F.col("outcome")), "station": C.refined_station(F.col("source"), F.col("station"), F.col("tag_s"))})
 
 
-def messages(lines: DataFrame) -> DataFrame:
+def messages(lines: DataFrame, kept: bool = False) -> DataFrame:
     """Decoded messages of judged lines: seq, id, t, source, station, channel, nmea, type, msg_type, mmsi, fields, pos, own, synthesized.
 
-    ``type`` is null where a whole message can't be decoded.
+    ``type`` is null where a whole message can't be decoded. ``kept``: the lines are written already, as for a caller that reads them too.
     """
     # both are read twice: lines by their number of fragments, messages for their sender's own ship
-    whole = formats.assemble(written(lines.where("outcome = 'ok'"), "lines")).withColumn("channel", C.channel(F.col("channel")))
+    fine = lines.where("outcome = 'ok'")
+    whole = formats.assemble(fine if kept else written(fine, "lines")).withColumn("channel", C.channel(F.col("channel")))
     told = codec.decoded(whole, _FIELDS, ids=True)
     source_t = F.col("source_t") if "source_t" in told.columns else F.lit(None).cast("long")
     # a long-range report has its own marks of what is not available
