@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog import query
 from tidewatch.plans.adapt import events, spread
+from tidewatch.plans.scratch import written
 from tidewatch.sources import bodies, codec, feeds, formats, render
 
 _TYPES = list(bodies.BODIES)
@@ -103,7 +104,7 @@ def src9_whole_envelopes(spark, d):
     """SNK4, PAR9, PAR10: bodies of all 23 types from envelopes to sentences, reassembled and decoded, field by field."""
     told = bodies.encoded(feeds.whole_envelopes(_envelopes(spark, d)))
     lines = told.select("seq", F.posexplode("nmea").alias("p", "body")).select((F.col("seq") * 32 + F.col("p")).alias("seq"), F.lit("s").alias("source"), F.lit("s").alias("station"), "body")
-    whole = bodies.decoded(formats.assemble(formats.parse(lines).where("ok")))
+    whole = bodies.decoded(formats.assemble(written(formats.parse(lines).where("ok"), "lines")))
     return _spelled(whole.select(F.floor(F.col("seq") / 32).alias("seq"), "body"))
 
 
