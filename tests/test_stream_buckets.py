@@ -1,5 +1,7 @@
 """State of streams is kept by buckets of keys, so calls don't grow with the number of keys."""
 
+import pandas as pd
+
 from tidewatch.operators import vessels
 from tidewatch.plans import scratch
 from tidewatch.streaming import dedupe, fragments
@@ -46,3 +48,16 @@ def test_restored_vessels_of_many_keys(spark):
     want = {tuple(r) for r in vessels.vessel_fold(spark.createDataFrame(rows, schema)).where("mmsi % 2 = 0").collect()}
     assert {tuple(r) for r in told.collect()} == want
     assert spark.read.format("statestore").option("stateVarName", "vessels").load(f"{base}/checkpoint").count() <= dedupe.BUCKETS
+
+
+def test_fold_of_frames_keeps_whole_numbers():
+    """pandas tells times beside a null as fractions; the state, and the deadline made of it, stay whole. Rows come in any order."""
+    rows = [(3, 1, 9000 * S), (1, 2, None), (2, 1, 8000 * S), (4, 2, 9500 * S)]
+    other = {"pos": False, "low": False, "dup": False, "heard": False, "lat": None, "lon": 1.5, "sog": 1.0, "cog": 1.0, "heading": 5, "nav_status": 1, "name": "", "ship_type": 0, "kind": "vessel", "source": None, "station": "s", "msg_type": "m"}
+    frame = pd.DataFrame([dict(zip(("seq", "mmsi", "t"), r, strict=True)) | other for r in rows])
+    keys = {1: [7, *vessels.new_state()]}
+    assert dedupe.fold_frames(iter([frame[:2], frame[2:]]), keys) == {1, 2}
+    assert keys[1][0] == 7 and keys[2][0] is None
+    for mmsi, seen, stale in ((1, 9000 * S, 0), (2, 9500 * S, 1)):
+        state = dict(zip(vessels.STATE_NAMES, keys[mmsi][1:], strict=True))
+        assert (state["seen"], state["n"], state["n_stale"], state["source"]) == (seen, 2, stale, None) and type(state["seen"]) is int

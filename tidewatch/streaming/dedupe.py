@@ -22,6 +22,8 @@ EVICT_US, LATE = 60_000_000, "1 day"
 #: Buckets of keys in a stream's state.
 BUCKETS = 1024
 WHOLE = {c.split()[0]: "Int64" for c in ("mmsi long", *STATE.split(", ")) if c.endswith(" long")}
+#: What a fold reads that is whole; all of it but ``t`` is never null.
+_WHOLE_READ = ("t", "heading", "nav_status", "ship_type")
 
 
 def bucketed(rows: DataFrame, key: str) -> GroupedData:
@@ -94,17 +96,28 @@ def stream_vessels(stream: DataFrame) -> DataFrame:
     return bucketed(timed, "mmsi").applyInPandasWithState(step, f"mmsi long, {STATE}", "keys string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def _values(column: pd.Series, whole: bool) -> list:
+    """A column as Python values; whole numbers, which pandas tells as fractions beside nulls, are whole again."""
+    values = column.tolist()
+    if not column.hasnans:
+        return values
+    return [None if null else int(x) if whole else x for x, null in zip(values, column.isna().tolist(), strict=True)]
+
+
 def fold_frames(frames: Iterator[pd.DataFrame], keys: dict) -> set:
     """Folds prepared rows into the states of their bucket, in arrival order; the vessels that they are of."""
-    rows = pd.concat(list(frames)).sort_values("seq").astype(object)
-    rows = rows.where(rows.notna(), None)
-    touched = set()
-    for mmsi, *row in rows[["mmsi", *_READ]].itertuples(index=False, name=None):
-        deadline, *now = keys.get(mmsi) or [None, *new_state()]
-        fold_row(now, row)
-        keys[mmsi] = [deadline, *now]
-        touched.add(mmsi)
-    return touched
+    rows = pd.concat(list(frames))
+    rows = rows.take(rows["seq"].argsort(kind="stable"))
+    states: dict = {}
+    columns = [_values(rows[c], c in _WHOLE_READ) for c in _READ]
+    for mmsi, row in zip(_values(rows["mmsi"], True), zip(*columns, strict=True), strict=True):
+        state = states.get(mmsi)
+        if state is None:
+            state = states[mmsi] = keys[mmsi][1:] if mmsi in keys else new_state()
+        fold_row(state, row)
+    for mmsi, state in states.items():
+        keys[mmsi] = [keys[mmsi][0] if mmsi in keys else None, *state]
+    return set(states)
 
 
 def told(keys: dict, touched: set) -> pd.DataFrame:
