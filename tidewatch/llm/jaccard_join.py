@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ HOT, HOT_AT, HOT_LOCAL, HOT_WINDOW = 50_000, 64, 8, 1_000_000
 #: Rows packed at a time, and classes that a task remembers so as not to pack them again; neither changes a result.
 FLUSH_ROWS, REMEMBERED = 1_000_000, 500_000
 LIST_BLOCK, LEAF = 1_024, 16
+#: Text of several groups whose sets are made at once; doesn't change a result.
+SETS_BYTES = 500_000
 MIN_BITS, MAX_BITS = 256, 1 << 16
 _ROW = np.dtype([("t", "<u4"), ("n", "<u4"), ("c", "<i8")])
 
@@ -251,6 +254,26 @@ def _groups(table) -> Iterator[tuple]:
         yield table.slice(x, y - x), bool(i[x] != j[x])
 
 
+def _with_sets(table, sets_of) -> Iterator[tuple]:
+    """The groups of a pack with the sets of their texts; small groups' sets are made together, about ``SETS_BYTES`` of text at a time."""
+    held, size = [], 0
+    for group, across in _groups(table):
+        own = group.column("text").nbytes
+        if held and size + own > SETS_BYTES:
+            yield from _parted(held, sets_of)
+            held, size = [], 0
+        held.append((group, across))
+        size += own
+    if held:
+        yield from _parted(held, sets_of)
+
+
+def _parted(held: list[tuple], sets_of) -> Iterator[tuple]:
+    sets = iter(sets_of(pa.concat_tables([group for group, _ in held]).column("text").combine_chunks()))
+    for group, across in held:
+        yield group, across, list(islice(sets, group.num_rows))
+
+
 def _survivors(percent: int):
     """Members of each list (or of two of its blocks) that a signature tree leaves a partner in another component."""
 
@@ -271,9 +294,8 @@ def link_groups(table, sets_of, name_of, percent: int) -> Iterator[tuple[int, in
 
     ``sets_of`` gives the sets of a group's texts; ``name_of``, if given, the class that a set must have.
     """
-    for group, across in _groups(table):
+    for group, across, sets in _with_sets(table, sets_of):
         classes, blocks, comps = (group.column(c).to_numpy() for c in ("class", "block", "comp"))
-        sets = sets_of(group.column("text"))
         _, comps = np.unique(comps, return_inverse=True)
         sizes = np.array([len(s) for s in sets])
         a, b, worth = _candidates(classes, blocks, comps, sizes, [np.frombuffer(bitmap(s, 8), np.uint8) for s in sets], across, percent)

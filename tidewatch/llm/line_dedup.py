@@ -18,6 +18,7 @@ equal in doc_id and text are judged alike; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,17 @@ BANDS, BAND_ROWS = 10, 3
 FLUSH_ROWS, REMEMBERED = 1_000_000, 500_000
 _MULTIPLIERS = np.random.default_rng(31).integers(1, 2**31, BANDS * BAND_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ROW = np.dtype([("t", "<u4"), ("n", "<u4"), ("c", "<i8")])
-_BLANK = np.array([0x20, 0x09, 0x0B, 0x0C, 0x0D], np.uint32)
+#: Bytes of text whose arrays a core's own cache holds; doesn't change a result.
+PIECE_BYTES = 150_000
+_BLANK = [0x20, 0x09, 0x0B, 0x0C, 0x0D]
+_INK = np.ones(0x22, bool)
+_INK[_BLANK] = False
+
+
+@cache
+def _weights() -> np.ndarray:
+    """The share of each code point in a rolling sum."""
+    return mix(np.arange(0x110000, dtype=np.uint64) + np.uint64(7))
 
 
 class Lines:
@@ -50,33 +61,57 @@ class Lines:
         breaks = np.flatnonzero(self.points == 0x0A)
         self.start = np.concatenate([[0], breaks + 1]) if len(texts) else np.zeros(0, np.int64)
         self.end = np.concatenate([breaks, [len(self.points)]]) if len(texts) else np.zeros(0, np.int64)
-        self.doc = np.searchsorted(self.text_start, self.start, side="right") - 1
-        ink = np.concatenate([[0], np.cumsum(~np.isin(self.points, _BLANK))])
-        self.inked = ink[self.end] > ink[self.start]
         up, self.down = powers(len(self.points) + 1)
         self.sums = np.zeros(len(self.points) + 1, np.uint64)
-        np.cumsum(mix(self.points.astype(np.uint64) + np.uint64(7)) * up[: len(self.points)], out=self.sums[1:])
+        weights = _weights().take(self.points)
+        weights *= up[: len(weights)]
+        np.cumsum(weights, out=self.sums[1:])
+
+    def bounds(self) -> np.ndarray:
+        """The first line of each text, and the number of lines."""
+        return np.append(np.searchsorted(self.start, self.text_start), len(self.start))
+
+    def inked(self) -> np.ndarray:
+        """Whether each line holds more than white space."""
+        ink = np.zeros(len(self.points) + 1, np.int32)
+        np.cumsum(_INK.take(np.minimum(self.points, 0x21)), out=ink[1:])
+        return ink[self.end] > ink[self.start]
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
     def classes(self) -> np.ndarray:
         """64-bit hash of each line; 0 marks a blank line."""
-        return np.where(self.inked, self.hashes(self.start, self.end) | np.uint64(1), np.uint64(0)).view(np.int64)
+        return np.where(self.inked(), self.hashes(self.start, self.end) | np.uint64(1), np.uint64(0)).view(np.int64)
 
     def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the shingles of the given lines, one line after another, and their bounds."""
-        start, counts = self.start[which], np.maximum(self.end[which] - self.start[which] - SHINGLE + 1, 1)
+        start, end = self.start[which], self.end[which]
+        counts = np.maximum(end - start - SHINGLE + 1, 1)
         total = np.cumsum(counts)
-        first = np.repeat(start - (total - counts), counts) + np.arange(total[-1] if len(total) else 0)
-        last = np.minimum(first + SHINGLE, np.repeat(self.end[which], counts))
-        return self.hashes(first, last), np.concatenate([[0], total])
+        first = np.repeat(start - (total - counts), counts)
+        first += np.arange(len(first))
+        # of every place, then of the lines' places; a line shorter than a shingle is told by its own end
+        places = max(len(self.points) - SHINGLE + 1, 0)
+        every = np.zeros(len(self.points) + 1, np.uint64)
+        np.subtract(self.sums[SHINGLE:], self.sums[:places], out=every[:places])
+        every[:places] *= self.down[:places]
+        every[:places] += np.uint64(SHINGLE)
+        hashed = mix(every.take(first))
+        short = np.flatnonzero(end - start < SHINGLE)
+        hashed[total[short] - 1] = self.hashes(start[short], end[short])
+        return hashed, np.concatenate([[0], total])
 
 
 def signatures(hashed: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """MinHash of each set: a row of 32-bit minima."""
-    short = (hashed >> np.uint64(32)).astype(np.uint32)
-    return np.stack([np.minimum.reduceat(short * m, bounds[:-1]) for m in _MULTIPLIERS], axis=1) if len(bounds) > 1 else np.zeros((0, len(_MULTIPLIERS)), np.uint32)
+    out = np.zeros((len(_MULTIPLIERS), len(bounds) - 1), np.uint32)
+    if len(bounds) > 1:
+        short = (hashed >> np.uint64(32)).astype(np.uint32)
+        product = np.empty_like(short)
+        for row, m in zip(out, _MULTIPLIERS, strict=True):
+            np.minimum.reduceat(np.multiply(short, m, out=product), bounds[:-1], out=row)
+    return out.T
 
 
 def _order(docs: DataFrame) -> DataFrame:
@@ -85,12 +120,14 @@ def _order(docs: DataFrame) -> DataFrame:
 
 
 def _line_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text"):
-        lines = Lines(part.column("text").to_pylist())
-        bounds = np.searchsorted(lines.doc, np.arange(part.num_rows + 1))
-        yield pa.RecordBatch.from_arrays(
-            [part.column("first"), part.column("row"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(lines.classes()))], names=["first", "row", "lines"]
-        )
+    for batch in batches:
+        bounds, classes = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
+        for part in slices([batch], "text", PIECE_BYTES):
+            lines = Lines(part.column("text").to_pylist())
+            bounds.append(lines.bounds()[1:] + bounds[-1][-1])
+            classes.append(lines.classes())
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(bounds), pa.int32()), pa.array(np.concatenate(classes)))
+        yield pa.RecordBatch.from_arrays([batch.column("first"), batch.column("row"), lists], names=["first", "row", "lines"])
 
 
 def _band_rows(docs: DataFrame, parts: int) -> DataFrame:
@@ -113,16 +150,17 @@ def _band_rows(docs: DataFrame, parts: int) -> DataFrame:
             bounds = pa.py_buffer((np.append(first, len(part)) * _ROW.itemsize).astype(np.int32).tobytes())
             return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, bounds, pa.py_buffer(rows.tobytes())])], names=["part", "rows"])
 
-        for piece in slices(batches, "text", 1_000_000):
+        for piece in slices(batches, "text", PIECE_BYTES):
             lines = Lines(piece.column("text").to_pylist())
+            classes = lines.classes()
             if len(seen) > REMEMBERED:
                 seen.clear()
-            names, at = np.unique(lines.classes(), return_index=True)
+            names, at = np.unique(classes, return_index=True)
             new = np.array([i for c, i in zip(names.tolist(), at.tolist(), strict=True) if c and c not in seen], np.int64)
             if not len(new):
                 continue
             new.sort()
-            classes = lines.classes()[new]
+            classes = classes[new]
             seen.update(classes.tolist())
             hashed, bounds = lines.shingles(new)
             signs = signatures(hashed, bounds).astype(np.uint64).reshape(len(new), BANDS, BAND_ROWS)
@@ -143,9 +181,15 @@ def _band_rows(docs: DataFrame, parts: int) -> DataFrame:
 
 def line_sets(texts) -> list[np.ndarray]:
     """The shingle set of each line."""
-    lines = Lines(texts.to_pylist())
-    hashed, bounds = lines.shingles(np.arange(len(lines.start)))
-    return [np.unique(hashed[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    out = []
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    for piece in slices([pa.RecordBatch.from_arrays([texts], names=["text"])], "text", PIECE_BYTES):
+        lines = Lines(piece.column("text").to_pylist())
+        hashed, bounds = lines.shingles(np.arange(len(lines.start)))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own = np.sort(hashed[a:b])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+    return out
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -161,7 +205,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 for k, i in enumerate(left.indices.to_pylist()):
                     x, y = sets[0][i], sets[1][k]
                     if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)):
-                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        met = np.concatenate([x, y])
+                        met.sort()
+                        both = int(np.count_nonzero(met[1:] == met[:-1]))
                         if 100 * both >= percent * (len(x) + len(y) - both):
                             keep.append(k)
                 yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
