@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -116,6 +117,29 @@ def test_odd_texts(spark, plain, monkeypatch, size):
     assert got == groups
 
 
+def test_few_bytes_at_a_time(spark, plain, monkeypatch):
+    """Whatever a task's input, what is read or written of blocks at once stays small: one of them, of some MB."""
+    rng, files, write = random.Random(7), [], T.materialize
+
+    def noted(df, name, *more):
+        out = write(df, name, *more)
+        files.extend(out.inputFiles() if name == "blocks" else [])
+        return out
+
+    monkeypatch.setattr(T, "materialize", noted)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(500)]
+    text = " ".join(rng.choices(words, k=170_000))
+    docs = spark.createDataFrame([(i, text) for i in range(12)], "doc_id long, text string").coalesce(1)
+    got = sorted(tuple(r) for r in T.token_alignment(docs, *PATHS).select(*COLUMNS).collect())
+    # twelve equal texts: each pair counts twelve times as often
+    (one,), _, _ = plain.all([(0, text)])
+    assert got == [(i, *one[1:6], 12 * one[6], one[7]) for i in range(12)]
+    assert len(files) == 1
+    told = pq.ParquetFile(files[0].removeprefix("file://")).metadata
+    groups = [told.row_group(k) for k in range(told.num_row_groups)]
+    assert len(groups) >= 4 and all(g.num_rows == 1 and g.total_byte_size < 4_000_000 for g in groups)
+
+
 def test_no_rows(spark):
     assert T.token_alignment(spark.createDataFrame([], "doc_id long, text string"), *PATHS).count() == 0
 

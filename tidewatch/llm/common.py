@@ -31,11 +31,11 @@ _SHINGLE = np.uint64(0xD6E8FEB86659FD93)
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, options: dict[str, int] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (with ``options`` of the writer) and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**options or {}).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import materialize, slices
 from tidewatch.llm.pretokens import Ragged, Splitter, byte_letters, tokenizers_matches
 
-#: Bytes of text of a block: the pairs of that much are held at a time.
-BLOCK_BYTES = 8_000_000
+#: Bytes of text of a block: the pairs of that much are held at a time, and a block is one row.
+BLOCK_BYTES = 2_000_000
+#: A file's writer and its readers hold a whole row group, by default of 100 rows at least: 100 blocks would be too many.
+_ONE_A_GROUP = {"parquet.block.row.count.limit": 1}
 #: Units (and characters of theirs) that a worker remembers, and how many of the first ones it keeps when it starts anew.
 REMEMBERED, FIRST, REMEMBERED_CHARS = 400_000, 100_000, 16_000_000
 AT_A_TIME = 2_000
@@ -235,7 +237,7 @@ class _Block:
         sizes = np.column_stack([self.own.table(used), np.diff(link_at)])
         sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(sizes[rows], axis=0)])[at]
         per_doc = np.diff(sums, axis=0)
-        raw = [x.tobytes() for x in (rows.astype("<i4"), at.astype("<i8"), links.astype("<i4"), link_at.astype("<i8"))]
+        raw = [x.astype("<i4").tobytes() for x in (rows, at, links, link_at)]
         lists = [pa.array([self.ids], pa.list_(pa.int64())), *(pa.array([per_doc[:, k].tolist()], pa.list_(pa.int64())) for k in range(4)), pa.array([self.shas], pa.list_(pa.string()))]
         return pa.RecordBatch.from_arrays(
             [pa.array([number], pa.int64()), *lists, *(pa.array([x], pa.binary()) for x in raw), pa.array([pairs.tolist()], pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64()))],
@@ -247,7 +249,7 @@ def _blocks(docs: DataFrame, byte_path: str, piece_path: str, pattern: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = aligner(byte_path, piece_path, pattern), TaskContext.get().partitionId() << 32
         block = _Block(own)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", max(1, BLOCK_BYTES // 4)):
             block.add(part)
             if block.bytes >= BLOCK_BYTES:
                 yield block.told(n)
@@ -267,7 +269,7 @@ def _counted(blocks: DataFrame) -> DataFrame:
 
 def pair_counts(docs: DataFrame, byte_path: str, piece_path: str, pattern: str) -> DataFrame:
     """a, b, n: how many links of all texts hold the two ids linked."""
-    counted = _counted(materialize(_blocks(docs, byte_path, piece_path, pattern), "blocks"))
+    counted = _counted(materialize(_blocks(docs, byte_path, piece_path, pattern), "blocks", _ONE_A_GROUP))
     return counted.select(F.shiftright("pair", _SHIFT).cast("int").alias("a"), F.col("pair").bitwiseAND(F.lit((1 << _SHIFT) - 1)).cast("int").alias("b"), "n")
 
 
@@ -279,7 +281,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
             get = lambda c: batch.column(c)[k]  # noqa: B023, E731
-            rows, at, links, link_at = (np.frombuffer(get(c).as_py(), d) for c, d in (("rows", "<i4"), ("ends", "<i8"), ("links", "<i4"), ("link_ends", "<i8")))
+            rows, at, links, link_at = (np.frombuffer(get(c).as_py(), "<i4") for c in ("rows", "ends", "links", "link_ends"))
             told = get("told").values
             place, n, best = (told.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "n", "best")) if told is not None else (np.zeros(0, np.int64),) * 3
             of_pair = np.zeros((len(place), 2), np.int64)
@@ -292,7 +294,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_alignment(docs: DataFrame, byte_path: str, piece_path: str, pattern: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each text."""
-    blocks = materialize(_blocks(docs, byte_path, piece_path, pattern), "blocks")
+    blocks = materialize(_blocks(docs, byte_path, piece_path, pattern), "blocks", _ONE_A_GROUP)
     counts = _counted(blocks).withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << _SHIFT) - 1)))
     counts = materialize(counts, "counts")
     highest = counts.groupBy("b").agg(F.max("n").alias("most"))
