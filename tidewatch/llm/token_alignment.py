@@ -37,7 +37,7 @@ BLOCK_BYTES = 2_000_000
 #: A file's writer and its readers hold a whole row group, by default of 100 rows at least: 100 blocks would be too many.
 _ONE_A_GROUP = {"parquet.block.row.count.limit": 1}
 #: Units (and characters of theirs) that a worker remembers, and how many of the first ones it keeps when it starts anew.
-REMEMBERED, FIRST, REMEMBERED_CHARS = 400_000, 100_000, 16_000_000
+REMEMBERED, FIRST, REMEMBERED_CHARS = 500_000, 200_000, 16_000_000
 AT_A_TIME = 2_000
 _SHIFT = 32
 _ALIGNERS: dict[tuple[str, str, str], Aligner] = {}
@@ -148,7 +148,7 @@ class Aligner:
 
     def numbers(self, units: list[str]) -> np.ndarray:
         """The unit's numbers; those that are new are aligned."""
-        every = list(set(units) - self.known.keys())
+        every = [u for u in set(units) if u not in self.known]
         # the libraries' objects of few units at a time
         for k in range(0, len(every), AT_A_TIME):
             new = every[k : k + AT_A_TIME]
